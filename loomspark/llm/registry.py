@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_simhash": simhash.op4_simhash,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
