@@ -315,6 +315,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .filter(left + right >= side)
         .select("k", F.col("at").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tie"), (pos - left).alias("lo"), (pos + gram + right).alias("hi"))
     )
+    whole = materialize(whole, "whole")
+    release(kept)
+    free_shuffles(spark)
     multi = materialize(classes.groupBy("h").count().filter("count > 1").select("h", F.col("count").alias("classes")), "multi")
     edges = classes.join(multi, "h").select("h", "classes", F.col("first.k").alias("k"), F.col("first.tie").alias("tie"), F.col("first.at").alias("at"))
     spots = edges.groupBy("k", "tie").agg(F.collect_list(F.struct("h", "at")).alias("spots"))
@@ -326,9 +329,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         reps = reps.filter(F.col("classes") <= gram_classes).drop("classes")
     out.append(reps.repartition("h").sortWithinPartitions("h", "k", "at").mapInArrow(_cover_rows(span, gram), "k long, tie long, lo long, hi long"))
     for o in out:
-        whole = whole.unionByName(o)
-    whole = materialize(whole, "spans")
-    release(kept, classes, multi)
+        whole = whole.unionByName(materialize(o, "spans"))
+    release(classes, multi)
     free_shuffles(spark)
     return whole
 
