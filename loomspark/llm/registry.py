@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash, suffix_dedup
+from . import bpe, exact_dedup, packing, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_simhash": simhash.op4_simhash,
+        "op5_bpe": bpe.op5_bpe,
+        "op8_packing": packing.op8_packing,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
