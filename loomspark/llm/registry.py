@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, simhash, suffix_dedup
+from . import bpe, exact_dedup, langid, packing, quality, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_quality": quality.op3_quality,
         "op4_simhash": simhash.op4_simhash,
         "op5_bpe": bpe.op5_bpe,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op8_packing": packing.op8_packing,
+        "op9_langid": langid.op9_langid,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL}
