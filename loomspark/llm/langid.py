@@ -193,7 +193,7 @@ def _cache(key: str, model: dict):
     return _WORKER[key]
 
 
-def _predict(key: str, shared):
+def _predict(key: str, shared, with_rows: bool = False):
     def run(batches):
         model = shared.value
         labels, trans = model["labels"], model["trans"]
@@ -225,7 +225,11 @@ def _predict(key: str, shared):
                     flush()
                     words = 0
             flush()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            cols, names = [b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
+            if with_rows:
+                cols += [b.column(1), b.column(3)]
+                names += ["text", "rest"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -253,6 +257,16 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     )
 
 
+def keep_identified(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is not ``und``, with all their columns and in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("h"), rest.alias("rest"))
+    kind = rows.schema["rest"].dataType.simpleString()
+    out = rows.mapInArrow(_predict(uuid.uuid4().hex, shared, True), f"doc_id long, held_out boolean, lang_pred string, score double, text string, rest {kind}")
+    return out.filter("lang_pred <> 'und'").select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.{c}").alias(c) for c in docs.columns])
+
+
 def op9_langid(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))

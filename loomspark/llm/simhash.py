@@ -50,14 +50,16 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 def _fingerprints(batches):
     for b in batches:
-        ids, texts = b.column(0), b.column(1).cast(pa.binary())
+        texts = b.column(1).cast(pa.binary())
         fp = np.array([fingerprint(t.as_py() or b"") for t in texts], dtype="<u8").view(np.int64)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "tie", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, tie: a hash of the text, fp: the fingerprint as a signed long)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("tie")).mapInArrow(
+        _fingerprints, "doc_id long, tie long, fp long"
+    )
 
 
 def _blocks(distinct: int, radius: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -196,6 +198,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each get a row. Null ids take part; a component of null ids alone has a null component_id.
     An empty table gives no rows. Columns other than the two named are not read.
     """
+    return _components(docs, id_col, text_col, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
     rows = materialize(fingerprints(docs, id_col, text_col), "fp")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     roots = components(simhash_links(nodes.select("fp"), radius))
@@ -205,7 +211,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     by_fp = materialize(rooted.join(least, "root").select("fp", "component_id"), "byfp")
     release(nodes, roots, rooted, least)
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(by_fp, "fp").select("doc_id", "tie", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the least doc_id (a null id
+    is larger than any other; of rows that share it, the least hash of the text)."""
+    last = F.lit((1 << 63) - 1)
+    keyed = F.coalesce(F.col("doc_id"), last).alias("__k")
+    found = _components(docs, id_col, text_col, radius).select(keyed, "tie", F.coalesce(F.col("component_id"), F.col("fp")).alias("c"), F.col("component_id").isNull().alias("n"))
+    stay = found.groupBy("c", "n").agg(F.min(F.struct("__k", "tie")).alias("x")).select("x.__k", F.col("x.tie").alias("__tie"))
+    rows = docs.select("*", F.coalesce(F.col(id_col).cast("long"), last).alias("__k"), F.xxhash64(text_col).alias("__tie"))
+    return rows.join(stay, ["__k", "__tie"], "left_semi").select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

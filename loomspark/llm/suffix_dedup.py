@@ -257,19 +257,20 @@ def _apply(with_text: bool):
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 cols += [pa.array(kept, pa.string()), b.column(3)]
-                names += ["kept_text", "tie"]
+                names += ["kept_text", "rest"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("k"),
         F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tie"),
         text.alias("text"),
+        *more,
     )
 
 
@@ -336,7 +337,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with ``with_text`` kept_text, tie).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with ``with_text`` kept_text, and
+    rest: the other columns as a struct). Characters that a cut splits are left out of kept_text.
 
     A null text is empty; texts under ``span`` bytes lose nothing. "Earlier" is a smaller doc_id,
     then an earlier start; a null id is later than all others, and rows that share an id but not
@@ -345,9 +347,28 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spans = repeated_spans(docs, id_col, text_col, span)
     per_doc = spans.groupBy("k", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = _keyed(docs, id_col, text_col).join(per_doc.hint("shuffle_hash"), ["k", "tie"], "left").select("doc_id", "text", "spans", "tie")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, tie long" if with_text else "")
-    return joined.mapInArrow(_apply(with_text), schema)
+    rest = [F.col(c) for c in docs.columns if c != text_col] if with_text else []
+    joined = _keyed(docs, id_col, text_col, *([F.struct(*rest).alias("rest")] if rest else [])).join(per_doc.hint("shuffle_hash"), ["k", "tie"], "left")
+    joined = joined.select("doc_id", "text", "spans", *(["rest"] if rest else []))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if rest:
+        schema += f", kept_text string, rest {joined.schema['rest'].dataType.simpleString()}"
+    return joined.mapInArrow(_apply(bool(rest)), schema)
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", span: int = SPAN) -> DataFrame:
+    """``docs`` with repeated bytes cut from the text (and ``chars_col`` brought up to date); rows
+    that lose their whole text go."""
+    out = suffix_dedup(docs, id_col, text_col, span, with_text=True).filter("n_removed = 0 or n_removed < n_bytes")
+    cols = []
+    for c in docs.columns:
+        if c == text_col:
+            cols.append(F.col("kept_text").alias(c))
+        elif c == chars_col:
+            cols.append(F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col(f"rest.{c}")).cast(docs.schema[c].dataType).alias(c))
+        else:
+            cols.append(F.col(f"rest.{c}").alias(c))
+    return out.select(*cols)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
