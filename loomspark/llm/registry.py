@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, packing, quality, simhash, suffix_dedup, url_filter
+from . import bpe, exact_dedup, imatch, langid, packing, quality, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_imatch": imatch.op2_imatch,
         "op3_quality": quality.op3_quality,
         "op4_simhash": simhash.op4_simhash,
         "op5_bpe": bpe.op5_bpe,
