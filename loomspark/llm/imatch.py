@@ -22,10 +22,10 @@ from .common import SPACE, table
 
 BUCKETS = 1 << 15
 IDF_BAND = (2.0, 14.0)
-#: (cells kept, cells split in, bit of the term hash where the cell number starts)
-LEVELS = [(64, 4096, 18), (32, 512, 9), (16, 64, 3), (8, 8, 0)]
+#: (cells kept, cells split in, bit of the term hash where the cell number starts, most terms).
+#: A document with more terms has no hashes on a coarse level: finer ones have ENOUGH cells then.
+LEVELS = [(64, 4096, 27, None), (32, 1024, 17, None), (32, 256, 9, 1024), (16, 64, 3, 256), (8, 8, 0, 128)]
 ENOUGH = 8
-SMALL = 128
 MAX_RANGES = 2000
 RANGE_ROWS = 4096
 
@@ -52,7 +52,7 @@ def idf_band(docs: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAN
 
 def _terms(text: Column, band: bytes) -> Column:
     keep = F.lit(bytearray(band))
-    return F.array_sort(F.filter(_hashes(text), lambda h: F.substring(keep, _bucket(h) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))))
+    return F.sort_array(F.filter(_hashes(text), lambda h: F.substring(keep, _bucket(h) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))))
 
 
 def _cell(split: int, bit: int):
@@ -60,30 +60,32 @@ def _cell(split: int, bit: int):
     return lambda h: F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(split - 1).cast("long"))
 
 
-def _level_terms(t: Column, cells: int, split: int, bit: int) -> Column:
-    """The terms that fall in a kept cell; the coarsest level is for short documents only."""
+def _level_terms(t: Column, cells: int, split: int, bit: int, most: int | None) -> Column:
+    """The terms that fall in a kept cell; coarse levels are for short documents only."""
     cell = _cell(split, bit)
     mine = F.filter(t, lambda h: cell(h) < cells)
-    if split == LEVELS[-1][1]:
-        return F.when(F.size(t) <= SMALL, mine).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return mine
+    return mine if most is None else F.when(F.size(t) <= most, mine).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def _subset_hashes(terms: Column, cells: int, split: int, bit: int) -> Column:
+def _subset_hashes(terms: Column, cells: int, split: int, bit: int, most: int | None) -> Column:
     """For each kept cell the hash of its sorted terms (1 to 65535), 0 where it has none."""
     cell = _cell(split, bit)
-    own = lambda c: F.filter(terms, lambda h: cell(h) == c)
     hashed = lambda a: F.when(F.size(a) == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64(a), F.lit(65535)).cast("int") + 1)
-    return F.transform(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), own), hashed)
+
+    def subsets(mine):
+        own = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.filter(mine, lambda h: cell(h) == c))
+        return F.transform(own, hashed)
+
+    # bound as a lambda variable, the level's terms are found once and not once per cell
+    return F.transform(F.array(_level_terms(terms, cells, split, bit, most)), subsets)[0]
 
 
 def _with_fingerprint(df: DataFrame, text: str, band: bytes, name: str) -> DataFrame:
     """Adds ``name``: struct(all: long, cells: array<int>, levels in LEVELS order) for the text column."""
-    t, sub = f"__t_{name}", [f"__s{i}_{name}" for i in range(len(LEVELS))]
+    t = f"__t_{name}"
     df = df.withColumn(t, _terms(F.col(text), band))
-    df = df.withColumns({s: _level_terms(F.col(t), *level) for s, level in zip(sub, LEVELS, strict=True)})
-    hashed = [_subset_hashes(F.col(s), *level) for s, level in zip(sub, LEVELS, strict=True)]
-    return df.withColumn(name, F.struct(F.xxhash64(F.col(t)).alias("all"), F.concat(*hashed).alias("cells"))).drop(t, *sub)
+    hashed = [_subset_hashes(F.col(t), *level) for level in LEVELS]
+    return df.withColumn(name, F.struct(F.xxhash64(F.col(t)).alias("all"), F.concat(*hashed).alias("cells"))).drop(t)
 
 
 def _text_of(fp: Column) -> Column:
@@ -94,7 +96,7 @@ def _likeness(a: Column, b: Column) -> Column:
     """Share of equal subset hashes on the finest level with enough filled cells (0 to 1)."""
     out, at = None, 1
     found = []
-    for cells, _, _ in LEVELS:
+    for cells, *_ in LEVELS:
         both = F.zip_with(F.slice(a["cells"], at, cells), F.slice(b["cells"], at, cells), lambda x, y: F.when((x == 0) & (y == 0), F.lit(0)).when(x == y, F.lit(2)).otherwise(F.lit(1)))
         found.append((F.size(F.filter(both, lambda v: v > 0)), F.size(F.filter(both, lambda v: v == 2))))
         at += cells
