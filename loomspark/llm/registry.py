@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, imatch, langid, packing, quality, simhash, suffix_dedup, url_filter
+from . import bpe, exact_dedup, imatch, langid, licenses, packing, quality, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_simhash": simhash.op4_simhash,
         "op5_bpe": bpe.op5_bpe,
+        "op6_licenses": licenses.op6_licenses,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_packing": packing.op8_packing,
         "op9_langid": langid.op9_langid,
