@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .pretok import Ragged, WordCache, split
+from .pretok import Ragged, WordCache, split, worker_cache
 
 LONG_WORD = 200
 WORDS_AT_ONCE = 40_000
@@ -138,12 +138,10 @@ class Encoder:
         return ids, decoded
 
 
-_WORKER: dict = {}
-
-
 def _cache(path: str) -> tuple[WordCache, dict]:
     """One encoder and cache for each Python worker and rank file."""
-    if path not in _WORKER:
+
+    def make():
         encoder, held = Encoder(path), {}
 
         def reset():
@@ -156,8 +154,9 @@ def _cache(path: str) -> tuple[WordCache, dict]:
 
             return learn
 
-        _WORKER[path] = WordCache(reset), held
-    return _WORKER[path]
+        return WordCache(reset), held
+
+    return worker_cache(("bpe", path), make)
 
 
 def _encode(path: str, with_ids: bool):

@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from .pretok import LETTER, WordCache, classes, split
+from .pretok import LETTER, WordCache, classes, split, worker_cache
 
 SAMPLE_DOCS = 1200
 TABLE_BITS = 17
 EPOCHS = 25
 SEGMENT = 64
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 300_000
+CACHED_WORDS = 400_000
 HELD_OUT = (4, 2)
 
 
@@ -167,12 +168,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 7)
     return {"labels": labels, "weights": weights, "trans": trans}
 
 
-_WORKER: dict = {}
-
-
-def _cache(key: str, model: dict):
-    if key not in _WORKER:
-        _WORKER.clear()
+def _cache(key: str, model: dict) -> tuple[WordCache, dict]:
+    def make():
         held: dict = {}
 
         def reset():
@@ -189,8 +186,9 @@ def _cache(key: str, model: dict):
 
             return learn
 
-        _WORKER[key] = WordCache(reset), held
-    return _WORKER[key]
+        return WordCache(reset, CACHED_WORDS), held
+
+    return worker_cache(("langid", key), make)
 
 
 def _predict(key: str, shared, with_rows: bool = False):

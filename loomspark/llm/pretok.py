@@ -194,3 +194,29 @@ class WordCache:
         if (self.check[out] != p.check).any():
             raise ValueError("two different pieces share a 64-bit hash and length class")
         return out
+
+
+_CURRENT: dict = {}
+
+
+def worker_cache(key, make):
+    """What ``make()`` gives, kept while this Python worker serves ``key`` alone: workers outlive
+    a stage, and the caches of several operators together would outgrow an executor."""
+    if key not in _CURRENT:
+        _CURRENT.clear()
+        trim()
+        _CURRENT[key] = make()
+    return _CURRENT[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the machine, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

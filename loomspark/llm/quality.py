@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from .pretok import WordCache, split
+from .pretok import WordCache, split, worker_cache
 
 SAMPLE = 4000
 SHAPES = 509
@@ -41,11 +41,8 @@ def _shape_number(piece: str) -> int:
     return crc32(shape(piece).encode()) % SHAPES
 
 
-_WORKER: dict = {}
-
-
-def _cache():
-    if "shapes" not in _WORKER:
+def _cache() -> tuple[WordCache, dict]:
+    def make():
         held: dict = {}
 
         def reset():
@@ -60,8 +57,9 @@ def _cache():
 
             return learn
 
-        _WORKER["shapes"] = WordCache(reset), held
-    return _WORKER["shapes"]
+        return WordCache(reset), held
+
+    return worker_cache("quality", make)
 
 
 def featurize(texts: pa.Array):
