@@ -1,0 +1,184 @@
+"""Tags, communities, vectors, models, HTML and EPUB as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph, learning
+from ..sources import epub, html
+from .base import chapters, items, query, read
+from .pipelines import training_set as _training
+
+
+def tagged(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("tag"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(p, "l_partkey").select(F.col("l_orderkey").alias("item"), "tag").distinct()
+
+
+_TAGGED = "tagged AS (SELECT DISTINCT l_orderkey AS item, p_brand AS tag FROM lineitem JOIN part ON p_partkey = l_partkey)"
+_PAIRS = "pairs AS (SELECT x.tag AS a, y.tag AS b, count(*)::BIGINT AS weight FROM tagged x JOIN tagged y ON x.item = y.item AND x.tag < y.tag GROUP BY 1, 2)"
+
+
+@query("tag_cooccurrence", f"WITH {_TAGGED}, {_PAIRS} SELECT a, b, weight FROM pairs")
+def tag_cooccurrence(spark, d):
+    return graph.cooccurrence(tagged(spark, d))
+
+
+@query("tags_per_item", f"WITH {_TAGGED} SELECT item, list_sort(list(tag)) AS tags FROM tagged GROUP BY item")
+def tags_per_item(spark, d):
+    return tagged(spark, d).groupBy("item").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+
+
+@query("tag_components", f"""WITH RECURSIVE {_TAGGED}, {_PAIRS}, e AS (SELECT a, b FROM pairs WHERE weight >= 2 UNION SELECT b, a FROM pairs WHERE weight >= 2),
+r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
+def tag_components(spark, d):
+    return graph.components(tag_cooccurrence(spark, d).filter("weight >= 2"))
+
+
+@query("tag_communities")
+def tag_communities(spark, d):
+    return graph.communities(tag_cooccurrence(spark, d), tagged(spark, d).select(F.col("tag").alias("node")))
+
+
+@query("modularity", f"""WITH {_TAGGED}, {_PAIRS}, m AS (SELECT sum(weight)::DOUBLE AS m FROM pairs), c AS (SELECT DISTINCT tag AS node, substr(tag, 1, 7) AS community FROM tagged),
+i AS (SELECT ca.community, sum(weight)::DOUBLE AS w FROM pairs JOIN c ca ON ca.node = a JOIN c cb ON cb.node = b WHERE ca.community = cb.community GROUP BY 1),
+k AS (SELECT community, sum(weight)::DOUBLE AS k FROM (SELECT a AS node, weight FROM pairs UNION ALL SELECT b, weight FROM pairs) JOIN c USING (node) GROUP BY 1)
+SELECT round(sum(coalesce(w, 0) / m - (k / (2 * m)) * (k / (2 * m))), 6) AS modularity FROM k LEFT JOIN i USING (community), m""")
+def modularity(spark, d):
+    t = tagged(spark, d)
+    member = t.select(F.col("tag").alias("node"), F.substring("tag", 1, 7).alias("community")).distinct()
+    return graph.modularity(graph.cooccurrence(t), member).select(F.round("modularity", 6).alias("modularity"))
+
+
+def vectors(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+
+
+@query("core_distance", """WITH p AS (SELECT x.vec_id AS id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE) * (x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE)))) AS dist FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id < 500 AND y.vec_id < 500)
+SELECT id, round(list_sort(list(dist))[5], 5) AS core FROM p GROUP BY id""")
+def core_distance(spark, d):
+    return learning.core_distance(vectors(spark, d).filter("id < 500"), 5).select("id", F.round("core", 5).alias("core"))
+
+
+@query("density_clusters")
+def density_clusters(spark, d):
+    return learning.density_clusters(vectors(spark, d), 30)
+
+
+def _weighted(spark, d):
+    return _training(spark, d).join(vectors(spark, d), "id")
+
+
+@query("uncertainty_fit")
+def uncertainty_fit(spark, d):
+    model = learning.train_uncertainty(_weighted(spark, d))
+    values = [float(v) for v in model.coefficients] if model else []
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "feature int, coefficient double")
+
+
+@query("uncertainty_rank")
+def uncertainty_rank(spark, d):
+    t = _weighted(spark, d)
+    return learning.rank_uncertain(learning.train_uncertainty(t), vectors(spark, d), t.select("id"))
+
+
+@query("margin_rank", "WITH s AS (SELECT vec_id AS id, 1 / (1 + exp(-(embedding[1]::DOUBLE - embedding[2]::DOUBLE))) AS p FROM embeddings) SELECT id, round(p, 6) AS p, row_number() OVER (ORDER BY abs(round(p, 6) - 0.5), id) AS pos FROM s ORDER BY pos LIMIT 50")
+def margin_rank(spark, d):
+    from pyspark.sql import Window
+
+    p = F.round(1 / (1 + F.exp(-(F.get("features", F.lit(0)).cast("double") - F.get("features", F.lit(1)).cast("double")))), 6)
+    near = (F.abs(F.col("p") - 0.5), "id")
+    top = vectors(spark, d).select("id", p.alias("p")).orderBy(*near).limit(50)
+    return top.withColumn("pos", F.row_number().over(Window.orderBy(*near)).cast("bigint"))  # 50 rows
+
+
+@query("embed_hashing")
+def embed_hashing(spark, d):
+    return learning.hashed_vectors(items(spark, d).filter("synopsis is not null").select("id", F.col("synopsis").alias("text")))
+
+
+_BASE = "https://books.example/list/"
+
+
+def _page(parts) -> F.Column:
+    return F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+
+
+def _parts(spark, d):
+    return read(spark, d, "part").withColumn("k", F.col("p_partkey").cast("string"))
+
+
+@query("html_catalog_cards", "SELECT p_partkey AS id, p_name || ' & co' AS title, 'https://books.example/novel/' || p_partkey::VARCHAR || '.html' AS url, p_partkey::VARCHAR AS chapter_id, p_size AS chapters, p_type AS status, '3 days ago' AS updated_text FROM part")
+def html_catalog_cards(spark, d):
+    p = _parts(spark, d)
+    page = _page(['<ul><li class="novel-item"><b>no link</b></li><li class="novel-item"><a title="', F.col("p_name"), ' &amp; co" href="/novel/', F.col("k"), '.html">x</a><span><i>@</i>', F.col("p_size").cast("string"), ' Chapters</span><span class="status">', F.col("p_type"), "</span><span>3 days ago</span></li></ul>"])
+    got = html.extract(p.select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "cards", "title:string,url:string,chapter_id:string,chapters:int,status:string,updated_text:string", many=True)
+    return got.select("id", F.inline("parsed"))
+
+
+@query("html_metadata", "SELECT p_partkey AS id, p_name AS alt_title, p_brand AS author, '4.5' AS rating, p_type AS status, [p_brand, p_type] AS genres, p_name || chr(10) || chr(10) || p_type AS synopsis FROM part")
+def html_metadata(spark, d):
+    page = _page(['<h2 class="alternative-title">', F.col("p_name"), '</h2><div class="author"><a>', F.col("p_brand"), '</a></div><strong class="nub">4.5</strong><span><strong>', F.col("p_type"), '</strong><small>Status</small></span><div class="categories"><a>', F.col("p_brand"), "</a><a>", F.col("p_type"), '</a></div><div class="summary"><p>', F.col("p_name"), "</p><p> </p><p>", F.col("p_type"), "</p></div>"])
+    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "metadata", "alt_title:string,author:string,rating:string,status:string,genres:array<string>,synopsis:string")
+    return got.select("id", "parsed.*")
+
+
+@query("html_listing_links", "SELECT p_partkey AS id, p_name AS title, '/series/' || p_partkey::VARCHAR AS url, p_partkey % 2 = 0 AS has_next FROM part")
+def html_listing_links(spark, d):
+    nav = F.when(F.col("p_partkey") % 2 == 0, '<a class="next_page" href="?p=2">next</a>').otherwise("")
+    page = _page(['<div class="search_main_box_nu"><div class="search_title"><a href="/series/', F.col("k"), '">', F.col("p_name"), '</a></div></div><div class="digg_pagination">', nav, "</div>"])
+    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "listing", "hits:array<struct<title:string,url:string>>,has_next:boolean")
+    return got.select("id", F.inline("parsed.hits"), "parsed.has_next")
+
+
+@query("html_link_texts", "SELECT p_partkey AS id, [p_brand, p_name] AS texts FROM part")
+def html_link_texts(spark, d):
+    page = _page(['<div id="genres"><a>', F.col("p_brand"), "</a><a> </a><a>", F.col("p_name"), "</a></div><a>out</a>"])
+    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "link_texts", "texts:array<string>")
+    return got.select("id", "parsed.texts")
+
+
+@query("html_index_parse", "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'Unknown Novel' ELSE p_name END AS title, p_partkey::VARCHAR AS chapter_id, (CASE WHEN p_partkey % 3 = 0 THEN 99 ELSE 42 END)::BIGINT AS total FROM part")
+def html_index_parse(spark, d):
+    head = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("<h1>"), F.col("p_name"), F.lit("</h1>")))
+    count = F.when(F.col("p_partkey") % 3 == 0, "<span>99 Chapters</span>").otherwise("")
+    page = _page([head, count, '<a rel="NoFollow" href="/novel/decoy_900.html">x</a><a style="opacity: 0" href="/novel/decoy_800.html">x</a><a style="opacity:0.85" href="/novel/', F.col("k"), '_7.html">7</a><a href="/novel/', F.col("k"), '_42.html">42</a>'])
+    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "index", "title:string,chapter_id:string,total:bigint")
+    return got.select("id", "parsed.*")
+
+
+@query("html_paragraphs", "SELECT p_partkey AS id, 'Chapter 7' AS title, '<p>' || p_name || ' &amp; more</p>' AS body_html FROM part")
+def html_paragraphs(spark, d):
+    page = _page(['<div class="chapter-content"><p>Ok.</p><p>', F.col("p_name"), ' &amp; more</p><p>an advert here</p><p><a href="#">next one</a></p></div>'])
+    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), lambda h, b: html.chapter(h, 7), "title:string,body_html:string")
+    return got.select("id", "parsed.*")
+
+
+@query("html_series_struct", "SELECT p_partkey AS id, p_name AS title, [p_name, p_brand] AS associated_names, [p_type] AS genres, p_brand AS author, '4.5' AS rating, '1,7' || p_size::VARCHAR AS votes, p_type AS synopsis FROM part")
+def html_series_struct(spark, d):
+    page = _page(['<div class="seriestitlenu">', F.col("p_name"), '</div><div id="editassociated">', F.col("p_name"), "<br>", F.col("p_brand"), '<br></div><div id="seriesgenre"><a>', F.col("p_type"), '</a></div><div id="showauthors"><a>', F.col("p_brand"), "</a></div><span>(4.5 / 5.0, 1,7", F.col("p_size").cast("string"), ' votes)</span><div id="editdescription"><p>', F.col("p_type"), "</p></div>"])
+    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "series", "title:string,associated_names:array<string>,genres:array<string>,author:string,rating:string,votes:string,synopsis:string")
+    return got.select("id", "parsed.*")
+
+
+@query("html_search_results", "SELECT p_partkey AS id, p_name AS title, 'https://books.example/novel/' || p_partkey::VARCHAR || '.html' AS url, p_size AS chapters FROM part")
+def html_search_results(spark, d):
+    return html_catalog_cards(spark, d).select("id", F.regexp_replace("title", " & co$", "").alias("title"), "url", "chapters")
+
+
+@query("error_as_value", "SELECT page_id AS id, page_id % 10 = 0 AS failed FROM pages")
+def error_as_value(spark, d):
+    def picky(page, base):
+        if page.endswith("!"):
+            raise ValueError("bad page")
+        return {"n": len(page)}
+
+    p = read(spark, d, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 10 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("html"), F.col("url").alias("base"))
+    return html.extract(p, picky, "n:bigint").select("id", F.col("error").isNotNull().alias("failed"))
+
+
+@query("epub_scan", "SELECT 'book-' || conv_id::VARCHAR || '.epub' AS path, 'chap_' || lpad((turn + 1)::VARCHAR, 4, '0') || '.xhtml' AS name, role AS title FROM conversations")
+def epub_scan(spark, d):
+    return epub.scan(epub.books(chapters(spark, d))).select("path", "name", "title")
+
+
