@@ -24,8 +24,8 @@ BUCKETS = 1 << 15
 IDF_BAND = (2.0, 14.0)
 #: (cells kept, cells split in, bit of the term hash where the cell number starts, most terms).
 #: A document with more terms has no hashes on a coarse level: finer ones have ENOUGH cells then.
-LEVELS = [(64, 4096, 27, None), (32, 1024, 17, None), (32, 256, 9, 1024), (16, 64, 3, 256), (8, 8, 0, 128)]
-ENOUGH = 8
+LEVELS = [(192, 4096, 27, None), (96, 1024, 17, None), (64, 256, 9, 1024), (32, 64, 3, 256), (8, 8, 0, 128)]
+ENOUGH = 14
 MAX_RANGES = 2000
 RANGE_ROWS = 4096
 
