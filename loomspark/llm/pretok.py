@@ -9,9 +9,10 @@ touches each distinct piece of a worker once, not each piece of a text.
 
 from __future__ import annotations
 
+import gc
 import unicodedata
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -180,11 +181,15 @@ class WordCache:
             self.clear()
         h, first, inverse = np.unique(p.hash, return_index=True, return_inverse=True)
         get = self.slot.get
-        known = np.fromiter((get(x, -1) for x in h.tolist()), np.int64, len(h))
+        known = np.fromiter(map(get, h.tolist(), repeat(-1)), np.int64, len(h))
         new = np.flatnonzero(known < 0)
         if len(new):
             base = len(self.slot)
-            self.learn([p.text(i) for i in first[new].tolist()])
+            gc.disable()  # many small lists and no cycles: the collector would only walk them
+            try:
+                self.learn([p.text(i) for i in first[new].tolist()])
+            finally:
+                gc.enable()
             self.slot.update(zip(h[new].tolist(), range(base, base + len(new)), strict=True))
             known[new] = np.arange(base, base + len(new))
             if base + len(new) > len(self.check):
@@ -212,7 +217,6 @@ def worker_cache(key, make):
 def trim() -> None:
     """Give freed memory back to the machine, where the C library can."""
     import ctypes
-    import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()
