@@ -97,12 +97,22 @@ def safe_link(rel: Column, style: Column, hidden: Column, aria_hidden: Column) -
 def snippets(text: Column, needle: str, context: int) -> Column:
     """Non-overlapping literal matches as array<struct<k, snippet>>; case is ignored.
 
-    Pieces between matches give the offsets, so the text is scanned twice and never per character."""
+    A match is at least as long as the needle, so a few pieces around it hold all its context;
+    the work is linear in the number of matches."""
     pattern = "(?iu)" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in needle)
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size(hits)),
-        lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(hits, F.lit(1), k - 1), F.lit(0), lambda a, p: a + F.length(p)),
-    )
-    cut = F.transform(ends, lambda s, k: F.struct((k + 1).alias("k"), F.substring(text, F.greatest(s - context, F.lit(0)) + 1, F.length(F.get(hits, k)) + context + F.least(s, F.lit(context))).alias("snippet")))
-    return F.when(F.size(hits) > 0, cut)
+    reach = -(-context // max(1, len(needle)))
+    heads = F.zip_with(F.array_prepend(hits, ""), parts, lambda h, p: F.concat(h, p))
+    tails = F.zip_with(parts, F.array_append(hits, ""), lambda p, h: F.concat(p, h))
+
+    def cut(before, after):
+        def one(hit, k):
+            left = F.array_join(F.slice(before, F.greatest(k - reach, F.lit(0)) + 1, F.least(k + 1, F.lit(reach + 1))), "")
+            right = F.array_join(F.slice(after, k + 2, F.lit(reach + 1)), "")
+            return F.struct((k + 1).alias("k"), F.concat(F.right(left, F.lit(context)), hit, F.left(right, F.lit(context))).alias("snippet"))
+
+        return one
+
+    # bound as lambda variables, the pieces are found once and not once per match
+    found = F.transform(F.array(F.struct(heads.alias("a"), tails.alias("b"), hits.alias("h"))), lambda x: F.transform(x["h"], cut(x["a"], x["b"])))[0]
+    return F.when(F.size(hits) > 0, found)
