@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from .pretok import LETTER, WordCache, classes, split, worker_cache
+from .pretok import LETTER, WordCache, classes, split, trim, worker_cache
 
 SAMPLE_DOCS = 1200
 TABLE_BITS = 17
@@ -228,6 +228,8 @@ def _predict(key: str, shared, with_rows: bool = False):
                 cols += [b.column(1), b.column(3)]
                 names += ["text", "rest"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+            del cols
+            trim(collect=False)
 
     return run
 

@@ -214,11 +214,12 @@ def worker_cache(key, make):
     return _CURRENT[key]
 
 
-def trim() -> None:
+def trim(collect: bool = True) -> None:
     """Give freed memory back to the machine, where the C library can."""
     import ctypes
 
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
