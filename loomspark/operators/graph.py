@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +18,20 @@ def cooccurrence(tagged: DataFrame, item: str = "item", tag: str = "tag") -> Dat
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) by min-label propagation; lineage is cut each round by a reliable checkpoint
-    where one is set up, and by a written snapshot of the labels otherwise."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) by min-label propagation until no label changes; a reliable checkpoint in the
+    shared folder cuts lineage each round."""
     spark = edges.sparkSession
-    reliable = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    for _ in range(rounds):
+    if not spark.sparkContext.getCheckpointDir():  # a folder of this machine only where none is set, as in tests
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}")
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")).checkpoint()
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
-        step = labels.union(near).groupBy("node").agg(F.min("root").alias("root"))
-        step = step.checkpoint() if reliable else step.cache()
+        step = labels.union(near).groupBy("node").agg(F.min("root").alias("root")).checkpoint()
         if not step.join(labels.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count():
             return step
         labels = step
-    return labels
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:

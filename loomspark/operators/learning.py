@@ -61,15 +61,20 @@ def density_labels(x: np.ndarray, min_size: int) -> np.ndarray:
     n = len(x)
     if n < max(2, min_size):
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(0, ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)))
-    core = np.sort(d, axis=1)[:, min(min_size, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    k = min(min_size, n - 1)
+
+    def distances(i):
+        """From row i to all; one row at a time keeps memory linear."""
+        return np.sqrt(((x - x[i]) ** 2).sum(1))
+
+    core = np.array([np.partition(distances(i), k)[k] for i in range(n)])
     seen, best, link, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
     at = 0
     for _ in range(n - 1):
         seen[at] = True
-        closer = reach[at] < best
-        best[closer], link[closer] = reach[at][closer], at
+        reach = np.maximum(distances(at), np.maximum(core, core[at]))
+        closer = reach < best
+        best[closer], link[closer] = reach[closer], at
         at = int(np.where(seen, np.inf, best).argmin())
         edges.append((best[at], link[at], at))
     parent, tree, size = list(range(2 * n - 1)), {}, [1] * n + [0] * (n - 1)
@@ -96,35 +101,47 @@ def density_labels(x: np.ndarray, min_size: int) -> np.ndarray:
                 stack += tree[j][1:]
         return out
 
-    def settle(i, born):
-        """(stability, chosen nodes) of the cluster that starts at tree node i."""
+    def stretch(i, born):
+        """Stability of the cluster that starts at tree node i, the two it splits in, and their birth."""
         gain, j = 0.0, i
         while j >= n:
             w, a, b = tree[j]
             lam = 1.0 / max(w, 1e-12)
             big = [c for c in (a, b) if size[c] >= min_size]
             if len(big) == 2:
-                gain += (lam - born) * size[j]
-                parts = [settle(c, lam) for c in big]
-                return (gain, [i]) if gain >= sum(p[0] for p in parts) and i != 2 * n - 2 else (sum(p[0] for p in parts), [c for p in parts for c in p[1]])
+                return gain + (lam - born) * size[j], big, lam
             gain += (lam - born) * (size[j] - (size[big[0]] if big else 0))
             if not big:
                 break
             j = big[0]
-        return gain, [i]
-
+        return gain, [], 0.0
+
+    top, order, own, parts = 2 * n - 2, [], {}, {}
+    todo = [(top, 0.0)]
+    while todo:
+        i, born = todo.pop()
+        own[i], parts[i], lam = stretch(i, born)
+        order.append(i)
+        todo += [(c, lam) for c in parts[i]]
+    chosen: dict = {}
+    for i in reversed(order):  # parts come before what they are parts of
+        below = [chosen.pop(c) for c in parts[i]]
+        total = sum(g for g, _ in below)
+        chosen[i] = (own[i], [i]) if not below or own[i] >= total and i != top else (total, [c for _, found in below for c in found])
+
+    usual = 4 * np.median([e[0] for e in edges]) + 1e-12
     out = np.full(n, -1)
-    for c, node in enumerate(settle(2 * n - 2, 0.0)[1]):
-        if node != 2 * n - 2 or size[node] == n:
+    for c, node in enumerate(chosen[top][1]):
+        if node != top or size[node] == n:
             members, j = leaves(node), node
-            while j >= n and node == 2 * n - 2:  # the whole tree as one cluster: shed lone points
+            while j >= n and node == top:  # the whole tree as one cluster: shed lone points
                 w, a, b = tree[j]
                 if min(size[a], size[b]) >= min_size:
                     break
                 j = a if size[a] >= size[b] else b
                 if size[j] < min_size:
                     break
-                members = leaves(j) if w > 4 * np.median([e[0] for e in edges]) + 1e-12 else members
+                members = leaves(j) if w > usual else members
             out[members] = c
     return out
 
@@ -132,7 +149,7 @@ def density_labels(x: np.ndarray, min_size: int) -> np.ndarray:
 def density_clusters(vectors: DataFrame, min_size: int = 30, second: int = 15, most: float = 0.05) -> DataFrame:
     """(id, cluster_id): density clusters, then a second pass over the outliers.
 
-    Meant for embedding samples that fit one task (the method is quadratic)."""
+    Meant for embedding samples that fit one task (memory is linear, time quadratic)."""
 
     def run(pdf):
         import pandas as pd

@@ -54,10 +54,10 @@ def vectors(spark, d):
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
 
 
-@query("core_distance", """WITH p AS (SELECT x.vec_id AS id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE) * (x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE)))) AS dist FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id < 500 AND y.vec_id < 500)
+@query("core_distance", """WITH p AS (SELECT x.vec_id AS id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE) * (x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE)))) AS dist FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id)
 SELECT id, round(list_sort(list(dist))[5], 5) AS core FROM p GROUP BY id""")
 def core_distance(spark, d):
-    return learning.core_distance(vectors(spark, d).filter("id < 500"), 5).select("id", F.round("core", 5).alias("core"))
+    return learning.core_distance(vectors(spark, d), 5).select("id", F.round("core", 5).alias("core"))
 
 
 @query("density_clusters")

@@ -9,13 +9,13 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..operators import resolve as R
 from ..operators import runs, tables
-from .base import ATTEMPTS, CHAPTERS, ITEMS, TIERS, attempts, chapters, items, query, read, tiers
+from .base import ATTEMPTS, CHAPTERS, ITEMS, SQL, TIERS, attempts, chapters, items, query, read, tiers
 
-_DELTA = "SELECT doc_id + 500 AS id, 'fresh' AS author, 'new title' AS title, CASE WHEN doc_id % 2 = 0 THEN 's9' END AS status FROM documents WHERE doc_id % 5 = 0"
+_DELTA = "SELECT doc_id + 500 AS id, 'fresh' AS author, 'new title' AS title, CASE WHEN doc_id % 2 = 0 THEN 's9' END AS status FROM documents"
 
 
 def _delta(spark, d):
-    x = read(spark, d, "documents").filter("doc_id % 5 = 0")
+    x = read(spark, d, "documents")
     return x.select((F.col("doc_id") + 500).alias("id"), F.lit("fresh").alias("author"), F.lit("new title").alias("title"), F.when(F.col("doc_id") % 2 == 0, "s9").alias("status"))
 
 
@@ -138,9 +138,9 @@ def json_permissive(spark, d):
     return read(spark, d, "events").select("event_id", x["s"].try_cast("double").alias("interval"))
 
 
-@query("labels_import", f"WITH {TIERS} SELECT id, label FROM tiers WHERE id % 3 = 0")
+@query("labels_import", f"WITH {TIERS} SELECT id, label FROM tiers")
 def labels_import(spark, d):
-    doc = tiers(spark, d).filter("id % 3 = 0").groupBy((F.col("id") % 16).alias("g")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("id").alias("novel_id"), "label")).alias("labels"))).alias("j"))
+    doc = tiers(spark, d).groupBy(F.floor(F.col("id") / 1000).alias("g")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("id").alias("novel_id"), "label")).alias("labels"))).alias("j"))
     rows = doc.select(F.explode(F.from_json("j", "labels array<struct<novel_id:bigint,label:string>>")["labels"]).alias("x"))
     known = F.when(F.col("x.label").isin(S.LABEL_ORDER), F.col("x.label")).otherwise(F.raise_error(F.lit("unknown label")).cast("string"))
     return rows.select(F.col("x.novel_id").alias("id"), known.alias("label"))
@@ -152,10 +152,10 @@ def export_json(spark, d):
     return top.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("review_batch"))).alias("document"))
 
 
-@query("resolution_apply", f"""WITH {ITEMS}, r AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'https://c.example/' || doc_id::VARCHAR END AS url FROM documents WHERE doc_id % 4 = 0)
+@query("resolution_apply", f"""WITH {ITEMS}, r AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'https://c.example/' || doc_id::VARCHAR END AS url FROM documents WHERE lang = 'fr')
 SELECT i.id, CASE WHEN r.id IS NULL THEN i.resolution WHEN r.url IS NULL THEN 'no_candidates' ELSE 'auto' END AS resolution, r.url FROM items i LEFT JOIN r ON i.id = r.id""")
 def resolution_apply(spark, d):
-    r = read(spark, d, "documents").filter("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://c.example/"), F.col("doc_id").cast("string"))).alias("url"), F.lit(True).alias("hit"))
+    r = read(spark, d, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://c.example/"), F.col("doc_id").cast("string"))).alias("url"), F.lit(True).alias("hit"))
     return items(spark, d).join(r, "id", "left").select("id", F.when(F.col("hit").isNull(), F.col("resolution")).when(F.col("url").isNull(), "no_candidates").otherwise("auto").alias("resolution"), "url")
 
 
@@ -251,9 +251,9 @@ p AS (SELECT bucket, 1::BIGINT AS k, 1.0::DOUBLE / size AS mark, size FROM n UNI
 SELECT id, bucket, row_number() OVER (ORDER BY mark, bucket, k)::BIGINT AS pos FROM p JOIN b USING (bucket, k)"""
 
 
-@query("interleave", "WITH RECURSIVE b AS (SELECT p_partkey AS id, p_size % 3 AS bucket, row_number() OVER (PARTITION BY p_size % 3 ORDER BY p_partkey) AS k FROM part WHERE p_partkey <= 300), " + _PLACE)
+@query("interleave", "WITH RECURSIVE b AS (SELECT p_partkey AS id, p_size % 3 AS bucket, row_number() OVER (PARTITION BY p_size % 3 ORDER BY p_partkey) AS k FROM part), " + _PLACE)
 def interleave(spark, d):
-    p = read(spark, d, "part").filter("p_partkey <= 300").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3).alias("bucket"))
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 3).alias("bucket"))
     return runs.interleave(p, "bucket", "id")
 
 
@@ -277,13 +277,13 @@ def seed_queue(spark, d, target: int = 200):
     return runs.interleave(out.unionByName(real), "bucket", "k").select("id", "bucket", "pos")
 
 
-@query("next_candidate")
+@query("next_candidate", f"SELECT * FROM ({SQL['seed_queue']}) WHERE id <> 0 ORDER BY pos LIMIT 1")
 def next_candidate(spark, d, skipped=(0,)):
     """The first of the queue that is not skipped."""
     return seed_queue(spark, d).filter(~F.col("id").isin(list(skipped))).orderBy("pos").limit(1)
 
 
-@query("review_batch")
+@query("review_batch", f"SELECT pos, id, tags FROM ({SQL['seed_queue']}) LEFT JOIN (SELECT p_partkey AS id, list_sort(list(DISTINCT p_brand)) AS tags FROM part GROUP BY 1) USING (id)")
 def review_batch(spark, d):
     tags = read(spark, d, "part").groupBy(F.col("p_partkey").alias("id")).agg(F.sort_array(F.collect_set("p_brand")).alias("tags"))
     return seed_queue(spark, d).join(tags, "id", "left").select("pos", "id", "tags").orderBy("pos")
