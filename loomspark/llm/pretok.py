@@ -214,6 +214,13 @@ def worker_cache(key, make):
     return _CURRENT[key]
 
 
+def forget() -> None:
+    """Drop what an earlier operator of this worker has cached; for operators that cache nothing."""
+    if _CURRENT:
+        _CURRENT.clear()
+        trim()
+
+
 def trim(collect: bool = True) -> None:
     """Give freed memory back to the machine, where the C library can."""
     import ctypes

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, release, table
+from .pretok import forget
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -49,6 +50,7 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def _fingerprints(batches):
+    forget()
     for b in batches:
         texts = b.column(1).cast(pa.binary())
         fp = np.array([fingerprint(t.as_py() or b"") for t in texts], dtype="<u8").view(np.int64)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import free_shuffles, materialize, release, table
 from .deep_shallow import deep_shallow_sort
+from .pretok import forget, trim
 
 SPAN = 100
 GRAM = 50
@@ -113,6 +114,7 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(wide: bool, span: int, gram: int):
     def run(batches):
+        forget()
         for b in batches:
             data, ends = _joined(b.column(2))
             spot, g, around, left, right = anchors(data, ends, span, gram)
@@ -126,6 +128,7 @@ def _anchor_rows(wide: bool, span: int, gram: int):
                 names += ["d", "k", "at", "lr"]
             for s in range(0, len(spot), 100_000):
                 yield pa.RecordBatch.from_arrays([c.slice(s, 100_000) for c in cols], names=names)
+        trim(collect=False)
 
     return run
 
@@ -221,6 +224,8 @@ def _cover_rows(span: int, gram: int, rows_at_once: int = 60_000):
                     held, count = t.slice(cut).to_batches(), len(h) - cut
         if held:
             yield emit(pa.Table.from_batches(held))
+        held.clear()
+        trim(collect=False)
 
     return run
 
