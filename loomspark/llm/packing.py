@@ -73,8 +73,10 @@ class Bm25:
         lens = np.fromiter(map(len, words), np.int64, n)
         term = np.concatenate(words) if n else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(n), lens)
+        # terms are hashes of any size: only their numbers in the shard leave room for the document
+        number = np.unique(term, return_inverse=True)[1] if n else term
         # the words of white space and signs are in most documents, and weigh next to nothing
-        key, tf = np.unique(term * n + doc, return_counts=True) if n else (term, term)
+        key, tf = np.unique(number * n + doc, return_counts=True) if n else (term, term)
         term, doc = key // max(n, 1), key % max(n, 1)
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
         df = np.diff(np.r_[first, len(term)])

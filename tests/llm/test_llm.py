@@ -1,9 +1,10 @@
 """The ten operators and the pipeline against brute force, with awkward rows."""
 
 import hashlib
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -244,6 +245,30 @@ def test_neighbours_share_words():
     assert index.neighbour(0) in (1, 3)
 
 
+def bm25(words, seed):
+    """Scores of all documents of a shard for the seed's words, from the formula alone."""
+    n, mean, df = len(words), sum(map(len, words)) / len(words), Counter(t for w in words for t in set(w.tolist()))
+    query, out = set(words[seed].tolist()), []
+    for w in words:
+        tf = Counter(t for t in w.tolist() if t in query)
+        norm = packing.K1 * (1 - packing.B + packing.B * len(w) / mean)
+        out.append(sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c * (packing.K1 + 1) / (c + norm) for t, c in tf.items()))
+    return np.array(out)
+
+
+def test_packing_many_short_documents():
+    rng = np.random.default_rng(5)
+    terms = rng.integers(-(1 << 51), 1 << 51, 3000)  # as wide as the hashes of words
+    words = [terms[rng.integers(0, len(terms), n)] for n in (8, 8, 8, 8, 8, *rng.integers(0, 9, 5995))]
+    index = packing.Bm25(words)
+    for seed in range(5):
+        index.use(seed)
+    for seed in range(5):
+        want = bm25(words, seed)
+        want[:5] = 0
+        assert want.max() > 0 and want[index.neighbour(seed)] == pytest.approx(want.max())
+
+
 def test_imatch(docs, none):
     got = imatch.imatch(docs).collect()
     rows = [(r[0], r[1] or "") for r in awkward()]
