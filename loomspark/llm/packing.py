@@ -26,8 +26,8 @@ SEQ_LEN = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
-QUERY_TERMS = 48
 CACHED_WORDS = 500_000
+RANKED = 64  # documents put in order at once; more when these are used
 
 
 def default_vocabulary() -> str:
@@ -83,13 +83,14 @@ class Bm25:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lens / max(1.0, lens.mean() if n else 1.0))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
-        self.doc, self.first, self.df, self.idf = doc, first, df, idf
+        self.doc, self.ends = doc, np.r_[first, len(term)]
         number = np.repeat(np.arange(len(df)), df)
         useful = df[number] > 1  # a word of one document finds no other
-        by_doc = np.lexsort((number[useful], -idf[number[useful]], doc[useful]))
+        by_doc = np.argsort(doc[useful], kind="stable")
         self.terms = number[useful][by_doc]
         self.bounds = np.searchsorted(doc[useful][by_doc], np.arange(n + 1))
         self.used, self.left, self.next = np.zeros(n, bool), n, 0
+        self.seed, self.score, self.order, self.at = -1, np.zeros(n), np.zeros(0, np.int64), 0
 
     def use(self, d: int) -> None:
         self.used[d] = True
@@ -97,22 +98,36 @@ class Bm25:
 
     def neighbour(self, seed: int) -> int:
         """The unused document most like the seed; the next in order where none shares a word."""
-        a, b = self.bounds[seed], self.bounds[seed + 1]
-        terms = self.terms[a : min(b, a + QUERY_TERMS)]  # the rarest words of the whole document
-        if len(terms):
-            begin, df = self.first[terms], self.df[terms]
-            ends = np.cumsum(df)
-            at = np.arange(ends[-1]) + np.repeat(begin - ends + df, df)
-            docs = self.doc[at]
-            score = np.bincount(docs, self.weight[at], len(self.used))
-            score[self.used] = 0.0
-            best = int(score.argmax())
-            if score[best] > 0:
-                return best
+        if seed != self.seed:  # a window asks many times for one seed
+            self.seed, self.score = seed, self._scores(seed)
+            self._rank(RANKED)
+        while True:
+            while self.at < len(self.order):
+                d = int(self.order[self.at])
+                if not self.used[d]:
+                    return d
+                self.at += 1
+            if not len(self.order):
+                break
+            self._rank(4 * len(self.order))
         while self.used[self.next]:
             self.next += 1
         return self.next
 
+    def _scores(self, seed: int) -> np.ndarray:
+        """BM25 of each document for all the words of the seed."""
+        spans = [slice(self.ends[t], self.ends[t + 1]) for t in self.terms[self.bounds[seed] : self.bounds[seed + 1]]]
+        if not spans:
+            return np.zeros(len(self.used))
+        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.used))
+
+    def _rank(self, many: int) -> None:
+        """The best ``many`` unused documents that share a word with the seed, and those that tie with the last."""
+        self.score[self.used] = 0.0
+        least = np.partition(self.score, -many)[-many] if many < len(self.score) else 0.0
+        found = np.flatnonzero(self.score >= least if least > 0 else self.score > 0)
+        self.order, self.at = found[np.argsort(-self.score[found], kind="stable")], 0
+
 
 def pack(ids: list[np.ndarray], words: list[np.ndarray], seq_len: int = SEQ_LEN) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold each id of a shard once."""

@@ -269,6 +269,26 @@ def test_packing_many_short_documents():
         assert want.max() > 0 and want[index.neighbour(seed)] == pytest.approx(want.max())
 
 
+def test_packing_scores_all_words_of_the_seed():
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 900, n) for n in rng.integers(1, 400, 300)]
+    index, seen = packing.Bm25(words), 0
+    while index.left:
+        seed = seen // 40  # a seed is asked for again and again, past what is put in order at once
+        d = index.neighbour(seed)
+        want = bm25(words, seed) if seen % 10 == 0 else None
+        if want is not None:
+            want[index.used] = 0
+            assert want[d] == pytest.approx(want.max())
+        index.use(d)
+        seen += 1
+    rare = [np.array([1000 + i, *range(50)]) for i in range(50)]
+    index = packing.Bm25([np.array([*range(60), 77]), *[r[1:] for r in rare], np.array([500]), np.array([77, 500]), *[np.array([77])] * 90])
+    for d in range(52):
+        index.use(d)
+    assert index.neighbour(0) > 51 and index.score[index.neighbour(0)] > 0  # by the word 77 alone, the 51st by idf
+
+
 def test_imatch(docs, none):
     got = imatch.imatch(docs).collect()
     rows = [(r[0], r[1] or "") for r in awkward()]
