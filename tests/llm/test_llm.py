@@ -404,6 +404,25 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(none, fitted=fitted).count() == 0
 
 
+WRAPPED = {
+    "gpl-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of",
+    "lgpl": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.",
+    "mpl-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+    "cc0": "To the extent possible under law, the author has waived\nall copyright and related or neighboring\nrights to this work.",
+    "mit": "Released\nunder\nthe\nMIT\nLicense.",
+    "apache-2.0,mit": "Some words first.\nLicensed under the Apache License,\nVersion 2.0.\n\nReleased under the\nMIT License.",
+}
+
+
+def test_wrapped_licenses(spark):
+    fitted = licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = [*WRAPPED.values(), "A licence\n\nof the road.", "Released under the MIT License.\nReleased under the ISC License.\nReleased under the MIT License."]
+    got = licenses.scan_licenses(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), fitted=fitted).orderBy("doc_id").collect()
+    assert [r["families"] for r in got] == [*WRAPPED, "", "isc,mit"]
+    assert [r["n_licensed"] for r in got] == [1, 1, 1, 1, 1, 2, 0, 3]
+    assert [r["first_paragraph"] for r in got] == [0, 0, 0, 0, 0, 1, None, 0]
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import re
 
