@@ -51,15 +51,28 @@ def candidate_pairs(titles: DataFrame, names: DataFrame) -> DataFrame:
     return word.union(reach.join(m.select("name", size("name").alias("lb")), "lb").select("title", "name")).distinct()
 
 
+def _each(df: DataFrame, col: str) -> DataFrame:
+    """One row per title or name where ``col`` is an array of them; nulls and empty ones are left out."""
+    many = df.schema[col].dataType.typeName() == "array"
+    return (df.withColumn(col, F.explode(col)) if many else df).filter(F.col(col) != "").distinct()
+
+
 def resolve(probes: DataFrame, catalog: DataFrame) -> DataFrame:
     """probes (id, title) against catalog (cid, name): id, decision, best (cid) and best_score.
 
-    Scores under FLOOR change no decision and are not reported."""
-    scored = candidate_pairs(probes, catalog).withColumn("score", token_set_ratio(F.col("title"), F.col("name"))).filter(F.col("score") >= FLOOR)
-    ranked = scored.join(catalog.groupBy("name").agg(F.min("cid").alias("cid")), "name")
-    w = Window.partitionBy("title").orderBy(F.desc("score"), "cid")
-    top = ranked.withColumn("rn", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).filter("rn = 1").select("title", "cid", "score", "second")
-    out = probes.join(top, "title", "left")
+    ``title`` and ``name`` are strings, or arrays of all the titles of a probe and all the names of a
+    candidate: a candidate's score is the best over all pairs, and candidates of equal names stay
+    apart. Rows that share a cid are one candidate, and rows that share an
+    id one probe. Scores under FLOOR change no decision and are not
+    reported."""
+    titles, names = _each(probes.select("id", "title"), "title"), _each(catalog.select("cid", "name"), "name")
+    scored = candidate_pairs(titles, names).withColumn("score", token_set_ratio(F.col("title"), F.col("name"))).filter(F.col("score") >= FLOOR)
+    # the two least cids of a name: no third one can be best or runner-up
+    two = names.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("cid"))).filter("nth <= 2").drop("nth")
+    ranked = titles.join(scored, "title").join(two, "name").groupBy("id", "cid").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "cid")
+    top = ranked.withColumn("rn", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).filter("rn = 1").select(F.col("id").alias("k"), "cid", "score", "second")
+    out = probes.select("id").join(top, F.col("id").eqNullSafe(F.col("k")), "left")
     sure = (F.col("score") >= AUTO) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= MARGIN))
     decision = F.when(F.col("score").isNull(), "no_candidates").when(sure, "auto").otherwise("ambiguous")
     return out.select("id", decision.alias("decision"), F.col("cid").alias("best"), F.round("score", 6).alias("best_score"))

@@ -64,6 +64,13 @@ def test_communities_keep_isolated_tags(spark):
     assert len({got[c] for c in "abc"}) == len({got[c] for c in "xyz"}) == 1 and len(set(got.values())) == 3
 
 
+def test_resolve_all_titles_and_names(spark):
+    probes = spark.createDataFrame([(1, ["zzz qqq", "silver river road"]), (2, ["twin peak house", None]), (3, ["xx"])], "id long, title array<string>")
+    catalog = spark.createDataFrame([(1, ["other thing", "silver river road", "silver river roads"]), (2, ["twin peak house"]), (3, ["twin peak house"]), (4, ["twin peak house"])], "cid long, name array<string>")
+    got = {r["id"]: (r["decision"], r["best"], r["best_score"]) for r in resolve.resolve(probes, catalog).collect()}
+    assert got == {1: ("auto", 1, 100.0), 2: ("ambiguous", 2, 100.0), 3: ("no_candidates", None, None)}
+
+
 def test_resolve_decisions(spark):
     probes = spark.createDataFrame([(1, "Reverend Insanity"), (2, "Obscure Novel")], "id long, title string")
     catalog = spark.createDataFrame([(1, "Reverend Insanity"), (2, "Totally Unrelated")], "cid long, name string")
