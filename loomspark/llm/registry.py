@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL, "op10_suffix_dedup": suffix_dedup.SQL}

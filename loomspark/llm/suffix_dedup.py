@@ -4,18 +4,21 @@ A byte goes when a ``span``-byte string that covers it also starts earlier. Sort
 suffix of a corpus is out of reach, and most suffixes are alone: of the grams of ``GRAM``
 bytes inside each window of ``span`` bytes, the ones with the least hash are anchors. Equal
 windows have the same anchors, so a repeat is always found at an anchor, and anchors whose
-hash occurs once in the corpus are dropped. Anchors with equal surroundings (every window
-around the anchor) form a class; all but its first member are covered whole. The first
-members of classes that share an anchor gram (the edges of repeats) are sorted: the suffixes
-that start at the anchors and the reversed texts before them, by deep-shallow sorting. The
-common prefix lengths then tell which windows around each anchor occur earlier, exactly.
-
-Only hashes, ids and positions are shuffled for all anchors. A gram with more than
-``GRAM_CLASSES`` classes is not gathered: its windows are compared by a salted group-by.
+hash occurs once in the corpus are dropped. All others are sorted: the suffixes that start
+at the anchors of one gram and the reversed texts before them, by deep-shallow sorting. The
+common prefix lengths then tell which windows around each anchor occur earlier. Bytes decide
+every span; hashes only bring suffixes together.
+
+A gram with more than ``GROUP_ROWS`` suffixes is dealt to salted groups. Each group is
+sorted, and suffixes that lead no window of their group need no further look (of equal
+copies one goes on). The others are dealt anew by a longer shared string, which halves the
+windows around the anchor, until groups are small; no task holds more than about
+``GROUP_ROWS`` suffixes of a gram, and none is left out.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -29,11 +32,12 @@ from .pretok import forget, trim
 
 SPAN = 100
 GRAM = 50
-GRAM_CLASSES = 20000
+GROUP_ROWS = 4096
 _CHUNK = 1 << 18
-_M64 = (1 << 64) - 1
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASES = (0x9E3779B97F4A7C15,)
 _POWERS: dict = {}
+_SUFFIX = "key long, salt long, salted boolean, nul boolean, id long, d1 long, d2 long, pos int, m long, ctx binary"
+_NAMES = [c.split()[0] for c in _SUFFIX.split(", ")]
 
 
 def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,11 +67,11 @@ def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
 
 def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM):
     """Of concatenated documents (``ends``: one past each), the anchors as arrays
-    (place in ``data``, gram hash, hash of all windows around it, bytes before, bytes after)."""
+    (place in ``data``, gram hash)."""
     side = span - gram
     starts = np.r_[0, ends[:-1]]
     found = []
-    (up, down), (up2, down2) = (_powers(b) for b in _BASES)
+    up, down = _powers(_BASES[0])
     with np.errstate(over="ignore"):
         for at in range(0, len(data), _CHUNK):
             # anchors in [at, at + _CHUNK) need windows that start up to `side` earlier
@@ -87,17 +91,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GR
             high = _sliding(np.r_[np.zeros(side, np.uint64), m, np.zeros(side, np.uint64)], side + 1, np.maximum)
             spot = np.flatnonzero((g == high) & (g > 0))
             spot = spot[(spot + lo >= at) & (spot + lo < at + _CHUNK)]
-            if not len(spot):
-                continue
-            d = np.searchsorted(ends, spot + lo, "right")
-            left = np.minimum(side, spot + lo - starts[d])
-            right = np.minimum(side, ends[d] - (spot + lo + gram))
-            p2 = np.r_[np.uint64(0), np.cumsum((b ^ (b << np.uint64(17))) * up2[: len(b)])]
-            around = (p2[spot + gram + right] - p2[spot - left]) * down2[spot - left]
-            around = _mix(around + (left * 64 + right).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            found.append((spot + lo, g[spot], around, left, right))
+            found.append((spot + lo, g[spot]))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -113,19 +109,19 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(wide: bool, span: int, gram: int):
+    """Gram hashes of the anchors; with ``wide`` also the document's digest and the place."""
+
     def run(batches):
         forget()
         for b in batches:
             data, ends = _joined(b.column(2))
-            spot, g, around, left, right = anchors(data, ends, span, gram)
-            cols = [pa.array(g.view(np.int64))]
-            names = ["h"]
+            spot, g = anchors(data, ends, span, gram)
+            cols, names = [pa.array(g.view(np.int64))], ["h"]
             if wide:
                 d = np.searchsorted(ends, spot, "right")
-                pos = spot - np.r_[0, ends][d]
-                ids, tie = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                cols += [pa.array(x) for x in (around.view(np.int64), ids[d], (pos << 24) | tie[d], (left * 64 + right).astype(np.int32))]
-                names += ["d", "k", "at", "lr"]
+                cols += [pa.array(b.column(i).to_numpy()[d]) for i in (0, 1)]
+                cols.append(pa.array((spot - np.r_[0, ends][d]).astype(np.int32)))
+                names += ["d1", "d2", "pos"]
             for s in range(0, len(spot), 100_000):
                 yield pa.RecordBatch.from_arrays([c.slice(s, 100_000) for c in cols], names=names)
         trim(collect=False)
@@ -133,34 +129,46 @@ def _anchor_rows(wide: bool, span: int, gram: int):
     return run
 
 
+def _packed(lo, hi, left):
+    """The first and last window around an anchor that are asked for, and the bytes before it."""
+    return lo << 32 | hi << 16 | left
+
+
 def _contexts(span: int, gram: int):
-    """The bytes around each anchor of a document: rows (h, k, at, left length, bytes)."""
+    """The bytes around each anchor of a document, as rows of _SUFFIX."""
     side = span - gram
 
     def run(batches):
         for b in batches:
-            h, k, at, left, ctx = [], [], [], [], []
-            spots = b.column(2)
-            for i, text in enumerate(b.column(1).cast(pa.large_binary())):
-                text = text.as_py() or b""
-                key = b.column(0)[i].as_py()
-                for s in spots[i].as_py():
-                    pos = s["at"] >> 24
+            doc, of, h, at, salts, left, ctx = b.columns[:4], [], [], [], [], [], []
+            spots = b.column(5).to_pylist()
+            for i, text in enumerate(b.column(4).cast(pa.large_binary()).to_pylist()):
+                for s in spots[i]:
+                    pos = s["pos"]
                     lo = max(0, pos - side)
-                    h.append(s["h"]), k.append(key), at.append(s["at"]), left.append(pos - lo)
+                    of.append(i), h.append(s["h"]), at.append(pos), salts.append(s["salts"]), left.append(pos - lo)
                     ctx.append(text[lo : pos + gram + side])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.int32()), pa.array(ctx, pa.binary())],
-                names=["h", "k", "at", "left", "ctx"],
-            )
+            t = pa.Table.from_batches([pa.RecordBatch.from_arrays(doc, names=["nul", "id", "d1", "d2"])]).take(pa.array(of, pa.int64()))
+            salt = (t.column("d1").to_numpy().astype(np.uint64) ^ (np.array(at, np.uint64) * np.uint64(_BASES[0]))) >> np.uint64(20)
+            salts = np.array(salts, np.int64)
+            cols = [
+                pa.array(h, pa.int64()), pa.array((salt % salts.astype(np.uint64)).astype(np.int64), pa.int64()), pa.array(salts > 1), *[t.column(i).combine_chunks() for i in range(4)],
+                pa.array(at, pa.int32()), pa.array(_packed(0, side, np.array(left, np.int64)), pa.int64()), pa.array(ctx, pa.binary()),
+            ]
+            for s in range(0, len(h), 20_000):
+                yield pa.RecordBatch.from_arrays([c.slice(s, 20_000) for c in cols], names=_NAMES)
 
     return run
 
 
-def covered(h: np.ndarray, k: np.ndarray, at: np.ndarray, left: np.ndarray, ctx: list[bytes], span: int, gram: int):
-    """For contexts of one or more grams: (row numbers, first, one past) of bytes covered by a
-    window around the anchor that an earlier (k, tie, place) context also has."""
+def covered(place: np.ndarray, pos: np.ndarray, m: np.ndarray, ctx: list[bytes], span: int, gram: int):
+    """Sorts the suffixes at the anchors and the reversed texts before them; the common prefix
+    lengths then tell which windows around each anchor an earlier ``place`` also has.
+
+    Returns (row numbers, first, one past) of covered bytes, and a mask of the rows that are
+    the first of some window."""
     n, side = len(ctx), span - gram
+    first_o, last_o, left = m >> 32, m >> 16 & 0xFFFF, m & 0xFFFF
     lens = np.fromiter(map(len, ctx), np.int64, n)
     flat = np.frombuffer(b"".join(ctx), np.uint8)
     begin = np.r_[0, np.cumsum(lens)[:-1]]
@@ -174,38 +182,47 @@ def covered(h: np.ndarray, k: np.ndarray, at: np.ndarray, left: np.ndarray, ctx:
 
     order_r, lcp_r = deep_shallow_sort(rows(left, right_len, span, 1), right_len, 4)
     order_l, lcp_l = deep_shallow_sort(rows(left - 1, left, side, -1), left, 2)
-    tie, pos = at & 0xFFFFFF, at >> 24
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((pos, tie, k))] = np.arange(n)
-    least, most = np.full(n, side + 1), np.full(n, -1)
-    by_rank = np.argsort(rank)
+    least, most, leads = np.full(n, side + 1), np.full(n, -1), np.zeros(n, bool)
+    by_rank = np.argsort(place, kind="stable")
     cls_r, cls_l = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(side + 1):  # the window starts o bytes before the anchor
+        rows_o = by_rank[((left >= o) & (right_len >= span - o) & (first_o <= o) & (o <= last_o))[by_rank]]
+        if not len(rows_o):
+            continue
         cls_r[order_r] = np.cumsum(lcp_r < span - o)
         cls_l[order_l] = np.cumsum(lcp_l < o)
-        ok = (left >= o) & (right_len >= span - o)
-        rows_o = by_rank[ok[by_rank]]
-        if len(rows_o) < 2:
-            continue
         key = cls_l[rows_o] * (n + 1) + cls_r[rows_o]
         s = np.argsort(key, kind="stable")
-        late = rows_o[s[np.r_[False, key[s][1:] == key[s][:-1]]]]  # not the first of its window
+        same = np.r_[False, key[s][1:] == key[s][:-1]]
+        late = rows_o[s[same]]
+        leads[rows_o[s[~same]]] = True
         least[late] = np.minimum(least[late], o)
         most[late] = np.maximum(most[late], o)
     hit = np.flatnonzero(most >= 0)
-    return hit, pos[hit] - most[hit], pos[hit] - least[hit] + span
+    return hit, pos[hit] - most[hit], pos[hit] - least[hit] + span, leads
 
 
 def _cover_rows(span: int, gram: int, rows_at_once: int = 60_000):
+    """Sorted rows of _SUFFIX become spans (lo, hi set) and, of salted keys, the rows that still
+    lead a window (ctx set)."""
+
+    def group_starts(t):
+        key, salt = (t.column(c).to_numpy() for c in ("key", "salt"))
+        return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+
     def emit(t: pa.Table):
-        h, k, at = (t.column(c).to_numpy() for c in ("h", "k", "at"))
-        again = (h[1:] == h[:-1]) & (k[1:] == k[:-1]) & (at[1:] == at[:-1])
-        if again.any():  # rows that repeat id and text are one document
-            t = t.filter(pa.array(np.r_[True, ~again]))
-        h, k, at, left = (t.column(c).to_numpy() for c in ("h", "k", "at", "left"))
-        hit, lo, hi = covered(h, k, at, left.astype(np.int64), t.column("ctx").to_pylist(), span, gram)
-        tie = (at & 0xFFFFFF)[hit]
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (k[hit], tie, lo, hi)], names=["k", "tie", "lo", "hi"])
+        t = t.combine_chunks()
+        nul, ids, d1, d2, pos = (t.column(c).to_numpy() for c in ("nul", "id", "d1", "d2", "pos"))
+        place = np.empty(len(pos), np.int64)
+        place[np.lexsort((pos, d2, d1, ids, nul))] = np.arange(len(pos))
+        hit, lo, hi, leads = covered(place, pos.astype(np.int64), t.column("m").to_numpy(), t.column("ctx").to_pylist(), span, gram)
+        spans = t.take(pa.array(hit))
+        held = t.filter(pa.array(leads & t.column("salted").to_numpy(zero_copy_only=False)))
+        out = [spans.drop_columns(["ctx"]).append_column("ctx", pa.nulls(len(hit), pa.binary())), held]
+        bounds = [(lo, hi), (np.zeros(len(held), np.int64), np.full(len(held), -1))]
+        for part, (a, b) in zip(out, bounds, strict=True):
+            part = part.select(_NAMES).append_column("lo", pa.array(a.astype(np.int64))).append_column("hi", pa.array(b.astype(np.int64)))
+            yield from part.combine_chunks().to_batches(max_chunksize=20_000)
 
     def run(batches):
         held: list = []
@@ -217,13 +234,12 @@ def _cover_rows(span: int, gram: int, rows_at_once: int = 60_000):
             count += b.num_rows
             if count >= rows_at_once:
                 t = pa.Table.from_batches(held)
-                h = t.column("h").to_numpy()
-                cut = int(np.searchsorted(h, h[-1], "left"))  # a gram's rows stay together
+                cut = int(group_starts(t)[-1])  # a group's rows stay together
                 if cut:
-                    yield emit(t.slice(0, cut))
-                    held, count = t.slice(cut).to_batches(), len(h) - cut
+                    yield from emit(t.slice(0, cut))
+                    held, count = t.slice(cut).to_batches(), len(t) - cut
         if held:
-            yield emit(pa.Table.from_batches(held))
+            yield from emit(pa.Table.from_batches(held))
         held.clear()
         trim(collect=False)
 
@@ -269,76 +285,62 @@ def _apply(with_text: bool):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("k"),
-        F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tie"),
-        text.alias("text"),
-        *more,
-    )
-
-
-def _hot_cover(reps: DataFrame, span: int, gram: int) -> DataFrame:
-    """The same as ``covered`` for grams with very many classes: each window is a row, the first
-    of equal windows is found by a group-by that combines map-side."""
-    windows = reps.select(
-        "h", "k", "at",
-        F.explode(F.filter(
-            F.transform(F.sequence(F.lit(0), F.col("left")), lambda o: F.struct(o.alias("o"), F.substring(F.col("ctx"), F.col("left") - o + 1, F.lit(span)).alias("w"))),
-            lambda x: F.length(x["w"]) == span,
-        )).alias("x"),
-    ).select("h", "k", "at", "x.o", F.xxhash64("x.w").alias("w1"), F.xxhash64(F.lit(7), "x.w").alias("w2"))
-    windows = materialize(windows, "windows")
-    place = F.struct("k", F.col("at").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tie"), F.shiftright("at", 24).alias("pos"))
-    first = materialize(windows.groupBy("h", "o", "w1", "w2").agg(F.min(place).alias("first")), "first")
-    late = windows.join(first, ["h", "o", "w1", "w2"]).filter(~(place == F.col("first")))
-    pos = F.shiftright("at", 24)
-    return late.groupBy("k", "at").agg(F.min("o").alias("a"), F.max("o").alias("b")).select(
-        "k", F.col("at").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tie"), (pos - F.col("b")).alias("lo"), (pos - F.col("a") + span).alias("hi")
-    )
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram_classes: int = GRAM_CLASSES) -> DataFrame:
-    """Rows (k, tie, lo, hi): bytes lo..hi of a document that occur earlier. Spans may overlap."""
-    spark, gram, side = docs.sparkSession, span // 2, span - span // 2
-    keyed = _keyed(docs, id_col, text_col)
-    source = keyed.select("k", "tie", "text").filter(F.octet_length("text") >= span)
-    again = source.mapInArrow(_anchor_rows(False, span, gram), "h long").groupBy("h").count().filter("count > 1").select("h")
-    again = materialize(again, "again")
+    """Rows (doc_id, nul, id, d1, d2, text, ...): d1 and d2 are 128 bits of the SHA-256 of id and text."""
+    text, key = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    keyed = docs.select(
+        key.alias("doc_id"), key.isNull().alias("nul"), F.coalesce(key, F.lit(0).cast("long")).alias("id"),
+        F.sha2(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"), 256).alias("sha"), text.alias("text"), *more,
+    )
+    half = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("long")
+    return keyed.withColumn("d1", half(1)).withColumn("d2", half(17)).drop("sha")
+
+
+def _dealt(rows: DataFrame, span: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that still lead a window of a hot key, dealt anew: a key with several windows becomes
+    two, each with half of the windows and the longer string that those share. Also the table
+    to release once they are read."""
+    gram, side = span // 2, span - span // 2
+    lo, hi, left = F.shiftright("m", 32), F.shiftright("m", 16).bitwiseAND(F.lit(0xFFFF).cast("long")), F.col("m").bitwiseAND(F.lit(0xFFFF).cast("long"))
+    mid = F.shiftright(lo + hi, 1)
+    halves = F.when(lo == hi, F.array(F.struct(lo.alias("lo"), hi.alias("hi")))).otherwise(F.array(F.struct(lo.alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), hi.alias("hi"))))
+    rows = rows.drop("lo", "hi").withColumn("left", left).withColumn("x", F.explode(halves))
+    rows = rows.filter((F.col("left") >= F.col("x.lo")) & (F.length("ctx") - F.col("left") - gram >= side - F.col("x.hi")))
+    shared = F.substring(F.col("ctx"), (F.col("left") - F.col("x.lo") + 1).cast("int"), (F.col("x.lo") + gram + side - F.col("x.hi")).cast("int"))
+    rows = rows.withColumn("key", F.xxhash64("x.lo", "x.hi", shared)).withColumn("m", F.shiftleft("x.lo", 32) + F.shiftleft("x.hi", 16) + F.col("left"))
+    rows = materialize(rows.drop("x", "left", "salt", "salted"), "suffixes")
+    counts = rows.groupBy("key").count().filter("count > 1").withColumn("salts", F.ceil(F.col("count") / group_rows))
+    dealt = rows.join(counts, "key").withColumn("salt", F.pmod(F.xxhash64("d1", "d2", "pos"), F.col("salts"))).withColumn("salted", F.col("salts") > 1).select(*_NAMES)
+    return dealt, rows
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rows (d1, d2, lo, hi): bytes lo..hi of a document that occur earlier. Spans may overlap."""
+    spark, gram = docs.sparkSession, span // 2
+    source = _keyed(docs, id_col, text_col).filter(F.octet_length("text") >= span)
+    texts = source.select("d1", "d2", "text")
+    again = texts.mapInArrow(_anchor_rows(False, span, gram), "h long").groupBy("h").count().filter("count > 1")
+    again = materialize(again.select("h", F.ceil(F.col("count") / group_rows).cast("int").alias("salts")), "again")
     free_shuffles(spark)
-    kept = source.mapInArrow(_anchor_rows(True, span, gram), "h long, d long, k long, at long, lr int").join(again, "h", "left_semi")
-    kept = materialize(kept, "anchors")
+    kept = materialize(texts.mapInArrow(_anchor_rows(True, span, gram), "h long, d1 long, d2 long, pos int").join(again, "h"), "anchors")
     release(again)
     free_shuffles(spark)
-    place = F.struct("k", F.col("at").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tie"), F.col("at"))
-    classes = materialize(kept.groupBy("h", "d").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    pos = F.shiftright("at", 24)
-    left, right = F.shiftright("lr", 6), F.col("lr").bitwiseAND(F.lit(63))
-    whole = (
-        kept.join(classes.filter("n > 1"), ["h", "d"])
-        .filter(~((F.col("k") == F.col("first.k")) & (F.col("at") == F.col("first.at"))))
-        .filter(left + right >= side)
-        .select("k", F.col("at").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tie"), (pos - left).alias("lo"), (pos + gram + right).alias("hi"))
-    )
-    whole = materialize(whole, "whole")
-    release(kept)
-    free_shuffles(spark)
-    multi = materialize(classes.groupBy("h").count().filter("count > 1").select("h", F.col("count").alias("classes")), "multi")
-    edges = classes.join(multi, "h").select("h", "classes", F.col("first.k").alias("k"), F.col("first.tie").alias("tie"), F.col("first.at").alias("at"))
-    spots = edges.groupBy("k", "tie").agg(F.collect_list(F.struct("h", "at")).alias("spots"))
-    reps = source.join(spots.hint("shuffle_hash"), ["k", "tie"]).select("k", "text", "spots").mapInArrow(_contexts(span, gram), "h long, k long, at long, left int, ctx binary")
-    out = []
-    if multi.filter(F.col("classes") > gram_classes).limit(1).count():
-        reps = materialize(reps.dropDuplicates(["h", "k", "at"]), "contexts").join(multi, "h")
-        out.append(_hot_cover(reps.filter(F.col("classes") > gram_classes), span, gram))
-        reps = reps.filter(F.col("classes") <= gram_classes).drop("classes")
-    out.append(reps.repartition("h").sortWithinPartitions("h", "k", "at").mapInArrow(_cover_rows(span, gram), "k long, tie long, lo long, hi long"))
-    for o in out:
-        whole = whole.unionByName(materialize(o, "spans"))
-    release(classes, multi)
-    free_shuffles(spark)
-    return whole
+    # rows that repeat id and text are one document; both group-bys combine them map-side
+    spots = kept.groupBy("d1", "d2").agg(F.collect_set(F.struct("h", "pos", "salts")).alias("spots"))
+    once = source.groupBy("d1", "d2").agg(F.first("nul").alias("nul"), F.first("id").alias("id"), F.first("text").alias("text"))
+    found = once.join(spots, ["d1", "d2"]).select("nul", "id", "d1", "d2", "text", "spots")
+    rows, inputs, spans = found.mapInArrow(_contexts(span, gram), _SUFFIX), [kept], []
+    while True:
+        done = rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_cover_rows(span, gram), _SUFFIX + ", lo long, hi long")
+        done = materialize(done, "spans")
+        release(*inputs)
+        free_shuffles(spark)
+        spans.append(done.filter("hi >= 0").select("d1", "d2", "lo", "hi"))
+        held = done.filter("hi < 0")
+        if not held.limit(1).count():
+            break
+        rows, table_ = _dealt(held, span, group_rows)
+        inputs = [table_]
+    return functools.reduce(DataFrame.unionByName, spans)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
@@ -347,13 +349,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text is empty; texts under ``span`` bytes lose nothing. "Earlier" is a smaller doc_id,
     then an earlier start; a null id is later than all others, and rows that share an id but not
-    the text are ordered by a hash of it. Rows that repeat id and text are one document: each
-    gets its result. An empty table gives no rows. Other columns are not read.
+    the text are ordered by a SHA-256 of both. Rows that repeat id and text are one document: each
+    gets its result. Long texts take memory in proportion to their length in one task. An empty
+    table gives no rows. Other columns are not read.
     """
-    spans = repeated_spans(docs, id_col, text_col, span)
-    per_doc = spans.groupBy("k", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return apply_spans(docs, repeated_spans(docs, id_col, text_col, span), id_col, text_col, with_text)
+
+
+def apply_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """``docs`` without the spans of :func:`repeated_spans`."""
+    per_doc = spans.groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rest = [F.col(c) for c in docs.columns if c != text_col] if with_text else []
-    joined = _keyed(docs, id_col, text_col, *([F.struct(*rest).alias("rest")] if rest else [])).join(per_doc.hint("shuffle_hash"), ["k", "tie"], "left")
+    joined = _keyed(docs, id_col, text_col, *([F.struct(*rest).alias("rest")] if rest else [])).join(per_doc, ["d1", "d2"], "left")
     joined = joined.select("doc_id", "text", "spans", *(["rest"] if rest else []))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if rest:
@@ -378,3 +385,23 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+#: A text is cut in pieces of 1000 starts, as taking a substring costs its whole string.
+SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT *, length(h) // 2 AS n_bytes FROM docs),
+pieces AS (SELECT doc_id, n_bytes, c, substr(h, 2 * c + 1, 2198) AS piece FROM (SELECT *, unnest(range(0, n_bytes - 99, 1000)) AS c FROM sized)),
+windows AS (SELECT doc_id, c + j AS pos, md5_number(substr(piece, 2 * j + 1, 200)) AS w
+  FROM (SELECT *, unnest(range(0, least(1000, n_bytes - 99 - c))) AS j FROM pieces)),
+earliest AS (SELECT w, min((doc_id, pos)) AS place FROM windows GROUP BY w HAVING count(*) > 1),
+late AS (SELECT windows.doc_id, pos FROM windows JOIN earliest USING (w) WHERE (windows.doc_id, pos) > place),
+marked AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100 THEN 0 ELSE 1 END AS fresh FROM late),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(pos) AS lo, max(pos) + 100 AS hi FROM numbered GROUP BY doc_id, run),
+per_doc AS (SELECT doc_id, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM runs GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(list_sum(list_transform(range(1, len(los) + 1), i -> his[i] - los[i])), 0)::BIGINT AS n_removed, coalesce(len(los), 0)::BIGINT AS n_spans,
+  lower(sha256(unhex(CASE WHEN los IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(los) + 2),
+    i -> substr(h, 2 * coalesce(his[i - 1], 0) + 1, 2 * (coalesce(los[i], n_bytes) - coalesce(his[i - 1], 0)))), '') END))) AS kept_sha256
+FROM sized LEFT JOIN per_doc USING (doc_id)
+"""

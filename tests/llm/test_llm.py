@@ -140,7 +140,7 @@ def test_deep_shallow_sort():
 
 def brute_repeats(rows, span=100):
     seen, out = set(), {}
-    uniq = sorted({(last(d), d, t or "") for d, t in rows}, key=lambda r: (r[0], _tie(r[2])))
+    uniq = sorted({(last(d), d, t or "") for d, t in rows}, key=lambda r: (r[0], _tie(r[1], r[2])))
     for _, d, t in uniq:
         b = t.encode()
         gone = np.zeros(len(b) + 1, bool)
@@ -154,26 +154,32 @@ def brute_repeats(rows, span=100):
     return [out[d, t or ""] for d, t in rows]
 
 
-_TIES: dict = {}
+def _tie(d, text):
+    sha = hashlib.sha256(f"{'null' if d is None else d}:{text}".encode()).digest()
+    return tuple(int.from_bytes(sha[i : i + 8], "big", signed=True) for i in (0, 8))
 
 
-def _tie(text):
-    return _TIES[text]
-
-
-@pytest.mark.parametrize("classes", [20000, 1])
-def test_suffix_dedup(spark, docs, none, monkeypatch, classes):
+@pytest.mark.parametrize("group_rows", [4096, 2])
+def test_suffix_dedup(spark, docs, none, group_rows):
     rows = [(r[0], r[1]) for r in awkward()]
-    ties = spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("x")).collect()
-    _TIES.update({r["t"]: r["x"] for r in ties})
-    monkeypatch.setattr(suffix_dedup, "GRAM_CLASSES", classes)
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", ("doc_id", "text", 100, classes))
-    assert multiset(suffix_dedup.suffix_dedup(docs).collect()) == multiset(brute_repeats(rows))
+    assert multiset(suffix_dedup.apply_spans(docs, suffix_dedup.repeated_spans(docs, group_rows=group_rows)).collect()) == multiset(brute_repeats(rows))
     assert suffix_dedup.suffix_dedup(none).count() == 0
     cut = suffix_dedup.drop_repeats(docs)
     assert cut.columns == docs.columns and cut.filter("doc_id = 32").first()["text"] is not None
 
 
+@pytest.mark.parametrize("group_rows", [4096, 8])
+def test_suffix_dedup_of_many_rows_of_one_id_and_hot_passages(spark, group_rows):
+    rng = random.Random(9)
+    phrase, long = sentence(rng, 14)[:80], sentence(rng, 70)
+    rows = [(None, sentence(rng, rng.randint(0, 12))) for _ in range(10_000)]  # 24-bit ties would clash
+    rows += [(7, sentence(rng, 9) + phrase + sentence(rng, 9)) for _ in range(60)] + [(i, phrase + sentence(rng, 30)) for i in range(60)]
+    rows += [(i, long) for i in range(100, 180)] + [(5, long)] * 50 + [(200, "ab" * 400), (201, "ab" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.apply_spans(df, suffix_dedup.repeated_spans(df, group_rows=group_rows)).collect()
+    assert multiset(got) == multiset(brute_repeats(rows))
+
+
 def test_pieces_and_ids_equal_the_libraries(docs, none):
     import public_tokenizers
     import tiktoken
@@ -439,7 +445,6 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             left.append((d, t))
         seen.add(norm(t))
     left = [r for r, (d, _, c) in zip(left, brute_components(left), strict=True) if d == c]
-    _TIES.update({t: 0 for _, t in left})
     gone, cut = set(), []
     for d, t in left:  # ids are unique here
         b, keep = t.encode(), np.ones(len(t.encode()), bool)
