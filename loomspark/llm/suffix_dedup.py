@@ -400,8 +400,8 @@ marked AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER B
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marked),
 runs AS (SELECT doc_id, run, min(pos) AS lo, max(pos) + 100 AS hi FROM numbered GROUP BY doc_id, run),
 per_doc AS (SELECT doc_id, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM runs GROUP BY doc_id)
-SELECT doc_id, n_bytes, coalesce(list_sum(list_transform(range(1, len(los) + 1), i -> his[i] - los[i])), 0)::BIGINT AS n_removed, coalesce(len(los), 0)::BIGINT AS n_spans,
-  lower(sha256(unhex(CASE WHEN los IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(los) + 2),
-    i -> substr(h, 2 * coalesce(his[i - 1], 0) + 1, 2 * (coalesce(los[i], n_bytes) - coalesce(his[i - 1], 0)))), '') END))) AS kept_sha256
+SELECT doc_id, n_bytes, coalesce(list_sum([his[i] - los[i] for i in range(1, len(los) + 1)]), 0)::BIGINT AS n_removed, coalesce(len(los), 0)::BIGINT AS n_spans,
+  lower(sha256(unhex(CASE WHEN los IS NULL THEN h ELSE array_to_string(
+    [substr(h, 2 * coalesce(his[i - 1], 0) + 1, 2 * (coalesce(los[i], n_bytes) - coalesce(his[i - 1], 0))) for i in range(1, len(los) + 2)], '') END))) AS kept_sha256
 FROM sized LEFT JOIN per_doc USING (doc_id)
 """
