@@ -4,10 +4,11 @@ A byte goes when a ``span``-byte string that covers it also starts earlier. Sort
 suffix of a corpus is out of reach, and most suffixes are alone: of the grams of ``GRAM``
 bytes inside each window of ``span`` bytes, the ones with the least hash are anchors. Equal
 windows have the same anchors, so a repeat is always found at an anchor, and anchors whose
-hash occurs once in the corpus are dropped. All others are sorted: the suffixes that start
-at the anchors of one gram and the reversed texts before them, by deep-shallow sorting. The
-common prefix lengths then tell which windows around each anchor occur earlier. Bytes decide
-every span; hashes only bring suffixes together.
+hash occurs once in the corpus are dropped. Anchors with equal surroundings (every window
+around the anchor, told by 128 bits of hash) are one string with many places: its later
+places are covered whole. The strings are sorted: the suffixes that start at the anchors of
+one gram and the reversed texts before them, by deep-shallow sorting. The common prefix
+lengths then tell which windows of a string occur in an earlier one.
 
 A gram with more than ``GROUP_ROWS`` suffixes is dealt to salted groups. Each group is
 sorted, and suffixes that lead no window of their group need no further look (of equal
@@ -34,9 +35,11 @@ SPAN = 100
 GRAM = 50
 GROUP_ROWS = 4096
 _CHUNK = 1 << 18
-_BASES = (0x9E3779B97F4A7C15,)
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict = {}
-_SUFFIX = "key long, salt long, salted boolean, nul boolean, id long, d1 long, d2 long, pos int, m long, ctx binary"
+_POS = (1 << 31) - 1
+_SUFFIX = "key long, salt long, salted boolean, id long, d1 long, p long, m long, ctx binary"
+_DOC = ["id", "d1", "dk"]
 _NAMES = [c.split()[0] for c in _SUFFIX.split(", ")]
 
 
@@ -67,11 +70,11 @@ def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
 
 def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM):
     """Of concatenated documents (``ends``: one past each), the anchors as arrays
-    (place in ``data``, gram hash)."""
+    (place in ``data``, gram hash, hash of all windows around it)."""
     side = span - gram
     starts = np.r_[0, ends[:-1]]
     found = []
-    up, down = _powers(_BASES[0])
+    (up, down), (up2, down2) = (_powers(b) for b in _BASES)
     with np.errstate(over="ignore"):
         for at in range(0, len(data), _CHUNK):
             # anchors in [at, at + _CHUNK) need windows that start up to `side` earlier
@@ -91,9 +94,17 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GR
             high = _sliding(np.r_[np.zeros(side, np.uint64), m, np.zeros(side, np.uint64)], side + 1, np.maximum)
             spot = np.flatnonzero((g == high) & (g > 0))
             spot = spot[(spot + lo >= at) & (spot + lo < at + _CHUNK)]
-            found.append((spot + lo, g[spot]))
+            if not len(spot):
+                continue
+            d = np.searchsorted(ends, spot + lo, "right")
+            left = np.minimum(side, spot + lo - starts[d])
+            right = np.minimum(side, ends[d] - (spot + lo + gram))
+            p2 = np.r_[np.uint64(0), np.cumsum((b ^ (b << np.uint64(17))) * up2[: len(b)])]
+            around = (p2[spot + gram + right] - p2[spot - left]) * down2[spot - left]
+            around = _mix(around + (left * 65537 + right).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            found.append((spot + lo, g[spot], around))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -109,19 +120,19 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(wide: bool, span: int, gram: int):
-    """Gram hashes of the anchors; with ``wide`` also the document's digest and the place."""
+    """Gram hashes of the anchors; with ``wide`` also what surrounds them, the document and the place."""
 
     def run(batches):
         forget()
         for b in batches:
-            data, ends = _joined(b.column(2))
-            spot, g = anchors(data, ends, span, gram)
+            data, ends = _joined(b.column(3))
+            spot, g, around = anchors(data, ends, span, gram)
             cols, names = [pa.array(g.view(np.int64))], ["h"]
             if wide:
                 d = np.searchsorted(ends, spot, "right")
-                cols += [pa.array(b.column(i).to_numpy()[d]) for i in (0, 1)]
-                cols.append(pa.array((spot - np.r_[0, ends][d]).astype(np.int32)))
-                names += ["d1", "d2", "pos"]
+                ids, d1, dk = (b.column(i).to_numpy()[d] for i in range(3))
+                cols += [pa.array(x) for x in (around.view(np.int64), ids, d1, (dk << 31) | (spot - np.r_[0, ends][d]))]
+                names += ["d", "id", "d1", "p"]
             for s in range(0, len(spot), 100_000):
                 yield pa.RecordBatch.from_arrays([c.slice(s, 100_000) for c in cols], names=names)
         trim(collect=False)
@@ -140,20 +151,20 @@ def _contexts(span: int, gram: int):
 
     def run(batches):
         for b in batches:
-            doc, of, h, at, salts, left, ctx = b.columns[:4], [], [], [], [], [], []
-            spots = b.column(5).to_pylist()
-            for i, text in enumerate(b.column(4).cast(pa.large_binary()).to_pylist()):
+            of, h, at, salts, left, ctx = [], [], [], [], [], []
+            spots = b.column(4).to_pylist()
+            for i, text in enumerate(b.column(3).cast(pa.large_binary()).to_pylist()):
                 for s in spots[i]:
-                    pos = s["pos"]
+                    pos = s["p"] & _POS
                     lo = max(0, pos - side)
-                    of.append(i), h.append(s["h"]), at.append(pos), salts.append(s["salts"]), left.append(pos - lo)
+                    of.append(i), h.append(s["h"]), at.append(s["p"]), salts.append(s["salts"]), left.append(pos - lo)
                     ctx.append(text[lo : pos + gram + side])
-            t = pa.Table.from_batches([pa.RecordBatch.from_arrays(doc, names=["nul", "id", "d1", "d2"])]).take(pa.array(of, pa.int64()))
-            salt = (t.column("d1").to_numpy().astype(np.uint64) ^ (np.array(at, np.uint64) * np.uint64(_BASES[0]))) >> np.uint64(20)
-            salts = np.array(salts, np.int64)
+            ids, d1 = (b.column(i).to_numpy()[of] for i in range(2))
+            salts, at = np.array(salts, np.uint64), np.array(at, np.int64)
+            salt = _mix(d1.view(np.uint64) ^ (at.view(np.uint64) * np.uint64(_BASES[0]))) % salts if len(of) else salts
             cols = [
-                pa.array(h, pa.int64()), pa.array((salt % salts.astype(np.uint64)).astype(np.int64), pa.int64()), pa.array(salts > 1), *[t.column(i).combine_chunks() for i in range(4)],
-                pa.array(at, pa.int32()), pa.array(_packed(0, side, np.array(left, np.int64)), pa.int64()), pa.array(ctx, pa.binary()),
+                pa.array(h, pa.int64()), pa.array(salt.astype(np.int64)), pa.array(salts > 1), pa.array(ids), pa.array(d1), pa.array(at),
+                pa.array(_packed(0, side, np.array(left, np.int64)), pa.int64()), pa.array(ctx, pa.binary()),
             ]
             for s in range(0, len(h), 20_000):
                 yield pa.RecordBatch.from_arrays([c.slice(s, 20_000) for c in cols], names=_NAMES)
@@ -212,10 +223,10 @@ def _cover_rows(span: int, gram: int, rows_at_once: int = 60_000):
 
     def emit(t: pa.Table):
         t = t.combine_chunks()
-        nul, ids, d1, d2, pos = (t.column(c).to_numpy() for c in ("nul", "id", "d1", "d2", "pos"))
-        place = np.empty(len(pos), np.int64)
-        place[np.lexsort((pos, d2, d1, ids, nul))] = np.arange(len(pos))
-        hit, lo, hi, leads = covered(place, pos.astype(np.int64), t.column("m").to_numpy(), t.column("ctx").to_pylist(), span, gram)
+        ids, d1, p = (t.column(c).to_numpy() for c in ("id", "d1", "p"))
+        place = np.empty(len(p), np.int64)
+        place[np.lexsort((p, d1, ids, p < 0))] = np.arange(len(p))
+        hit, lo, hi, leads = covered(place, p & _POS, t.column("m").to_numpy(), t.column("ctx").to_pylist(), span, gram)
         spans = t.take(pa.array(hit))
         held = t.filter(pa.array(leads & t.column("salted").to_numpy(zero_copy_only=False)))
         out = [spans.drop_columns(["ctx"]).append_column("ctx", pa.nulls(len(hit), pa.binary())), held]
@@ -250,6 +261,7 @@ def cut(text: bytes, spans: list) -> tuple[bytes, int, int]:
     """(bytes left, bytes removed, maximal removed runs) without the union of ``spans``."""
     out, last, removed, runs, end = [], 0, 0, 0, -1
     for lo, hi in sorted(spans):
+        hi = min(hi, len(text))
         if lo > end:
             runs += 1
             out.append(text[last:lo])
@@ -285,14 +297,19 @@ def _apply(with_text: bool):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    """Rows (doc_id, nul, id, d1, d2, text, ...): d1 and d2 are 128 bits of the SHA-256 of id and text."""
+    """Rows (doc_id, id, d1, dk, text, ...). (id, d1, dk) tells documents apart: the id, 64 and 32 bits
+    of a SHA-256 of id and text; for null ids, id is 64 more of its bits and dk is negative."""
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
     keyed = docs.select(
-        key.alias("doc_id"), key.isNull().alias("nul"), F.coalesce(key, F.lit(0).cast("long")).alias("id"),
-        F.sha2(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"), 256).alias("sha"), text.alias("text"), *more,
+        key.alias("doc_id"), F.sha2(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"), 256).alias("sha"), text.alias("text"), *more,
     )
-    half = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("long")
-    return keyed.withColumn("d1", half(1)).withColumn("d2", half(17)).drop("sha")
+    bits = lambda at, digits: F.conv(F.substring("sha", at, digits), 16, -10).cast("long")
+    dk = bits(33, 8) - F.when(F.col("doc_id").isNull(), F.lit(1 << 32)).otherwise(F.lit(0))
+    return keyed.withColumns({"id": F.coalesce("doc_id", bits(17, 16)), "d1": bits(1, 16), "dk": dk}).drop("sha")
+
+
+def _dk(p: str):
+    return F.shiftright(p, 31).alias("dk")
 
 
 def _dealt(rows: DataFrame, span: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -309,32 +326,41 @@ def _dealt(rows: DataFrame, span: int, group_rows: int) -> tuple[DataFrame, Data
     rows = rows.withColumn("key", F.xxhash64("x.lo", "x.hi", shared)).withColumn("m", F.shiftleft("x.lo", 32) + F.shiftleft("x.hi", 16) + F.col("left"))
     rows = materialize(rows.drop("x", "left", "salt", "salted"), "suffixes")
     counts = rows.groupBy("key").count().filter("count > 1").withColumn("salts", F.ceil(F.col("count") / group_rows))
-    dealt = rows.join(counts, "key").withColumn("salt", F.pmod(F.xxhash64("d1", "d2", "pos"), F.col("salts"))).withColumn("salted", F.col("salts") > 1).select(*_NAMES)
+    dealt = rows.join(counts, "key").withColumn("salt", F.pmod(F.xxhash64("id", "d1", "p"), F.col("salts"))).withColumn("salted", F.col("salts") > 1).select(*_NAMES)
     return dealt, rows
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Rows (d1, d2, lo, hi): bytes lo..hi of a document that occur earlier. Spans may overlap."""
-    spark, gram = docs.sparkSession, span // 2
-    source = _keyed(docs, id_col, text_col).filter(F.octet_length("text") >= span)
-    texts = source.select("d1", "d2", "text")
-    again = texts.mapInArrow(_anchor_rows(False, span, gram), "h long").groupBy("h").count().filter("count > 1")
-    again = materialize(again.select("h", F.ceil(F.col("count") / group_rows).cast("int").alias("salts")), "again")
+    """Rows (id, d1, dk, lo, hi): bytes lo..hi of a document that occur earlier. Spans may overlap
+    and may end after the text."""
+    spark, gram, side = docs.sparkSession, span // 2, span - span // 2
+    source = _keyed(docs, id_col, text_col).select(*_DOC, "text").filter(F.octet_length("text") >= span)
+    again = source.mapInArrow(_anchor_rows(False, span, gram), "h long").groupBy("h").count().filter("count > 1").select("h")
+    again = materialize(again, "again")
     free_shuffles(spark)
-    kept = materialize(texts.mapInArrow(_anchor_rows(True, span, gram), "h long, d1 long, d2 long, pos int").join(again, "h"), "anchors")
+    kept = source.mapInArrow(_anchor_rows(True, span, gram), "h long, d long, id long, d1 long, p long").join(again, "h", "left_semi")
+    kept = materialize(kept, "anchors")
     release(again)
     free_shuffles(spark)
-    # rows that repeat id and text are one document; both group-bys combine them map-side
-    spots = kept.groupBy("d1", "d2").agg(F.collect_set(F.struct("h", "pos", "salts")).alias("spots"))
-    once = source.groupBy("d1", "d2").agg(F.first("nul").alias("nul"), F.first("id").alias("id"), F.first("text").alias("text"))
-    found = once.join(spots, ["d1", "d2"]).select("nul", "id", "d1", "d2", "text", "spots")
-    rows, inputs, spans = found.mapInArrow(_contexts(span, gram), _SUFFIX), [kept], []
+    place = F.struct((F.col("p") < 0).alias("nul"), F.col("id"), F.col("d1"), F.col("p"))
+    classes = materialize(kept.groupBy("h", "d").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    pos = F.col("p").bitwiseAND(F.lit(_POS).cast("long"))
+    copies = kept.join(classes.filter("n > 1").select("h", "d", "first"), ["h", "d"]).filter(place != F.col("first"))
+    copies = materialize(copies.select("id", "d1", _dk("p"), F.greatest(F.lit(0), pos - side).cast("long").alias("lo"), (pos + gram + side).alias("hi")), "copies")
+    release(kept)
+    free_shuffles(spark)
+    several = classes.groupBy("h").count().filter("count > 1").select("h", F.ceil(F.col("count") / group_rows).cast("int").alias("salts"))
+    edges = classes.join(several, "h").select("h", "salts", "first.id", "first.d1", "first.p", _dk("first.p"))
+    spots = edges.groupBy(*_DOC).agg(F.collect_list(F.struct("h", "p", "salts")).alias("spots"))
+    once = source.groupBy(*_DOC).agg(F.first("text").alias("text"))  # rows that repeat id and text are one document
+    rows = once.join(spots, _DOC).select("id", "d1", "dk", "text", "spots").mapInArrow(_contexts(span, gram), _SUFFIX)
+    inputs, spans = [classes], [copies]
     while True:
         done = rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_cover_rows(span, gram), _SUFFIX + ", lo long, hi long")
         done = materialize(done, "spans")
         release(*inputs)
         free_shuffles(spark)
-        spans.append(done.filter("hi >= 0").select("d1", "d2", "lo", "hi"))
+        spans.append(done.filter("hi >= 0").select("id", "d1", _dk("p"), "lo", "hi"))
         held = done.filter("hi < 0")
         if not held.limit(1).count():
             break
@@ -358,9 +384,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def apply_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``docs`` without the spans of :func:`repeated_spans`."""
-    per_doc = spans.groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    per_doc = spans.groupBy(*_DOC).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rest = [F.col(c) for c in docs.columns if c != text_col] if with_text else []
-    joined = _keyed(docs, id_col, text_col, *([F.struct(*rest).alias("rest")] if rest else [])).join(per_doc, ["d1", "d2"], "left")
+    joined = _keyed(docs, id_col, text_col, *([F.struct(*rest).alias("rest")] if rest else [])).join(per_doc, _DOC, "left")
     joined = joined.select("doc_id", "text", "spans", *(["rest"] if rest else []))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if rest:

@@ -156,7 +156,8 @@ def brute_repeats(rows, span=100):
 
 def _tie(d, text):
     sha = hashlib.sha256(f"{'null' if d is None else d}:{text}".encode()).digest()
-    return tuple(int.from_bytes(sha[i : i + 8], "big", signed=True) for i in (0, 8))
+    d1, d2 = (int.from_bytes(sha[i : i + 8], "big", signed=True) for i in (0, 8))
+    return (d1 if d is not None else d2), d1, int.from_bytes(sha[16:20], "big")
 
 
 @pytest.mark.parametrize("group_rows", [4096, 2])
