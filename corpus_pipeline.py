@@ -11,7 +11,7 @@ from loomspark.llm.common import free_shuffles, materialize, release, table
 
 
 def language_id(spark, docs, sf_dir):
-    """Fit on the labelled documents; those without a language (no letter) go."""
+    """Fit on the labelled documents; those whose text has no letter go, also where no row has a language."""
     return langid.keep_identified(docs, langid.train(docs))
 
 

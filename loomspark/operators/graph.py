@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, release
+
 
 def cooccurrence(tagged: DataFrame, item: str = "item", tag: str = "tag") -> DataFrame:
     """(a, b, weight) with a < b: the number of items that hold both. One shuffle on the item for
@@ -19,19 +19,27 @@ def cooccurrence(tagged: DataFrame, item: str = "item", tag: str = "tag") -> Dat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) by min-label propagation until no label changes; a reliable checkpoint in the
-    shared folder cuts lineage each round."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # a folder of this machine only where none is set, as in tests
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}")
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")).checkpoint()
+    """Connected components of ``edges`` (a, b: long) as rows (node, root).
+
+    Min-label propagation with pointer jumping; rounds grow with the logarithm of the
+    longest path. Each round reads tables of the shared folder, every join is between two
+    plain scans (AQE splits a hot node) and every group-by combines map-side. Only a count
+    of changes reaches the driver.
+    """
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
-        step = labels.union(near).groupBy("node").agg(F.min("root").alias("root")).checkpoint()
-        if not step.join(labels.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count():
-            return step
-        labels = step
+        least = labels.select("node", "root").union(near).groupBy("node").agg(F.min("root").alias("root"))
+        step = materialize(least, "labels")
+        up = step.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+        jumped = materialize(step.join(up, "root").select("node", F.col("upper").alias("root")), "labels")
+        changed = jumped.join(labels.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
+        release(labels, step)
+        labels = jumped
+        if not changed:
+            release(both)
+            return labels
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
