@@ -1,58 +1,17 @@
-"""Shared plumbing: shared-folder tables, document scans, graph components."""
+"""Shared plumbing: document scans and the library's tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that the text contracts name: space and U+0009 to U+000D.
-SPACE = "[\\x20\\x09-\\x0D]+"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; a private one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='loom-')}"
-        spark.conf.set("loomspark.scratch", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts lineage (a lost executor costs one stage, not the whole plan), forgets the
-    output partitioning, so that later joins plan exchanges which AQE can split when a key
-    is hot, and lets Spark drop the shuffle files of what came before.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/loom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loom_path = path
-    return out
+from ..operators.graph import components
+from ..scratch import free_shuffles, materialize, release, scratch_root
 
+__all__ = ["SPACE", "components", "crc_mod", "free_shuffles", "materialize", "release", "scratch_root", "table"]
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables of :func:`materialize` that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_loom_path", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files of finished, unreferenced plans."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+#: White space that the text contracts name: space and U+0009 to U+000D.
+SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,27 +21,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(id_col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a, b: long) as rows (node, root).
-
-    Min-label propagation with pointer jumping; rounds grow with the logarithm of the
-    longest path. Each round reads tables of the shared folder, every join is between two
-    plain scans (AQE splits a hot node) and every group-by combines map-side. Only a count
-    of changes reaches the driver.
-    """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
-        least = labels.select("node", "root").union(near).groupBy("node").agg(F.min("root").alias("root"))
-        step = materialize(least, "labels")
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        jumped = materialize(step.join(up, "root").select("node", F.col("upper").alias("root")), "labels")
-        changed = jumped.join(labels.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
-        release(labels, step)
-        labels = jumped
-        if not changed:
-            release(both)
-            return labels

@@ -209,7 +209,7 @@ def _predict(key: str, shared, with_rows: bool = False):
                     gamma, _ = forward_backward(np.concatenate(e), begin[full], n[full], trans)
                     mass[full] = np.add.reduceat(gamma, begin[full], axis=0) / n[full][:, None]
                 best = mass.argmax(axis=1)
-                pred.extend(labels[j] if c and labels else "und" for j, c in zip(best.tolist(), count, strict=True))
+                pred.extend("und" if not c else labels[j] if labels else None for j, c in zip(best.tolist(), count, strict=True))
                 score.extend(np.clip(mass[np.arange(len(n)), best], 0.0, 1.0).tolist())
                 e.clear(), count.clear()
 
@@ -247,8 +247,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row.
 
-    ``und`` with score 0 where the text is null or has no letter (empty texts too), or where no
-    language was learned. Repeated rows and null ids each get a row; no rows for an empty table.
+    ``und`` with score 0 where the text is null or has no letter (empty texts too); a null
+    language with score 0 for other texts where none was learned. A tie goes to the first label.
+    Long texts are read whole, a task holds one at a time. Repeated rows and null ids each get a
+    row; no rows for an empty table. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = crc_mod(F.col(id_col), HELD_OUT[0]) == HELD_OUT[1]
@@ -258,13 +260,17 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is not ``und``, with all their columns and in one pass."""
+    """The rows of ``docs`` with a letter in their text, with all their columns and in one pass.
+
+    Null, empty and letterless texts go; where no language was learned all others stay. Repeated
+    rows and null ids are judged like any; an empty table stays empty; columns keep their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("h"), rest.alias("rest"))
     kind = rows.schema["rest"].dataType.simpleString()
     out = rows.mapInArrow(_predict(uuid.uuid4().hex, shared, True), f"doc_id long, held_out boolean, lang_pred string, score double, text string, rest {kind}")
-    return out.filter("lang_pred <> 'und'").select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.{c}").alias(c) for c in docs.columns])
+    return out.filter("lang_pred is null or lang_pred <> 'und'").select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.{c}").alias(c) for c in docs.columns])
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:

@@ -361,7 +361,8 @@ def test_language_id(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in awkward())
     nothing = langid.train(none)
     assert langid.identify(none, nothing).count() == 0
-    assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und", None}
+    assert multiset(langid.keep_identified(docs, nothing).select("doc_id", "text").collect()) == multiset(kept.select("doc_id", "text").collect())
 
 
 def test_forward_backward_is_exact():
