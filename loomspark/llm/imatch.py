@@ -1,14 +1,17 @@
 """I-Match document fingerprints over randomised lexicon subsets (operator 2, native).
 
-Terms (lower-cased words) whose inverse document frequency lies in a band are kept, hashed
-and sorted; the hash of all of them is the classic fingerprint. Besides, every term falls in
-at most one cell per level of a random split of the lexicon, and each cell is a lexicon
-subset whose sorted terms are hashed. A level keeps ``cells`` of ``split`` cells, so fine
-levels hold about one term of a long document per cell: likeness is the share of equal
-subset hashes on the finest level that has enough filled cells.
-
-Document frequencies are counted over all documents, for ``BUCKETS`` hash buckets of terms:
-the table has a fixed size whatever the corpus, and is carried as a literal of so many bytes.
+Terms (lower-cased words) whose inverse document frequency lies in a band are the lexicon: the
+lower edge drops words of most documents, the upper one words of hardly any (typos, ids).
+A document's distinct lexicon terms are hashed and sorted; the hash of all of them is the
+classic fingerprint. Besides, the range of term hashes is split in cells on several levels;
+each kept cell is a random subset of the lexicon whose sorted terms are hashed. Fine levels
+hold about one term of a long document per cell: likeness is the share of equal subset hashes
+on the finest level that has enough filled cells.
+
+Document frequencies are counted per term over all documents by a group-by. A document has T
+distinct terms on average, so at most T * e**upper terms can reach the document frequency of
+the upper edge, however large the corpus: that is the bound of the lexicon, which the driver
+collects and the plan holds as a hash table.
 """
 
 from __future__ import annotations
@@ -18,16 +21,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, free_shuffles, materialize, release, table
 
-BUCKETS = 1 << 15
-IDF_BAND = (2.0, 14.0)
-#: (cells kept, cells split in, bit of the term hash where the cell number starts, most terms).
-#: A document with more terms has no hashes on a coarse level: finer ones have ENOUGH cells then.
-LEVELS = [(192, 4096, 27, None), (96, 1024, 17, None), (64, 256, 9, 1024), (32, 64, 3, 256), (8, 8, 0, 128)]
+IDF_BAND = (2.0, 7.0)
+#: (cells kept, cells that the hash range is split in), fine to coarse.
+LEVELS = [(192, 4096), (96, 1024), (64, 256), (32, 64), (8, 8)]
 ENOUGH = 14
-MAX_RANGES = 2000
-RANGE_ROWS = 4096
+RANGE_ROWS = 500_000
+_KEY = ["nul", "key", "d1", "d2"]
 
 
 def _hashes(text: Column) -> Column:
@@ -35,57 +36,80 @@ def _hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 49).cast("int")
+def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAND) -> list[int]:
+    """Hashes of the terms whose idf ln((n + 1) / df) is in the band; at most T * e**upper, see above."""
+    n = docs.select(F.lit(1)).count()
+    hashes = docs.select(F.explode(_hashes(F.coalesce(F.col(text_col), F.lit("")))).alias("h"))
+    few, many = (n + 1) / math.exp(band[1]), (n + 1) / math.exp(band[0])
+    return sorted(r["h"] for r in hashes.groupBy("h").count().filter((F.col("h") != 0) & (F.col("count") >= few) & (F.col("count") <= many)).select("h").collect())
 
 
-def idf_band(docs: DataFrame, text_col: str, band: tuple[float, float] = IDF_BAND) -> bytes:
-    """One byte per bucket: 1 where its idf is in the band. At most BUCKETS rows reach the driver."""
-    hashes = docs.select(_hashes(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    rows = hashes.select(F.explode(F.array_distinct(F.transform("h", _bucket))).alias("b")).groupBy("b").count().collect()
-    n = docs.select(F.lit(1)).count()
-    out = bytearray(b"\x01" * BUCKETS)
-    for r in rows:
-        out[r["b"]] = band[0] <= math.log((n + 1) / r["count"]) <= band[1]
-    return bytes(out)
+def _slots(kept: list[int]) -> tuple[list[int], list[int], int]:
+    """Two tables of 2**bits places: each hash lies in the place of its low bits in the first or of its
+    next bits in the second (cuckoo hashing), so a lookup reads two places. 0 is an empty place."""
+    bits = max(4, (2 * len(kept)).bit_length())
+    while True:
+        tables, mask, fits = ([0] * (1 << bits), [0] * (1 << bits)), (1 << bits) - 1, True
+        for h in kept:
+            side = 0
+            for _ in range(500):
+                at = (h >> (bits * side)) & mask
+                h, tables[side][at] = tables[side][at], h
+                if not h:
+                    break
+                side = 1 - side
+            fits = fits and not h
+        if fits:
+            return *tables, bits
+        bits += 1
+
 
+def _terms(text: Column, slots: tuple[list[int], list[int], int]) -> Column:
+    """Sorted lexicon terms of a text; all its terms where none is in the lexicon, so that such texts
+    are told apart too."""
+    one, two, bits = slots
+    place = lambda t: F.split(F.lit(",".join(map(str, t))), ",").cast("array<long>")  # noqa: E731  folded to a constant
+    mask = F.lit((1 << bits) - 1).cast("long")
+    a, b = place(one), place(two)
 
-def _terms(text: Column, band: bytes) -> Column:
-    keep = F.lit(bytearray(band))
-    return F.sort_array(F.filter(_hashes(text), lambda h: F.substring(keep, _bucket(h) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))))
+    def known(h):
+        return (F.get(a, h.bitwiseAND(mask).cast("int")) == h) | (F.get(b, F.shiftright(h, bits).bitwiseAND(mask).cast("int")) == h)
 
+    def pick(all_):
+        mine = F.filter(all_, known)
+        return F.sort_array(F.when(F.size(mine) > 0, mine).otherwise(all_))
 
-def _cell(split: int, bit: int):
-    """The cell number of a term hash on a level."""
-    return lambda h: F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(split - 1).cast("long"))
+    return F.transform(F.array(_hashes(text)), pick)[0]
 
 
-def _level_terms(t: Column, cells: int, split: int, bit: int, most: int | None) -> Column:
-    """The terms that fall in a kept cell; coarse levels are for short documents only."""
-    cell = _cell(split, bit)
-    mine = F.filter(t, lambda h: cell(h) < cells)
-    return mine if most is None else F.when(F.size(t) <= most, mine).otherwise(F.expr("cast(array() as array<bigint>)"))
+def _subset_hashes(t: Column, cells: int, split: int) -> Column:
+    """For each kept cell the hash of its terms in order (1 to 32767), 0 where it has none.
 
+    A cell is a range of hashes, so its terms follow each other in the sorted array."""
+    shift = 64 - (split.bit_length() - 1)
+    half = split // 2  # signed order: the cells of negative hashes come first
 
-def _subset_hashes(terms: Column, cells: int, split: int, bit: int, most: int | None) -> Column:
-    """For each kept cell the hash of its sorted terms (1 to 65535), 0 where it has none."""
-    cell = _cell(split, bit)
-    hashed = lambda a: F.when(F.size(a) == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64(a), F.lit(65535)).cast("int") + 1)
+    def subsets(c):
+        def one(i):
+            first = F.array_position(c["cells"], i)
+            last = F.size(c["cells"]) + 1 - F.array_position(c["back"], i)
+            terms = F.slice(c["terms"], first.cast("int"), (last - first + 1).cast("int"))
+            return F.when(first == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64(terms), F.lit(32767)).cast("int") + 1).cast("short")
 
-    def subsets(mine):
-        own = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.filter(mine, lambda h: cell(h) == c))
-        return F.transform(own, hashed)
+        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), one)
 
-    # bound as a lambda variable, the level's terms are found once and not once per cell
-    return F.transform(F.array(_level_terms(terms, cells, split, bit, most)), subsets)[0]
+    def of(mine):
+        cell = F.transform(mine, lambda h: (F.shiftright(h, shift) + F.lit(half)).cast("int"))
+        return F.transform(F.array(F.struct(mine.alias("terms"), cell.alias("cells"), F.reverse(cell).alias("back"))), subsets)[0]
 
+    mine = F.filter(t, lambda h: F.shiftright(h, shift) + F.lit(half) < cells) if cells < split else t
+    return F.transform(F.array(mine), of)[0]
 
-def _with_fingerprint(df: DataFrame, text: str, band: bytes, name: str) -> DataFrame:
-    """Adds ``name``: struct(all: long, cells: array<int>, levels in LEVELS order) for the text column."""
-    t = f"__t_{name}"
-    df = df.withColumn(t, _terms(F.col(text), band))
-    hashed = [_subset_hashes(F.col(t), *level) for level in LEVELS]
-    return df.withColumn(name, F.struct(F.xxhash64(F.col(t)).alias("all"), F.concat(*hashed).alias("cells"))).drop(t)
+
+def fingerprint(text: Column, slots: tuple[list[int], list[int], int]) -> Column:
+    """struct(all: long, cells: array<short>, levels in LEVELS order) of a text."""
+    prints = lambda t: F.struct(F.xxhash64(t).alias("all"), F.concat(*[_subset_hashes(t, *level) for level in LEVELS]).alias("cells"))
+    return F.transform(F.array(_terms(text, slots)), prints)[0]
 
 
 def _text_of(fp: Column) -> Column:
@@ -96,7 +120,7 @@ def _likeness(a: Column, b: Column) -> Column:
     """Share of equal subset hashes on the finest level with enough filled cells (0 to 1)."""
     out, at = None, 1
     found = []
-    for cells, *_ in LEVELS:
+    for cells, _ in LEVELS:
         both = F.zip_with(F.slice(a["cells"], at, cells), F.slice(b["cells"], at, cells), lambda x, y: F.when((x == 0) & (y == 0), F.lit(0)).when(x == y, F.lit(2)).otherwise(F.lit(1)))
         found.append((F.size(F.filter(both, lambda v: v > 0)), F.size(F.filter(both, lambda v: v == 2))))
         at += cells
@@ -106,27 +130,22 @@ def _likeness(a: Column, b: Column) -> Column:
     return F.when(a["all"] == b["all"], F.lit(1.0)).otherwise(out)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Adds next_<column> of the row with the next lower ``key`` (after the least: the greatest).
+def with_next(keys: DataFrame) -> DataFrame:
+    """Adds next (struct of _KEY) to distinct rows with the columns of _KEY: the next row in descending
+    key (nulls last, then by digest), after the last the first.
 
-    Rows are dealt to key ranges (bounds by approximate quantiles, at most MAX_RANGES); the
-    greatest row of each range is copied to the range above it, so that a window inside each
-    range is enough and no task sees the whole table.
-    """
-    n = docs.select(key).count()
-    if not n:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    bounds = sorted(set(docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0])) if ranges > 1 else []
-    at = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    heads = sorted((r[0], r[1]) for r in docs.groupBy(at.alias("__range")).agg(F.max(key)).collect())
-    above = {k: heads[(i + 1) % len(heads)][0] for i, (_, k) in enumerate(heads)}
-    to = F.create_map(*[F.lit(x) for k, r in above.items() for x in (k, r)])
-    rows = docs.select("*", at.cast("int").alias("__range"), F.lit(False).alias("__copy"))
-    copies = docs.filter(F.col(key).isin(list(above))).select("*", to[F.col(key)].cast("int").alias("__range"), F.lit(True).alias("__copy"))
-    w = Window.partitionBy("__range").orderBy(F.col("__copy"), F.col(key).desc(), *[F.col(c) for c in columns[:1]])
-    out = rows.unionByName(copies).withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-    return out.filter(~F.col("__copy")).drop("__range", "__copy")
+    Only keys move: to ranges of about RANGE_ROWS, whose first rows (one per range) follow the
+    last ones of the ranges before."""
+    spark = keys.sparkSession
+    order = [F.col("nul"), F.col("key").desc(), F.col("d1"), F.col("d2")]
+    ranges = keys.count() // RANGE_ROWS + 1
+    dealt = materialize(keys.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "keys")
+    mine = F.struct(*_KEY)
+    w = Window.partitionBy("range").orderBy(*order)
+    heads = [(r["range"], r["first"]) for r in dealt.groupBy("range").agg(F.min_by(mine, F.struct("nul", -F.col("key").cast("decimal(20,0)"), "d1", "d2")).alias("first")).orderBy("range").collect()]
+    after = spark.createDataFrame([(r, heads[(i + 1) % len(heads)][1]) for i, (r, _) in enumerate(heads)], "range int, head struct<nul boolean, key long, d1 long, d2 long>")
+    led = dealt.withColumn("next", F.lead(mine).over(w))
+    return led.join(F.broadcast(after), "range").withColumn("next", F.coalesce("next", "head")).drop("range", "head")  # one row per range
 
 
 def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> DataFrame:
@@ -134,28 +153,41 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
 
     The edited text is the text with its last third (rounded down) replaced by as many first
     characters of the next document in descending doc_id (after the last: the first). A null
-    text counts as empty; texts without a term in the band have the fingerprint of no terms,
-    and such fingerprints are alike (1.0). Null ids come after all others; rows that share an id
-    follow each other by text. Every row gives a row; an empty table gives none. Other columns
-    are not read.
+    text counts as empty; a text with no term of the lexicon is judged by all its terms, and
+    texts without any term are alike (1.0). Null ids come after all others; rows that share an
+    id follow each other by a digest of the text; rows that repeat id and text are one document,
+    whose result each gets. A long text is held whole by one task. An empty table gives no rows.
+    Other columns are not read.
     """
-    lexicon = idf_band(docs, text_col, band)
-    base = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    base = with_next(_with_fingerprint(base, "text", lexicon, "fp"), "key", ["text", "fp"])
-    n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = base.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third)))
-    edited = edited.select("doc_id", n.cast("long").alias("n_chars"), "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fp", "next_fp")
-    done = _with_fingerprint(edited, "edited", lexicon, "efp")
-    return done.select(
-        "doc_id", "n_chars", "edited_sha256",
-        _text_of(F.col("fp")).alias("fingerprint"), _text_of(F.col("efp")).alias("edited_fingerprint"),
+    spark = docs.sparkSession
+    slots = _slots(lexicon(docs, text_col, band))
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    sha = F.sha2(text.cast("binary"), 256)
+    bits = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("long")
+    base = docs.select(key.alias("doc_id"), key.isNull().alias("nul"), F.coalesce(key, F.lit(0).cast("long")).alias("key"), sha.alias("sha"), text.alias("text"))
+    base = base.withColumns({"d1": bits(1), "d2": bits(17)}).drop("sha")
+    prints = base.select("doc_id", *_KEY, F.length("text").cast("long").alias("n"), fingerprint(F.col("text"), slots).alias("fp"))
+    prints = materialize(prints, "prints")  # one row per row of docs; the texts stay behind
+    once = prints.groupBy(*_KEY).agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
+    keys = materialize(once.select(*_KEY, "n"), "distinct")
+    led = materialize(with_next(keys).withColumn("third", F.floor(F.col("n") / 3).cast("int")), "next")
+    release(keys)
+    free_shuffles(spark)
+    at = F.col("next")
+    following = led.select(*_KEY, "third", *[at[c].alias(f"n_{c}") for c in _KEY])
+    texts = base.groupBy(*_KEY).agg(F.first("text").alias("text"))  # both uses share one exchange
+    as_next = lambda df: df.select(*[F.col(c).alias(f"n_{c}") for c in _KEY], *[F.col(c).alias(f"n_{c}") for c in df.columns if c not in _KEY])
+    n_key = [f"n_{c}" for c in _KEY]
+    heads = following.join(as_next(texts), n_key).select(*_KEY, F.substring(F.col("n_text"), F.lit(1), F.col("third")).alias("head"), "third")
+    edited = texts.join(heads, _KEY).select(*_KEY, F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("third")), F.col("head")).alias("edited"))
+    edited = edited.select(*_KEY, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("edited"), slots).alias("efp"))
+    edited = materialize(edited, "edited")
+    free_shuffles(spark)
+    next_fp = following.join(as_next(once.select(*_KEY, "fp")), n_key).select(*_KEY, F.col("n_fp").alias("next_fp"))
+    return prints.join(edited, _KEY).join(next_fp, _KEY).select(
+        "doc_id", F.col("n").alias("n_chars"), "edited_sha256", _text_of(F.col("fp")).alias("fingerprint"), _text_of(F.col("efp")).alias("edited_fingerprint"),
         _likeness(F.col("fp"), F.col("efp")).alias("near_edited"), _likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-    )
+    )
 
 
 def op2_imatch(spark, sf_dir: str) -> DataFrame:

@@ -296,31 +296,85 @@ def test_packing_scores_all_words_of_the_seed():
     assert index.neighbour(0) > 51 and index.score[index.neighbour(0)] > 0  # by the word 77 alone, the 51st by idf
 
 
-def test_imatch(docs, none):
-    got = imatch.imatch(docs).collect()
-    rows = [(r[0], r[1] or "") for r in awkward()]
-    assert len(got) == len(rows)
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1]))
-    want = []
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def spark_hash(numbers):
+    import xxhash
+
+    h = 42
+    for x in numbers:
+        h = xxhash.xxh64_intdigest((x & ((1 << 64) - 1)).to_bytes(8, "little"), h)
+    return signed(h)
+
+
+def plain_imatch(rows, band):
+    """The operator from its definition: {(doc_id, text): (n_chars, sha, fingerprint, edited fingerprint, near_edited, near_next)}."""
+    import re
+
+    import xxhash
+
+    terms = lambda t: {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w}
+    df = Counter(h for _, t in rows for h in terms(t))
+    kept = {h for h, c in df.items() if band[0] <= math.log((len(rows) + 1) / c) <= band[1]}
+
+    def prints(t):
+        mine = sorted(terms(t) & kept) or sorted(terms(t))
+        cells = []
+        for many, split in imatch.LEVELS:
+            of = defaultdict(list)
+            for h in mine:
+                of[(h >> (65 - split.bit_length())) + split // 2].append(h)
+            cells.append([spark_hash(of[c]) % 32767 + 1 if c in of else 0 for c in range(many)])
+        return spark_hash(mine), cells
+
+    def likeness(a, b):
+        if a[0] == b[0]:
+            return 1.0
+        for x, y in zip(a[1], b[1], strict=True):
+            filled = [(i, j) for i, j in zip(x, y, strict=True) if i or j]
+            if len(filled) >= imatch.ENOUGH:
+                break
+        return sum(i == j for i, j in filled) / max(1, len(filled))
+
+    text_of = lambda f: f"{f[0] & ((1 << 64) - 1):016x}" + "".join(f"{c:04x}" for level in f[1] for c in level)
+    sha = lambda t: hashlib.sha256(t.encode()).digest()
+    order = sorted(set(rows), key=lambda r: (r[0] is None, -(r[0] or 0), *[int.from_bytes(sha(r[1])[i : i + 8], "big", signed=True) for i in (0, 8)]))
+    out = {}
     for i, (d, t) in enumerate(order):
-        n = len(t) // 3
-        nxt = order[(i + 1) % len(order)][1]
-        want.append((d, len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()))
-    assert multiset((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == multiset(want)
-    prints = defaultdict(set)
-    for r, t in ((r, t) for r in got for d, t in rows if d == r["doc_id"] and [x[0] for x in rows].count(d) == 1):
-        prints[t].add(r["fingerprint"])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert all(len(v) == 1 for v in prints.values())
+        n, nxt = len(t) // 3, order[(i + 1) % len(order)][1]
+        edited = t[: len(t) - n] + nxt[:n]
+        f, e, g = prints(t), prints(edited), prints(nxt)
+        out[d, t] = (d, len(t), sha(edited).hex(), text_of(f), text_of(e), likeness(f, e), likeness(f, g))
+    return out, len(kept), len(df)
+
+
+@pytest.mark.parametrize("band", [(1.0, 3.2), (2.0, 7.0)])
+def test_imatch(docs, none, band):
+    rows = [(r[0], r[1] or "") for r in awkward()]
+    want, kept, all_ = plain_imatch(rows, band)
+    assert 0 < kept < all_
+    got = imatch.imatch(docs, band=band).collect()
+    assert multiset(got) == multiset(want[r] for r in rows)
     assert imatch.imatch(none).count() == 0
 
 
+def test_both_edges_of_the_band_drop_terms(spark):
+    df = spark.createDataFrame([(i, f"all {'some' if i % 20 == 0 else 'most'} w{i}") for i in range(2000)], "doc_id long, text string")
+    import xxhash
+
+    assert imatch.lexicon(df, "text") == [signed(xxhash.xxh64_intdigest(b"some", 42))]
+
+
 def test_next_over_ranges_is_the_global_order(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
-    ids = random.Random(2).sample(range(1000), 60)
-    got = {r["key"]: r["next_text"] for r in imatch.with_next(spark.createDataFrame([(i, f"t{i}") for i in ids], "key long, text string"), "key", ["text"]).collect()}
-    order = sorted(ids, reverse=True)
-    assert got == {i: f"t{order[(k + 1) % 60]}" for k, i in enumerate(order)}
+    rng = random.Random(2)
+    keys = [(False, i, 5, 6) for i in rng.sample(range(1000), 40)] + [(True, 0, rng.getrandbits(40), i) for i in range(30)] + [(False, -(1 << 63), i, 1) for i in range(9)]
+    rows = spark.createDataFrame(keys, "nul boolean, key long, d1 long, d2 long")
+    got = {tuple(r)[:4]: tuple(r["next"]) for r in imatch.with_next(rows).collect()}
+    order = sorted(keys, key=lambda k: (k[0], -k[1], k[2], k[3]))
+    assert got == {k: order[(i + 1) % len(order)] for i, k in enumerate(order)}
 
 
 def test_edited_texts_are_nearer_than_the_next(spark):
