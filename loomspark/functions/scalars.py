@@ -26,9 +26,87 @@ def base_url(c: Column) -> Column:
 
 
 def url_join(base: Column, href: Column) -> Column:
-    """Absolute, host-relative and sibling references."""
-    folder = F.regexp_replace(base, "[^/]*$", "")
-    return F.when(href.rlike("^https?://"), href).when(href.startswith("/"), F.concat(base_url(base), href)).otherwise(F.concat(folder, href))
+    """The address that ``href`` stands for on the page ``base``: absolute, ``//host``, host-relative,
+    ``?query``, ``#part`` and relative references, with ``.`` and ``..`` steps taken."""
+    page = F.regexp_replace(base, "#.*$", "")
+    bare = F.regexp_replace(page, r"\?.*$", "")
+    rest = F.regexp_extract(bare, "^https?://[^/]+(.*)$", 1)
+    target = F.regexp_extract(href, "^([^?#]*)", 1)
+    tail = F.substring(href, F.length(target) + 1, F.length(href))
+    path = F.when(target.startswith("/"), target).otherwise(F.concat(F.regexp_replace(F.when(rest == "", "/").otherwise(rest), "[^/]*$", ""), target))
+    steps = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+
+    def walk(done, x):
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", done).otherwise(F.array_append(done, x))
+
+    walked = F.aggregate(steps, F.array().cast("array<string>"), walk)
+    folder = F.when(F.element_at(steps, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise("")
+    joined = F.concat(base_url(base), F.lit("/"), F.array_join(walked, "/"), folder, tail)
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href))
+        .when(href == "", base).when(href.startswith("#"), F.concat(page, href)).when(href.startswith("?"), F.concat(bare, href)).otherwise(joined)
+    )
+
+
+def unescape(c: Column) -> Column:
+    """The signs that ``xhtml_escape`` and usual markup escape."""
+    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(safe), F.lit(raw))
+    return c
+
+
+def plain_text(body: Column) -> Column:
+    """The paragraphs of a chapter body, unescaped, with a blank line between."""
+    return F.array_join(F.transform(F.regexp_extract_all(body, F.lit("(?s)<p>(.*?)</p>"), 1), unescape), "\n\n")
+
+
+def cache_name(ident: Column, n: Column) -> Column:
+    """The name of a captured chapter page."""
+    return F.concat(ident, F.lit("_"), n.cast("string"), F.lit(".html"))
+
+
+def timestamp_text(ts: Column) -> Column:
+    """A point in time as ISO 8601 in UTC, to the second."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def site_and_id(c: Column) -> Column:
+    """struct(site, id) of SITE:ID, cut at the first colon; text without a colon is an error."""
+    at = F.instr(c, ":")
+    wrong = F.raise_error(F.concat(F.lit("not SITE:ID: "), c)).cast("string")
+    return F.struct(F.when(at == 0, wrong).otherwise(F.substring(c, F.lit(1), at - 1)).alias("site"), F.substring(c, at + 1, F.length(c)).alias("id"))
+
+
+def progress_line(n: Column, total: Column, title: Column, chars: int = 50) -> Column:
+    """``[ 12%] 3/25 title``, with the first characters of the title."""
+    percent = F.floor(n * 100 / total).cast("int")
+    return F.concat(F.lit("["), F.lpad(percent.cast("string"), 3, " "), F.lit("%] "), n.cast("string"), F.lit("/"), total.cast("string"), F.lit(" "), F.substring(title, 1, chars))
+
+
+def truthy(c: Column) -> Column:
+    """Whether a setting says yes."""
+    return F.coalesce(F.lower(F.trim(c)).isin("1", "true", "yes", "on"), F.lit(False))
+
+
+def vector_of_bytes(blob: Column) -> Column:
+    """array<float> of little-endian 32-bit floats; trailing bytes that make no float are left out."""
+    word = lambda i: F.conv(F.array_join(F.transform(F.sequence(F.lit(4), F.lit(1), F.lit(-1)), lambda j: F.hex(F.substring(blob, i * 4 + j, F.lit(1)))), ""), 16, 10).cast("long")
+
+    def value(bits):
+        sign = F.when(F.shiftright(bits, 31).bitwiseAND(F.lit(1).cast("long")) == 1, -1.0).otherwise(1.0)
+        power = F.shiftright(bits, 23).bitwiseAND(F.lit(255).cast("long")).cast("int")
+        part = bits.bitwiseAND(F.lit(0x7FFFFF).cast("long")).cast("double")
+        usual = sign * (1 + part / float(1 << 23)) * F.pow(F.lit(2.0), power - 127)
+        return F.when(power == 0, sign * part * 2.0**-149).when(power == 255, F.when(part == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))).otherwise(usual).cast("float")
+
+    n = F.floor(F.length(blob) / 4).cast("int")
+    return F.when(n == 0, F.array().cast("array<float>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.array(word(i)), value)[0]))
+
+
+def literal_pattern(needle: str) -> str:
+    """A pattern that finds the needle itself; case is ignored, also beyond ASCII."""
+    return "(?iu)" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in needle)
 
 
 def xhtml_escape(c: Column) -> Column:
@@ -99,7 +177,7 @@ def snippets(text: Column, needle: str, context: int) -> Column:
 
     A match is at least as long as the needle, so a few pieces around it hold all its context;
     the work is linear in the number of matches."""
-    pattern = "(?iu)" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in needle)
+    pattern = literal_pattern(needle)
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     reach = -(-context // max(1, len(needle)))
     heads = F.zip_with(F.array_prepend(hits, ""), parts, lambda h, p: F.concat(h, p))

@@ -54,38 +54,71 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.coalesce("w", F.lit(0.0)) / m - (F.col("k") / (2 * m)) * (F.col("k") / (2 * m))).alias("modularity"))
 
 
+def _moved(adj: dict, own: dict) -> dict:
+    """Node to community after local moving until no move gains; ``own`` is a node's weight inside itself."""
+    degree = {n: sum(x.values()) + 2 * own.get(n, 0.0) for n, x in adj.items()}
+    total = sum(degree.values()) or 1.0
+    com = {n: n for n in adj}
+    mass = dict(degree)
+    for _ in range(100):
+        moved = False
+        for n in sorted(adj):
+            links: dict = {com[n]: 0.0}
+            for v, w in adj[n].items():
+                links[com[v]] = links.get(com[v], 0.0) + w
+            mass[com[n]] -= degree[n]
+            gain = {c: w - mass[c] * degree[n] / total for c, w in links.items()}
+            best = min(gain, key=lambda c: (-gain[c], c))
+            if gain[best] > gain[com[n]] + 1e-12:
+                com[n], moved = best, True
+            mass[com[n]] += degree[n]
+        if not moved:
+            break
+    return com
+
+
+def levels(weights: dict) -> dict:
+    """Node to community by local moving on the graph, then on the graph of its communities, and so on."""
+    adj: dict = {}
+    for (a, b), w in weights.items():
+        adj.setdefault(a, {})[b] = adj.setdefault(b, {})[a] = w
+    at, own = {n: n for n in adj}, {}
+    while True:
+        com = _moved(adj, own)
+        if len(set(com.values())) == len(adj):
+            return at
+        at = {n: com[c] for n, c in at.items()}
+        up, inside = {c: {} for c in com.values()}, {c: 0.0 for c in com.values()}
+        for n, x in adj.items():
+            inside[com[n]] += own.get(n, 0.0)
+            for v, w in x.items():
+                if com[n] == com[v]:
+                    inside[com[n]] += w / 2
+                else:
+                    up[com[n]][com[v]] = up[com[n]].get(com[v], 0.0) + w
+        adj, own = up, inside
+
+
 def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, community) by greedy local moving of modularity; isolated nodes are their own.
+    """(node, community) by modularity on several levels; isolated nodes are their own.
 
-    The tag graph is a dimension (its edges are grouped in one task); the corpus is not."""
+    No community spans components, so each connected component is a task of its own. The tag graph
+    is a dimension (a component fits in memory); the corpus behind it is not."""
 
     def move(pdf):
         import pandas as pd
 
-        adj: dict = {}
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"], strict=True):
-            adj.setdefault(a, {})[b] = adj.setdefault(b, {})[a] = float(w)
-        deg = {n: sum(x.values()) for n, x in adj.items()}
-        two_m = sum(deg.values()) or 1.0
-        com = {n: i for i, n in enumerate(sorted(adj))}
-        tot = {com[n]: deg[n] for n in adj}
-        for _ in range(50):
-            moved = False
-            for n in sorted(adj):
-                links: dict = {}
-                for v, w in adj[n].items():
-                    links[com[v]] = links.get(com[v], 0.0) + w
-                tot[com[n]] -= deg[n]
-                best = max(sorted(links), key=lambda c: links[c] - tot.get(c, 0.0) * deg[n] / two_m)
-                gain = lambda c: links.get(c, 0.0) - tot.get(c, 0.0) * deg[n] / two_m  # noqa: E731, B023
-                if gain(best) > gain(com[n]) + 1e-12:
-                    com[n], moved = best, True
-                tot[com[n]] = tot.get(com[n], 0.0) + deg[n]
-            if not moved:
-                break
-        return pd.DataFrame({"node": list(com), "com": [com[n] for n in com]})
-
-    found = edges.groupBy(F.lit(1).alias("g")).applyInPandas(move, "node string, com long")
+        com = levels({(a, b): float(w) for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"], strict=True)})
+        return pd.DataFrame({"node": list(com), "com": list(com.values())})
+
+    parts = components(edges).select(F.col("node").alias("a"), "root")
+    found = edges.join(parts, "a").groupBy("root").applyInPandas(move, "node string, com string")
+    found = materialize(found, "communities")
     named = nodes.select(F.col("node").cast("string").alias("node")).distinct().join(found, "node", "left")
     first = found.groupBy("com").agg(F.min("node").alias("name"))
     return named.join(first, "com", "left").select("node", F.coalesce("name", "node").alias("community"))
+
+
+def community_counts(membership: DataFrame) -> DataFrame:
+    """One row (n_tags, n_communities)."""
+    return membership.agg(F.count(F.lit(1)).alias("n_tags"), F.countDistinct("community").alias("n_communities"))

@@ -40,15 +40,45 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0)).when((sect > 0) & ((la == 0) | (lb == 0)), F.lit(100.0)).otherwise(full)
 
 
+#: Letters are counted in so many groups for the bound on common subsequences.
+LETTER_GROUPS = 32
+
+
+def _sides(df: DataFrame, col: str) -> DataFrame:
+    """Distinct non-empty titles with their tokens, joined length and letter counts."""
+    t = df.select(col).distinct().withColumn("t", tokens(F.col(col))).filter(F.size("t") > 0)
+    whole = F.array_join("t", " ")
+    groups = F.transform(F.split(whole, ""), lambda c: F.pmod(F.ascii(c), F.lit(LETTER_GROUPS)))
+    counts = F.transform(F.array(groups), lambda g: F.transform(F.sequence(F.lit(0), F.lit(LETTER_GROUPS - 1)), lambda i: F.size(F.filter(g, lambda x: x == i))))[0]
+    return t.select(col, "t", F.length(whole).alias("len"), counts.alias("letters"))
+
+
+def _rare_words(side: DataFrame, col: str, df: DataFrame) -> DataFrame:
+    """The rarest words of each title that make up more than 4/7 of it (a word weighs its length + 1).
+
+    A title of which shared words are 3/7 or more shares one of these."""
+    w = Window.partitionBy(col).orderBy("df", "w").rowsBetween(Window.unboundedPreceding, -1)
+    words = side.select(col, F.explode("t").alias("w")).join(df, "w").withColumn("weight", F.length("w") + 1)
+    before = F.coalesce(F.sum("weight").over(w), F.lit(0))
+    whole = F.sum("weight").over(Window.partitionBy(col))
+    return words.withColumn("before", before).withColumn("whole", whole).filter(F.col("before") * 7 <= F.col("whole") * 4).select(col, "w")
+
+
 def candidate_pairs(titles: DataFrame, names: DataFrame) -> DataFrame:
-    """Distinct (title, name) pairs that can score FLOOR: those that share a word, and those whose
-    lengths allow it (score <= 200 * min / (la + lb)). Two equi-joins, no cross join."""
-    size = lambda c: F.length(F.array_join(tokens(F.col(c)), " "))
-    t, m = titles.select("title").distinct(), names.select("name").distinct()
-    word = t.select("title", F.explode(tokens(F.col("title"))).alias("w")).join(m.select("name", F.explode(tokens(F.col("name"))).alias("w")), "w").select("title", "name")
-    tl = t.select("title", size("title").alias("la")).filter("la > 0")
-    reach = tl.select("title", F.explode(F.sequence(F.ceil(F.col("la") * 3 / 7).cast("int"), F.floor(F.col("la") * 7 / 3).cast("int"))).alias("lb"))
-    return word.union(reach.join(m.select("name", size("name").alias("lb")), "lb").select("title", "name")).distinct()
+    """Distinct (title, name) pairs that can score FLOOR; none that does is left out.
+
+    Of the three ratios behind the score, two need shared words to be at least 3/7 of one side:
+    those pairs meet on that side's rarest words, so common words join nothing by themselves. The
+    third needs a common subsequence of 0.3 times both lengths: those pairs meet on lengths that
+    allow it and must have as many letters in common, which the join checks row by row."""
+    a, b = _sides(titles, "title"), _sides(names, "name")
+    seen = a.select(F.explode("t").alias("w")).unionAll(b.select(F.explode("t").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    words = lambda s, c: s.select(c, F.explode("t").alias("w"))
+    by_word = _rare_words(a, "title", seen).join(words(b, "name"), "w").select("title", "name").union(words(a, "title").join(_rare_words(b, "name", seen), "w").select("title", "name"))
+    reach = a.select("title", "len", "letters", F.explode(F.sequence(F.ceil(F.col("len") * 3 / 7).cast("int"), F.floor(F.col("len") * 7 / 3).cast("int"))).alias("size"))
+    common = F.aggregate(F.zip_with("letters", "others", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    by_length = reach.join(b.select("name", F.col("len").alias("size"), F.col("letters").alias("others")), "size").filter(common * 10 >= (F.col("len") + F.col("size")) * 3).select("title", "name")
+    return by_word.union(by_length).distinct()
 
 
 def _each(df: DataFrame, col: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 
 def breaker(df: DataFrame, k: int = 3, key: str = "key", n: str = "n", ok: str = "ok") -> DataFrame:
     """key, stopped_at (start of the first run of ``k`` failures, or null), attempted, failed (sorted).
@@ -29,11 +31,48 @@ def trailing_run(df: DataFrame, key: str = "key", n: str = "n", ok: str = "ok")
     return last.select(key, (F.col("__n") - F.col("__ok")).alias("run"))
 
 
+def numbered(df: DataFrame, order: list, name: str = "pos", start: int = 1, rows: int = 1_000_000) -> DataFrame:
+    """Adds a gapless long number in the order of the columns ``order`` (they should tell rows apart).
+
+    A range-partitioned sort of about ``rows`` rows a range; only a count per range reaches the
+    driver, so no task sees the whole table."""
+    ranges = df.count() // rows + 1
+    dealt = materialize(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "numbered")
+    counts = sorted((r["__range"], r["count"]) for r in dealt.groupBy("__range").count().collect())
+    offsets, total = [], start - 1
+    for at, n in counts:
+        offsets.append((at, total))
+        total += n
+    first = df.sparkSession.createDataFrame(offsets, "__range int, __first long")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__at", within).join(F.broadcast(first), "__range").withColumn(name, (F.col("__first") + F.col("__at")).cast("bigint")).drop("__range", "__at", "__first")  # a row per range
+
+
 def interleave(df: DataFrame, bucket: str, order: str) -> DataFrame:
     """Adds pos: item k of a bucket of N stands at the k-th partial sum of 1/N (in double, like a
     counter that is stepped), ties by bucket, then by place in it."""
     w = Window.partitionBy(bucket).orderBy(order)
     n = F.count(F.lit(1)).over(Window.partitionBy(bucket))
-    out = df.withColumn("__one", F.lit(1.0) / n).withColumn("__at", F.sum("__one").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__k", F.row_number().over(w))
-    # the queue is a bounded batch for people, so one partition orders it
-    return out.withColumn("pos", F.row_number().over(Window.orderBy("__at", bucket, "__k")).cast("bigint")).drop("__one", "__at", "__k")
+    out = df.withColumn("__one", F.lit(1.0) / n).withColumn("__mark", F.sum("__one").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__k", F.row_number().over(w))
+    return numbered(out, ["__mark", bucket, "__k"]).drop("__one", "__mark", "__k")
+
+
+def first_open(queue: DataFrame, order: str, skipped, otherwise=None, by: list[str] | None = None, key: str = "id") -> DataFrame:
+    """The first row of ``queue`` whose key is not skipped; with none left, the first of ``otherwise()`` by ``by``."""
+    left = queue.filter(~F.col(key).isin(list(skipped))).orderBy(order).limit(1)
+    if otherwise is None or left.count():
+        return left
+    return otherwise().filter(~F.col(key).isin(list(skipped))).orderBy(*by).limit(1)
+
+
+def seed_queue(u: DataFrame, target: int = 200) -> DataFrame:
+    """(id, bucket, pos) of (id, cluster_id; -1: outlier): equal shares of the clusters and a proportional
+    share of the outliers, interleaved. Three counts reach the driver."""
+    n_real, outliers, n = u.agg(F.countDistinct(F.when(F.col("cluster_id") != -1, F.col("cluster_id"))), F.count_if(F.col("cluster_id") == -1), F.count(F.lit(1))).first()
+    per = max(1, target // max(1, n_real))
+    ranked = u.withColumn("rn", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id")))
+    real = numbered(ranked.filter((F.col("cluster_id") != -1) & (F.col("rn") <= per)), ["rn", "cluster_id"], "k").select("id", F.lit(1).alias("bucket"), "k")
+    taken, share = real.count(), outliers / n if n else 0.0
+    quota = round(taken * share / (1 - share)) if 0 < share < 1 else outliers
+    out = ranked.filter((F.col("cluster_id") == -1) & (F.col("rn") <= quota)).select("id", F.lit(0).alias("bucket"), F.col("rn").cast("bigint").alias("k"))
+    return interleave(out.unionByName(real), "bucket", "k").select("id", "bucket", "pos")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +40,9 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], replaced: list[st
 
 
 def merge_metadata(base: DataFrame, delta: DataFrame, key: str, coalesced: list[str]) -> DataFrame:
-    """Overwrites the delta's columns even with null, save ``coalesced``, which keep the old value."""
+    """Overwrites the delta's columns even with null, save ``coalesced``, which keep the old value.
+
+    A key of the delta that the base lacks is an error when the result is read."""
     d = delta.select(key, *[F.col(c).alias(f"__d_{c}") for c in delta.columns if c != key], F.lit(True).alias("__hit"))
     cols = []
     for c in base.columns:
@@ -47,7 +52,10 @@ def merge_metadata(base: DataFrame, delta: DataFrame, key: str, coalesced: list[
             cols.append(F.coalesce(f"__d_{c}", c).alias(c))
         else:
             cols.append(F.when(F.col("__hit"), F.col(f"__d_{c}")).otherwise(F.col(c)).alias(c))
-    return base.join(d, key, "left").select(*cols)
+    lost = d.join(base.select(key).distinct(), key, "left_anti").select(F.raise_error(F.concat(F.lit("unknown key "), F.col(key).cast("string"))).cast("string").alias("__lost"))
+    checked = base.join(d, key, "left").select(*cols)
+    # an aggregate without groups gives one row, with the count 0, or fails
+    return checked.withColumn("__lost", F.lit(0).cast("bigint")).join(F.broadcast(lost.agg(F.count("__lost").alias("__lost"))), "__lost").drop("__lost")
 
 
 def dictionary(names: DataFrame, known: DataFrame, name: str = "name", number: str = "id") -> DataFrame:
@@ -57,3 +65,93 @@ def dictionary(names: DataFrame, known: DataFrame, name: str = "name", number: s
     new = names.select(name).distinct().join(known, name, "left_anti")
     top = known.agg(F.coalesce(F.max(number), F.lit(0)).alias("top")).first()["top"]
     return known.select(number, name).unionByName(new.select((F.row_number().over(Window.orderBy(name)) + top).cast("bigint").alias(number), name))
+
+
+def undo(df: DataFrame, key: str, when: str) -> DataFrame:
+    """``df`` without the row that was written last (one aggregate; ties go by the greatest key)."""
+    last = df.agg(F.max_by(key, F.struct(when, key)).alias(key))
+    return df.join(F.broadcast(last), key, "left_anti")  # one row
+
+
+def add(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``base`` and the new rows; a key that is there already is an error when the result is read."""
+    twice = new.join(base.select(*keys, F.lit(True).alias("__there")).distinct(), keys, "left")
+    fail = F.raise_error(F.concat_ws(" ", F.lit("already there:"), *[F.col(k).cast("string") for k in keys]))
+    checked = twice.withColumn(keys[0], F.when(F.col("__there"), fail.cast(new.schema[keys[0]].dataType)).otherwise(F.col(keys[0])))
+    return base.unionByName(checked.drop("__there").select(*new.columns))
+
+
+def remove(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    return base.join(gone.select(*keys), keys, "left_anti")
+
+
+def append_new(path: str, rows: DataFrame, keys: list[str]) -> int:
+    """Appends the rows whose keys the Parquet table at ``path`` lacks (a cache of captured pages) and
+    says how many; the first call makes the table."""
+    spark = rows.sparkSession
+    try:
+        rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    n = rows.count()
+    if n:
+        rows.write.mode("append").parquet(path)
+    return n
+
+
+def save(df: DataFrame, path: str) -> str:
+    """Writes a snapshot in a new folder under ``path`` and then names it in the file CURRENT, in one
+    rename: a reader sees the old snapshot or the new one, never half of one."""
+    spark = df.sparkSession
+    name = f"snapshot-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    jvm = spark._jvm
+    here = jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(here.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    fresh = jvm.org.apache.hadoop.fs.Path(here, f"{name}.name")
+    fs = here.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = fs.create(fresh)
+    out.write(name.encode())
+    out.close()
+    rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = rename
+    files.rename(fresh, jvm.org.apache.hadoop.fs.Path(here, "CURRENT"), options)
+    return name
+
+
+def load(spark, path: str, schema: T.StructType | str) -> DataFrame:
+    """The snapshot that CURRENT names; an empty table where there is none."""
+    jvm = spark._jvm
+    current = jvm.org.apache.hadoop.fs.Path(path, "CURRENT")
+    fs = current.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(current):
+        return spark.createDataFrame([], schema)
+    name = spark.read.text(f"{path}/CURRENT").first()[0]
+    return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+
+def load_json(spark, path: str, schema: str) -> DataFrame:
+    """A JSON document as rows; a missing file is an empty table, broken JSON or a wrong shape an error."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+#: Checks in a row without progress after which a title is switched off.
+IDLE_CHECKS = 3
+
+
+def check_states(tracked: DataFrame, dry: bool = False, idle_checks: int = IDLE_CHECKS) -> DataFrame:
+    """Adds status, fetched and idle to rows with last_known, seen (chapters now; null: could not be
+    told), failing (has failed chapters), retried (of those, got this time), stopped_at and idle."""
+    delta = F.col("seen") - F.col("last_known")
+    news = F.coalesce(F.col("stopped_at") - 1, F.col("seen")) - F.col("last_known")
+    fetched = F.greatest(F.when(delta > 0, news).when(F.col("failing"), F.col("retried")).otherwise(0), F.lit(0)).cast("bigint")
+    quiet = F.col("seen").isNull() | ((delta <= 0) & ~F.col("failing"))
+    idle = F.when(quiet | F.lit(dry), F.col("idle")).when(fetched > 0, 0).otherwise(F.col("idle") + 1).cast("bigint")
+    status = F.when(F.col("seen").isNull(), "error").when(quiet, "unchanged").when(F.lit(dry), "dry-run").when(fetched > 0, "updated").when(idle >= idle_checks, "disabled").otherwise("no-progress")
+    return tracked.withColumns({"status": status, "fetched": fetched, "__idle": idle}).drop("idle").withColumnRenamed("__idle", "idle")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, learning
 from ..sources import epub, html
+from ..sources.site import ChapterRules, IndexRules, SearchRules, Site
 from .base import chapters, items, query, read
+from .pipelines import dedupe_longest_title
 from .pipelines import training_set as _training
 
 
@@ -60,6 +62,16 @@ def core_distance(spark, d):
     return learning.core_distance(vectors(spark, d), 5).select("id", F.round("core", 5).alias("core"))
 
 
+@query("tag_community_counts")
+def tag_community_counts(spark, d):
+    return graph.community_counts(tag_communities(spark, d))
+
+
+@query("cluster_map")
+def cluster_map(spark, d):
+    return learning.cluster_map(vectors(spark, d))
+
+
 @query("density_clusters")
 def density_clusters(spark, d):
     return learning.density_clusters(vectors(spark, d), 30)
@@ -94,7 +106,9 @@ def margin_rank(spark, d):
 
 @query("embed_hashing")
 def embed_hashing(spark, d):
-    return learning.hashed_vectors(items(spark, d).filter("synopsis is not null").select("id", F.col("synopsis").alias("text")))
+    """Vectors for the synopses that have none yet."""
+    texts = items(spark, d).filter("synopsis is not null").select("id", F.col("synopsis").alias("text"))
+    return learning.encode(texts, vectors(spark, d).filter("id % 2 = 0"))
 
 
 _BASE = "https://books.example/list/"
@@ -108,19 +122,42 @@ def _parts(spark, d):
     return read(spark, d, "part").withColumn("k", F.col("p_partkey").cast("string"))
 
 
-@query("html_catalog_cards", "SELECT p_partkey AS id, p_name || ' & co' AS title, 'https://books.example/novel/' || p_partkey::VARCHAR || '.html' AS url, p_partkey::VARCHAR AS chapter_id, p_size AS chapters, p_type AS status, '3 days ago' AS updated_text FROM part")
+#: A site as data; its pages are made inside the queries.
+SITE = Site(
+    key="books", domains=("books.example",),
+    index=IndexRules(link=r"/novel/([^/]+?)_\d+\.html", page=r"/novel/([^/]+?)\.html", number=r"_(\d+)\.html", count=r"(\d+)\s+[Cc]hapters?"),
+    chapter=ChapterRules(address="{base}/novel/{id}_{n}.html", paragraphs="div.chapter-content p", phrases=("advert",)),
+    search=SearchRules(address="https://books.example/find", base="https://books.example", item="li.hit", link='a[href^="/novel/"]', chapters=r"(\d+)\s+Chapters?", parameter="words", more={"show": "title"}),
+    hooks={"metadata": html.metadata},
+)
+
+
+def _made(spark, d, page, step, schema, many: bool = False):
+    """(id, error, parsed) of pages made from part."""
+    pages = _parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base"))
+    return html.extract(pages, step, schema, many=many)
+
+
+_CARD = "title:string,url:string,chapter_id:string,chapters:int,status:string,updated_text:string"
+
+
+@query("html_catalog_cards", """SELECT p_partkey AS id, p_name || ' & co' AS title, 'https://books.example/novel/' || p_partkey::VARCHAR || '.html' AS url, p_partkey::VARCHAR AS chapter_id,
+  CASE WHEN p_partkey % 4 <> 0 THEN p_size ELSE -1 END AS chapters, p_type AS status, CASE WHEN p_partkey % 3 <> 0 THEN '3 days Ago' END AS updated_text FROM part""")
 def html_catalog_cards(spark, d):
-    p = _parts(spark, d)
-    page = _page(['<ul><li class="novel-item"><b>no link</b></li><li class="novel-item"><a title="', F.col("p_name"), ' &amp; co" href="/novel/', F.col("k"), '.html">x</a><span><i>@</i>', F.col("p_size").cast("string"), ' Chapters</span><span class="status">', F.col("p_type"), "</span><span>3 days ago</span></li></ul>"])
-    got = html.extract(p.select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "cards", "title:string,url:string,chapter_id:string,chapters:int,status:string,updated_text:string", many=True)
-    return got.select("id", F.inline("parsed"))
+    when = F.when(F.col("p_partkey") % 3 != 0, '<div class="novel-stats"><span><i class="icon">update</i> 3 days Ago</span></div>').otherwise("")
+    size = F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit('<div class="novel-stats"><span><i class="icon">book</i> '), F.col("p_size").cast("string"), F.lit(" chapters</span></div>"))).otherwise("")
+    page = _page(['<ul><li class="novel-item"><b>no link</b></li><li class="novel-item"><a title="', F.col("p_name"), ' &amp; co" href="/novel/', F.col("k"), '.html"><h4 class="novel-title">x</h4>', size, '<div class="novel-stats">Status: <span class="status">', F.col("p_type"), "</span></div>", when, "</a></li></ul>"])
+    return _made(spark, d, page, "cards", _CARD, many=True).select("id", F.inline("parsed")).fillna({"chapters": -1})
 
 
-@query("html_metadata", "SELECT p_partkey AS id, p_name AS alt_title, p_brand AS author, '4.5' AS rating, p_type AS status, [p_brand, p_type] AS genres, p_name || chr(10) || chr(10) || p_type AS synopsis FROM part")
+@query("html_metadata", """SELECT p_partkey AS id, p_name AS alt_title, p_brand AS author, '4.5' AS rating, CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS status, [p_brand, p_type] AS genres,
+  CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE p_name || chr(10) || chr(10) || p_type END AS synopsis FROM part""")
 def html_metadata(spark, d):
-    page = _page(['<h2 class="alternative-title">', F.col("p_name"), '</h2><div class="author"><a>', F.col("p_brand"), '</a></div><strong class="nub">4.5</strong><span><strong>', F.col("p_type"), '</strong><small>Status</small></span><div class="categories"><a>', F.col("p_brand"), "</a><a>", F.col("p_type"), '</a></div><div class="summary"><p>', F.col("p_name"), "</p><p> </p><p>", F.col("p_type"), "</p></div>"])
-    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "metadata", "alt_title:string,author:string,rating:string,status:string,genres:array<string>,synopsis:string")
-    return got.select("id", "parsed.*")
+    stat = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("<span><strong>old</strong><small>Status</small></span><span><strong>"), F.col("p_type"), F.lit("</strong><small>status</small></span>"))).otherwise("")
+    about = F.when(F.col("p_partkey") % 7 == 0, F.col("p_name")).otherwise(F.concat(F.lit("<p>"), F.col("p_name"), F.lit("</p><p> </p><p>"), F.col("p_type"), F.lit("</p>")))
+    page = _page(['<h2 class="alternative-title">', F.col("p_name"), '</h2><div class="author"><span>Author:</span><span itemprop="author">', F.col("p_brand"), '</span></div><div class="rating"><strong>4.5</strong></div><div class="header-stats"><span><strong>9</strong><small>Views</small></span>', stat,
+                  '</div><div class="categories"><ul><li><a>', F.col("p_brand"), "</a></li><li><a>", F.col("p_type"), '</a></li></ul><a>more</a></div><div class="summary"><p>Summary</p><div class="content">', about, "</div></div>"])
+    return _made(spark, d, page, SITE.parser("metadata"), "alt_title:string,author:string,rating:string,status:string,genres:array<string>,synopsis:string").select("id", "parsed.*")
 
 
 @query("html_listing_links", "SELECT p_partkey AS id, p_name AS title, '/series/' || p_partkey::VARCHAR AS url, p_partkey % 2 = 0 AS has_next FROM part")
@@ -143,27 +180,63 @@ def html_index_parse(spark, d):
     head = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("<h1>"), F.col("p_name"), F.lit("</h1>")))
     count = F.when(F.col("p_partkey") % 3 == 0, "<span>99 Chapters</span>").otherwise("")
     page = _page([head, count, '<a rel="NoFollow" href="/novel/decoy_900.html">x</a><a style="opacity: 0" href="/novel/decoy_800.html">x</a><a style="opacity:0.85" href="/novel/', F.col("k"), '_7.html">7</a><a href="/novel/', F.col("k"), '_42.html">42</a>'])
-    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "index", "title:string,chapter_id:string,total:bigint")
-    return got.select("id", "parsed.*")
+    return _made(spark, d, page, SITE.parser("index"), "title:string,chapter_id:string,total:bigint").select("id", "parsed.*")
 
 
 @query("html_paragraphs", "SELECT p_partkey AS id, 'Chapter 7' AS title, '<p>' || p_name || ' &amp; more</p>' AS body_html FROM part")
 def html_paragraphs(spark, d):
     page = _page(['<div class="chapter-content"><p>Ok.</p><p>', F.col("p_name"), ' &amp; more</p><p>an advert here</p><p><a href="#">next one</a></p></div>'])
-    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), lambda h, b: html.chapter(h, 7), "title:string,body_html:string")
+    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), lambda h, b: SITE.parser("chapter")(h, b, 7), "title:string,body_html:string")
     return got.select("id", "parsed.*")
 
 
-@query("html_series_struct", "SELECT p_partkey AS id, p_name AS title, [p_name, p_brand] AS associated_names, [p_type] AS genres, p_brand AS author, '4.5' AS rating, '1,7' || p_size::VARCHAR AS votes, p_type AS synopsis FROM part")
+_SERIES = "url:string,title:string,associated_names:array<string>,genres:array<string>,tags:array<string>,author:string,status:string,groups:array<string>,release_frequency:string,rating:string,votes:string,synopsis:string"
+
+
+def _series_page():
+    often = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit('<h5 class="seriesother">Release Frequency</h5>Every '), F.col("p_size").cast("string"), F.lit(" Day(s)"))).otherwise('<h5 class="seriesother">Release Frequency</h5><a>none</a>')
+    rated = F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit('<h5 class="seriesother">Rating<span class="uvotes">(4.5 / 5.0, 1,7'), F.col("p_size").cast("string"), F.lit(" votes)</span></h5>"))).otherwise("")
+    author = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit('<div id="showauthors"></div><a id="authtag">'), F.col("p_brand"), F.lit("</a>"))).otherwise(F.concat(F.lit('<div id="showauthors"><a>'), F.col("p_brand"), F.lit("</a><a>Second</a></div>")))
+    return _page(['<span class="seriestitlenu">', F.col("p_name"), '</span><div id="editassociated">', F.col("p_name"), "<br>", F.col("p_brand"), '<br></div><div id="seriesgenre"><a>', F.col("p_type"), '</a></div><div id="showtags"><a>one</a><a> </a><a>', F.col("p_brand"), "</a></div>", author,
+                  '<div id="showtranslated"><a>No</a></div><div id="editstatus">', F.col("p_size").cast("string"), ' Chapters (Ongoing)</div><ol class="sp_grouptable"><li><span style="padding-left:20px;">', F.col("p_type"), "</span><span>x</span></li></ol>", often, rated, '<div id="editdescription"><p>', F.col("p_type"), "</p></div>"])
+
+
+_SERIES_SQL = """SELECT p_partkey AS id, 'https://books.example/list/' AS url, p_name AS title, [p_name, p_brand] AS associated_names, [p_type] AS genres, ['one', p_brand] AS tags,
+  CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_brand || ', Second' END AS author, p_size::VARCHAR || ' Chapters (Ongoing)' AS status, [p_type] AS groups,
+  CASE WHEN p_partkey % 3 <> 0 THEN 'Every ' || p_size::VARCHAR || ' Day(s)' END AS release_frequency, CASE WHEN p_partkey % 4 <> 0 THEN '4.5' END AS rating,
+  CASE WHEN p_partkey % 4 <> 0 THEN '1,7' || p_size::VARCHAR END AS votes, p_type AS synopsis FROM part"""
+
+
+@query("html_series_struct", _SERIES_SQL)
 def html_series_struct(spark, d):
-    page = _page(['<div class="seriestitlenu">', F.col("p_name"), '</div><div id="editassociated">', F.col("p_name"), "<br>", F.col("p_brand"), '<br></div><div id="seriesgenre"><a>', F.col("p_type"), '</a></div><div id="showauthors"><a>', F.col("p_brand"), "</a></div><span>(4.5 / 5.0, 1,7", F.col("p_size").cast("string"), ' votes)</span><div id="editdescription"><p>', F.col("p_type"), "</p></div>"])
-    got = html.extract(_parts(spark, d).select(F.col("p_partkey").alias("id"), page.alias("html"), F.lit(_BASE).alias("base")), "series", "title:string,associated_names:array<string>,genres:array<string>,author:string,rating:string,votes:string,synopsis:string")
-    return got.select("id", "parsed.*")
+    return _made(spark, d, _series_page(), "series", _SERIES).select("id", "parsed.*")
 
 
-@query("html_search_results", "SELECT p_partkey AS id, p_name AS title, 'https://books.example/novel/' || p_partkey::VARCHAR || '.html' AS url, p_size AS chapters FROM part")
+@query("html_search_results", """SELECT p_partkey AS id, p_name AS title, 'https://books.example/novel/' || p_partkey::VARCHAR || '.html' AS url, CASE WHEN p_partkey % 3 <> 0 THEN p_size ELSE -1 END AS chapters FROM part
+UNION ALL SELECT p_partkey, p_type, 'https://books.example/novel/other.html', -1 FROM part""")
 def html_search_results(spark, d):
-    return html_catalog_cards(spark, d).select("id", F.regexp_replace("title", " & co$", "").alias("title"), "url", "chapters")
+    count = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("<span>"), F.col("p_size").cast("string"), F.lit(" Chapters</span>"))).otherwise("")
+    page = _page(['<ul><li class="hit"><a href="/about">no book</a></li><li class="hit"><a href="/tag/x">tag</a><a title="', F.col("p_name"), '" href="/novel/', F.col("k"), '.html">short</a>', count, '</li><li class="hit"><a href="/novel/other.html">', F.col("p_type"), '</a></li><li>9 Chapters</li></ul>'])
+    return _made(spark, d, page, SITE.parser("search"), "title:string,url:string,chapters:int", many=True).select("id", F.inline("parsed")).fillna({"chapters": -1})
+
+
+@query("series_candidates", """WITH h AS (SELECT p_type AS url, p_name AS title, p_partkey AS place FROM part), best AS (SELECT url, arg_max(title, length(title) * 1000000000 - place) AS hit FROM h GROUP BY url),
+  p AS (SELECT p_type AS url, min(p_partkey) AS id FROM part GROUP BY 1) SELECT best.url, hit, p_name AS title, [p_name, p_brand] AS associated_names FROM best JOIN p USING (url) JOIN part ON p_partkey = p.id""")
+def series_candidates(spark, d):
+    """Search hits, one per address with the longest title, and the series page behind each."""
+    found = dedupe_longest_title(spark, d).select("url", F.col("title").alias("hit"))
+    pages = _parts(spark, d).groupBy(F.col("p_type").alias("base")).agg(F.min_by(_series_page(), "p_partkey").alias("html")).withColumn("id", F.col("base"))
+    series = html.extract(pages, "series", _SERIES).select("parsed.*")
+    return found.join(series, "url").select("url", "hit", "title", "associated_names")
+
+
+@query("page_outline", """WITH a AS (SELECT page_id AS id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(url, '^(https?://[^/]+)', 1) AS root,
+  regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<a href="([^"]*)"', 1) AS hrefs, html FROM pages)
+SELECT id, lang, len(hrefs)::BIGINT AS links, hrefs[1] AS first, ((length(html) - length(replace(html, '<p>', ''))) // 3)::BIGINT AS paragraphs FROM a""")
+def page_outline(spark, d):
+    p = read(spark, d, "pages").select(F.col("page_id").alias("id"), "html", F.lit("").alias("base"))
+    got = html.extract(p, "outline", "lang:string,title:string,links:array<string>,paragraphs:bigint")
+    return got.select("id", "parsed.lang", F.size("parsed.links").cast("bigint").alias("links"), F.get("parsed.links", F.lit(0)).alias("first"), "parsed.paragraphs")
 
 
 @query("error_as_value", "SELECT page_id AS id, page_id % 10 = 0 AS failed FROM pages")

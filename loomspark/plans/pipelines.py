@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from ..operators import resolve as R
 from ..operators import runs, tables
+from ..sources import html
 from .base import ATTEMPTS, CHAPTERS, ITEMS, SQL, TIERS, attempts, chapters, items, query, read, tiers
 
 _DELTA = "SELECT doc_id + 500 AS id, 'fresh' AS author, 'new title' AS title, CASE WHEN doc_id % 2 = 0 THEN 's9' END AS status FROM documents"
@@ -27,7 +28,8 @@ def upsert_latest_wins(spark, d):
 
 @query("merge_coalesce", f"""WITH {ITEMS}, delta AS ({_DELTA}) SELECT i.id, CASE WHEN x.id IS NOT NULL THEN x.title ELSE i.title END AS title, coalesce(x.status, i.status) AS status FROM items i LEFT JOIN delta x ON i.id = x.id""")
 def merge_coalesce(spark, d):
-    return tables.merge_metadata(items(spark, d).select("id", "title", "status"), _delta(spark, d).select("id", "title", "status"), "id", ["status"])
+    known = items(spark, d).select("id", "title", "status")
+    return tables.merge_metadata(known, _delta(spark, d).select("id", "title", "status").join(known.select("id"), "id", "left_semi"), "id", ["status"])
 
 
 @query("schema_align", "SELECT p_partkey AS id, p_name AS title, NULL::VARCHAR AS synopsis, NULL::BIGINT AS cluster_id FROM part")
@@ -48,10 +50,11 @@ def labels_latest(spark, d):
     return tables.latest(tiers(spark, d).select((F.col("id") % 50).alias("item"), "label", F.col("id").alias("seq")), ["item"], ["seq"])
 
 
-@query("undo_latest", f"WITH {TIERS} SELECT id, label FROM tiers WHERE id <> (SELECT max(id) FROM tiers)")
+@query("undo_latest", f"WITH {TIERS}, h AS (SELECT tiers.*, doc.n_chars * 100000 + id AS labeled_at FROM tiers JOIN documents doc ON doc_id = id) SELECT id, label FROM h WHERE labeled_at <> (SELECT max(labeled_at) FROM h)")
 def undo_latest(spark, d):
-    t = tiers(spark, d)
-    return t.join(t.agg(F.max_by("id", "id").alias("id")), "id", "left_anti").select("id", "label")
+    """Without the label that was given last; a table without labels stays as it is."""
+    when = read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") * 100000 + F.col("doc_id")).alias("labeled_at"))
+    return tables.undo(tiers(spark, d).join(when, "id"), "id", "labeled_at").select("id", "label")
 
 
 @query("tag_dictionary", "WITH k AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_brand < 'Brand#2'), o AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM k), n AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_brand NOT IN (SELECT name FROM k)) SELECT id::BIGINT AS id, name FROM o UNION ALL SELECT (row_number() OVER (ORDER BY name) + (SELECT coalesce(max(id), 0) FROM o))::BIGINT, name FROM n")
@@ -78,9 +81,13 @@ def tracked(spark, d):
 
 @query("library_add_remove", f"WITH {_TRACKED} SELECT id FROM tracked WHERE id % 6 <> 0 UNION ALL SELECT 1000000 AS id")
 def library_add_remove(spark, d):
-    lib = tracked(spark, d).filter("id % 6 <> 0").select("id")
-    add = spark.range(1000000, 1000001)
-    return lib.unionByName(add.join(lib, "id", "left_anti"))
+    lib = tables.remove(tracked(spark, d).select("id"), spark.range(0, 100_000_000, 6), ["id"])
+    return tables.add(lib, spark.range(1000000, 1000001), ["id"])
+
+
+@query("library_find", f"WITH {_TRACKED} SELECT id, last_known FROM tracked WHERE id = 7")
+def library_find(spark, d, key: int = 7):
+    return tracked(spark, d).filter(F.col("id") == key).select("id", "last_known")
 
 
 @query("check_bookkeeping", f"WITH {_TRACKED} SELECT id, CASE WHEN enabled AND total > last_known THEN total ELSE last_known END AS last_known FROM tracked")
@@ -89,14 +96,31 @@ def check_bookkeeping(spark, d):
     return tracked(spark, d).select("id", F.when(updated, F.col("total")).otherwise(F.col("last_known")).alias("last_known"))
 
 
-@query("check_status", f"""WITH {_TRACKED}, b AS (SELECT *, CASE WHEN id % 9 = 0 AND total > last_known THEN last_known + 1 END AS stopped_at FROM tracked)
-SELECT id, CASE WHEN NOT enabled THEN 'disabled' WHEN total <= last_known THEN 'unchanged' WHEN coalesce(stopped_at - 1, total) <= last_known THEN 'no-progress' ELSE 'updated' END AS status,
-greatest(coalesce(stopped_at - 1, total) - last_known, 0)::BIGINT AS fetched FROM b""")
-def check_status(spark, d):
-    t = tracked(spark, d).withColumn("stopped_at", F.when((F.col("id") % 9 == 0) & (F.col("total") > F.col("last_known")), F.col("last_known") + 1))
-    new = F.coalesce(F.col("stopped_at") - 1, F.col("total"))
-    status = F.when(~F.col("enabled"), "disabled").when(F.col("total") <= F.col("last_known"), "unchanged").when(new <= F.col("last_known"), "no-progress").otherwise("updated")
-    return t.select("id", status.alias("status"), F.greatest(new - F.col("last_known"), F.lit(0)).cast("bigint").alias("fetched"))
+@query("mail_bookkeeping", f"WITH {_TRACKED} SELECT id, CASE WHEN id % 3 = 0 THEN last_known - 1 ELSE total END AS last_mailed, CASE WHEN id % 3 = 0 THEN 'no connection' ELSE '' END AS mail_error FROM tracked")
+def mail_bookkeeping(spark, d):
+    """After sending: the last chapter mailed moves on and the error is cleared; a failure keeps the chapter and notes the error."""
+    failed = F.col("id") % 3 == 0
+    return tracked(spark, d).select("id", F.when(failed, F.col("last_known") - 1).otherwise(F.col("total")).alias("last_mailed"), F.when(failed, "no connection").otherwise("").alias("mail_error"))
+
+
+_CHECKED = f"""WITH {_TRACKED}, b AS (SELECT *, CASE WHEN id % 11 <> 0 THEN total END AS seen, id % 7 = 0 AS failing, CASE WHEN id % 9 = 0 AND total > last_known THEN last_known + 1 END AS stopped_at, id % 3 AS idle FROM tracked WHERE enabled),
+c AS (SELECT *, seen - last_known AS delta, greatest(CASE WHEN seen - last_known > 0 THEN coalesce(stopped_at - 1, seen) - last_known WHEN failing THEN id % 2 ELSE 0 END, 0) AS got FROM b)
+"""
+_STATUS = "CASE WHEN seen IS NULL THEN 'error' WHEN delta <= 0 AND NOT failing THEN 'unchanged' WHEN {dry} THEN 'dry-run' WHEN got > 0 THEN 'updated' WHEN idle + 1 >= 3 THEN 'disabled' ELSE 'no-progress' END"
+
+
+@query("check_status", _CHECKED + f"SELECT id, {_STATUS.format(dry='false')} AS status, coalesce(got, 0)::BIGINT AS fetched, CASE WHEN seen IS NULL OR delta <= 0 AND NOT failing THEN idle WHEN got > 0 THEN 0 ELSE idle + 1 END::BIGINT AS idle FROM c")
+def check_status(spark, d, dry: bool = False):
+    """States of a check of the enabled titles: error (no count), unchanged, dry-run, updated, disabled
+    (too many checks without progress) and no-progress; chapters fetched, and checks without progress."""
+    t = tracked(spark, d).filter("enabled").withColumn("seen", F.when(F.col("id") % 11 != 0, F.col("total"))).withColumn("failing", F.col("id") % 7 == 0)
+    t = t.withColumn("stopped_at", F.when((F.col("id") % 9 == 0) & (F.col("total") > F.col("last_known")), F.col("last_known") + 1)).withColumn("retried", F.col("id") % 2).withColumn("idle", F.col("id") % 3)
+    return tables.check_states(t, dry).select("id", "status", "fetched", "idle")
+
+
+@query("check_dry_run", _CHECKED + f"SELECT {_STATUS.format(dry='true')} AS status, count(*)::BIGINT AS n FROM c GROUP BY 1")
+def check_dry_run(spark, d):
+    return check_status(spark, d, dry=True).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("batch_gate", f"WITH {_TRACKED} SELECT id, last_known + 1 AS first, total AS last, CASE WHEN total <= last_known THEN 'nothing-new' WHEN total - last_known < 3 AND id % 10 <> 0 THEN 'below-threshold' ELSE 'send' END AS outcome FROM tracked")
@@ -140,18 +164,16 @@ def json_permissive(spark, d):
 
 @query("labels_import", f"WITH {TIERS} SELECT id, label FROM tiers")
 def labels_import(spark, d):
-    doc = tiers(spark, d).groupBy(F.floor(F.col("id") / 1000).alias("g")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("id").alias("novel_id"), "label")).alias("labels"))).alias("j"))
-    rows = doc.select(F.explode(F.from_json("j", "labels array<struct<novel_id:bigint,label:string>>")["labels"]).alias("x"))
+    """Documents of labels, either under a key or as a bare list; an unknown label stops the import."""
+    rows = F.collect_list(F.struct(F.col("id").alias("novel_id"), "label"))
+    doc = tiers(spark, d).groupBy(F.floor(F.col("id") / 100).alias("g")).agg(F.when(F.first("id") % 2 == 0, F.to_json(F.struct(rows.alias("labels")))).otherwise(F.to_json(rows)).alias("j"))
+    kind = "array<struct<novel_id:bigint,label:string>>"
+    listed = F.when(F.col("j").startswith("["), F.from_json("j", kind)).otherwise(F.from_json("j", f"labels {kind}")["labels"])
+    rows = doc.select(F.explode(listed).alias("x"))
     known = F.when(F.col("x.label").isin(S.LABEL_ORDER), F.col("x.label")).otherwise(F.raise_error(F.lit("unknown label")).cast("string"))
     return rows.select(F.col("x.novel_id").alias("id"), known.alias("label"))
 
 
-@query("export_json")
-def export_json(spark, d):
-    top = seed_queue(spark, d).filter("pos <= 50")
-    return top.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("review_batch"))).alias("document"))
-
-
 @query("resolution_apply", f"""WITH {ITEMS}, r AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'https://c.example/' || doc_id::VARCHAR END AS url FROM documents WHERE lang = 'fr')
 SELECT i.id, CASE WHEN r.id IS NULL THEN i.resolution WHEN r.url IS NULL THEN 'no_candidates' ELSE 'auto' END AS resolution, r.url FROM items i LEFT JOIN r ON i.id = r.id""")
 def resolution_apply(spark, d):
@@ -266,21 +288,22 @@ def seed_queue(spark, d, target: int = 200):
     """Review queue: equal shares of the clusters, a proportional share of outliers, interleaved."""
     labelled = read(spark, d, "labels").select(F.col("doc_id").alias("id"))
     u = clusters(spark, d).filter("cluster_id is not null").join(labelled, "id", "left_anti").select("id", "cluster_id")
-    c = u.agg(F.countDistinct(F.when(F.col("cluster_id") != -1, F.col("cluster_id"))), F.count_if(F.col("cluster_id") == -1), F.count(F.lit(1))).first()
-    n_real, outliers, n = c
-    per = max(1, target // max(1, n_real))
-    ranked = u.withColumn("rn", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id")))
-    real = ranked.filter((F.col("cluster_id") != -1) & (F.col("rn") <= per)).select("id", F.lit(1).alias("bucket"), F.row_number().over(Window.orderBy("rn", "cluster_id")).alias("k"))
-    taken, share = real.count(), outliers / n if n else 0.0
-    quota = round(taken * share / (1 - share)) if 0 < share < 1 else outliers
-    out = ranked.filter((F.col("cluster_id") == -1) & (F.col("rn") <= quota)).select("id", F.lit(0).alias("bucket"), F.col("rn").alias("k"))
-    return runs.interleave(out.unionByName(real), "bucket", "k").select("id", "bucket", "pos")
+    return runs.seed_queue(u, target)
 
 
 @query("next_candidate", f"SELECT * FROM ({SQL['seed_queue']}) WHERE id <> 0 ORDER BY pos LIMIT 1")
 def next_candidate(spark, d, skipped=(0,)):
     """The first of the queue that is not skipped."""
-    return seed_queue(spark, d).filter(~F.col("id").isin(list(skipped))).orderBy("pos").limit(1)
+    return runs.first_open(seed_queue(spark, d), "pos", skipped)
+
+
+@query("next_candidate_fallback", "SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels) AND vec_id NOT IN (1, 2, 5) ORDER BY abs(round(1 / (1 + exp(-(embedding[1]::DOUBLE - embedding[2]::DOUBLE))), 6) - 0.5), vec_id LIMIT 1")
+def next_candidate_fallback(spark, d, skipped=(1, 2, 5)):
+    """With the queue used up: the least sure vector that is neither labelled nor skipped."""
+    e = read(spark, d, "embeddings")
+    p = F.round(1 / (1 + F.exp(-(F.get("embedding", F.lit(0)).cast("double") - F.get("embedding", F.lit(1)).cast("double")))), 6)
+    sure = e.select(F.col("vec_id").alias("id"), F.abs(p - 0.5).alias("margin")).join(read(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
+    return runs.first_open(seed_queue(spark, d).limit(0), "pos", skipped, lambda: sure, ["margin", "id"]).select("id")
 
 
 @query("review_batch", f"SELECT pos, id, tags FROM ({SQL['seed_queue']}) LEFT JOIN (SELECT p_partkey AS id, list_sort(list(DISTINCT p_brand)) AS tags FROM part GROUP BY 1) USING (id)")
@@ -289,6 +312,17 @@ def review_batch(spark, d):
     return seed_queue(spark, d).join(tags, "id", "left").select("pos", "id", "tags").orderBy("pos")
 
 
+@query("export_json", f"""WITH q AS ({SQL['seed_queue']}), {ITEMS}, x AS (SELECT 'review' AS part, id, pos FROM q UNION ALL SELECT 'index', id, NULL FROM items WHERE synopsis IS NOT NULL)
+SELECT part, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids, sum(coalesce(pos, 0))::BIGINT AS places FROM x GROUP BY part""")
+def export_json(spark, d):
+    """The search index and the whole review batch as JSON lines, summed up after reading them back."""
+    batch = seed_queue(spark, d).select(F.lit("review").alias("part"), "id", "pos")
+    index = items(spark, d).filter("synopsis is not null").select(F.lit("index").alias("part"), "id", F.lit(None).cast("bigint").alias("pos"))
+    lines = batch.union(index).select(F.to_json(F.struct("part", "id", "pos")).alias("line"))
+    back = lines.select(F.from_json("line", "part string, id bigint, pos bigint").alias("x")).select("x.*")
+    return back.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum(F.coalesce("pos", F.lit(0))).cast("bigint").alias("places"))
+
+
 _CAT = "cat AS (SELECT row_number() OVER (ORDER BY p_name) AS cid, p_name AS name FROM (SELECT DISTINCT p_name FROM part))"
 _PROBE = "probe AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 0 THEN p_type ELSE substr(p_name, 1, length(p_name) - 1) || 'x' END AS title FROM part WHERE p_partkey % 20 = 0)"
 _RATIO = """pr AS (SELECT DISTINCT title, name FROM probe, cat), k AS (SELECT title, name, list_sort(list_distinct(list_filter(regexp_split_to_array(title, '\\s+'), lambda t: t <> ''))) AS ta, list_sort(list_distinct(list_filter(regexp_split_to_array(name, '\\s+'), lambda t: t <> ''))) AS tb FROM pr),
@@ -303,7 +337,7 @@ sim AS (SELECT title, name, CASE WHEN empty THEN 0.0 WHEN sc > 0 AND (la = 0 OR
 
 def _probes(spark, d):
     p = read(spark, d, "part")
-    cat = p.select(F.col("p_name").alias("name")).distinct().withColumn("cid", F.row_number().over(Window.orderBy("name")).cast("bigint"))
+    cat = runs.numbered(p.select(F.col("p_name").alias("name")).distinct(), ["name"], "cid")
     probe = p.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.expr("case when p_partkey % 40 = 0 then p_type else concat(substr(p_name, 1, length(p_name) - 1), 'x') end").alias("title"))
     return probe, cat
 
@@ -321,16 +355,49 @@ def fuzzy_resolve(spark, d):
     return R.resolve(probe, cat)
 
 
-@query("domain_resolve", "SELECT page_id, CASE WHEN ends_with('.' || h, '.example.net') THEN 'net' WHEN ends_with('.' || h, '.example.com') THEN 'com' END AS site FROM (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS h FROM pages)")
+_DOMAINS = {"net": "example.net", "com": "example.com", "org": "example.org"}
+
+
+@query("domain_resolve", "SELECT page_id, CASE WHEN page_id % 50 = 0 THEN 'org' WHEN ends_with('.' || h, '.example.net') THEN 'net' WHEN ends_with('.' || h, '.example.com') THEN 'com' WHEN ends_with('.' || h, '.example.org') THEN 'org' ELSE 'no site' END AS site FROM (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS h FROM pages)")
 def domain_resolve(spark, d):
-    host = F.regexp_extract("url", "^https?://([^/:?#]+)", 1)
-    parts = F.split(host, r"\.")
+    """An explicit key goes before the host; the host's suffixes meet the sites' domains in an equi-join;
+    a page without a site is told so as a value."""
+    explicit = F.when(F.col("page_id") % 50 == 0, "org")
+    pages = read(spark, d, "pages").select("page_id", explicit.alias("explicit"), F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host"))
+    parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    site = F.when(F.array_contains(suffixes, "example.net"), "net").when(F.array_contains(suffixes, "example.com"), "com")
-    return read(spark, d, "pages").select("page_id", site.alias("site"))
+    domains = spark.createDataFrame([(v, k) for k, v in _DOMAINS.items()], "suffix string, key string")
+    hits = pages.select("page_id", F.explode(suffixes).alias("suffix")).join(F.broadcast(domains), "suffix").groupBy("page_id").agg(F.max_by("key", F.length("suffix")).alias("key"))  # one row per domain
+    return pages.join(hits, "page_id", "left").select("page_id", F.coalesce("explicit", "key", F.lit("no site")).alias("site"))
 
 
 @query("training_set", f"WITH {TIERS} SELECT id, CASE WHEN tiers.label IN ('like', 'love', 'obsessed') THEN 1 ELSE 0 END AS y, CASE WHEN label_source = 'read' THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM tiers JOIN embeddings ON vec_id = id")
 def training_set(spark, d, read_weight: float = 2.0):
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
     return tiers(spark, d).join(e, "id").select("id", F.when(F.col("label").isin(S.POSITIVE_LABELS), 1).otherwise(0).alias("y"), F.when(F.col("label_source") == "read", read_weight).otherwise(1.0).alias("weight"))
+
+
+@query("embedding_upsert", "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 64 END AS dims FROM embeddings")
+def embedding_upsert(spark, d):
+    """Vectors written again for half of the rows."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    new = e.filter("id % 2 = 0").select("id", F.slice("vector", 1, 2).alias("vector"))
+    return tables.merge_metadata(e, new, "id", []).select("id", F.size("vector").alias("dims"))
+
+
+@query("cluster_assign", f"WITH {CLUSTERS} SELECT doc_id AS id, cluster_id FROM documents LEFT JOIN clusters ON id = doc_id")
+def cluster_assign(spark, d):
+    """Cluster numbers written to the catalog; titles without a vector keep none."""
+    catalog = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("bigint").alias("cluster_id"))
+    found = clusters(spark, d).select("id", "cluster_id").join(catalog.select("id"), "id", "left_semi")
+    return tables.merge_metadata(catalog, found, "id", [])
+
+
+@query("crawl_debug", "SELECT page_id, length(html)::BIGINT AS size, 'no cards' AS reason FROM pages WHERE page_id % 10 = 0")
+def crawl_debug(spark, d):
+    """Pages kept for a look: those from which no card came."""
+    p = read(spark, d, "pages")
+    page = F.when(F.col("page_id") % 10 == 0, F.col("html")).otherwise(F.concat(F.lit('<li class="novel-item"><a href="/novel/x.html">x</a></li>'), "html"))
+    got = html.extract(p.select(F.col("page_id").alias("id"), page.alias("html"), F.col("url").alias("base")), "cards", "title:string,url:string", many=True)
+    empty = got.filter(F.col("error").isNotNull() | (F.size("parsed") == 0)).select(F.col("id").alias("page_id"), F.coalesce("error", F.lit("no cards")).alias("reason"))
+    return p.select("page_id", F.length("html").cast("bigint").alias("size")).join(empty, "page_id")

@@ -53,10 +53,31 @@ def comma_list_codec(spark, d):
     return x.withColumn("joined", S.join_list(F.col("items")))
 
 
-@query("plain_text", f"""WITH {CHAPTERS} SELECT item_id, n, array_to_string(regexp_extract_all('<p>' || replace(body, '. ', '.</p>' || chr(10) || '<p>') || '</p>', '(?s)<p>(.*?)</p>', 1), chr(10) || chr(10)) AS plain FROM chapters""")
+@query("plain_text", f"""WITH {CHAPTERS} SELECT item_id, n, replace(array_to_string(regexp_extract_all('<p>' || replace(replace(body, '&', '&amp;'), '. ', '.</p>' || chr(10) || '<p>') || '</p>', '(?s)<p>(.*?)</p>', 1), chr(10) || chr(10)), '&amp;', '&') AS plain FROM chapters""")
 def plain_text(spark, d):
-    html = F.concat(F.lit("<p>"), F.replace("body", F.lit(". "), F.lit(".</p>\n<p>")), F.lit("</p>"))
-    return chapters(spark, d).select("item_id", "n", F.array_join(F.regexp_extract_all(html, F.lit("(?s)<p>(.*?)</p>"), 1), "\n\n").alias("plain"))
+    html = F.concat(F.lit("<p>"), F.replace(F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit(". "), F.lit(".</p>\n<p>")), F.lit("</p>"))
+    return chapters(spark, d).select("item_id", "n", S.plain_text(html).alias("plain"))
+
+
+@query("small_scalars", """SELECT c_custkey AS id, c_custkey::VARCHAR || '_' || c_nationkey::VARCHAR || '.html' AS cached, c_custkey % 3 = 0 AS yes, split_part(c_mktsegment || ':' || c_name || ':x', ':', 1) AS site, c_name || ':x' AS ident,
+  '[' || lpad((c_nationkey * 100 // 25)::VARCHAR, 3, ' ') || '%] ' || c_nationkey::VARCHAR || '/25 ' || substr(c_name || c_name || c_name || c_name, 1, 50) AS line FROM customer""")
+def small_scalars(spark, d):
+    pair = S.site_and_id(F.concat("c_mktsegment", F.lit(":"), "c_name", F.lit(":x")))
+    said = F.element_at(F.array(F.lit(" YES "), F.lit("no"), F.lit(None)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return read(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), S.cache_name(F.col("c_custkey").cast("string"), F.col("c_nationkey")).alias("cached"), S.truthy(said).alias("yes"), pair["site"].alias("site"), pair["id"].alias("ident"),
+        S.progress_line(F.col("c_nationkey"), F.lit(25), F.repeat("c_name", 4)).alias("line"),
+    )
+
+
+@query("timestamp_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at FROM events")
+def timestamp_text(spark, d):
+    return read(spark, d, "events").select("event_id", S.timestamp_text(F.col("ts")).alias("at"))
+
+
+@query("grep_total", "SELECT count(*)::BIGINT AS files, sum(hits)::BIGINT AS hits FROM (SELECT len(regexp_extract_all(text, '(?i)the')) AS hits FROM documents) WHERE hits > 0")
+def grep_total(spark, d):
+    return grep_counts(spark, d).agg(F.count(F.lit(1)).alias("files"), F.sum("hits").alias("hits"))
 
 
 @query("elapsed_fmt", "SELECT event_id, printf('%02dm%02ds', event_id // 60, event_id % 60) AS elapsed FROM events")
@@ -75,6 +96,7 @@ def vector_stats(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("dims"), F.round(norm, 6).alias("norm"))
 
 
+#: Machine tokens of challenge pages, and phrases of their titles.
 TOKENS = ["cf_chl_opt", "challenge-platform", "cf-mitigated"]
 PHRASES = ["just a moment", "attention required", "checking your browser"]
 _PAGE = "CASE page_id % 4 WHEN 0 THEN html || '<script>window._CF_CHL_OPT={}</script>' WHEN 1 THEN replace(html, '<title>', '<title>Just a Moment ') WHEN 2 THEN html || '<p>just a moment</p>' ELSE html END"
@@ -92,12 +114,12 @@ def challenge_reason(spark, d):
     return read(spark, d, "pages").select("page_id", F.when(F.contains(h, F.lit("<title>Just a Moment")), "title").when(F.contains(h, F.lit("_CF_CHL_OPT")), "token").alias("reason"))
 
 
-@query("fetch_outcome", f"""WITH x AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 503 ELSE 200 END AS status, contains(lower({_PAGE}), 'cf_chl_opt') AS challenge FROM pages)
-SELECT page_id, CASE WHEN status = 404 THEN 'gone' WHEN status = 429 OR challenge THEN 'throttled' WHEN status >= 400 THEN 'error' ELSE 'ok' END AS outcome FROM x""")
+@query("fetch_outcome", f"""WITH x AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 503 ELSE 200 END AS status, lower({_PAGE}) AS h FROM pages), y AS (SELECT *, contains(h, 'cf_chl_opt') OR contains(h, 'challenge-platform') OR contains(h, 'cf-mitigated') OR contains(regexp_extract(h, '(?s)<title[^>]*>(.*?)</title>', 1), 'just a moment') AS challenge FROM x)
+SELECT page_id, CASE WHEN status = 404 THEN 'gone' WHEN status = 429 OR challenge THEN 'throttled' WHEN status >= 400 THEN 'error' ELSE 'ok' END AS outcome FROM y""")
 def fetch_outcome(spark, d):
     m = F.col("page_id") % 5
     status = F.when(m == 0, 404).when(m == 1, 429).when(m == 2, 503).otherwise(200)
-    challenge = F.contains(F.lower(F.expr(_PAGE)), F.lit("cf_chl_opt"))
+    challenge = S.looks_like_challenge(F.expr(_PAGE), TOKENS, PHRASES)
     return read(spark, d, "pages").select("page_id", F.when(status == 404, "gone").when((status == 429) | challenge, "throttled").when(status >= 400, "error").otherwise("ok").alias("outcome"))
 
 
@@ -156,7 +178,7 @@ def grep_snippets(spark, d, needle: str = "the", context: int = 20):
 
 @query("grep_counts", "SELECT doc_id, len(regexp_extract_all(text, '(?i)the'))::BIGINT AS hits FROM documents WHERE len(regexp_extract_all(text, '(?i)the')) > 0")
 def grep_counts(spark, d, needle: str = "the"):
-    n = F.regexp_count("text", F.lit(f"(?i){needle}")).cast("bigint")
+    n = F.regexp_count("text", F.lit(S.literal_pattern(needle))).cast("bigint")
     return read(spark, d, "documents").select("doc_id", n.alias("hits")).filter("hits > 0")
 
 

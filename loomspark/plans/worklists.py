@@ -107,10 +107,24 @@ def sanity_check(spark, d, least: int = 3, chars: int = 50):
     )
 
 
-@query("check_targets", "SELECT c_custkey AS id FROM customer WHERE c_custkey IN (3, 8, 12)")
-def check_targets(spark, d, only: str = "3,8,12"):
-    picked = spark.range(1).select(F.explode(F.transform(F.split(F.lit(only), ","), lambda x: x.cast("long"))).alias("id"))
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(picked, "id", "left_semi")
+@query("check_targets", "SELECT c_mktsegment AS site, c_custkey AS id FROM customer WHERE (c_mktsegment, c_custkey) IN (SELECT c_mktsegment, c_custkey FROM customer WHERE c_custkey IN (3, 8, 12))")
+def check_targets(spark, d, only=(3, 8, 12)):
+    """The pairs SITE:ID asked for, switched off or not."""
+    c = read(spark, d, "customer").select(F.col("c_mktsegment").alias("site"), F.col("c_custkey").alias("id"))
+    asked = c.filter(F.col("id").isin(list(only))).select(F.concat_ws(":", "site", "id").alias("text"))
+    pairs = asked.select(S.site_and_id(F.col("text")).alias("x")).select("x.site", F.col("x.id").cast("long").alias("id"))
+    return c.join(pairs, ["site", "id"], "left_semi")
+
+
+@query("check_targets_enabled", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 5 <> 0")
+def check_targets_enabled(spark, d):
+    """Without a choice: all that are switched on."""
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 5 != 0).alias("enabled")).filter("enabled").select("id")
+
+
+@query("catalog_counts", f"WITH {ITEMS} SELECT site_key, count(*)::BIGINT AS listed, count(synopsis)::BIGINT AS with_details FROM items GROUP BY site_key")
+def catalog_counts(spark, d):
+    return items(spark, d).groupBy("site_key").agg(F.count(F.lit(1)).alias("listed"), F.count("synopsis").alias("with_details"))
 
 
 @query("crawl_skip_rule", f"""WITH {ITEMS} SELECT CASE WHEN chapter_count IS NOT NULL AND NOT unsampled THEN 'skipped' ELSE 'new_or_updated' END AS outcome, count(*)::BIGINT AS n FROM items GROUP BY 1""")

@@ -24,16 +24,18 @@ class Node:
     def __init__(self, name, attrs=None, parent=None):
         self.name, self.attrs, self.parent, self.kids = name, attrs or {}, parent, []
 
-    def walk(self):
+    def walk(self, without: Node | None = None):
         stack = list(reversed(self.kids))
         while stack:
             n = stack.pop()
+            if n is without and n is not None:
+                continue
             yield n
             if isinstance(n, Node):
                 stack.extend(reversed(n.kids))
 
-    def texts(self):
-        return [t for n in self.walk() if isinstance(n, str) and (t := n.strip())]
+    def texts(self, without: Node | None = None):
+        return [t for n in self.walk(without) if isinstance(n, str) and (t := n.strip())]
 
     @property
     def text(self) -> str:
@@ -46,11 +48,11 @@ class Node:
     def matches(self, step: tuple) -> bool:
         tag, ident, names, attrs = step
         have = (self.attrs.get("class") or "").split()
-        return (not tag or tag == self.name) and (not ident or self.attrs.get("id") == ident) and all(c in have for c in names) and all(a in self.attrs for a in attrs)
+        return (not tag or tag == self.name) and (not ident or self.attrs.get("id") == ident) and all(c in have for c in names) and all(a in self.attrs and _fits(self.attrs[a], how, v) for a, how, v in attrs)
 
     def select(self, selector: str) -> list[Node]:
-        """Descendants by tag, #id, .class and [attr] steps, in document order."""
-        steps = [_step(x) for x in selector.split()]
+        """Descendants by tag, #id, .class, [attr], [attr="v"] and [attr^="v"] steps, in document order."""
+        steps = [_step(x) for x in re.findall(r'(?:\[[^\]]*\]|[^\s\[])+', selector)]
         out = []
         for n in self.walk():
             if isinstance(n, Node) and n.matches(steps[-1]):
@@ -66,10 +68,14 @@ class Node:
         return next(iter(self.select(selector)), None)
 
 
+def _fits(value: str, how: str, wanted: str) -> bool:
+    return not how or (value.startswith(wanted) if how == "^" else value == wanted)
+
+
 def _step(x: str) -> tuple:
-    return (
-        (re.match(r"[\w-]*", x)[0] or "").lower(), next(iter(re.findall(r"#([\w-]+)", x)), None), re.findall(r"\.([\w-]+)", x), re.findall(r"\[([\w-]+)\]", x),
-    )
+    attrs = [(name, (how or "=") if eq else "", value) for name, how, eq, value in re.findall(r"""\[([\w-]+)(?:(\^?)(=)["']?([^\]"']*)["']?)?\]""", x)]
+    plain = re.sub(r"\[[^\]]*\]", "", x)
+    return (re.match(r"[\w-]*", plain)[0] or "").lower(), next(iter(re.findall(r"#([\w-]+)", plain)), None), re.findall(r"\.([\w-]+)", plain), attrs
 
 
 class _Builder(HTMLParser):
@@ -113,35 +119,45 @@ def hidden(a: Node) -> bool:
     )
 
 
+#: Fixed values of the page formats: selectors, patterns and labels below.
 def cards(html: str, base: str) -> list[dict]:
+    """Catalog cards. Chapters, status and age stand in the card's stat lines; an icon's word is no text."""
     out = []
     for card in parse(html).select("li.novel-item"):
         if (link := card.first("a[href]")) is None:
             continue
-        head = card.first("h4.novel-title")
-        title = link.attrs.get("title") or (head.text if head else "") or link.text
-        href = link.attrs["href"]
+        href, head = link.attrs["href"], card.first("h4.novel-title")
         ident = re.search(r"/novel/([^/]+?)\.html", href)
-        n = re.search(r"(\d+)\s+Chapters?", card.spaced, re.I)
-        status = card.first("span.status")
-        ago = next((s.text for s in card.select("span") if "ago" in s.text), None)
-        out.append({"title": title, "url": urljoin(base, href), "chapter_id": ident and ident[1], "chapters": n and int(n[1]), "status": status.text if status else None, "updated_text": ago})
+        row = {"title": link.attrs.get("title") or (head.text if head else "") or link.text, "url": urljoin(base, href), "chapter_id": ident and ident[1], "chapters": None, "status": None, "updated_text": None}
+        for line in card.select("div.novel-stats"):
+            if (status := line.first("span.status")) is not None:
+                row["status"] = status.text
+                continue
+            said = " ".join(line.texts(line.first("i")))
+            if n := re.search(r"(\d+)\s+Chapters?", said, re.I):
+                row["chapters"] = int(n[1])
+            elif "ago" in said.lower():
+                row["updated_text"] = said
+        out.append(row)
     return out
 
 
+def paragraphs(node: Node | None) -> str | None:
+    """The texts of a node's paragraphs with a blank line between, else its own text, else null."""
+    if node is None:
+        return None
+    return "\n\n".join(t for p in node.select("p") if (t := p.text)) or node.text or None
+
+
 def metadata(html: str, base: str = "") -> dict:
     doc = parse(html)
-    body = doc.first("div.summary")
-    paras = [p.text for p in body.select("p") if p.text] if body else []
-    status = None
-    for s in doc.select("span"):
-        small, strong = s.first("small"), s.first("strong")
-        if small and strong and small.text.lower() == "status":
-            status = strong.text
-    text = lambda q: (n.text or None) if (n := doc.first(q)) else None
+    text = lambda q: n.text if (n := doc.first(q)) else None
+    # value and label stand side by side; the last one labelled counts
+    stats = [(s.first("small"), s.first("strong")) for s in doc.select("div.header-stats span")]
+    status = [value and value.text for label, value in stats if label is not None and label.text.lower() == "status"]
     return {
-        "alt_title": text("h2.alternative-title"), "author": text("div.author a"), "rating": text("strong.nub"), "status": status,
-        "genres": [a.text for a in doc.select("div.categories a") if a.text], "synopsis": "\n\n".join(paras) or (body.text if body else "") or None,
+        "alt_title": text("h2.alternative-title"), "author": text('div.author span[itemprop="author"]'), "rating": text("div.rating"), "status": status[-1] if status else None,
+        "genres": [a.text for a in doc.select("div.categories ul li a")], "synopsis": paragraphs(doc.first("div.summary div.content")),
     }
 
 
@@ -155,44 +171,57 @@ def link_texts(html: str, base: str = "") -> dict:
     return {"texts": [a.text for a in parse(html).select("div#genres a") if a.text]}
 
 
-def index(html: str, base: str) -> dict:
-    doc = parse(html)
-    links = [a.attrs["href"] for a in doc.select("a[href]") if not hidden(a)]
-    found = [m for h in links if (m := re.search(r"/novel/([^/]+?)_(\d+)\.html", h))]
-    counted = next((int(m[1]) for n in doc.walk() if isinstance(n, str) and (m := re.search(r"(\d+)\s+Chapters", n))), None)
-    head = doc.first("h1")
-    ident = found[0][1] if found else (m[1] if (m := re.search(r"/novel/([^/]+?)\.html", base)) else None)
-    return {"title": head.text if head and head.text else "Unknown Novel", "chapter_id": ident, "total": counted if counted is not None else max((int(m[2]) for m in found), default=None)}
-
-
-def chapter(html: str, n: int, phrases: tuple = ("advert",), least: int = 4, link_chars: int = 80) -> dict:
+def chapter(html: str, n: int, phrases: tuple = ("advert",), least: int = 4, link_chars: int = 80, where: str = "div.chapter-content p", title: str = "h2", untitled: str = "Chapter {n}") -> dict:
+    """Title and escaped paragraphs, without short ones, ones that hold a phrase and short ones with a link."""
     doc = parse(html)
-    head = doc.first("h2")
+    head = doc.first(title)
     kept = []
-    for p in doc.select("div.chapter-content p"):
+    for p in doc.select(where):
         t = p.text
         if len(t) < least or any(x in t for x in phrases) or (p.first("a") is not None and len(t) < link_chars):
             continue
         kept.append("<p>" + t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") + "</p>")
-    return {"title": head.text if head and head.text else f"Chapter {n}", "body_html": "\n".join(kept)}
+    return {"title": (head.text if head else "") or untitled.format(n=n), "body_html": "\n".join(kept)}
+
+
+def release_frequency(doc: Node) -> str | None:
+    """The bare text right after the heading that names it."""
+    for h in doc.select("h5.seriesother"):
+        if "release frequency" in h.text.lower():
+            after = h.parent.kids[h.parent.kids.index(h) + 1 :][:1]
+            if after and isinstance(after[0], str) and after[0].strip():
+                return after[0].strip()
+    return None
 
 
 def series(html: str, base: str = "") -> dict:
-    """The structured fields of a series page."""
+    """The fields of a series page; the page's address is ``base``."""
     doc = parse(html)
+    text = lambda q: n.text if (n := doc.first(q)) else None
+    links = lambda q: [t for a in doc.select(q) if (t := a.text)]
     names = doc.first("div#editassociated")
-    votes = re.search(r"\(([\d.]+)\s*/\s*5\.0,\s*([\d,]+)\s*votes?\)", doc.spaced)
-    text = lambda q: (n.text or None) if (n := doc.first(q)) else None
-    links = lambda q: [a.text for a in doc.select(q) if a.text]
-    paras = [p.text for p in doc.select("div#editdescription p") if p.text]
+    rated = next((u for h in doc.select("h5.seriesother") if h.text.lower().startswith("rating") and (u := h.first("span.uvotes"))), None)
+    votes = re.search(r"\(([\d.]+)\s*/\s*5\.0,\s*([\d,]+)\s*votes?\)", rated.text, re.I) if rated is not None else None
     return {
-        "title": text("div.seriestitlenu"), "associated_names": names.texts() if names else [], "genres": links("div#seriesgenre a"), "tags": links("div#showtags a"),
-        "author": text("div#showauthors a"), "status": text("div#showtranslated a"), "rating": votes and votes[1], "votes": votes and votes[2], "synopsis": "\n\n".join(paras) or text("div#editdescription"),
-    }
+        "url": base, "title": text(".seriestitlenu") or None, "associated_names": names.texts() if names else [], "genres": links("div#seriesgenre a"), "tags": links("div#showtags a"),
+        "author": ", ".join(links("div#showauthors a") or links("a#authtag")) or None, "status": text("div#editstatus"), "groups": links('ol.sp_grouptable li span[style="padding-left:20px;"]'),
+        "release_frequency": release_frequency(doc), "rating": votes and votes[1], "votes": votes and votes[2], "synopsis": paragraphs(doc.first("div#editdescription")),
+    }
+
+
+def outline(html: str, base: str = "") -> dict:
+    """Of any page: language, title, links in order (absolute, without those a reader does not see) and
+    number of paragraphs."""
+    doc = parse(html)
+    top, head = doc.first("html"), doc.first("title")
+    return {
+        "lang": top.attrs.get("lang") if top else None, "title": head.text if head else None,
+        "links": [urljoin(base, a.attrs["href"]) for a in doc.select("a[href]") if not hidden(a)], "paragraphs": len(doc.select("p")),
+    }
 
 
 #: Parsers by name; a site may add its own.
-PARSERS = {"cards": cards, "metadata": metadata, "listing": listing, "link_texts": link_texts, "index": index, "series": series}
+PARSERS = {"cards": cards, "metadata": metadata, "listing": listing, "link_texts": link_texts, "series": series, "outline": outline}
 
 
 def extract(df: DataFrame, parser, schema: str, key: str = "id", html: str = "html", base: str = "base", many: bool = False) -> DataFrame:

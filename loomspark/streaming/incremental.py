@@ -19,19 +19,31 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def breaker(stream: DataFrame, k: int = 3) -> DataFrame:
-    """(key, run, tripped) after each batch: consecutive failures per key as state."""
+def breaker(stream: DataFrame, k: int = 3, late: str = "10 minutes") -> DataFrame:
+    """(key, run, tripped) after each batch: consecutive failures per key as state.
+
+    Rows wait in the state until the watermark has passed their ``ts``, and then count in the order
+    of (ts, event_id), however batches and chunks cut them; what is later than the watermark is
+    dropped by it. The last rows count when the watermark passes them."""
 
     def step(key, frames, state):
         import pandas as pd
 
-        run, tripped = state.get if state.exists else (0, False)
+        run, tripped, waiting = state.get if state.exists else (0, False, [])
+        waiting = [tuple(w) for w in waiting]
         for pdf in frames:
-            for ok in pdf.sort_values(["ts", "event_id"])["ok"]:
-                if not tripped:
-                    run = 0 if ok else run + 1
-                    tripped = run >= k
-        state.update((run, tripped))
+            waiting += zip(pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["event_id"].tolist(), pdf["ok"].tolist(), strict=True)
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        while waiting and waiting[0][0] <= passed:
+            ok = waiting.pop(0)[2]
+            if not tripped:
+                run = 0 if ok else run + 1
+                tripped = run >= k
+        state.update((run, tripped, waiting))
+        if waiting:
+            state.setTimeoutTimestamp(waiting[0][0] // 1000 + 1)
         yield pd.DataFrame({"key": [key[0]], "run": [run], "tripped": [tripped]})
 
-    return stream.groupBy("key").applyInPandasWithState(step, "key long, run int, tripped boolean", "run int, tripped boolean", "update", "NoTimeout")
+    held = "run int, tripped boolean, waiting array<struct<ts:long,event_id:long,ok:boolean>>"
+    return stream.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "key long, run int, tripped boolean", held, "update", "EventTimeTimeout")

@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import scalars as S
 from loomspark.operators import graph, learning, resolve, runs, tables
 from loomspark.sources import epub, html
+from loomspark.sources.site import ChapterRules, IndexRules, SearchRules, Site, Unsupported, site_for
 
 
 def breaker(spark, oks, k=3):
@@ -14,17 +17,25 @@ def breaker(spark, oks, k=3):
 
 
 def test_breaker_trips_at_the_start_of_the_streak(spark):
-    assert breaker(spark, [True, False, False, False, True]) == (2, [2, 3, 4], 4)
+    assert breaker(spark, [True, True, False, True, False, False, True, True], 2) == (5, [3, 5, 6], 6)
 
 
-def test_breaker_resets_on_success(spark):
-    assert breaker(spark, [False, False, True, False, False]) == (None, [1, 2, 4, 5], 5)
+def test_breaker_counts_anew_after_a_success(spark):
+    assert breaker(spark, [False, True, False, True, False], 2) == (None, [1, 3, 5], 5)
 
 
-def test_interleave_places_items_proportionally(spark):
-    rows = [(0, i, f"A{i}") for i in range(1, 5)] + [(1, i, f"B{i}") for i in (1, 2)]
+def test_interleave_places_items_proportionally(spark, monkeypatch):
+    rows = [(b, i, f"{b}{i}") for b, n in ((0, 6), (1, 3), (2, 1)) for i in range(n)]
+    marks = sorted((sum([1.0 / n] * (i + 1)), b, i) for b, n in ((0, 6), (1, 3), (2, 1)) for i in range(n))
     got = runs.interleave(spark.createDataFrame(rows, "b int, o int, v string"), "b", "o").orderBy("pos").collect()
-    assert [r["v"] for r in got] == ["A1", "A2", "B1", "A3", "A4", "B2"]
+    assert [r["v"] for r in got] == [f"{b}{i}" for _, b, i in marks]
+
+
+def test_numbers_are_gapless_over_ranges(spark):
+    values = [(i * 37 % 101, i) for i in range(101)]
+    got = runs.numbered(spark.createDataFrame(values, "x int, i int"), ["x"], "no", start=5, rows=9).collect()
+    assert sorted((r["x"], r["no"]) for r in got) == [(x, x + 5) for x in range(101)]
+    assert runs.numbered(spark.createDataFrame([], "x int"), ["x"]).count() == 0
 
 
 def test_upsert_is_idempotent_and_keeps_created(spark):
@@ -42,19 +53,21 @@ def test_dictionary_goes_on_from_the_last_number(spark):
     assert sorted(map(tuple, got.collect())) == [(7, "a"), (8, "b"), (9, "c")]
 
 
-@pytest.mark.parametrize(("text", "want"), [(None, None), ("", None), ("short", "short"), ("x" * 1000, "x" * 600 + "…")])
+@pytest.mark.parametrize(("text", "want"), [(None, None), ("", None), ("a few words", "a few words"), ("ab " * 300, ("ab " * 200).rstrip() + "…")])
 def test_excerpt(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(S.excerpt(F.col("t"))).first()[0] == want
 
 
 def test_grep_context(spark):
-    df = spark.createDataFrame([("x" * 100 + "NEEDLE" + "y" * 100,)], "t string")
-    assert df.select(F.explode(S.snippets(F.col("t"), "needle", 10)).alias("h")).first()["h"]["snippet"] == "x" * 10 + "NEEDLE" + "y" * 10
+    df = spark.createDataFrame([("one (two) three (TWO) four",)], "t string")
+    got = [r["h"]["snippet"] for r in df.select(F.explode(S.snippets(F.col("t"), "(two)", 4)).alias("h")).collect()]
+    assert got == ["one (two) thr", "ree (TWO) fou"]
+    assert df.select(F.regexp_count("t", F.lit(S.literal_pattern("(two)")))).first()[0] == 2
 
 
 def test_cooccurrence(spark):
-    df = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (2, "B"), (3, "A"), (3, "C"), (3, "C")], "item int, tag string")
-    assert sorted(map(tuple, graph.cooccurrence(df).collect())) == [("A", "B", 2), ("A", "C", 1)]
+    df = spark.createDataFrame([(1, "sea"), (1, "war"), (1, "sea"), (2, "war"), (2, "sea"), (2, "cook"), (3, "cook"), (4, "war"), (4, "cook")], "item int, tag string")
+    assert sorted(map(tuple, graph.cooccurrence(df).collect())) == [("cook", "sea", 1), ("cook", "war", 2), ("sea", "war", 2)]
 
 
 def test_communities_keep_isolated_tags(spark):
@@ -72,30 +85,70 @@ def test_resolve_all_titles_and_names(spark):
 
 
 def test_resolve_decisions(spark):
-    probes = spark.createDataFrame([(1, "Reverend Insanity"), (2, "Obscure Novel")], "id long, title string")
-    catalog = spark.createDataFrame([(1, "Reverend Insanity"), (2, "Totally Unrelated")], "cid long, name string")
+    probes = spark.createDataFrame([(1, "lamp of the harbour"), (2, "xylem")], "id long, title string")
+    catalog = spark.createDataFrame([(1, "lamp of the harbour"), (2, "cold mountain orchard")], "cid long, name string")
     got = {r["id"]: (r["decision"], r["best"]) for r in resolve.resolve(probes, catalog).collect()}
     assert got == {1: ("auto", 1), 2: ("no_candidates", None)}
-    two = spark.createDataFrame([(1, "The Great Saga Book One"), (2, "The Great Saga Book Two")], "cid long, name string")
-    probe = spark.createDataFrame([(1, "The Great Saga")], "id long, title string")
-    assert resolve.resolve(probe, two).first()["decision"] == "ambiguous"
-
-
-def test_two_blobs_are_two_clusters():
-    rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(0, 0.05, (15, 16)), rng.normal(20, 0.05, (15, 16))])
-    ids = learning.density_labels(x, 3)
-    a, b = set(ids[:15]) - {-1}, set(ids[15:]) - {-1}
-    assert a and b and not a & b
-
-
-def test_niche_in_outliers_is_found_in_the_second_pass():
-    ids = np.array([0] * 5 + [-1] * 20)
-    rng = np.random.default_rng(0)
-    x = np.concatenate([np.zeros((5, 3)), rng.normal(20, 0.05, (4, 3)), rng.normal(-90, 0.05, (16, 3))])
-    out = learning.recluster(x, ids, 2, 0.5)
-    assert (out[:5] == 0).all() and (ids[5:] == -1).all() and len(set(out[5:9])) == 1 and out[5] > 0
-    assert (learning.recluster(x[:7], ids[:7], 15, 0.5) == ids[:7]).all()
+    parts = spark.createDataFrame([(1, "lamp of the harbour, first night"), (2, "lamp of the harbour, last night")], "cid long, name string")
+    assert resolve.resolve(probes.filter("id = 1"), parts).first()["decision"] == "ambiguous"
+
+
+def test_candidate_pairs_are_few_and_lose_none(spark):
+    rng = np.random.default_rng(3)
+    words = ["of", "the", *("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 12))) for _ in range(150))]
+    odds = np.r_[0.2, 0.2, np.full(150, 0.6 / 150)]
+    made = lambda n: [" ".join(rng.choice(words, rng.integers(1, 6), p=odds)) for _ in range(n)]
+    a = spark.createDataFrame([(t,) for t in set(made(150))], "title string")
+    b = spark.createDataFrame([(t,) for t in set(made(150))], "name string")
+    pairs = resolve.candidate_pairs(a, b)
+    all_ = a.join(b, F.lit(True)).withColumn("score", resolve.token_set_ratio(F.col("title"), F.col("name"))).filter(F.col("score") >= resolve.FLOOR)
+    lost = all_.join(pairs, ["title", "name"], "left_anti").count()
+    assert lost == 0 and pairs.count() < 0.35 * a.count() * b.count()
+
+
+def test_far_groups_are_clusters_of_their_own():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(m, 0.1, (n, 6)) for m, n in ((-7, 18), (0, 22), (9, 12))])
+    ids = learning.density_labels(x, 4)
+    found = [set(ids[a:b]) - {-1} for a, b in ((0, 18), (18, 40), (40, 52))]
+    assert all(found) and not found[0] & found[1] and not found[1] & found[2]
+
+
+def test_second_pass_finds_small_groups_and_keeps_large_ones_out():
+    ids = np.array([0] * 10 + [-1] * 30)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.zeros((10, 2)), rng.normal(30, 0.1, (6, 2)), rng.normal(-50, 0.1, (24, 2))])
+    out = learning.recluster(x, ids, 3, 0.3)
+    assert (out[:10] == 0).all() and (out[16:] == -1).all() and len(set(out[10:16])) == 1 and out[10] > 0
+    assert (learning.recluster(x[:12], ids[:12], 5, 0.3) == ids[:12]).all()
+
+
+def test_core_distance_prunes_and_stays_exact(spark, monkeypatch):
+    monkeypatch.setattr(learning, "PIVOTS", 6)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(m, 0.3, (n, 4)) for m, n in ((0, 120), (8, 40), (-8, 7))] + [np.zeros((9, 4))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    got = {r["id"]: r["core"] for r in learning.core_distance(df, 3, block=16).collect()}
+    want = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) + np.diag(np.full(len(x), np.inf)), axis=1)[:, 2]
+    assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-6)
+    assert learning.core_distance(df.limit(0)).count() == 0
+    assert learning.core_distance(df.limit(2), 5).first()["core"] is None
+
+
+def test_cluster_map_has_places(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(10 * (i % 2), 0.1, 5).tolist()) for i in range(40)]
+    got = learning.cluster_map(spark.createDataFrame(rows, "id long, features array<double>"), 3, 5).collect()
+    sides = {r["id"] % 2: set() for r in got}
+    for r in got:
+        sides[r["id"] % 2].add(r["x"] > got[0]["x"] + 8 or r["x"] < got[0]["x"] - 8)
+    assert len(got) == 40 and all(len(s) == 1 for s in sides.values()) and sides[0] != sides[1]
+
+
+def test_communities_on_several_levels():
+    ring = {(f"n{i:02d}", f"n{(i + 1) % 24:02d}"): 1.0 for i in range(24)}
+    com = graph.levels({tuple(sorted(k)): w for k, w in ring.items()})
+    assert 3 <= len(set(com.values())) <= 6
 
 
 def test_uncertainty_model_needs_two_classes(spark):
@@ -104,9 +157,73 @@ def test_uncertainty_model_needs_two_classes(spark):
 
 
 def test_paragraph_rules():
-    page = '<h2>T</h2><div class="chapter-content"><p>Ok.</p><p>long enough & fine</p><p>has an advert</p><p>go <a href="#">there</a></p></div>'
-    assert html.chapter(page, 1) == {"title": "T", "body_html": "<p>long enough &amp; fine</p>"}
-    assert html.chapter("<p>x</p>", 42)["title"] == "Chapter 42"
+    page = '<h2>Rain</h2><div class="chapter-content"><p>No.</p><p>wind & waves all day</p><p>has an advert</p><p>see <a href="#">here</a></p></div>'
+    assert html.chapter(page, 1) == {"title": "Rain", "body_html": "<p>wind &amp; waves all day</p>"}
+    assert html.chapter("<p>x</p>", 6)["title"] == "Chapter 6"
+
+
+CARDS = """<ul class="novel-list"><li class="novel-item"><a href="/novel/tide.html" title="Tide &amp; Time"><h4 class="novel-title">Tide</h4>
+<div class="novel-stats"><span><i class="material-icons">book</i> 31 Chapters</span></div><div class="novel-stats">Status: <span class="status"> Completed </span></div>
+<div class="novel-stats"><span><i class="material-icons">update</i> 5 hours AGO</span></div></a></li>
+<li class="novel-item"><a href="https://other.example/novel/moss.html"><h4 class="novel-title">Moss</h4><div class="novel-stats">soon</div></a></li><li class="novel-item">no link</li></ul>"""
+
+
+def test_cards_read_the_stat_lines():
+    assert html.cards(CARDS, "https://s.example/") == [
+        {"title": "Tide & Time", "url": "https://s.example/novel/tide.html", "chapter_id": "tide", "chapters": 31, "status": "Completed", "updated_text": "5 hours AGO"},
+        {"title": "Moss", "url": "https://other.example/novel/moss.html", "chapter_id": "moss", "chapters": None, "status": None, "updated_text": None},
+    ]
+
+
+DETAIL = """<h2 class="alternative-title">Ebb</h2><div class="author"><span>By</span> <span itemprop="author">R. Quill</span></div><div class="rating"><b>4</b>.1</div>
+<div class="header-stats"><span><strong>88</strong><small>Views</small></span><span><strong>Paused</strong><small>STATUS</small></span><span><strong>Ongoing</strong><small>Status</small></span></div>
+<div class="categories"><ul><li><a>Sea</a></li><li><a>Craft</a></li></ul><a>all</a></div><div class="summary"><p>About</p><div class="content"><p>One.</p><p> </p><p>Two.</p></div></div>"""
+
+
+def test_metadata_markup():
+    want = {"alt_title": "Ebb", "author": "R. Quill", "rating": "4.1", "status": "Ongoing", "genres": ["Sea", "Craft"], "synopsis": "One.\n\nTwo."}
+    assert html.metadata(DETAIL) == want
+    assert html.metadata("<p>x</p>") == {"alt_title": None, "author": None, "rating": None, "status": None, "genres": [], "synopsis": None}
+    assert html.metadata('<div class="summary"><div class="content">bare</div></div>')["synopsis"] == "bare"
+
+
+SERIES = """<span class="seriestitlenu">Tide</span><div id="editassociated">Ebbe<br>Maree</div><div id="seriesgenre"><a>Sea</a></div><div id="showtags"><a>boats</a><a></a></div>
+<div id="showauthors"><a>Quill</a><a>Reed</a></div><div id="showtranslated"><a>No</a></div><div id="editstatus">12 Chapters (Ongoing)</div>
+<ol class="sp_grouptable"><li><span style="padding-left:20px;">Harbour Crew</span><span>other</span></li></ol><h5 class="seriesother">Release Frequency</h5>Every 9.5 Day(s)
+<h5 class="seriesother">Rating<span class="uvotes">(3.9 / 5.0, 1,204 votes)</span></h5><div id="editdescription"><p>Waves.</p></div>"""
+
+
+def test_series_fields():
+    assert html.series(SERIES, "u") == {
+        "url": "u", "title": "Tide", "associated_names": ["Ebbe", "Maree"], "genres": ["Sea"], "tags": ["boats"], "author": "Quill, Reed", "status": "12 Chapters (Ongoing)", "groups": ["Harbour Crew"],
+        "release_frequency": "Every 9.5 Day(s)", "rating": "3.9", "votes": "1,204", "synopsis": "Waves.",
+    }
+    assert html.series('<a id="authtag">Solo</a><h5 class="seriesother">Release Frequency</h5><h5 class="seriesother">x</h5>')["author"] == "Solo"
+    assert html.series('<h5 class="seriesother">Release Frequency</h5><h5 class="seriesother">x</h5>')["release_frequency"] is None
+
+
+def harbour(**more):
+    return Site(
+        "harbour", ("s.example",), index=IndexRules(r"/novel/([^/]+?)_\d+\.html", r"/novel/([^/]+?)\.html", r"_(\d+)\.html", r"(\d+)\s+[Cc]hapters?"),
+        chapter=ChapterRules("{base}/novel/{id}_{n}.html", "div.chapter-content p"),
+        search=SearchRules("https://s.example/find", "li.hit", "https://s.example", 'a[href^="/novel/"]', r"(\d+)\s+Chapters", "post", "words", {"show": "title"}), **{"hooks": {"metadata": html.metadata}, **more},
+    )
+
+
+def test_sites_are_data_with_hooks():
+    s = harbour()
+    page = '<li class="hit"><a href="/help">?</a><a href="/novel/tide.html">Tide</a> 31 Chapters</li><li class="hit"><a href="/help">none</a></li><li class="hit"><a title="Moss" href="/novel/moss.html">m</a></li>'
+    assert s.parser("search")(page, "") == [{"title": "Tide", "url": "https://s.example/novel/tide.html", "chapters": 31}, {"title": "Moss", "url": "https://s.example/novel/moss.html", "chapters": None}]
+    assert s.search_request("low tide") == ("post", "https://s.example/find", "show=title&words=low+tide")
+    assert s.parser("index")('<a href="/novel/tide_4.html">4</a><a href="/novel/tide_19.html" hidden>19</a>', "") == {"title": "Unknown Novel", "chapter_id": "tide", "total": 4}
+    assert s.parser("index")("<h1>Tide</h1><p>77 chapters</p>", "https://s.example/novel/tide.html") == {"title": "Tide", "chapter_id": "tide", "total": 77}
+    assert s.chapter_address("https://s.example", "tide", 3) == "https://s.example/novel/tide_3.html"
+    assert harbour(hooks={"search": lambda page, base: ["mine"]}).parser("search")("", "") == ["mine"]
+    with pytest.raises(Unsupported):
+        Site("bare", ()).parser("metadata")
+    assert site_for([s], "www.s.example").key == "harbour" and site_for([s], "x", "harbour") is s
+    with pytest.raises(LookupError):
+        site_for([s], "ass.example")
 
 
 @pytest.mark.parametrize(("attrs", "gone"), [('rel="NOFOLLOW ugc"', True), ("hidden", True), ('aria-hidden="true"', True), ('style="opacity: 0;"', True), ('style="opacity:0.85"', False), ('rel="nofollowed"', False)])
@@ -120,25 +237,131 @@ def test_text_modes():
 
 
 def test_epub_round_trip(spark):
-    df = spark.createDataFrame([(1, 1, "One", "hello & bye"), (1, 2, "Two", "x")], "item_id long, n int, title string, body string")
+    df = spark.createDataFrame([(1, 1, "One", "salt & sand"), (1, 2, "Two", "x")], "item_id long, n int, title string, body string")
     got = epub.scan(epub.books(df)).orderBy("name").collect()
-    assert [(r["name"], r["title"]) for r in got] == [("chap_0001.xhtml", "One"), ("chap_0002.xhtml", "Two")] and "hello & bye" in got[0]["text"]
+    assert [(r["name"], r["title"]) for r in got] == [("chap_0001.xhtml", "One"), ("chap_0002.xhtml", "Two")] and "salt & sand" in got[0]["text"]
 
 
 def test_streams(spark, tmp_path):
     from loomspark.streaming import incremental
 
-    rows = [(1, i, i, o) for i, o in enumerate([True, False, False, False])] + [(2, i, i, True) for i in range(3)]
-    spark.createDataFrame(rows, "key long, ts long, event_id long, ok boolean").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key long, ts long, event_id long, ok boolean").parquet(str(tmp_path / "in"))
-    q = incremental.breaker(stream).writeStream.outputMode("update").format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["key"]: r["tripped"] for r in spark.table("runs").collect()}
-    assert got == {1: True, 2: False}
+    at = lambda s: datetime.datetime(2024, 5, 1) + datetime.timedelta(seconds=s)
+    outcomes = [True, False, True, False, False, True]
+    rows = [(1, at(10 * i), i, o) for i, o in enumerate(outcomes)] + [(2, at(10 * i), i, False) for i in range(2)] + [(3, at(90_000), 0, True)]
+    order = [4, 0, 8, 6, 2, 7, 5, 1, 3]  # late and shuffled over files, inside the watermark
+    schema = "key long, ts timestamp, event_id long, ok boolean"
+    for n, i in enumerate(order):
+        spark.createDataFrame([rows[i]], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{n}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    said = []
+
+    def go():
+        q = incremental.breaker(stream, 2, "2 days").writeStream.outputMode("update").foreachBatch(lambda df, n: said.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    go()
+    assert {r["key"] for r in said} == {1, 2, 3} and not any(r["tripped"] for r in said)  # nothing has passed the watermark
+    for n in range(2):  # the watermark passes the first rows, then their state is called up
+        spark.createDataFrame([(5 + n, at(900_000 + n), 0, True)], schema).write.parquet(str(tmp_path / "in" / f"last{n}"))
+        go()
+    got = {r["key"]: (r["run"], r["tripped"]) for r in said if r["key"] < 3}
+    assert got == {1: (2, True), 2: (2, True)}
     seen = []
     incremental.ingest(stream, lambda df: seen.append(df.count()), str(tmp_path / "c2"))
     incremental.ingest(stream, lambda df: seen.append(df.count()), str(tmp_path / "c2"))
-    assert sum(seen) == 7
+    assert sum(seen) == 11
+    spark.createDataFrame([(at(i * 600), "view") for i in range(9)], "ts timestamp, event_type string").write.mode("overwrite").parquet(str(tmp_path / "ev"))
+    events = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "ev"))
+    q = incremental.windowed_counts(events).writeStream.outputMode("update").format("memory").queryName("wins").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["n"] for r in spark.table("wins").collect()) == [3, 6]
+
+
+def test_snapshots_and_their_errors(spark, tmp_path):
+    path = str(tmp_path / "lib")
+    assert tables.load(spark, path, "id long, t string").count() == 0
+    tables.save(spark.createDataFrame([(1, "a")], "id long, t string"), path)
+    old = tables.load(spark, path, "id long, t string")
+    tables.save(tables.add(old, spark.createDataFrame([(2, "b")], "id long, t string"), ["id"]), path)
+    new = tables.load(spark, path, "id long, t string")
+    assert sorted(r["id"] for r in new.collect()) == [1, 2] and old.count() == 1
+    with pytest.raises(Exception, match="already there: 2"):
+        tables.add(new, spark.createDataFrame([(2, "x")], "id long, t string"), ["id"]).collect()
+    with pytest.raises(Exception, match="unknown key 9"):
+        tables.merge_metadata(new, spark.createDataFrame([(9, "x")], "id long, t string"), "id", []).collect()
+    assert [tables.append_new(str(tmp_path / "cache"), spark.createDataFrame(r, "id long, html string"), ["id"]) for r in ([(1, "x")], [(1, "y"), (2, "z")])] == [1, 1]
+    assert tables.load_json(spark, str(tmp_path / "none.json"), "version int").count() == 0
+    (tmp_path / "bad.json").write_text('{"version": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.load_json(spark, str(tmp_path / "bad.json"), "version int").collect()
+    assert tables.undo(new.limit(0), "id", "t").count() == 0
+
+
+def test_addresses(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://h.example/a/b/c.html?q=1#z", "http://h.example", "https://h.example/x/"]
+    refs = ["../up.html", "./here", "d/e?k=v", "//cdn.example/f", "?only=q", "#part", "/root/./x/../y", "https://o.example/p", "", "../../../far", "mailto:a@b.example", "..", "z#w/../v"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string")
+    got = {(x["b"], x["r"]): x["u"] for x in df.select("b", "r", S.url_join(F.col("b"), F.col("r")).alias("u")).collect()}
+    assert got == {(b, r): urljoin(b, r) for b in bases for r in refs}
+
+
+def test_vectors_of_bytes(spark):
+    v = np.array([0.0, -1.5, 3.25e-5, 7e30, -0.1, 1e-42, np.inf], "<f4")
+    got = spark.createDataFrame([(bytearray(v.tobytes() + b"x"),), (bytearray(),)], "b binary").select(S.vector_of_bytes(F.col("b"))).collect()
+    assert np.array_equal(np.array(got[0][0], "f4"), v) and got[1][0] == []
+
+
+def test_site_and_id_needs_a_colon(spark):
+    pick = lambda t: spark.createDataFrame([(t,)], "t string").select(S.site_and_id(F.col("t")).alias("x")).first()["x"]
+    assert tuple(pick("s:a:b")) == ("s", "a:b")
+    with pytest.raises(Exception, match="not SITE:ID"):
+        pick("none")
+
+
+def test_commands(spark, tmp_path):
+    import zipfile
+
+    from loomspark.commands import Library
+
+    said = []
+    lib = Library(spark, str(tmp_path / "lib"), [harbour()], lambda name, counts: said.append(name))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    pages = frame([(1, CARDS, "https://s.example/"), (2, "<p>nothing</p>", "https://s.example/")], "id long, html string, base string")
+    assert lib.crawl("harbour", pages) == {"pages": 2, "new_or_updated": 2, "failed": 1}
+    assert lib.crawl("harbour", pages)["new_or_updated"] == 0 and lib.table("catalog").count() == 2
+    ids = {r["title"]: r["id"] for r in lib.table("catalog").collect()}
+    assert lib.metadata("harbour", frame([("https://s.example/novel/tide.html", DETAIL)], "url string, html string")) == {"pages": 1, "failed": 0}
+    assert lib.enrich(frame([(5, ["Tide & Time", "Ebb"])], "cid long, name array<string>"), 30) == {"auto": 1}
+    assert lib.stats(30) == {"total": 2, "candidates": 1, "with_metadata": 1, "resolved": 1, "clustered": 0}
+    body = '<div class="chapter-content"><p>the long evening tide</p></div>'
+    assert lib.chapters("harbour", frame([(ids["Moss"], n, body if n != 2 else "") for n in range(1, 9)], "id long, n int, html string")) == {"stored": 4, "failed": 1}
+    assert [r["snippet"] for r in lib.grep("EVENING", 5).filter("n = 1").collect()] == ["long evening tide"]
+    assert lib.embed() == {"embedded": 1} and lib.embed() == {"embedded": 0}
+    assert lib.cluster(min_size=2)["n"] == 1 and lib.tag_communities().count() == 2
+    assert lib.next() == ids["Tide & Time"] and lib.next([ids["Tide & Time"]]) is None
+    (tmp_path / "l.json").write_text(f'[{{"novel_id": {ids["Tide & Time"]}, "label": "like"}}]')
+    assert lib.import_labels(str(tmp_path / "l.json"), 3) == {"labels": 1} and lib.next() is None
+    with pytest.raises(Exception, match="unknown label"):
+        lib.label(frame([(1, "grand", "cold", 4)], "id long, label string, source string, labeled_at long"))
+    assert lib.undo() == {"removed": 1} and lib.undo() == {"removed": 0}
+    lib.export(str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).groupBy("part").count().count() == 2
+    assert [r["title"] for r in lib.find("tide").collect()] == ["Tide & Time"]
+    lib.add(frame([(i, "harbour", f"https://s.example/novel/t{i}.html", f"t{i}") for i in (1, 2, 3)], "id long, site_key string, url string, title string"))
+    index = frame([(1, "<p>4 chapters</p>"), (2, "<p>0 chapters</p>"), (3, "<p>none</p>")], "id long, html string")
+    tried = frame([(1, 1, True), (1, 2, False), (1, 3, False), (1, 4, False)], "id long, n long, ok boolean")
+    assert lib.check(index, tried, dry=True) == {"dry-run": 1, "unchanged": 1, "error": 1}
+    assert lib.check(index, tried) == {"updated": 1, "unchanged": 1, "error": 1}
+    assert {r["id"]: r["last_known"] for r in lib.table("tracked").collect()} == {1: 1, 2: 0, 3: 0}
+    assert {r["id"]: r["outcome"] for r in lib.mail(1).collect()} == {1: "send", 2: "nothing-new", 3: "nothing-new"}
+    lib.mailed([1])
+    assert lib.mail(1).filter("outcome = 'send'").count() == 0 and lib.remove([3]) and not lib.remove([3])
+    book = lib.scrape("harbour", "<h1>Tide</h1><p>2 chapters</p>", frame([(n, body) for n in (1, 2, 3)], "n int, html string")).first()
+    (tmp_path / "b.epub").write_bytes(book["content"])
+    assert [n for n in zipfile.ZipFile(tmp_path / "b.epub").namelist() if n.startswith("chap_")] == ["chap_0001.xhtml", "chap_0002.xhtml"]
+    assert lib.search("harbour", '<li class="hit"><a href="/novel/q.html">Q</a></li>')[0]["title"] == "Q" and "crawl" in said and "check" in said
 
 
 def test_entry_imports_without_optional_parts(monkeypatch):
@@ -151,7 +374,7 @@ def test_entry_imports_without_optional_parts(monkeypatch):
 
     def fake(name, *a, **k):
         if name.startswith("loomspark.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
+            raise ModuleNotFoundError(f"no {name}", name="loomspark.llm" if name.startswith("loomspark") else name)
         return real(name, *a, **k)
 
     for m in [m for m in sys.modules if m.startswith("loomspark.llm") or m == "corpus_pipeline"]:
