@@ -4,7 +4,8 @@ Each task pretokenises its texts; pieces that its worker has not met go to an em
 DuckDB: rows (word, place, token) start at single bytes and join the merge table in a
 recursive query; every round contracts each word's leftmost pair of the least rank, until no
 pair of the word is in the table. An ordered aggregation gives each word's ids and, over the
-vocabulary, its decoded bytes. Documents are then put together from their words.
+vocabulary, its decoded bytes, which must be the word again. Documents' ids are put together from
+their words, and their decoded bytes from all their ids.
 
 A round of the recursion keeps its rows, so words over ``LONG_WORD`` bytes (rare) are merged
 by the same rule with a heap.
@@ -143,14 +144,18 @@ def _cache(path: str) -> tuple[WordCache, dict]:
 
     def make():
         encoder, held = Encoder(path), {}
+        held["vocabulary"] = Ragged(np.uint8)
+        held["vocabulary"].add([encoder.token.get(r, b"") for r in range(max(encoder.token) + 1)])
 
         def reset():
-            held["ids"], held["bytes"] = Ragged(np.uint32), Ragged(np.uint8)
+            held["ids"] = Ragged(np.uint32)
 
             def learn(words):
                 ids, decoded = encoder.encode(words)
+                for word, text in zip(words, decoded, strict=True):
+                    if word.encode() != text:
+                        raise ValueError(f"{word!r} does not decode to itself")
                 held["ids"].add(ids)
-                held["bytes"].add(decoded)
 
             return learn
 
@@ -167,8 +172,10 @@ def _encode(path: str, with_ids: bool):
             for p in split(b.column(1)):
                 slots = cache.slots(p)
                 ids, at = held["ids"].gather(slots)
-                text, bt = held["bytes"].gather(slots)
-                cut, bcut = at[p.doc_piece].tolist(), bt[p.doc_piece].tolist()
+                text, bt = held["vocabulary"].gather(ids.astype(np.int64))  # decoded from the ids, in their order
+                cut = at[p.doc_piece]
+                bcut = bt[cut].tolist()
+                cut = cut.tolist()
                 for i in range(len(cut) - 1):
                     mine = ids[cut[i] : cut[i + 1]]
                     n_tokens.append(len(mine))
@@ -189,7 +196,7 @@ def _encode(path: str, with_ids: bool):
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and with ``with_ids`` ids: array of int).
 
-    A null text counts as empty and has no ids (the digests are those of no bytes). Every row
+    Long texts take memory in proportion to their length in one task. A null text counts as empty and has no ids (the digests are those of no bytes). Every row
     gives a row, repeated ones and null ids too; an empty table gives none. ``ranks`` is the path
     of a rank file that each machine has. Columns other than the two named are not read.
     """

@@ -103,17 +103,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that :func:`exact_dedup` keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(
-        F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")).alias("__k"), F.col("doc_id").isNull().alias("__null"), F.unhex("text_sha256").alias("__s")
-    )
-    cols = [docs[c] for c in docs.columns]
-    keyed = docs.select(
-        *cols,
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("__k"), F.col(id_col).isNull().alias("__null"), text_digest(F.col(text_col)).alias("__s"),
-    )
-    # rows that repeat id and text are equal in what decides; one of them stays
-    return keyed.join(kept, ["__k", "__null", "__s"], "left_semi").dropDuplicates(["__k", "__null", "__s"]).select(*docs.columns)
+    """The rows that :func:`exact_dedup` keeps, with all their columns, whatever their names.
+
+    Of rows that repeat id and text the one stays whose other columns hash least (rows that agree
+    in that too are alike, or as good as). Null ids, null and empty texts and empty tables as there."""
+    own = F.col(id_col).cast("long")
+    null, key = own.isNull(), F.coalesce(own, F.lit(0).cast("long"))
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("key"), F.unhex("text_sha256").alias("sha"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), null.alias("null"), key.alias("key"), text_digest(F.col(text_col)).alias("sha"))
+    rows = rows.join(kept, ["null", "key", "sha"], "left_semi")
+    return rows.groupBy("null", "key", "sha").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -171,33 +171,42 @@ class WordCache:
 
     def clear(self) -> None:
         self.slot: dict = {}
+        self.odd: dict = {}  # pieces whose hash another piece has
+        self.n = 0
         self.check = np.zeros(1024, np.uint64)
         self.learn = self.reset()
 
+    def _add(self, p: Pieces, at: np.ndarray) -> np.ndarray:
+        """Numbers for the pieces at the places ``at``, which are new."""
+        gc.disable()  # many small lists and no cycles: the collector would only walk them
+        try:
+            self.learn([p.text(i) for i in at.tolist()])
+        finally:
+            gc.enable()
+        base, self.n = self.n, self.n + len(at)
+        if self.n > len(self.check):
+            self.check = np.concatenate([self.check, np.zeros(self.n, np.uint64)])
+        self.check[base : self.n] = p.check[at]
+        return np.arange(base, self.n)
+
     def slots(self, p: Pieces) -> np.ndarray:
         if not len(p.start):
             return np.zeros(0, np.int64)
-        if len(self.slot) > self.limit:
+        if self.n > self.limit:
             self.clear()
         h, first, inverse = np.unique(p.hash, return_index=True, return_inverse=True)
         get = self.slot.get
         known = np.fromiter(map(get, h.tolist(), repeat(-1)), np.int64, len(h))
         new = np.flatnonzero(known < 0)
         if len(new):
-            base = len(self.slot)
-            gc.disable()  # many small lists and no cycles: the collector would only walk them
-            try:
-                self.learn([p.text(i) for i in first[new].tolist()])
-            finally:
-                gc.enable()
-            self.slot.update(zip(h[new].tolist(), range(base, base + len(new)), strict=True))
-            known[new] = np.arange(base, base + len(new))
-            if base + len(new) > len(self.check):
-                self.check = np.concatenate([self.check, np.zeros(base + len(new), np.uint64)])
-            self.check[base : base + len(new)] = p.check[first[new]]
+            known[new] = self._add(p, first[new])
+            self.slot.update(zip(h[new].tolist(), known[new].tolist(), strict=True))
         out = known[inverse]
-        if (self.check[out] != p.check).any():
-            raise ValueError("two different pieces share a 64-bit hash and length class")
+        for i in np.flatnonzero(self.check[out] != p.check).tolist():  # two pieces of one hash
+            key = int(p.hash[i]), int(p.check[i])
+            if key not in self.odd:
+                self.odd[key] = int(self._add(p, np.array([i]))[0])
+            out[i] = self.odd[key]
         return out
 
 

@@ -5,8 +5,8 @@ by the pigeonhole principle, fingerprints that differ in at most ``radius`` of 6
 wholly in at least ``r - radius`` of ``r`` bit blocks, so each fingerprint is dealt to one
 bucket per choice of ``r - radius`` blocks, and no link is lost. ``r`` rises with the number
 of distinct fingerprints, which keeps a bucket of unrelated ones to a few rows. Inside a
-bucket, bit planes are stored vertically; one pass adds the mismatch planes of many pairs to
-carry-save counters and gives up on a block of lanes once all exceed the radius. A bucket
+bucket, bit planes are stored vertically, once; each pass adds the mismatch planes of many pairs
+to carry-save counters and gives up on a block of 64 lanes once all exceed the radius. A bucket
 larger than ``BUCKET_ROWS`` is split in sub-blocks whose pairs go to different tasks, so
 nothing is capped. Only a spanning star of each bucket's links is emitted, never all pairs.
 """
@@ -57,10 +57,14 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "tie", "fp"])
 
 
+def _tie(text):
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tie: a hash of the text, fp: the fingerprint as a signed long)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("tie")).mapInArrow(
-        _fingerprints, "doc_id long, tie long, fp long"
+    """(doc_id, tie: a digest of the text, fp: the fingerprint as a signed long)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), _tie(F.col(text_col)).alias("tie")).mapInArrow(
+        _fingerprints, "doc_id long, tie string, fp long"
     )
 
 
@@ -73,29 +77,55 @@ def _blocks(distinct: int, radius: int) -> list[tuple[int, list[tuple[int, int]]
     return [(t, [(edges[i], edges[i + 1] - edges[i]) for i in pick]) for t, pick in enumerate(combinations(range(r), r - radius))]
 
 
-def _near_lanes(fps: np.ndarray, step: int, radius: int) -> np.ndarray:
-    """Lanes i with at most ``radius`` bits between fps[i] and fps[i + step], bit-sliced."""
-    n = len(fps) - step
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T  # vertical planes
-    width = -(-n // 64) * 64
-    over = None
-    one = two = four = None
-    for b in range(0, 64, 2):
-        x, y = (np.packbits(np.pad(bits[k, :n] ^ bits[k, step:], (0, width - n)), bitorder="little").view(np.uint64) for k in (b, b + 1))
-        if one is None:
-            one, two, four, over = (np.zeros_like(x) for _ in range(4))
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class Planes:
+    """The bits of fingerprints stored vertically: row k holds bit k of every lane, 64 lanes a word."""
+
+    def __init__(self, fps: np.ndarray):
+        bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+        words = -(-len(fps) // 64)
+        padded = np.zeros((64, (2 * words + 2) * 64), np.uint8)  # a step may reach past the end
+        padded[:, : len(fps)] = bits
+        self.rows = np.packbits(padded, axis=1, bitorder="little").view("<u8")
+
+    def differences(self, k: int, words: np.ndarray, step: int) -> np.ndarray:
+        """Where bit k of lanes and of those ``step`` further differ, for some words of lanes."""
+        row, skip, shift = self.rows[k], step >> 6, np.uint64(step & 63)
+        there = row[words + skip]
+        if shift:
+            there = (there >> shift) | (row[words + skip + 1] << (np.uint64(64) - shift))
+        return row[words] ^ there
+
+
+def near_lanes(planes: Planes, lanes: np.ndarray, step: int, radius: int) -> np.ndarray:
+    """Of ``lanes`` (ascending), those with at most ``radius`` bits between them and the one ``step`` further.
+
+    Carry-save counters take two planes at a time; a word goes as soon as all its lanes are beyond
+    the radius (lanes that were not asked for count as beyond from the start)."""
+    word = lanes >> 6
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    words = word[first]
+    over = ~np.bitwise_or.reduceat(np.uint64(1) << (lanes & 63).astype(np.uint64), first)
+    one, two, four = (np.zeros_like(over) for _ in range(3))
+    for k in range(0, 64, 2):
+        x, y = planes.differences(k, words, step), planes.differences(k + 1, words, step)
         half = one ^ x  # carry-save adder: one + x + y -> one, carry
         carry, one = (one & x) | (half & y), half ^ y
         carry, two = two & carry, two ^ carry
         over |= four & carry
         four ^= carry
         # counters hold 0..7; over marks lanes beyond the radius
-        beyond = four & (one | two) if radius == 4 else _beyond(one, two, four, radius)
-        over |= beyond
-        if b % 8 == 6 and bool((over == np.uint64(0xFFFFFFFFFFFFFFFF)).all()):
-            return np.zeros(0, np.int64)
-    near = np.unpackbits((~over).view(np.uint8), bitorder="little")[:n]
-    return np.flatnonzero(near)
+        over |= four & (one | two) if radius == 4 else _beyond(one, two, four, radius)
+        if k % 8 == 6:
+            alive = over != _FULL
+            if not alive.any():
+                return np.zeros(0, np.int64)
+            if not alive.all():
+                words, over, one, two, four = (v[alive] for v in (words, over, one, two, four))
+    at, bit = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return words[at] * 64 + bit
 
 
 def _beyond(one, two, four, radius):
@@ -107,22 +137,18 @@ def _beyond(one, two, four, radius):
 
 def _links(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars (least fingerprint, other) of the links inside runs of equal ``group``."""
-    order = np.arange(len(fps))
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     lengths = np.diff(np.r_[starts, len(group)])
-    run, length = np.repeat(starts, lengths), np.repeat(lengths, lengths)
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(fps))  # lanes from here to the run's end
+    planes, lanes = Planes(fps), np.flatnonzero(left > 1)
     pairs_a, pairs_b, step = [], [], 1
-    keep = length > 1
-    idx, f, r, ln = order[keep], fps[keep], run[keep], length[keep]
-    while len(f) > step:
-        lanes = _near_lanes(f, step, radius)
-        lanes = lanes[r[lanes] == r[lanes + step]]
-        if len(lanes):
-            pairs_a.append(idx[lanes])
-            pairs_b.append(idx[lanes + step])
+    while len(lanes):
+        near = near_lanes(planes, lanes, step, radius)
+        if len(near):
+            pairs_a.append(near)
+            pairs_b.append(near + step)
         step += 1
-        if (longer := ln > step).sum() < len(f):
-            idx, f, r, ln = idx[longer], f[longer], r[longer], ln[longer]
+        lanes = lanes[left[lanes] > step]
     if not pairs_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
@@ -213,18 +239,22 @@ def _components(docs: DataFrame, id_col: str, text_col: str, radius: int) -> Dat
     least = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     by_fp = materialize(rooted.join(least, "root").select("fp", "component_id"), "byfp")
     release(nodes, roots, rooted, least)
+    # rows and by_fp are read by the result; they go with the folder of the checkpoints
     return rows.join(by_fp, "fp").select("doc_id", "tie", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the least doc_id (a null id
-    is larger than any other; of rows that share it, the least hash of the text)."""
-    last = F.lit((1 << 63) - 1)
-    keyed = F.coalesce(F.col("doc_id"), last).alias("__k")
-    found = _components(docs, id_col, text_col, radius).select(keyed, "tie", F.coalesce(F.col("component_id"), F.col("fp")).alias("c"), F.col("component_id").isNull().alias("n"))
-    stay = found.groupBy("c", "n").agg(F.min(F.struct("__k", "tie")).alias("x")).select("x.__k", F.col("x.tie").alias("__tie"))
-    rows = docs.select("*", F.coalesce(F.col(id_col).cast("long"), last).alias("__k"), F.xxhash64(text_col).alias("__tie"))
-    return rows.join(stay, ["__k", "__tie"], "left_semi").select(*docs.columns)
+    is larger than any other; of rows that share it, the least digest of the text).
+
+    Rows that repeat id and text stay or go together. Null and empty texts are near each other. An
+    empty table stays empty. All columns are kept, whatever their names."""
+    null, key = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("long"))
+    found = _components(docs, id_col, text_col, radius).select(F.struct(null, key, F.col("tie")).alias("who"), F.coalesce(F.col("component_id"), F.col("fp")).alias("c"), F.col("component_id").isNull().alias("n"))
+    stay = found.groupBy("c", "n").agg(F.min("who").alias("who")).select("who.*").toDF("null", "key", "tie")
+    own = F.col(id_col).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.isNull().alias("null"), F.coalesce(own, F.lit(0).cast("long")).alias("key"), _tie(F.col(text_col)).alias("tie"))
+    return rows.join(stay, ["null", "key", "tie"], "left_semi").select("row.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import bpe, exact_dedup, imatch, langid, licenses, packing, pretok, quality, simhash, suffix_dedup, url_filter
 from loomspark.llm.deep_shallow import deep_shallow_sort
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, fp long, k long, tie long, h long, key string, spans string, rest string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, fp long, k long, tie long, h long, key string, spans string, rest string, row string, sha string, null boolean, __k long, __tie long, words string"
 
 
 def sentence(rng, n):
@@ -28,7 +28,7 @@ def awkward():
     rows += [(30, rows[3][1], "en"), (31, rows[3][1].replace(" ", " \n\t"), "en"), (32, shared + " tail one", "fr"), (33, "head " + shared, "fr"), (34, "two\n" + shared + "\nmore", "fr")]
     rows += [(35, None, "de"), (36, "", None), (37, " \n ", "de"), (38, "x" * 9000 + " é" * 3000, "de"), (38, "another text of the same id", "de")]
     rows += [(39, rows[5][1] + " z", "en"), (39, rows[5][1] + " z", "en"), (None, "no id at all", None), (None, None, None), (-4, "=-" * 400, "es"), (40, "12 !? 34", "es")]
-    return [(i, t, g, None, None, "clash", 7, 8, 9, 10, "c", "s", "r") for i, t, g in rows]
+    return [(i, t, g, None, None, "clash", 7, 8, 9, 10, "c", "s", "r", "w", "h", True, 1, 2, "x") for i, t, g in rows]
 
 
 @pytest.fixture(scope="module")
@@ -108,9 +108,12 @@ def test_bit_sliced_lanes_match_popcount():
     rng = np.random.default_rng(1)
     f = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     f[100:200] = f[0] ^ (np.uint64(1) << rng.integers(0, 63, 100).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 100).astype(np.uint64))
-    for step in (1, 7, 150):
-        want = np.flatnonzero(np.bitwise_count(f[:-step] ^ f[step:]) <= 4)
-        assert (simhash._near_lanes(f, step, 4) == want).all()
+    planes = simhash.Planes(f)
+    for step, asked in ((1, 299), (7, 250), (64, 200), (150, 150), (290, 10)):
+        lanes = np.flatnonzero(rng.random(asked) < 0.9)
+        want = lanes[np.bitwise_count(f[lanes] ^ f[lanes + step]) <= 4]
+        assert (simhash.near_lanes(planes, lanes, step, 4) == want).all()
+        assert (simhash.near_lanes(planes, lanes, step, 2) == lanes[np.bitwise_count(f[lanes] ^ f[lanes + step]) <= 2]).all()
 
 
 def test_large_buckets_are_split_without_loss(spark, monkeypatch):
@@ -203,8 +206,16 @@ def test_pieces_and_ids_equal_the_libraries(docs, none):
         flat, at = held["ids"].gather(cache.slots(p))
         cut = at[p.doc_piece]
         for i in range(len(cut) - 1):
-            if "\x1c" not in odd[p.first + i]:
-                assert flat[cut[i] : cut[i + 1]].tolist() == tok.encode(odd[p.first + i], add_special_tokens=False).ids
+            assert flat[cut[i] : cut[i + 1]].tolist() == tok.encode(odd[p.first + i], add_special_tokens=False).ids
+
+
+def test_pieces_of_one_hash_are_told_apart():
+    told = []
+    cache = pretok.WordCache(lambda: told.extend)
+    pieces = next(iter(pretok.split(pa.array(["one two three two one"]))))
+    pieces.hash[:] = 7
+    slots = cache.slots(pieces)
+    assert [told[i] for i in slots] == ["one", " two", " three", " two", " one"] and (cache.slots(pieces) == slots).all()
 
 
 def check_pieces(rows, texts, seq_len=2048):
