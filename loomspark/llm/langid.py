@@ -3,8 +3,10 @@
 Each word has affix, character n-gram and lexicon (whole word) features, hashed to a table
 of weights; a learned transition matrix links neighbouring words, and forward-backward
 gives each word's language, also in code-switched text. A document gets the language with
-the most posterior mass. The field is fitted on a bounded sample of labelled documents
-(``SAMPLE_DOCS``, picked by a hash of the id); everything is predicted over whole texts.
+the most posterior mass. The field is fitted on a bounded sample: at most ``SEGMENTS`` runs of
+``SEGMENT`` words from each of some labelled documents (``SAMPLE_DOCS``, picked by a hash of the
+id), as they are and spliced with runs of other languages, so that transitions between
+languages are learned too. Everything is predicted over whole texts.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ SAMPLE_DOCS = 1200
 TABLE_BITS = 17
 EPOCHS = 25
 SEGMENT = 64
+SEGMENTS = 16
+#: Words that a spliced chain stays in one language.
+STAY = (3, 15)
 WORDS_AT_ONCE = 300_000
 CACHED_WORDS = 400_000
 HELD_OUT = (4, 2)
@@ -121,23 +126,44 @@ def _letters(words: list[str]) -> np.ndarray:
     return np.add.reduceat((classes()[code] == LETTER).astype(np.int64), np.flatnonzero(code == 0)) > 0 if (code == 0).sum() == len(words) else np.array([any(c.isalpha() for c in w) for w in words])
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> dict:
-    """Weights, transitions and labels by maximum likelihood (Adagrad over whole passes)."""
-    labels = sorted(set(langs))
+def segments_of(text: str) -> list[list[str]]:
+    """At most SEGMENTS runs of SEGMENT words with a letter (lower case), spread evenly over the text."""
+    words: list[str] = []
+    for p in split(pa.array([text])):
+        seen = [p.text(i) for i in range(len(p.start))]
+        words += [w.strip().lower() for w, ok in zip(seen, _letters(seen), strict=True) if ok]
+    starts = range(0, len(words), SEGMENT)
+    pick = starts if len(starts) <= SEGMENTS else [starts[i * len(starts) // SEGMENTS] for i in range(SEGMENTS)]
+    return [words[at : at + SEGMENT] for at in pick]
+
+
+def splice(a: list[str], b: list[str], rng: np.random.Generator) -> list[tuple[str, int]]:
+    """Words of two runs in turns of STAY, each with the number of its run (0 or 1)."""
+    out, left, now = [], [a, b], int(rng.integers(2))
+    while left[0] and left[1]:
+        n = int(rng.integers(*STAY))
+        out += [(w, now) for w in left[now][:n]]
+        left[now] = left[now][n:]
+        now = 1 - now
+    return out
+
+
+def fit(runs: list[tuple[list[str], str]], epochs: int = EPOCHS, seed: int = 7) -> dict:
+    """Weights, transitions and labels by maximum likelihood (Adagrad over whole passes) from runs of
+    words with their language; each second run is spliced with one of another language besides."""
+    labels = sorted({lang for _, lang in runs})
+    rng = np.random.default_rng(seed)
+    chains = [[(w, labels.index(lang)) for w in ws] for ws, lang in runs if ws]
+    full = [(ws, labels.index(lang)) for ws, lang in runs if ws]
+    for i in range(0, len(full), 2):
+        ws, one = full[i]
+        for j in rng.integers(0, len(full), 8).tolist():
+            if full[j][1] != one:
+                chains.append([(w, (one, full[j][1])[side]) for w, side in splice(ws, full[j][0], rng)])
+                break
     words: dict = {}
-    seqs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        mine: list = []
-        for p in split(pa.array([text])):
-            h, first, inv = np.unique(p.hash, return_index=True, return_inverse=True)
-            seen = [p.text(i) for i in first]
-            ok = _letters(seen)
-            ids = np.array([words.setdefault(w.strip().lower(), len(words)) if k else -1 for w, k in zip(seen, ok, strict=True)], np.int64)
-            mine.append(ids[inv][ids[inv] >= 0])
-        s = np.concatenate(mine) if mine else np.zeros(0, np.int64)
-        for at in range(0, len(s), SEGMENT):
-            seqs.append(s[at : at + SEGMENT])
-            ys.append(labels.index(lang))
+    seqs = [np.array([words.setdefault(w, len(words)) for w, _ in c], np.int64) for c in chains if c]
+    ys = [np.array([y for _, y in c], np.int64) for c in chains if c]
     k = len(labels)
     weights, trans = np.zeros((1 << TABLE_BITS, k), np.float32), np.zeros((k, k))
     if not seqs or k == 0:
@@ -145,13 +171,14 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 7)
     length = np.array([len(s) for s in seqs])
     begin = np.cumsum(length) - length
     flat = np.concatenate(seqs)
-    y = np.repeat(np.array(ys), length)
+    y = np.concatenate(ys)
     f, fb = features(list(words))
     per = np.diff(np.r_[fb, len(f)])
     hist_w, hist_t = np.full(weights.shape, 1e-3, np.float32), np.full(trans.shape, 1.0)
     seen_pairs = np.zeros((k, k))
-    np.add.at(seen_pairs, (y[1:], y[1:]), 1.0)
-    seen_pairs[:] = np.diag(np.bincount(np.array(ys), length - 1, k))
+    inner = np.ones(len(y), bool)
+    inner[begin] = False  # a chain's first word follows none
+    np.add.at(seen_pairs, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1.0)
     n = len(flat)
     for _ in range(epochs):
         e = np.add.reduceat(weights[f], fb, axis=0)
@@ -191,26 +218,30 @@ def _cache(key: str, model: dict) -> tuple[WordCache, dict]:
     return worker_cache(("langid", key), make)
 
 
-def _predict(key: str, shared, with_rows: bool = False):
+def _predict(key: str, shared, with_rows: bool = False, with_runs: bool = False):
     def run(batches):
         model = shared.value
         labels, trans = model["labels"], model["trans"]
         cache, held = _cache(key, model)
         for b in batches:
-            pred, score = [], []
+            pred, score, found = [], [], []
             e, count, words = [], [], 0
 
             def flush():
                 n = np.array(count, np.int64)
                 mass = np.zeros((len(n), max(1, len(labels))))
+                begin = np.cumsum(n) - n
+                gamma = np.zeros((0, 1))
                 if n.sum() and labels:
-                    begin = np.cumsum(n) - n
                     full = n > 0
                     gamma, _ = forward_backward(np.concatenate(e), begin[full], n[full], trans)
                     mass[full] = np.add.reduceat(gamma, begin[full], axis=0) / n[full][:, None]
                 best = mass.argmax(axis=1)
                 pred.extend("und" if not c else labels[j] if labels else None for j, c in zip(best.tolist(), count, strict=True))
                 score.extend(np.clip(mass[np.arange(len(n)), best], 0.0, 1.0).tolist())
+                if with_runs:
+                    for at, c in zip(begin.tolist(), count, strict=True):
+                        found.append(_runs_of(gamma[at : at + c], labels) if labels else [])
                 e.clear(), count.clear()
 
             for p in split(b.column(1)):
@@ -224,6 +255,9 @@ def _predict(key: str, shared, with_rows: bool = False):
                     words = 0
             flush()
             cols, names = [b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
+            if with_runs:
+                cols.append(pa.array(found, _RUN_TYPE))
+                names.append("runs")
             if with_rows:
                 cols += [b.column(1), b.column(3)]
                 names += ["text", "rest"]
@@ -234,14 +268,40 @@ def _predict(key: str, shared, with_rows: bool = False):
     return run
 
 
+_RUN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string()), ("score", pa.float64())]))
+
+
+def _runs_of(gamma: np.ndarray, labels: list[str]) -> list[dict]:
+    """Neighbouring words of one language: the number of the first, how many, and their mean posterior."""
+    if not len(gamma):
+        return []
+    best = gamma.argmax(axis=1)
+    start = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
+    size = np.diff(np.r_[start, len(best)])
+    mean = np.add.reduceat(gamma[np.arange(len(best)), best], start) / size
+    return [{"first": a, "words": n, "lang": labels[best[a]], "score": min(1.0, m)} for a, n, m in zip(start.tolist(), size.tolist(), mean.tolist(), strict=True)]
+
+
+def _segment_rows(batches):
+    for b in batches:
+        langs, runs = [], []
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for s in segments_of(text):
+                langs.append(lang), runs.append(s)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(runs, pa.list_(pa.string()))], names=["l", "w"])
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Fit on at most ``2 * sample_docs`` documents that have a language and are not held out."""
+    """Fit on at most ``2 * sample_docs`` different documents that have a language and are not held out;
+    the driver gets at most SEGMENTS * SEGMENT words of each."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("l is not null and t is not null")
-    rows = rows.filter(crc_mod(F.col("i"), HELD_OUT[0]) != HELD_OUT[1])
-    n = rows.select("i").count()
-    some = rows.filter(F.pmod(F.xxhash64("i"), F.lit(max(1, n // sample_docs))) == 0).select("i", "t", "l").limit(2 * sample_docs).collect()
-    some = sorted(some, key=lambda r: (r.i is None, r.i, r.t))
-    return fit([r.t for r in some], [r.l for r in some])
+    rows = rows.filter(crc_mod(F.col("i"), HELD_OUT[0]) != HELD_OUT[1]).withColumn("h", F.xxhash64("i", "t"))
+    n = rows.select("h").count()
+    picked = rows.filter(F.pmod("h", F.lit(max(1, n // sample_docs))) == 0)
+    least = picked.select("h", "l").distinct().orderBy("h", "l").limit(2 * sample_docs)
+    some = picked.join(F.broadcast(least), ["h", "l"], "left_semi").dropDuplicates(["h", "l"]).select("l", "t")  # at most 2 * sample_docs rows
+    got = sorted((r.l, tuple(r.w)) for r in some.mapInArrow(_segment_rows, "l string, w array<string>").collect())
+    return fit([(list(w), lang) for lang, w in got])
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,6 +319,18 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     )
 
 
+def identify_runs(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score and runs: array of (first, words, lang, score) for code-switched text.
+
+    A run is words in a row that the field gives one language; words without a letter are not
+    counted. Texts without a letter, and all where no language was learned, have no runs. Rows
+    as in :func:`identify`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, runs array<struct<first:long,words:long,lang:string,score:double>>"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), F.lit(False).alias("h"))
+    return rows.mapInArrow(_predict(uuid.uuid4().hex, shared, with_runs=True), schema).drop("held_out")
+
+
 def keep_identified(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a letter in their text, with all their columns and in one pass.
 

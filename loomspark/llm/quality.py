@@ -2,8 +2,8 @@
 
 Trusted positives (labelled good) and unlabelled text give a linear scorer that minimises
 the non-negative unbiased risk: pi * E+[l(g)] + max(0, Eu[l(-g)] - pi * E+[l(-g)]), where pi
-is the class prior estimated from labelled rows that are not held out. A logistic curve
-fitted on the same labelled rows makes the score a probability. Features are the shapes of
+is the class prior, estimated from the same positives and unlabelled text (no labelled negative
+is used). The logistic of the scorer is the score. Features are the shapes of
 a text's pieces (letters, digits and signs as classes, runs shortened), hashed, as shares of
 the text, and a few whole-text measures. Fitting reads a bounded sample (``SAMPLE``).
 """
@@ -94,19 +94,24 @@ def featurize(texts: pa.Array):
         yield x
 
 
+def pu_risk(w: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of a linear scorer (logistic loss; the last column of both tables is 1): the risk of positives,
+    the unbiased risk of negatives (not yet cut at zero), and the gradients of both."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    gp, gu = pos @ w, unl @ w
+    good, negative = prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    good_slope = -prior * (pos.T @ (1 - sig(gp))) / len(pos)
+    slope = (unl.T @ sig(gu)) / len(unl) - prior * (pos.T @ sig(gp)) / len(pos)
+    return float(good), float(negative), good_slope, slope
+
+
 def fit_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative risk (logistic loss, Adam, small weight decay)."""
-    d = pos.shape[1]
-    w = np.zeros(d + 1)
-    first, second = np.zeros(d + 1), np.zeros(d + 1)
     p1, u1 = np.c_[pos, np.ones(len(pos))], np.c_[unl, np.ones(len(unl))]
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    w, first, second = (np.zeros(p1.shape[1]) for _ in range(3))
     for t in range(1, steps + 1):
-        gp, gu = p1 @ w, u1 @ w
-        good = -prior * (p1.T @ (1 - sig(gp))) / len(p1)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        slope = (u1.T @ sig(gu)) / len(u1) - prior * (p1.T @ sig(gp)) / len(p1)
-        grad = good + slope if negative >= 0 else -slope  # climb back where the estimate went below zero
+        _, negative, good_slope, slope = pu_risk(w, p1, u1, prior)
+        grad = good_slope + slope if negative >= 0 else -slope  # climb back where the estimate went below zero
         grad[:-1] += 1e-4 * w[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad * grad
@@ -114,50 +119,78 @@ def fit_pu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = STEPS) -
     return w[:-1], float(w[-1])
 
 
-def _calibrate(g: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve (Newton steps, weak prior)."""
-    a, c = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * g + c, -30, 30)))
-        r, v = p - y, p * (1 - p) + 1e-9
-        grad = np.array([(r * g).sum() + 0.01 * a, r.sum() + 0.01 * c])
-        hess = np.array([[(v * g * g).sum() + 0.01, (v * g).sum()], [(v * g).sum(), v.sum() + 0.01]])
-        step = np.linalg.solve(hess, grad)
-        a, c = a - step[0], c - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(a, 1e-3)), float(c)
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Weights of a plain logistic model, both classes weighing the same (Adam, small weight decay)."""
+    x1, weight = np.c_[x, np.ones(len(x))], np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    w, first, second = (np.zeros(x1.shape[1]) for _ in range(3))
+    for t in range(1, steps + 1):
+        grad = x1.T @ (weight * (1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30))) - y))
+        grad[:-1] += 1e-4 * w[:-1]
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
+        w -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The share of positives in unlabelled text, from trusted positives and unlabelled text alone.
+
+    Half of both fit a scorer of positive against unlabelled. On the other half, positives are a
+    share of those above a threshold; the share of unlabelled text above it over that of positives
+    bounds the prior from above, and the threshold with the least bound (sampling error
+    included) gives the estimate."""
+    if len(pos) < 4 or len(unl) < 4:
+        return 0.5
+    fit_x, y = np.concatenate([pos[::2], unl[::2]]), np.r_[np.ones(len(pos[::2])), np.zeros(len(unl[::2]))]
+    w = _logistic(fit_x, y)
+    zp, zu = (np.sort(v[1::2] @ w[:-1])[::-1] for v in (pos, unl))
+    qp = np.arange(1, len(zp) + 1) / len(zp)
+    qu = np.searchsorted(-zu, -zp, "right") / len(zu)
+    slack = np.sqrt(np.log(20) / 2) * (len(zp) ** -0.5 + len(zu) ** -0.5)
+    best = int(np.argmin((qu + slack) / qp))
+    return float(np.clip(qu[best] / qp[best], 0.01, 0.99))
+
+
+def _rows_of(batches):
+    """Feature rows of (i, h, y, text), with the text left behind."""
+    for b in batches:
+        x = np.concatenate([*featurize(b.column(3)), np.zeros((0, SHAPES + MEASURES), np.float32)])
+        flat = pa.array(x.ravel(), pa.float32())
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (SHAPES + MEASURES)), flat)], names=["h", "y", "x"])
+
+
+def _sample(rows: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(y, features) of at most ``2 * sample`` different rows (i, t, y), picked and put in order by a hash.
+
+    Features are made on the executors, so a text of any length costs the driver one row of numbers."""
+    rows = rows.withColumn("h", F.xxhash64("i", "t"))
+    n = rows.select("h").count()
+    picked = rows.filter(F.pmod("h", F.lit(max(1, n // sample))) == 0).dropDuplicates(["h"]).select("i", "h", F.col("y").cast("int").alias("y"), F.coalesce("t", F.lit("")).alias("t"))
+    got = picked.mapInArrow(_rows_of, "h long, y int, x array<float>").orderBy("h").limit(2 * sample).toArrow().combine_chunks()
+    if not len(got):
+        return np.zeros(0), np.zeros((0, SHAPES + MEASURES), np.float32)
+    x = np.concatenate([c.flatten().to_numpy() for c in got.column("x").chunks])
+    return got.column("y").fill_null(-1).to_numpy().astype(float), x.reshape(len(got), -1)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict:
-    """Fit on at most about ``sample`` labelled and ``sample`` unlabelled rows that are not held out.
+    """Fit on at most ``2 * sample`` labelled and ``2 * sample`` unlabelled rows that are not held out.
 
-    Without labelled rows of both classes every score is the prior (0.5 where there is none)."""
+    Labelled negatives are not used. Without trusted positives every score is 0.5; without
+    unlabelled text the labelled rows stand in for it."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(crc_mod(F.col("i"), HELD_OUT[0]) != HELD_OUT[1])
     marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("y is not null and i is not null").groupBy("i").agg(F.max("y").alias("y"))
-
-    def some(df: DataFrame) -> DataFrame:
-        n = df.select("i").count()
-        return df.filter(F.pmod(F.xxhash64("i"), F.lit(max(1, n // sample))) == 0).limit(2 * sample)
-
-    picked = some(marks.filter(crc_mod(F.col("i"), HELD_OUT[0]) != HELD_OUT[1]))
-    good = rows.join(picked, "i").limit(3 * sample).collect()
-    blank = some(rows.join(marks, "i", "left_anti")).collect()
-    good.sort(key=lambda r: (r.i, r.t or ""))
-    blank.sort(key=lambda r: (r.i is None, r.i, r.t or ""))
-    y = np.array([r.y for r in good], float)
-    prior = float(y.mean()) if len(y) else 0.5
-    model = {"w": np.zeros(SHAPES + MEASURES), "b": float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))), "prior": prior}
-    if not len(y) or y.min() == y.max():
+    y, known = _sample(rows.join(marks, "i"), sample)
+    _, u = _sample(rows.join(marks.select("i"), "i", "left_anti").withColumn("y", F.lit(None)), sample)
+    u = u if len(u) else known
+    pos = known[y > 0]
+    model = {"w": np.zeros(SHAPES + MEASURES), "b": 0.0, "prior": 0.5}
+    if not len(pos):
         return model
-    x = np.concatenate(list(featurize(pa.array([r.t or "" for r in good], pa.string()))))
-    unlabelled = [r.t or "" for r in blank] or [r.t or "" for r in good]
-    u = np.concatenate(list(featurize(pa.array(unlabelled, pa.string()))))
     mean, scale = u.mean(axis=0), u.std(axis=0) + 0.02
-    w, b = fit_pu((x[y > 0] - mean) / scale, (u - mean) / scale, prior)
-    g = (x - mean) / scale @ w + b
-    slope, shift = _calibrate(g, y)
-    return {"w": slope * w / scale, "b": slope * (b - float((mean / scale) @ w)) + shift, "prior": prior}
+    pos, u = (pos - mean) / scale, (u - mean) / scale
+    prior = estimate_prior(pos, u)
+    w, b = fit_pu(pos, u, prior)
+    return {"w": w / scale, "b": b - float((mean / scale) @ w), "prior": prior}
 
 
 def _score(shared):
@@ -175,7 +208,7 @@ def _score(shared):
 def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row; only the text is scored.
 
-    Null texts are scored like empty ones. Repeated rows and null ids each get a row; an empty
+    Null texts are scored like empty ones, long ones whole, a few at a time. Repeated rows and null ids each get a row; an empty
     table gives none. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -237,10 +237,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, radius: int) -> Dat
         nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted"
     )
     least = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "least")
-    by_fp = materialize(rooted.join(least, "root").select("fp", "component_id"), "byfp")
+    by_fp = materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "byfp")
     release(nodes, roots, rooted, least)
     # rows and by_fp are read by the result; they go with the folder of the checkpoints
-    return rows.join(by_fp, "fp").select("doc_id", "tie", "fp", "component_id")
+    return rows.join(by_fp, "fp").select("doc_id", "tie", "fp", "component_id", "root")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -250,8 +250,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat id and text stay or go together. Null and empty texts are near each other. An
     empty table stays empty. All columns are kept, whatever their names."""
     null, key = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("long"))
-    found = _components(docs, id_col, text_col, radius).select(F.struct(null, key, F.col("tie")).alias("who"), F.coalesce(F.col("component_id"), F.col("fp")).alias("c"), F.col("component_id").isNull().alias("n"))
-    stay = found.groupBy("c", "n").agg(F.min("who").alias("who")).select("who.*").toDF("null", "key", "tie")
+    found = _components(docs, id_col, text_col, radius).select(F.struct(null, key, F.col("tie")).alias("who"), "root")
+    stay = found.groupBy("root").agg(F.min("who").alias("who")).select("who.*").toDF("null", "key", "tie")
     own = F.col(id_col).cast("long")
     rows = docs.select(F.struct(*docs.columns).alias("row"), own.isNull().alias("null"), F.coalesce(own, F.lit(0).cast("long")).alias("key"), _tie(F.col(text_col)).alias("tie"))
     return rows.join(stay, ["null", "key", "tie"], "left_semi").select("row.*")

@@ -410,6 +410,27 @@ def test_quality(spark, docs, none):
     assert quality.score_quality(none, empty).count() == 0 and quality.score_quality(docs, empty).count() == len(awkward())
 
 
+def test_pu_risk_and_its_gradient():
+    rng = np.random.default_rng(4)
+    pos, unl, w, prior = np.c_[rng.normal(1, 1, (40, 3)), np.ones(40)], np.c_[rng.normal(0, 1, (60, 3)), np.ones(60)], rng.normal(size=4), 0.4
+    good, negative, good_slope, slope = quality.pu_risk(w, pos, unl, prior)
+    plain = lambda z, y: math.log1p(math.exp(-y * z))
+    assert good == pytest.approx(prior * sum(plain(x @ w, 1) for x in pos) / 40)
+    assert negative == pytest.approx(sum(plain(x @ w, -1) for x in unl) / 60 - prior * sum(plain(x @ w, -1) for x in pos) / 40)
+    for i in range(4):
+        step = np.eye(4)[i] * 1e-6
+        up, down = quality.pu_risk(w + step, pos, unl, prior), quality.pu_risk(w - step, pos, unl, prior)
+        assert good_slope[i] == pytest.approx((up[0] - down[0]) / 2e-6, abs=1e-5) and slope[i] == pytest.approx((up[1] - down[1]) / 2e-6, abs=1e-5)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_is_estimated_from_unlabelled_rows(share):
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(1.5, 1, (4000, 4)), rng.normal(-1.5, 1, (4000, 4))
+    mixed = np.concatenate([good[2000 : 2000 + int(2000 * share)], bad[: 2000 - int(2000 * share)]])
+    assert abs(quality.estimate_prior(good[:2000], rng.permutation(mixed)) - share) < 0.06
+
+
 def test_language_id(spark, docs, none):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(df, sample_docs=300)
@@ -430,6 +451,27 @@ def test_language_id(spark, docs, none):
     assert multiset(langid.keep_identified(docs, nothing).select("doc_id", "text").collect()) == multiset(kept.select("doc_id", "text").collect())
 
 
+def test_code_switched_text(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(df, sample_docs=300)
+    off = model["trans"] - np.diag(np.diag(model["trans"]))
+    assert np.ptp(off[~np.eye(len(off), dtype=bool)]) >= 0 and np.diag(model["trans"]).min() > off.max()
+    held = [(r["lang"], ws) for r in df.filter("lang is not null and n_chars > 300").orderBy("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for ws in langid.segments_of(r["text"])[:1]]
+    rng, rows, want = np.random.default_rng(2), [], []
+    for (la, a), (lb, b) in zip(held, held[1:], strict=False):
+        if la != lb and len(rows) < 60:
+            mixed = langid.splice(a, b, rng)
+            rows.append((len(rows), " ".join(w for w, _ in mixed)))
+            want.append([(la, lb)[side] for _, side in mixed])
+    right = total = 0
+    for r in langid.identify_runs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        got = [x["lang"] for x in r["runs"] for _ in range(x["words"])]
+        assert [x["first"] for x in r["runs"]] == np.cumsum([0, *[x["words"] for x in r["runs"]]])[:-1].tolist() and all(0 <= x["score"] <= 1 for x in r["runs"])
+        if len(got) == len(want[r["doc_id"]]):
+            right, total = right + sum(x == y for x, y in zip(got, want[r["doc_id"]], strict=True)), total + len(got)
+    assert total > 1000 and right / total > 0.85
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     e, trans, n = rng.normal(size=(9, 2)), rng.normal(size=(2, 2)), [5, 1, 3]
@@ -522,31 +564,66 @@ def test_license_templates_are_of_one_family():
     assert all(a == b or set(p) != set(q) for a, p in found for b, q in found)
 
 
-def test_pipeline_against_brute_force(spark, tmp_path):
+def plain_pipeline(rows):
+    """The first four stages on (id, text) rows, from their definitions."""
     import re
 
-    import corpus_pipeline
-
-    source = [r for r in awkward() if r[0] is not None and r[0] != 38]
-    source.append((50, "Some more words in a text that stands alone.", "en", *([None] * 10)))
-    df = spark.createDataFrame([r[:5] for r in source], "doc_id long, text string, lang string, source string, n_chars long").dropDuplicates(["doc_id", "text"])
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    rows = sorted({(r[0], r[1]) for r in source if any(c.isalpha() for c in r[1] or "")})
-    norm, seen, left = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t), set(), []
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    groups = defaultdict(list)
     for d, t in rows:
-        if norm(t) not in seen:
-            left.append((d, t))
-        seen.add(norm(t))
-    left = [r for r, (d, _, c) in zip(left, brute_components(left), strict=True) if d == c]
-    gone, cut = set(), []
-    for d, t in left:  # ids are unique here
+        if any(c.isalpha() for c in t or ""):
+            groups[norm(t)].append((last(d), d, t))
+    left = [min(g, key=lambda r: (r[0], r[2]))[1:] for g in groups.values()]
+    fps, root = [simhash.fingerprint(t.encode()) for _, t in left], list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 4 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    near = defaultdict(list)
+    for r, (d, t) in zip(root, left, strict=True):
+        near[r].append((last(d), hashlib.md5(t.encode()).hexdigest(), d, t))
+    left = [min(g)[2:] for g in near.values()]
+    seen, cut = set(), []
+    for d, t in sorted(left, key=lambda r: (last(r[0]), _tie(*r))):
         b, keep = t.encode(), np.ones(len(t.encode()), bool)
         for i in range(len(b) - 99):
-            if b[i : i + 100] in gone:
+            if b[i : i + 100] in seen:
                 keep[i : i + 100] = False
-            gone.add(b[i : i + 100])
+            seen.add(b[i : i + 100])
         if keep.any() or not b:
             cut.append((d, bytes(np.frombuffer(b, np.uint8)[keep]).decode("utf-8", "ignore")))
+    return cut
+
+
+@pytest.mark.parametrize("learned", [True, False])
+def test_pipeline_against_brute_force(spark, tmp_path, learned):
+    import corpus_pipeline
+
+    source = [*awkward(), (50, "Some more words in a text that stands alone.", "en"), (None, "two of no id that are near each other, as they differ in one word of many " + "and so on " * 40, None), (None, "two of no id that are near each other, as they differ in a word of many " + "and so on " * 40, None)]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, root string"
+    df = spark.createDataFrame([(r[0], r[1], r[2] if learned else None, "s", len(r[1] or ""), "a", "b", "c") for r in source], cols)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns
+    cut = plain_pipeline([(r[0], r[1]) for r in source])
+    got = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert multiset(got) == multiset(cut)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert check_pieces(out, cut) == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "suffix_dedup", "packing"]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_row_keeping_forms_of_nothing(none):
+    nothing = langid.train(none)
+    for out in (exact_dedup.drop_copies(none), simhash.drop_near_copies(none), suffix_dedup.drop_repeats(none), langid.keep_identified(none, nothing)):
+        assert out.columns == none.columns and out.count() == 0
+    assert langid.identify_runs(none, nothing).count() == 0
