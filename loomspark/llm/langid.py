@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table
 from .pretok import LETTER, WordCache, classes, split, trim, worker_cache
 
-SAMPLE_DOCS = 1200
+SAMPLE_DOCS = 800
 TABLE_BITS = 17
 EPOCHS = 25
 SEGMENT = 64
-SEGMENTS = 16
+SEGMENTS = 8
 #: Words that a spliced chain stays in one language.
 STAY = (3, 15)
 WORDS_AT_ONCE = 300_000
@@ -301,7 +301,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     least = picked.select("h", "l").distinct().orderBy("h", "l").limit(2 * sample_docs)
     some = picked.join(F.broadcast(least), ["h", "l"], "left_semi").dropDuplicates(["h", "l"]).select("l", "t")  # at most 2 * sample_docs rows
     got = sorted((r.l, tuple(r.w)) for r in some.mapInArrow(_segment_rows, "l string, w array<string>").collect())
-    return fit([(list(w), lang) for lang, w in got])
+    model = fit([(list(w), lang) for lang, w in got])
+    del got
+    trim()  # the driver may be small
+    return model
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

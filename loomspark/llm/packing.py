@@ -27,6 +27,7 @@ END_ID = 1
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 CACHED_WORDS = 500_000
+DENSE = 8  # a word of more than one document in so many
 RANKED = 64  # documents put in order at once; more when these are used
 
 
@@ -84,9 +85,16 @@ class Bm25:
         norm = K1 * (1 - B + B * lens / max(1.0, lens.mean() if n else 1.0))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
         self.doc, self.ends = doc, np.r_[first, len(term)]
+        # words of many documents as dense rows, which hold at most DENSE times their postings
+        dense = df * DENSE > n
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
         number = np.repeat(np.arange(len(df)), df)
+        self.rows = np.zeros((int(dense.sum()), n), np.float32)
+        common = dense[number]
+        self.rows[self.row[number[common]], doc[common]] = self.weight[common]
         useful = df[number] > 1  # a word of one document finds no other
-        by_doc = np.argsort(doc[useful], kind="stable")
+        # short numbers are sorted by radix
+        by_doc = np.argsort(doc[useful].astype(np.uint16) if n <= 1 << 16 else doc[useful], kind="stable")
         self.terms = number[useful][by_doc]
         self.bounds = np.searchsorted(doc[useful][by_doc], np.arange(n + 1))
         self.used, self.left, self.next = np.zeros(n, bool), n, 0
@@ -116,10 +124,15 @@ class Bm25:
 
     def _scores(self, seed: int) -> np.ndarray:
         """BM25 of each document for all the words of the seed."""
-        spans = [slice(self.ends[t], self.ends[t + 1]) for t in self.terms[self.bounds[seed] : self.bounds[seed + 1]]]
-        if not spans:
-            return np.zeros(len(self.used))
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.used))
+        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        row = self.row[terms]
+        out = self.rows[row[row >= 0]].sum(axis=0, dtype=np.float64) if len(self.rows) else np.zeros(len(self.used))
+        rare = terms[row < 0]
+        if len(rare):
+            begin, size = self.ends[rare], self.ends[rare + 1] - self.ends[rare]
+            at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+            out += np.bincount(self.doc[at], self.weight[at], len(self.used))
+        return out
 
     def _rank(self, many: int) -> None:
         """The best ``many`` unused documents that share a word with the seed, and those that tie with the last."""
