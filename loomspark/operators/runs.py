@@ -8,27 +8,90 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 
 
-def breaker(df: DataFrame, k: int = 3, key: str = "key", n: str = "n", ok: str = "ok") -> DataFrame:
+def in_ranges(df: DataFrame, order: list, rows: int = 1_000_000) -> DataFrame:
+    """Adds __range: ``df`` dealt by ``order`` into ranges of about ``rows`` rows, so that a hot key spans several."""
+    ranges = df.count() // rows + 1
+    if ranges == 1:
+        return df.withColumn("__range", F.lit(0))
+    return materialize(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def _join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which null keys meet."""
+    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return left.join(other, cond, "left").drop(*[f"__r_{c}" for c in on])
+
+
+def numbered_within(df: DataFrame, key: str, order: list[str], name: str = "n", rows: int = 1_000_000) -> DataFrame:
+    """Adds the place (1, 2, ...) of a row among those of its key, in the order of ``order``.
+
+    A key that spans ranges is numbered range by range; what earlier ranges hold of it is added."""
+    dealt = in_ranges(df, [key, *order], rows)
+    at = F.row_number().over(Window.partitionBy("__range", key).orderBy(*order)).cast("bigint")
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__size"))
+    # a range goes on with one key at most, so this has a row per range at most
+    offsets = sizes.withColumn("__before", F.sum("__size").over(before)).filter("__before is not null").drop("__size")
+    return _join(dealt.withColumn(name, at), offsets, [key, "__range"]).withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0).cast("bigint"))).drop("__range", "__before")
+
+
+def breaker(df: DataFrame, k: int = 3, key: str = "key", n: str = "n", ok: str = "ok", rows: int = 1_000_000) -> DataFrame:
     """key, stopped_at (start of the first run of ``k`` failures, or null), attempted, failed (sorted).
 
     Nothing after the failure that trips the breaker is attempted. Gaps and islands: the number
-    of successes so far names a run, so no state is carried by hand."""
-    w = Window.partitionBy(key).orderBy(n)
-    marked = df.withColumn("__run", F.sum(F.col(ok).cast("int")).over(w))
-    run = Window.partitionBy(key, "__run").orderBy(n)
-    fails = marked.withColumn("__len", F.sum((~F.col(ok)).cast("int")).over(run)).withColumn("__start", F.min(F.when(~F.col(ok), F.col(n))).over(Window.partitionBy(key, "__run")))
-    trip = F.min(F.when(~F.col(ok) & (F.col("__len") >= k), F.col(n))).over(Window.partitionBy(key))
-    kept = fails.withColumn("__trip", trip).filter(F.col("__trip").isNull() | (F.col(n) <= F.col("__trip")))
-    return kept.groupBy(key).agg(
-        F.max(F.when(F.col(n) == F.col("__trip"), F.col("__start"))).alias("stopped_at"), F.count(F.lit(1)).alias("attempted"),
-        F.array_sort(F.collect_list(F.when(~F.col(ok), F.col(n)))).alias("failed"),
-    )
+    of successes so far names a run. Runs are found in each range of a key alone; the failures at
+    the end of a range are carried to the run that its successor begins with."""
+    dealt = in_ranges(df.select(key, n, ok), [key, n], rows)
+    bad = ~F.col(ok)
+    w = Window.partitionBy("__range", key).orderBy(n)
+    marked = dealt.withColumn("__run", F.coalesce(F.sum(F.col(ok).cast("int")).over(w), F.lit(0).cast("bigint")))
+    marked = marked.withColumn("__at", F.sum(bad.cast("int")).over(Window.partitionBy("__range", key, "__run").orderBy(n)))
+    found = marked.groupBy(key, "__range", "__run").agg(F.count_if(bad).alias("__len"), F.min(F.when(bad, F.col(n))).alias("__start"), F.array_sort(F.collect_list(F.when(bad & (F.col("__at") <= k), F.col(n)))).alias("__first"))
+    ends = found.groupBy(key, "__range").agg(F.max("__run").alias("__last"), F.max_by("__len", "__run").alias("__len"), F.max_by("__start", "__run").alias("__start"))
+    by_range = Window.partitionBy(key).orderBy("__range")
+    island = Window.partitionBy(key, "__island").orderBy("__range")
+    ends = ends.withColumn("__island", F.count_if(F.col("__last") > 0).over(by_range))
+    ends = ends.select(key, "__range", F.sum("__len").over(island).alias("__sum"), F.min("__start").over(island).alias("__from"))
+    carry = ends.select(key, "__range", F.lag("__sum").over(by_range).alias("__carry"), F.lag("__from").over(by_range).alias("__from")).filter("__carry > 0").withColumn("__run", F.lit(0).cast("bigint"))
+    need = F.lit(k) - F.coalesce("__carry", F.lit(0))
+    trips = _join(found, carry, [key, "__range", "__run"]).withColumn("__trip", F.when((need >= 1) & (F.size("__first") >= need), F.get("__first", need.cast("int") - 1))).filter("__trip is not null")
+    trips = trips.groupBy(key).agg(F.min_by(F.coalesce("__from", "__start"), "__trip").alias("__stop"), F.min("__trip").alias("__trip"))
+    kept = _join(dealt, trips, [key]).filter(F.col("__trip").isNull() | (F.col(n) <= F.col("__trip")))
+    return kept.groupBy(key).agg(F.max("__stop").alias("stopped_at"), F.count(F.lit(1)).alias("attempted"), F.array_sort(F.collect_list(F.when(bad, F.col(n)))).alias("failed"))
+
+
+def until_failure(df: DataFrame, key: str = "key", n: str = "n", ok: str = "ok") -> DataFrame:
+    """The rows of each key up to and with its first failure."""
+    stop = df.groupBy(key).agg(F.min(F.when(~F.col(ok), F.col(n))).alias("__stop"))
+    return _join(df, stop, [key]).filter(F.col("__stop").isNull() | (F.col(n) <= F.col("__stop"))).drop("__stop")
 
 
 def trailing_run(df: DataFrame, key: str = "key", n: str = "n", ok: str = "ok") -> DataFrame:
-    """key and the number of failures since the last success; aggregates only."""
-    last = df.groupBy(key).agg(F.coalesce(F.max(F.when(F.col(ok), F.col(n))), F.lit(0)).alias("__ok"), F.max(n).alias("__n"))
-    return last.select(key, (F.col("__n") - F.col("__ok")).alias("run"))
+    """key and the number of failures since the last success; aggregates only, gaps in ``n`` do not count."""
+    last = df.groupBy(key).agg(F.max(F.when(F.col(ok), F.col(n))).alias("__ok"))
+    since = ~F.col(ok) & (F.col("__ok").isNull() | (F.col(n) > F.col("__ok")))
+    return _join(df, last, [key]).groupBy(key).agg(F.count_if(since).alias("run"))
+
+
+def pacing(df: DataFrame, start: float = 2.5, cap: float = 120.0, key: str = "key", n: str = "n", ok: str = "ok", asked: str = "asked", rows: int = 1_000_000) -> DataFrame:
+    """key and the interval after its last row: a failure doubles it, or raises it to the ``asked`` one
+    where that is not null; it never shrinks and ends at ``cap``.
+
+    Steps are x -> min(max(a, 2^d x), cap), and so is a chain of them: each range of a key gives its
+    (a, d), and a key's interval is the greatest of what its ranges ask for after all later doublings."""
+    double = (~F.col(ok) & F.col(asked).isNull()).cast("int")
+    power = lambda d: F.pow(F.lit(2.0), F.least(d, F.lit(1000)))  # noqa: E731  far beyond any cap
+    w = Window.partitionBy("__range", key).orderBy(n)
+    dealt = in_ranges(df.select(key, n, ok, asked), [key, n], rows).withColumn("__so_far", F.sum(double).over(w))
+    each = dealt.withColumn("__all", F.sum(double).over(Window.partitionBy("__range", key)))
+    each = each.groupBy(key, "__range").agg(F.max("__all").alias("__d"), F.max(F.when(~F.col(ok), F.col(asked) * power(F.col("__all") - F.col("__so_far")))).alias("__a"))
+    later = F.coalesce(F.sum("__d").over(Window.partitionBy(key).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = each.withColumn("__a", F.col("__a") * power(later)).groupBy(key).agg(F.max("__a").alias("__a"), F.sum("__d").alias("__d"))
+    return top.select(key, F.least(F.greatest(F.col("__a"), F.lit(start) * power(F.col("__d"))), F.lit(cap)).alias("interval"))
 
 
 def numbered(df: DataFrame, order: list, name: str = "pos", start: int = 1, rows: int = 1_000_000) -> DataFrame:

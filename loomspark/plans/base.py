@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.runs import numbered_within
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -70,11 +72,9 @@ CHAPTERS = """chapters AS (SELECT conv_id AS item_id, turn + 1 AS n, role AS tit
 
 def attempts(spark, sf_dir: str) -> DataFrame:
     """Fetch outcomes in order per key, from events."""
-    from pyspark.sql import Window
-
     e = read(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("key"), F.row_number().over(w).cast("bigint").alias("n"), (F.col("event_type") != "error").alias("ok"), "value")
+    n = numbered_within(e, "user_id", ["ts", "event_id"])
+    return n.select(F.col("user_id").alias("key"), "n", (F.col("event_type") != "error").alias("ok"), "value")
 
 
 ATTEMPTS = """attempts AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,

@@ -215,18 +215,15 @@ def retry_latest(spark, d, tries: int = 5):
 
 @query("takewhile_pages", f"WITH {ATTEMPTS}, e AS (SELECT key, min(n) FILTER (NOT ok) AS stop FROM attempts GROUP BY key) SELECT key, n FROM attempts JOIN e USING (key) WHERE stop IS NULL OR n <= stop")
 def takewhile_pages(spark, d):
-    a = attempts(spark, d)
-    stop = F.min(F.when(~F.col("ok"), F.col("n"))).over(Window.partitionBy("key"))
-    return a.withColumn("stop", stop).filter("stop is null or n <= stop").select("key", "n")
+    return runs.until_failure(attempts(spark, d)).select("key", "n")
 
 
 @query("pacing_fold", f"""WITH RECURSIVE {ATTEMPTS}, f AS (SELECT key, 0::BIGINT AS n, 2.5::DOUBLE AS interval FROM (SELECT DISTINCT key FROM attempts)
 UNION ALL SELECT f.key, a.n, CASE WHEN a.ok THEN f.interval ELSE least(greatest(CASE WHEN a.n % 2 = 0 THEN a.value ELSE f.interval * 2 END, f.interval), 120.0) END FROM f JOIN attempts a ON a.key = f.key AND a.n = f.n + 1)
 SELECT key, round(arg_max(interval, n), 6) AS interval FROM f GROUP BY key""")
 def pacing_fold(spark, d):
-    rows = attempts(spark, d).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "ok", "value"))).alias("x"))
-    step = lambda cur, e: F.when(e["ok"], cur).otherwise(F.least(F.greatest(F.when(e["n"] % 2 == 0, e["value"]).otherwise(cur * 2), cur), F.lit(120.0)))
-    return rows.select("key", F.round(F.aggregate("x", F.lit(2.5), step), 6).alias("interval"))
+    asked = F.when(F.col("n") % 2 == 0, F.coalesce("value", F.lit(0.0)))  # a null value asks for nothing
+    return runs.pacing(attempts(spark, d).withColumn("asked", asked)).select("key", F.round("interval", 6).alias("interval"))
 
 
 CLUSTERS = "clusters AS (SELECT vec_id AS id, CASE WHEN label >= 8 THEN -1 ELSE label END::BIGINT AS cluster_id, label FROM embeddings)"

@@ -20,6 +20,43 @@ def test_breaker_trips_at_the_start_of_the_streak(spark):
     assert breaker(spark, [True, True, False, True, False, False, True, True], 2) == (5, [3, 5, 6], 6)
 
 
+def test_runs_of_keys_that_span_ranges(spark):
+    """Ranges of four rows give what one loop over each key gives; places have gaps, and a null key is a key."""
+    import random
+
+    rng = random.Random(5)
+    outcomes = {}
+    for key, size, p in ((None, 30, 0.4), (1, 45, 0.2), (2, 1, 0.5), (3, 20, 1.1), (4, 25, -1.0)):
+        places = sorted(rng.sample(range(1, 200), size))
+        outcomes[key] = [(n, rng.random() < p, rng.choice([None, 0.0, 3.5, 40.0])) for n in places]
+    rows = [(k, *r) for k, rs in outcomes.items() for r in rs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key long, n long, ok boolean, asked double").coalesce(2)
+    cut = {r["key"]: r for r in runs.breaker(df, 3, rows=4).collect()}
+    pace = {r["key"]: r["interval"] for r in runs.pacing(df, rows=4).collect()}
+    tail = {r["key"]: r["run"] for r in runs.trailing_run(df).collect()}
+    first = runs.until_failure(df).collect()
+    places = runs.numbered_within(df, "key", ["n"], "at", rows=4).collect()
+    for key, rs in outcomes.items():
+        streak, stop, failed, attempted, interval, since = [], None, [], 0, 2.5, 0
+        for n, ok, asked in rs:
+            streak = [] if ok else [*streak, n]
+            since = 0 if ok else since + 1
+            if not ok:
+                interval = min(max(interval * 2 if asked is None else asked, interval), 120.0)
+            if stop is None:
+                attempted += 1
+                failed += [] if ok else [n]
+                stop = streak[0] if len(streak) == 3 else None
+        assert (cut[key]["stopped_at"], cut[key]["attempted"], cut[key]["failed"]) == (stop, attempted, failed)
+        assert (pace[key], tail[key]) == (interval, since)
+        oks = [ok for _, ok, _ in rs]
+        assert sorted(r["n"] for r in first if r["key"] == key) == [r[0] for r in rs][: oks.index(False) + 1 if False in oks else None]
+        assert [r["n"] for r in sorted((r for r in places if r["key"] == key), key=lambda r: r["at"])] == [r[0] for r in rs]
+        assert sorted(r["at"] for r in places if r["key"] == key) == list(range(1, len(rs) + 1))
+    assert runs.breaker(df.limit(0)).count() == runs.pacing(df.limit(0)).count() == 0
+
+
 def test_breaker_counts_anew_after_a_success(spark):
     assert breaker(spark, [False, True, False, True, False], 2) == (None, [1, 3, 5], 5)
 
