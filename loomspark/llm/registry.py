@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, imatch, langid, licenses, packing, quality, simhash, suffix_dedup, url_filter
+from . import bpe, exact_dedup, imatch, langid, licenses, merkle, packing, quality, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_langid": langid.op9_langid,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_merkle": merkle.op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL, "op10_suffix_dedup": suffix_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL, "op10_suffix_dedup": suffix_dedup.SQL, "op11_merkle": merkle.SQL}
