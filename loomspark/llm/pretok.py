@@ -98,8 +98,10 @@ def borders(code: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def split(texts: pa.Array):
-    """Pieces of consecutive documents, a bounded number of code points at a time (a longer document alone)."""
+def split(texts: pa.Array, cut=borders):
+    """Pieces of consecutive documents, a bounded number of code points at a time (a longer document alone).
+
+    ``cut`` gives the starts of pieces from code points and documents' starts."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -114,7 +116,7 @@ def split(texts: pa.Array):
         heads = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]  # code points before each byte
         bounds = heads[off[at : to + 1] - off[at]]
         filled = bounds[:-1][bounds[1:] > bounds[:-1]]
-        start = borders(code, filled)
+        start = cut(code, filled)
         length = np.diff(np.r_[start, len(code)])
         if len(start):
             with np.errstate(over="ignore"):
