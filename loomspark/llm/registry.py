@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, exact_dedup, imatch, langid, licenses, merkle, packing, quality, simhash, suffix_dedup, url_filter
+from . import alignment, bpe, exact_dedup, imatch, langid, licenses, merkle, neighbours, packing, quality, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
         "op11_merkle": merkle.op11_merkle,
         "op12_alignment": alignment.op12_alignment,
+        "op13_neighbours": neighbours.op13_neighbours,
     }
 
 
