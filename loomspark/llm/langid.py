@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table
 from .pretok import LETTER, WordCache, classes, split, trim, worker_cache
 
-SAMPLE_DOCS = 800
+SAMPLE_DOCS = 1200
 TABLE_BITS = 17
 EPOCHS = 25
 SEGMENT = 64
-SEGMENTS = 8
+SEGMENTS = 16
 #: Words that a spliced chain stays in one language.
 STAY = (3, 15)
 WORDS_AT_ONCE = 300_000
+FIT_AT_ONCE = 150_000
 CACHED_WORDS = 400_000
 HELD_OUT = (4, 2)
 
@@ -44,8 +45,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     def put(h, salt, who):
         h = (h + np.uint64(salt)) * mult
-        found.append((h >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
-        owner.append(who)
+        found.append((h >> np.uint64(64 - TABLE_BITS)).astype(np.int32))
+        owner.append(who.astype(np.int32))
 
     with np.errstate(over="ignore"):
         h = code.copy()
@@ -137,10 +138,10 @@ def segments_of(text: str) -> list[list[str]]:
     return [words[at : at + SEGMENT] for at in pick]
 
 
-def splice(a: list[str], b: list[str], rng: np.random.Generator) -> list[tuple[str, int]]:
+def splice(a, b, rng: np.random.Generator) -> list[tuple]:
     """Words of two runs in turns of STAY, each with the number of its run (0 or 1)."""
     out, left, now = [], [a, b], int(rng.integers(2))
-    while left[0] and left[1]:
+    while len(left[0]) and len(left[1]):
         n = int(rng.integers(*STAY))
         out += [(w, now) for w in left[now][:n]]
         left[now] = left[now][n:]
@@ -149,44 +150,59 @@ def splice(a: list[str], b: list[str], rng: np.random.Generator) -> list[tuple[s
 
 
 def fit(runs: list[tuple[list[str], str]], epochs: int = EPOCHS, seed: int = 7) -> dict:
+    """:func:`fit_runs` of runs of words with their language."""
+    runs = [(ws, lang) for ws, lang in runs if ws]
+    words: dict = {}
+    flat = np.array([words.setdefault(w, len(words)) for ws, _ in runs for w in ws], np.int32)
+    return fit_runs(flat, np.array([len(ws) for ws, _ in runs], np.int64), [lang for _, lang in runs], list(words), epochs, seed)
+
+
+def fit_runs(flat: np.ndarray, length: np.ndarray, langs: list[str], words: list[str], epochs: int = EPOCHS, seed: int = 7) -> dict:
     """Weights, transitions and labels by maximum likelihood (Adagrad over whole passes) from runs of
-    words with their language; each second run is spliced with one of another language besides."""
-    labels = sorted({lang for _, lang in runs})
+    numbers of ``words``, put end to end, with their language; each second run is spliced with one of
+    another language besides. A pass takes ``FIT_AT_ONCE`` words at a time, so memory is that of the words alone."""
+    labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    chains = [[(w, labels.index(lang)) for w in ws] for ws, lang in runs if ws]
-    full = [(ws, labels.index(lang)) for ws, lang in runs if ws]
-    for i in range(0, len(full), 2):
-        ws, one = full[i]
-        for j in rng.integers(0, len(full), 8).tolist():
-            if full[j][1] != one:
-                chains.append([(w, (one, full[j][1])[side]) for w, side in splice(ws, full[j][0], rng)])
+    own = np.array([labels.index(x) for x in langs], np.int8)
+    begin = np.cumsum(length) - length
+    run = lambda i: flat[begin[i] : begin[i] + length[i]]
+    mixed, mixed_y = [], []
+    for i in range(0, len(langs), 2):
+        for j in rng.integers(0, len(langs), 8).tolist():
+            if own[j] != own[i]:
+                both = splice(run(i), run(j), rng)
+                mixed.append(np.array([w for w, _ in both], np.int32)), mixed_y.append(np.array([(own[i], own[j])[side] for _, side in both], np.int8))
                 break
-    words: dict = {}
-    seqs = [np.array([words.setdefault(w, len(words)) for w, _ in c], np.int64) for c in chains if c]
-    ys = [np.array([y for _, y in c], np.int64) for c in chains if c]
-    k = len(labels)
+    y = np.concatenate([np.repeat(own, length), *mixed_y]).astype(np.int8) if len(langs) else np.zeros(0, np.int8)
+    length = np.r_[length, np.array([len(x) for x in mixed], np.int64)].astype(np.int64)
+    flat = np.concatenate([flat, *mixed])
+    del mixed, mixed_y
+    k, n = len(labels), len(flat)
     weights, trans = np.zeros((1 << TABLE_BITS, k), np.float32), np.zeros((k, k))
-    if not seqs or k == 0:
+    if not n:
         return {"labels": labels, "weights": weights, "trans": trans}
-    length = np.array([len(s) for s in seqs])
     begin = np.cumsum(length) - length
-    flat = np.concatenate(seqs)
-    y = np.concatenate(ys)
-    f, fb = features(list(words))
+    parts = np.unique(np.r_[0, np.searchsorted(begin, np.arange(0, n, FIT_AT_ONCE)), len(begin)])
+    f, fb = features(words)
+    f = f.astype(np.int32)
     per = np.diff(np.r_[fb, len(f)])
     hist_w, hist_t = np.full(weights.shape, 1e-3, np.float32), np.full(trans.shape, 1.0)
     seen_pairs = np.zeros((k, k))
-    inner = np.ones(len(y), bool)
+    inner = np.ones(n, bool)
     inner[begin] = False  # a chain's first word follows none
     np.add.at(seen_pairs, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1.0)
-    n = len(flat)
     for _ in range(epochs):
-        e = np.add.reduceat(weights[f], fb, axis=0)
-        gamma, pairs = forward_backward(e[flat], begin, length, trans, True)
-        gamma[np.arange(n), y] -= 1.0
+        e = np.concatenate([np.add.reduceat(weights[f[fb[a] : fb[b] if b < len(fb) else len(f)]], fb[a:b] - fb[a], axis=0) for a, b in zip(range(0, len(fb), 50_000), [*range(50_000, len(fb), 50_000), len(fb)], strict=True)])
+        g_word, pairs = np.zeros((len(words), k)), np.zeros((k, k))
+        for a, b in zip(parts[:-1], parts[1:], strict=True):
+            first, last = begin[a], begin[b] if b < len(begin) else n
+            gamma, some = forward_backward(e[flat[first:last]], begin[a:b] - first, length[a:b], trans, True)
+            gamma[np.arange(last - first), y[first:last]] -= 1.0
+            pairs += some
+            for c in range(k):
+                g_word[:, c] += np.bincount(flat[first:last], gamma[:, c], len(words))
         for c in range(k):
-            g_word = np.bincount(flat, gamma[:, c], len(words))
-            g = np.bincount(f, np.repeat(g_word, per), 1 << TABLE_BITS).astype(np.float32) / n + 1e-7 * weights[:, c]
+            g = np.bincount(f, np.repeat(g_word[:, c], per), 1 << TABLE_BITS).astype(np.float32) / n + 1e-7 * weights[:, c]
             hist_w[:, c] += g * g * 1e4
             weights[:, c] -= 0.5 * g * 1e2 / np.sqrt(hist_w[:, c])
         g = (pairs - seen_pairs) / n
@@ -284,25 +300,30 @@ def _runs_of(gamma: np.ndarray, labels: list[str]) -> list[dict]:
 
 def _segment_rows(batches):
     for b in batches:
-        langs, runs = [], []
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for s in segments_of(text):
-                langs.append(lang), runs.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(runs, pa.list_(pa.string()))], names=["l", "w"])
+        langs, hashes, number, runs = [], [], [], []
+        for lang, h, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for i, s in enumerate(segments_of(text)):
+                langs.append(lang), hashes.append(h), number.append(i), runs.append(s)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(number, pa.int32()), pa.array(runs, pa.list_(pa.string()))], names=["l", "h", "n", "w"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict:
     """Fit on at most ``2 * sample_docs`` different documents that have a language and are not held out;
-    the driver gets at most SEGMENTS * SEGMENT words of each."""
+    the driver gets at most SEGMENTS * SEGMENT words of each, as one Arrow table, and numbers them."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("l is not null and t is not null")
     rows = rows.filter(crc_mod(F.col("i"), HELD_OUT[0]) != HELD_OUT[1]).withColumn("h", F.xxhash64("i", "t"))
     n = rows.select("h").count()
     picked = rows.filter(F.pmod("h", F.lit(max(1, n // sample_docs))) == 0)
     least = picked.select("h", "l").distinct().orderBy("h", "l").limit(2 * sample_docs)
-    some = picked.join(F.broadcast(least), ["h", "l"], "left_semi").dropDuplicates(["h", "l"]).select("l", "t")  # at most 2 * sample_docs rows
-    got = sorted((r.l, tuple(r.w)) for r in some.mapInArrow(_segment_rows, "l string, w array<string>").collect())
-    model = fit([(list(w), lang) for lang, w in got])
-    del got
+    some = picked.join(F.broadcast(least), ["h", "l"], "left_semi").dropDuplicates(["h", "l"]).select("l", "h", "t")  # at most 2 * sample_docs rows
+    got = some.mapInArrow(_segment_rows, "l string, h long, n int, w array<string>").toArrow().sort_by([("l", "ascending"), ("h", "ascending"), ("n", "ascending")]).combine_chunks()
+    langs, lists = got["l"].to_pylist(), got["w"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    length = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, np.int64)
+    flat, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary.to_pylist()
+    del got, lists, coded
+    model = fit_runs(flat, length, langs, words)
+    del flat, words
     trim()  # the driver may be small
     return model
 

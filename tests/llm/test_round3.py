@@ -208,3 +208,40 @@ def test_recall(spark):
         s[ids == q] = -np.inf
         hit += len(near & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
     assert hit >= 0.9 * 20 * len(got) and len(got) == (ids % 20 == 0).sum()
+
+
+def test_langid_fit_is_the_likelihoods_gradient(monkeypatch):
+    """One pass of the fit against expectations over all label sequences of small chains, in one batch and in several."""
+    import itertools
+
+    from loomspark.llm import langid
+
+    rng = random.Random(4)
+    runs = [(rng.choices(["der", "the", "und", "and", "haus", "house", "é"], k=rng.randint(1, 5)), lang) for lang in ["de", "en", "fr"] * 4]
+    model = langid.fit(runs, epochs=1)
+    monkeypatch.setattr(langid, "FIT_AT_ONCE", 6)
+    split = langid.fit(runs, epochs=3)
+    monkeypatch.setattr(langid, "FIT_AT_ONCE", 10_000)
+    whole = langid.fit(runs, epochs=3)
+    assert np.allclose(split["weights"], whole["weights"], atol=1e-5) and np.allclose(split["trans"], whole["trans"])
+    # the chains of the fit: the runs, and spliced ones as its generator makes them
+    labels = ["de", "en", "fr"]
+    draw = np.random.default_rng(7)
+    chains = [[(w, labels.index(g)) for w in ws] for ws, g in runs]
+    for i in range(0, len(runs), 2):
+        for j in draw.integers(0, len(runs), 8).tolist():
+            if runs[j][1] != runs[i][1]:
+                chains.append([(w, labels.index((runs[i][1], runs[j][1])[side])) for w, side in langid.splice(runs[i][0], runs[j][0], draw)])
+                break
+    n = sum(map(len, chains))
+    g_w, g_t = np.zeros(model["weights"].shape), np.zeros((3, 3))
+    for chain in chains:
+        feats = [langid.features([w])[0] for w, _ in chain]
+        everything = list(itertools.product(range(3), repeat=len(chain)))  # all as likely before the first pass
+        for ys, weight in [*((ys, 1 / len(everything)) for ys in everything), (tuple(y for _, y in chain), -1.0)]:
+            for f, y in zip(feats, ys, strict=True):
+                np.add.at(g_w[:, y], f, weight / n)
+            for a, b in itertools.pairwise(ys):
+                g_t[a, b] += weight / n
+    assert np.allclose(model["trans"], -0.5 * g_t / np.sqrt(1.0 + g_t * g_t))
+    assert np.allclose(model["weights"], -0.5 * g_w * 1e2 / np.sqrt(1e-3 + g_w * g_w * 1e4), atol=1e-3)
