@@ -169,7 +169,7 @@ def safe_link(rel: Column, style: Column, hidden: Column, aria_hidden: Column) -
     flat = F.lower(F.replace(F.coalesce(style, F.lit("")), F.lit(" "), F.lit("")))
     nofollow = F.array_contains(F.split(F.lower(F.coalesce(rel, F.lit(""))), r"\s+"), "nofollow")
     unseen = F.contains(flat, F.lit("display:none")) | F.contains(flat, F.lit("visibility:hidden")) | flat.rlike(r"opacity:0(\.0+)?(;|$)")
-    return ~(nofollow | unseen | F.coalesce(hidden, F.lit(False)) | (F.lower(F.coalesce(aria_hidden, F.lit(""))) == "true"))
+    return ~(nofollow | unseen | F.coalesce(hidden, F.lit(False)) | (F.lower(F.trim(F.coalesce(aria_hidden, F.lit("")))) == "true"))
 
 
 def snippets(text: Column, needle: str, context: int) -> Column:

@@ -142,16 +142,39 @@ def load_json(spark, path: str, schema: str) -> DataFrame:
 
 
 #: Checks in a row without progress after which a title is switched off.
-IDLE_CHECKS = 3
-
-
-def check_states(tracked: DataFrame, dry: bool = False, idle_checks: int = IDLE_CHECKS) -> DataFrame:
-    """Adds status, fetched and idle to rows with last_known, seen (chapters now; null: could not be
-    told), failing (has failed chapters), retried (of those, got this time), stopped_at and idle."""
-    delta = F.col("seen") - F.col("last_known")
-    news = F.coalesce(F.col("stopped_at") - 1, F.col("seen")) - F.col("last_known")
-    fetched = F.greatest(F.when(delta > 0, news).when(F.col("failing"), F.col("retried")).otherwise(0), F.lit(0)).cast("bigint")
-    quiet = F.col("seen").isNull() | ((delta <= 0) & ~F.col("failing"))
-    idle = F.when(quiet | F.lit(dry), F.col("idle")).when(fetched > 0, 0).otherwise(F.col("idle") + 1).cast("bigint")
-    status = F.when(F.col("seen").isNull(), "error").when(quiet, "unchanged").when(F.lit(dry), "dry-run").when(fetched > 0, "updated").when(idle >= idle_checks, "disabled").otherwise("no-progress")
-    return tracked.withColumns({"status": status, "fetched": fetched, "__idle": idle}).drop("idle").withColumnRenamed("__idle", "idle")
+IDLE_CHECKS = 5
+
+
+def wanted_chapters(tracked: DataFrame) -> DataFrame:
+    """(id, n, known) that a check of (id, last_known, seen, failed: array) tries, in order: all chapters where the
+    index shows new ones, else those that failed before. ``known`` ones were got before and need no fetch."""
+    news = F.col("seen") > F.col("last_known")
+    numbers = F.when(news, F.sequence(F.lit(1).cast("bigint"), F.col("seen"))).when(F.col("seen").isNotNull(), F.col("failed"))
+    rows = tracked.select("id", "last_known", "failed", F.explode(numbers).alias("n"))
+    return rows.select("id", "n", ((F.col("n") <= F.col("last_known")) & ~F.coalesce(F.array_contains("failed", F.col("n")), F.lit(False))).alias("known"))
+
+
+def check_states(tracked: DataFrame, dry: bool = False, idle_checks: int = IDLE_CHECKS, breaker: int = 3) -> DataFrame:
+    """Adds status, fetched, new_last, still_failed, idle, enabled and last_error to rows with last_known, seen
+    (chapters now; null: could not be told), failed (array of chapters that failed before), idle, and what trying
+    the :func:`wanted_chapters` gave: attempted, failed_now (array) and stopped_at (null where nothing was tried).
+
+    With news, what counts as fetched is the chapters held after the check beyond those known before it, not
+    the index's difference: failures do not count. Else it is the failed ones got this time."""
+    delta, had = F.col("seen") - F.col("last_known"), F.coalesce(F.size("failed") > 0, F.lit(False))
+    got = F.coalesce(F.col("attempted") - F.size("failed_now"), F.lit(0))
+    quiet = F.col("seen").isNull() | ((delta <= 0) & ~had)
+    idle_now = quiet | F.lit(dry)
+    fetched = F.when(idle_now, 0).when(delta > 0, F.greatest(got - F.col("last_known"), F.lit(0))).otherwise(got).cast("bigint")
+    idle = F.when(idle_now, F.col("idle")).when(fetched > 0, 0).otherwise(F.col("idle") + 1).cast("bigint")
+    off = ~idle_now & (idle >= idle_checks)
+    status = F.when(F.col("seen").isNull(), "error").when(quiet, "unchanged").when(F.lit(dry), "dry-run").when(off, "disabled").when(fetched > 0, "updated").otherwise("no-progress")
+    tripped = ~idle_now & (delta > 0) & F.col("stopped_at").isNotNull()
+    error = (
+        F.when(F.col("seen").isNull(), "could not determine chapter count")
+        .when(off, F.lit(f"switched off after {idle_checks} checks in a row without progress"))
+        .when(tripped, F.concat(F.lit(f"circuit breaker: {breaker} consecutive failures starting at chapter "), F.col("stopped_at").cast("string")))
+    )
+    new_last = F.when(~idle_now & (delta > 0), F.coalesce(F.col("stopped_at") - 1, F.col("seen"))).otherwise(F.col("last_known")).cast("bigint")
+    still = F.when(idle_now, F.coalesce("failed", F.array().cast("array<bigint>"))).otherwise(F.coalesce("failed_now", F.array().cast("array<bigint>")))
+    return tracked.withColumns({"status": status, "fetched": fetched, "new_last": new_last, "still_failed": still, "__idle": idle, "last_error": error}).drop("idle").withColumnRenamed("__idle", "idle")

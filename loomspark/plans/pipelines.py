@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..operators import resolve as R
-from ..operators import runs, tables
+from ..operators import frontier, runs, tables
+from ..operators import scrape as scraping
 from ..sources import html
 from .base import ATTEMPTS, CHAPTERS, ITEMS, SQL, TIERS, attempts, chapters, items, query, read, tiers
 
@@ -70,6 +71,33 @@ def checkpoint_next(spark, d):
     return read(spark, d, "documents").groupBy(F.col("lang").alias("site_key")).agg((F.coalesce(done, F.lit(0)) + 1).alias("next_page"))
 
 
+_TRIES = ["l_quantity::BIGINT", "l_partkey", "l_suppkey", "l_partkey + l_suppkey", "l_quantity::BIGINT + l_partkey", "l_quantity::BIGINT + l_suppkey", "l_orderkey"]
+_KIND = {0: "gone", 1: "empty", 2: "empty", 3: "empty", 4: "error", 5: "error"}
+
+
+@query("crawl_frontier", f"""WITH t AS (SELECT l_orderkey::VARCHAR AS site, l_linenumber::BIGINT AS page, unnest([{", ".join(f"({x}) % 8" for x in _TRIES)}]) AS code, unnest(range({len(_TRIES)})) AS attempt, (l_partkey % 10) <> 0 AS has_next FROM lineitem),
+k AS (SELECT *, CASE code {" ".join(f"WHEN {c} THEN '{n}'" for c, n in _KIND.items())} ELSE 'good' END AS kind FROM t),
+l AS (SELECT site, page, list(CASE kind WHEN 'gone' THEN 0 WHEN 'empty' THEN 1 WHEN 'error' THEN 2 ELSE 3 + has_next::INT END ORDER BY attempt, kind, has_next) AS codes FROM k GROUP BY site, page),
+f AS (SELECT site, page, list_reduce(list_prepend(0::BIGINT, codes), lambda s, c: CASE WHEN s >= 1000 THEN s WHEN c >= 3 THEN 1000 + 500 * (c - 3) WHEN c = 0 THEN 2000
+  WHEN c = 2 THEN CASE WHEN s % 10 >= 5 THEN 3000 ELSE s + 1 END WHEN s // 10 >= 3 THEN 4000 ELSE (s // 10 + 1) * 10 END) AS s FROM l),
+g AS (SELECT site, page, s // 1000 AS v, s = 1000 AS last FROM f),
+n AS (SELECT site, min(p) FILTER (v IS DISTINCT FROM 1) AS gap, min(p + 1) FILTER (last) AS behind_last
+  FROM (SELECT x.site, x.p, v, coalesce(last, false) AS last FROM (SELECT DISTINCT site, unnest(range(1, 9)) AS p FROM g) x LEFT JOIN g ON g.site = x.site AND g.page = x.p) GROUP BY site),
+e AS (SELECT site, least(gap, coalesce(behind_last, 99), 7) AS next_page, coalesce(behind_last <= least(gap, 7), false) AS is_last FROM n)
+SELECT e.site, next_page, CASE WHEN is_last THEN 'last' WHEN next_page >= 7 THEN 'limit' WHEN v IS NULL THEN 'open' ELSE ['waiting', 'good', 'end', 'failed', 'empty'][v + 1] END AS reason
+FROM e LEFT JOIN g ON g.site = e.site AND g.page = e.next_page""")
+def crawl_frontier(spark, d, most: int = 6):
+    """The next page of each order's line pages after a run of up to seven attempts at each, and why it is there."""
+    rows = read(spark, d, "lineitem")
+    spark_sql = [x.replace("::BIGINT", "") for x in _TRIES]
+    codes = F.array(*[(F.expr(x).cast("bigint") % 8).cast("int") for x in spark_sql])
+    kinds = F.create_map(*[F.lit(x) for c in _KIND.items() for x in c])
+    tries = rows.select(F.col("l_orderkey").cast("string").alias("site"), F.col("l_linenumber").cast("bigint").alias("page"), (F.col("l_partkey") % 10 != 0).alias("has_next"), F.posexplode(codes).alias("attempt", "code"))
+    tries = tries.select("site", "page", "attempt", F.coalesce(F.try_element_at(kinds, "code"), F.lit("good")).alias("kind"), "has_next")
+    none = [spark.createDataFrame([], s) for s in (frontier.STATE, frontier.PAGES)]
+    return frontier.advance(*none, tries, first=1, most=most)[0]
+
+
 _TRACKED = "tracked AS (SELECT c_custkey AS id, count(o_orderkey)::BIGINT AS last_known, (count(o_orderkey) + c_custkey % 4)::BIGINT AS total, c_custkey % 5 <> 0 AS enabled FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)"
 
 
@@ -81,7 +109,8 @@ def tracked(spark, d):
 
 @query("library_add_remove", f"WITH {_TRACKED} SELECT id FROM tracked WHERE id % 6 <> 0 UNION ALL SELECT 1000000 AS id")
 def library_add_remove(spark, d):
-    lib = tables.remove(tracked(spark, d).select("id"), spark.range(0, 100_000_000, 6), ["id"])
+    ids = tracked(spark, d).select("id")
+    lib = tables.remove(ids, ids.filter("id % 6 = 0"), ["id"])
     return tables.add(lib, spark.range(1000000, 1000001), ["id"])
 
 
@@ -103,26 +132,71 @@ def mail_bookkeeping(spark, d):
     return tracked(spark, d).select("id", F.when(failed, F.col("last_known") - 1).otherwise(F.col("total")).alias("last_mailed"), F.when(failed, "no connection").otherwise("").alias("mail_error"))
 
 
-_CHECKED = f"""WITH {_TRACKED}, b AS (SELECT *, CASE WHEN id % 11 <> 0 THEN total END AS seen, id % 7 = 0 AS failing, CASE WHEN id % 9 = 0 AND total > last_known THEN last_known + 1 END AS stopped_at, id % 3 AS idle FROM tracked WHERE enabled),
-c AS (SELECT *, seen - last_known AS delta, greatest(CASE WHEN seen - last_known > 0 THEN coalesce(stopped_at - 1, seen) - last_known WHEN failing THEN id % 2 ELSE 0 END, 0) AS got FROM b)
+_CHECKED = f"""WITH {_TRACKED}, b AS (SELECT *, CASE WHEN id % 11 <> 0 THEN total END AS seen, (id % 6)::BIGINT AS idle,
+  CASE WHEN id % 7 = 0 THEN range(1, least(last_known, 1 + id % 5) + 1) ELSE []::BIGINT[] END AS failed FROM tracked WHERE enabled),
+w AS (SELECT id, n, n <= last_known AND NOT list_contains(failed, n) OR (id + n) % 3 <> 0 AND id % 9 <> 0 AS ok
+  FROM (SELECT *, unnest(CASE WHEN seen > last_known THEN range(1, seen + 1) WHEN seen IS NOT NULL THEN failed END) AS n FROM b)),
+g AS (SELECT *, sum(ok::INT) OVER (PARTITION BY id ORDER BY n) AS island FROM w),
+f AS (SELECT *, row_number() OVER (PARTITION BY id, island ORDER BY n) AS nth, min(n) OVER (PARTITION BY id, island) AS start FROM g WHERE NOT ok),
+t AS (SELECT id, min(n) AS trip, min(start) AS stopped_at FROM f WHERE nth = 3 GROUP BY id),
+o AS (SELECT w.id, count(*) FILTER (ok) AS got, any_value(stopped_at) AS stopped_at, list_sort(coalesce(list(n) FILTER (NOT ok), []::BIGINT[])) AS failed_now FROM w LEFT JOIN t ON t.id = w.id WHERE trip IS NULL OR n <= trip GROUP BY w.id),
+c AS (SELECT b.*, seen - last_known AS delta, len(failed) > 0 AS had, coalesce(got, 0) AS got, stopped_at, coalesce(failed_now, []::BIGINT[]) AS failed_now FROM b LEFT JOIN o ON o.id = b.id),
+x AS (SELECT *, CASE WHEN delta > 0 THEN greatest(got - last_known, 0) WHEN had THEN got ELSE 0 END AS fetched, seen IS NULL OR delta <= 0 AND NOT had AS quiet FROM c)
 """
-_STATUS = "CASE WHEN seen IS NULL THEN 'error' WHEN delta <= 0 AND NOT failing THEN 'unchanged' WHEN {dry} THEN 'dry-run' WHEN got > 0 THEN 'updated' WHEN idle + 1 >= 3 THEN 'disabled' ELSE 'no-progress' END"
+_STATUS = "CASE WHEN seen IS NULL THEN 'error' WHEN quiet THEN 'unchanged' WHEN {dry} THEN 'dry-run' WHEN fetched > 0 THEN 'updated' WHEN idle + 1 >= 5 THEN 'disabled' ELSE 'no-progress' END"
 
 
-@query("check_status", _CHECKED + f"SELECT id, {_STATUS.format(dry='false')} AS status, coalesce(got, 0)::BIGINT AS fetched, CASE WHEN seen IS NULL OR delta <= 0 AND NOT failing THEN idle WHEN got > 0 THEN 0 ELSE idle + 1 END::BIGINT AS idle FROM c")
+@query("check_status", _CHECKED + f"""SELECT id, {_STATUS.format(dry='false')} AS status, CASE WHEN quiet THEN 0 ELSE fetched END::BIGINT AS fetched,
+  CASE WHEN quiet THEN idle WHEN fetched > 0 THEN 0 ELSE idle + 1 END::BIGINT AS idle, CASE WHEN NOT quiet AND delta > 0 THEN coalesce(stopped_at - 1, seen) ELSE last_known END AS new_last,
+  CASE WHEN quiet THEN failed ELSE failed_now END AS still_failed,
+  CASE WHEN seen IS NULL THEN 'could not determine chapter count' WHEN NOT quiet AND fetched = 0 AND idle + 1 >= 5 THEN 'switched off after 5 checks in a row without progress'
+    WHEN NOT quiet AND delta > 0 AND stopped_at IS NOT NULL THEN 'circuit breaker: 3 consecutive failures starting at chapter ' || stopped_at END AS last_error FROM x""")
 def check_status(spark, d, dry: bool = False):
-    """States of a check of the enabled titles: error (no count), unchanged, dry-run, updated, disabled
-    (too many checks without progress) and no-progress; chapters fetched, and checks without progress."""
-    t = tracked(spark, d).filter("enabled").withColumn("seen", F.when(F.col("id") % 11 != 0, F.col("total"))).withColumn("failing", F.col("id") % 7 == 0)
-    t = t.withColumn("stopped_at", F.when((F.col("id") % 9 == 0) & (F.col("total") > F.col("last_known")), F.col("last_known") + 1)).withColumn("retried", F.col("id") % 2).withColumn("idle", F.col("id") % 3)
-    return tables.check_states(t, dry).select("id", "status", "fetched", "idle")
+    """A check of the enabled titles: status, chapters fetched, checks without progress, last chapter known, chapters
+    that still fail and what went wrong. Chapters fail alone, in runs that trip the breaker, and again."""
+    old = F.when(F.col("id") % 7 == 0, F.filter(F.sequence(F.lit(1).cast("bigint"), 1 + F.col("id") % 5), lambda n: n <= F.col("last_known"))).otherwise(F.array().cast("array<bigint>"))
+    t = tracked(spark, d).filter("enabled").withColumns({"seen": F.when(F.col("id") % 11 != 0, F.col("total")), "idle": F.col("id") % 6, "failed": old})
+    ok = F.col("known") | (((F.col("id") + F.col("n")) % 3 != 0) & (F.col("id") % 9 != 0))
+    tried = runs.breaker(tables.wanted_chapters(t).select(F.col("id").alias("key"), "n", ok.alias("ok")), 3)
+    t = t.join(tried.select(F.col("key").alias("id"), "attempted", F.col("failed").alias("failed_now"), "stopped_at"), "id", "left")
+    return tables.check_states(t, dry).select("id", "status", "fetched", "idle", "new_last", "still_failed", "last_error")
 
 
-@query("check_dry_run", _CHECKED + f"SELECT {_STATUS.format(dry='true')} AS status, count(*)::BIGINT AS n FROM c GROUP BY 1")
+@query("check_dry_run", _CHECKED + f"SELECT {_STATUS.format(dry='true')} AS status, count(*)::BIGINT AS n FROM x GROUP BY 1")
 def check_dry_run(spark, d):
     return check_status(spark, d, dry=True).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PAGES = """wanted AS (SELECT conv_id AS id, (turn + 1)::BIGINT AS n, text, conv_id % 3 = 0 AND turn % 2 = 0 AS kept FROM conversations),
+tried AS (SELECT *, kept OR (id + n) % 5 > 1 AND length(text) % 4 > 0 AS ok FROM wanted)"""
+
+
+def _scraped(spark, d):
+    """Turns as pages: some cached, some not got, and some (empty) that do not parse."""
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("id"), (F.col("turn") + 1).cast("bigint").alias("n"), "text", "turn")
+    page = F.concat(F.lit("<h2>c"), F.col("n").cast("string"), F.lit("</h2><div class='chapter-content'><p>"), F.col("text"), F.lit("</p></div>"))
+    cached = c.filter("id % 3 = 0 and turn % 2 = 0").select("id", "n", page.alias("html"))
+    got = F.when((F.col("id") + F.col("n")) % 5 > 1, F.when(F.length("text") % 4 > 0, page).otherwise(""))
+    fetched = c.select("id", "n", got.alias("html"), F.when(got.isNull(), "HTTP 500").alias("error"))
+
+    def parse(page, n):
+        if not page:
+            raise ValueError("no page")
+        return {"title": html.chapter(page, n)["title"]}
+
+    return scraping.scrape(scraping.pages_of(c.select("id", "n"), cached, fetched), parse, "title string", 3)
+
+
+@query("scrape_loop", f"""WITH {_PAGES}, g AS (SELECT *, sum(ok::INT) OVER (PARTITION BY id ORDER BY n) AS island FROM tried),
+f AS (SELECT *, row_number() OVER (PARTITION BY id, island ORDER BY n) AS nth, min(n) OVER (PARTITION BY id, island) AS start FROM g WHERE NOT ok),
+t AS (SELECT id, min(n) AS trip, min(start) AS stop FROM f WHERE nth = 3 GROUP BY id)
+SELECT tried.id, count(*) FILTER (ok) AS chapters, count(*) FILTER (kept) AS cached, list_sort(coalesce(list(n) FILTER (NOT ok), []::BIGINT[])) AS failed, any_value(stop) AS stopped_at
+FROM tried LEFT JOIN t ON t.id = tried.id WHERE trip IS NULL OR n <= trip GROUP BY tried.id""")
+def scrape_loop(spark, d):
+    """Chapters got, those from the cache, numbers that failed and where the breaker stopped each title."""
+    return scraping.summary(_scraped(spark, d))
+
+
 @query("batch_gate", f"WITH {_TRACKED} SELECT id, last_known + 1 AS first, total AS last, CASE WHEN total <= last_known THEN 'nothing-new' WHEN total - last_known < 3 AND id % 10 <> 0 THEN 'below-threshold' ELSE 'send' END AS outcome FROM tracked")
 def batch_gate(spark, d, threshold: int = 3):
     n, forced = F.col("total") - F.col("last_known"), F.col("id") % 10 == 0
@@ -203,8 +277,8 @@ def sustained_throttle(spark, d):
     return runs.breaker(attempts(spark, d), 3).select("key", F.col("stopped_at").isNotNull().alias("escalated"))
 
 
-@query("auto_disable", f"WITH {ATTEMPTS} SELECT key, max(n) - coalesce(max(n) FILTER (ok), 0) AS run, max(n) - coalesce(max(n) FILTER (ok), 0) >= 2 AS disabled FROM attempts GROUP BY key")
-def auto_disable(spark, d, most: int = 2):
+@query("auto_disable", f"WITH {ATTEMPTS} SELECT key, max(n) - coalesce(max(n) FILTER (ok), 0) AS run, max(n) - coalesce(max(n) FILTER (ok), 0) >= 5 AS disabled FROM attempts GROUP BY key")
+def auto_disable(spark, d, most: int = tables.IDLE_CHECKS):
     return runs.trailing_run(attempts(spark, d)).withColumn("disabled", F.col("run") >= most)
 
 

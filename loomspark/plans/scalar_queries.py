@@ -127,10 +127,10 @@ _STYLE = "CASE page_id % 5 WHEN 0 THEN 'Display: None' WHEN 1 THEN 'opacity: 0.8
 _REL = "CASE page_id % 7 WHEN 0 THEN 'external NoFollow' WHEN 1 THEN 'nofollowed' END"
 
 
-@query("safe_links", f"""WITH x AS (SELECT page_id, lower(replace(coalesce({_STYLE}, ''), ' ', '')) AS s, lower(coalesce({_REL}, '')) AS r, page_id % 11 = 0 AS hid, CASE WHEN page_id % 13 = 0 THEN 'TRUE' END AS aria FROM pages)
-SELECT page_id, NOT (list_contains(regexp_split_to_array(r, '\\s+'), 'nofollow') OR contains(s, 'display:none') OR contains(s, 'visibility:hidden') OR regexp_matches(s, 'opacity:0(\\.0+)?(;|$)') OR hid OR lower(coalesce(aria, '')) = 'true') AS safe FROM x""")
+@query("safe_links", f"""WITH x AS (SELECT page_id, lower(replace(coalesce({_STYLE}, ''), ' ', '')) AS s, lower(coalesce({_REL}, '')) AS r, page_id % 11 = 0 AS hid, CASE WHEN page_id % 13 = 0 THEN ' TRUE ' END AS aria FROM pages)
+SELECT page_id, NOT (list_contains(regexp_split_to_array(r, '\\s+'), 'nofollow') OR contains(s, 'display:none') OR contains(s, 'visibility:hidden') OR regexp_matches(s, 'opacity:0(\\.0+)?(;|$)') OR hid OR lower(trim(coalesce(aria, ''))) = 'true') AS safe FROM x""")
 def safe_links(spark, d):
-    aria = F.when(F.col("page_id") % 13 == 0, "TRUE")
+    aria = F.when(F.col("page_id") % 13 == 0, " TRUE ")
     return read(spark, d, "pages").select("page_id", S.safe_link(F.expr(_REL), F.expr(_STYLE), F.col("page_id") % 11 == 0, aria).alias("safe"))
 
 

@@ -51,7 +51,9 @@ class Node:
         return (not tag or tag == self.name) and (not ident or self.attrs.get("id") == ident) and all(c in have for c in names) and all(a in self.attrs and _fits(self.attrs[a], how, v) for a, how, v in attrs)
 
     def select(self, selector: str) -> list[Node]:
-        """Descendants by tag, #id, .class, [attr], [attr="v"] and [attr^="v"] steps, in document order."""
+        """Descendants by tag, #id, .class, [attr], [attr="v"] and [attr^="v"] steps, in document order; ValueError for more."""
+        if re.search(r"[,>+~:*]", re.sub(r"\[[^\]]*\]", "", selector)) or not selector.strip():
+            raise ValueError(f"selector {selector!r} has steps that are not supported")
         steps = [_step(x) for x in re.findall(r'(?:\[[^\]]*\]|[^\s\[])+', selector)]
         out = []
         for n in self.walk():
@@ -114,7 +116,7 @@ def hidden(a: Node) -> bool:
     """Links that a reader does not see or is told not to follow."""
     style = (a.attrs.get("style") or "").replace(" ", "").lower()
     return (
-        "nofollow" in (a.attrs.get("rel") or "").lower().split() or "hidden" in a.attrs or (a.attrs.get("aria-hidden") or "").lower() == "true"
+        "nofollow" in (a.attrs.get("rel") or "").lower().split() or "hidden" in a.attrs or (a.attrs.get("aria-hidden") or "").strip().lower() == "true"
         or "display:none" in style or "visibility:hidden" in style or re.search(r"opacity:0(\.0+)?(;|$)", style) is not None
     )
 
@@ -200,8 +202,8 @@ def series(html: str, base: str = "") -> dict:
     text = lambda q: n.text if (n := doc.first(q)) else None
     links = lambda q: [t for a in doc.select(q) if (t := a.text)]
     names = doc.first("div#editassociated")
-    rated = next((u for h in doc.select("h5.seriesother") if h.text.lower().startswith("rating") and (u := h.first("span.uvotes"))), None)
-    votes = re.search(r"\(([\d.]+)\s*/\s*5\.0,\s*([\d,]+)\s*votes?\)", rated.text, re.I) if rated is not None else None
+    rated = (u.text for h in doc.select("h5.seriesother") if h.text.lower().startswith("rating") and (u := h.first("span.uvotes")))
+    votes = next((m for t in rated if (m := re.search(r"\(([\d.]+)\s*/\s*5\.0,\s*([\d,]+)\s*votes?\)", t, re.I))), None)
     return {
         "url": base, "title": text(".seriestitlenu") or None, "associated_names": names.texts() if names else [], "genres": links("div#seriesgenre a"), "tags": links("div#showtags a"),
         "author": ", ".join(links("div#showauthors a") or links("a#authtag")) or None, "status": text("div#editstatus"), "groups": links('ol.sp_grouptable li span[style="padding-left:20px;"]'),

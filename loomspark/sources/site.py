@@ -101,7 +101,7 @@ def parse_index(rules: IndexRules, page: str, base: str = "") -> dict:
     doc = H.parse(page)
     links = [a.attrs["href"] for a in doc.select("a[href]") if not H.hidden(a)]
     own = [m for h in links if (m := re.search(rules.link, h))]
-    stated = re.search(rules.count, doc.spaced)
+    stated = next((m for t in doc.texts() if (m := re.search(rules.count, t))), None)
     numbers = [int(m[1]) for h in links if (m := re.search(rules.number, h))]
     head = doc.first(rules.title)
     page_id = re.search(rules.page, base)

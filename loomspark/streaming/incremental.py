@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frontier import fold as page_fold
+
 
 def ingest(stream: DataFrame, apply_batch, checkpoint: str):
     """Run all that is there once (availableNow), with the progress kept in ``checkpoint``; a failed
@@ -47,3 +49,23 @@ def breaker(stream: DataFrame, k: int = 3, late: str = "10 minutes") -> DataFram
 
     held = "run int, tripped boolean, waiting array<struct<ts:long,event_id:long,ok:boolean>>"
     return stream.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "key long, run int, tripped boolean", held, "update", "EventTimeTimeout")
+
+
+def frontier(stream: DataFrame, first: int = 0) -> DataFrame:
+    """(site, next_page, reason) of each site that a batch of page attempts (site, page, attempt, kind, has_next) touches.
+
+    The state of a site is its next page and the pages at or behind it that are good or wait, as in
+    ``operators.frontier``; a stopped query goes on from its checkpoint."""
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        at, reason, held = state.get if state.exists else (first, "open", [])
+        pages = {p: (v, e, m, last) for p, v, e, m, last in held}
+        tried = [t for pdf in frames for t in zip(pdf["page"].tolist(), pdf["attempt"].tolist(), pdf["kind"].tolist(), (None if pd.isna(x) else bool(x) for x in pdf["has_next"]), strict=True)]
+        at, reason, pages = page_fold((at, reason, pages), tried)
+        state.update((at, reason, [(p, *v) for p, v in sorted(pages.items())]))
+        yield pd.DataFrame({"site": [key[0]], "next_page": [at], "reason": [reason]})
+
+    held = "next_page long, reason string, pages array<struct<page:long,verdict:string,errors:int,empties:int,last:boolean>>"
+    return stream.groupBy("site").applyInPandasWithState(step, "site string, next_page long, reason string", held, "update", "NoTimeout")

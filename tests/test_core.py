@@ -334,6 +334,22 @@ def test_snapshots_and_their_errors(spark, tmp_path):
     assert tables.undo(new.limit(0), "id", "t").count() == 0
 
 
+def test_pages_with_odd_markup():
+    from loomspark.sources import html as H
+    from loomspark.sources.site import IndexRules, parse_index
+
+    rules = IndexRules(link=r"/novel/(\w+)_\d+", page=r"/novel/(\w+)\.html", number=r"_(\d+)\.html", count=r"(\d+)\s+Chapters")
+    # a number and the word after it are two texts: only the links count
+    assert parse_index(rules, '<span>Volume 3</span><b>Chapters</b><a href="/novel/t_42.html">x</a>')["total"] == 42
+    assert parse_index(rules, '<b>none</b><b>7 Chapters</b><a href="/novel/t_42.html">x</a>')["total"] == 7
+    for selector in ("h1, h2", "div > p", "a:hover", "p + p", "h1 ~ p"):
+        with pytest.raises(ValueError, match="selector"):
+            H.parse("<h1>x</h1>").select(selector)
+    assert H.hidden(H.parse('<a aria-hidden=" true ">x</a>').first("a"))
+    rated = '<h5 class="seriesother">Rating <span class="uvotes">none yet</span></h5><h5 class="seriesother">Rating <span class="uvotes">(4.1 / 5.0, 1,204 votes)</span></h5>'
+    assert H.series(rated)["rating"] == "4.1" and H.series(rated)["votes"] == "1,204"
+
+
 def test_addresses(spark):
     from urllib.parse import urljoin
 
@@ -366,11 +382,14 @@ def test_commands(spark, tmp_path):
     lib = Library(spark, str(tmp_path / "lib"), [harbour()], lambda name, counts: said.append(name))
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     pages = frame([(1, CARDS, "https://s.example/"), (2, "<p>nothing</p>", "https://s.example/")], "id long, html string, base string")
-    assert lib.crawl("harbour", pages) == {"pages": 2, "new_or_updated": 2, "failed": 1}
-    assert lib.crawl("harbour", pages)["new_or_updated"] == 0 and lib.table("catalog").count() == 2
+    assert lib.crawl("harbour", pages, start_page=1) == {"new_or_updated": 2, "skipped": 0, "pages": 2, "failed": 1, "next_page": 2, "reason": "waiting"}
+    assert lib.table("bad_pages").select("page", "reason").collect() == [(2, "nothing found")]
+    again = lib.crawl("harbour", pages, start_page=1)
+    assert again["new_or_updated"] == 1 and again["skipped"] == 1 and lib.table("catalog").count() == 2
     ids = {r["title"]: r["id"] for r in lib.table("catalog").collect()}
     assert lib.metadata("harbour", frame([("https://s.example/novel/tide.html", DETAIL)], "url string, html string")) == {"pages": 1, "failed": 0}
     assert lib.enrich(frame([(5, ["Tide & Time", "Ebb"])], "cid long, name array<string>"), 30) == {"auto": 1}
+    assert [r["best_name"] for r in lib.table("catalog").filter("resolution = 'auto'").collect()] == ["Tide & Time"] and lib.unsampled(30).count() == 1
     assert lib.stats(30) == {"total": 2, "candidates": 1, "with_metadata": 1, "resolved": 1, "clustered": 0}
     body = '<div class="chapter-content"><p>the long evening tide</p></div>'
     assert lib.chapters("harbour", frame([(ids["Moss"], n, body if n != 2 else "") for n in range(1, 9)], "id long, n int, html string")) == {"stored": 4, "failed": 1}
@@ -391,13 +410,18 @@ def test_commands(spark, tmp_path):
     tried = frame([(1, 1, True), (1, 2, False), (1, 3, False), (1, 4, False)], "id long, n long, ok boolean")
     assert lib.check(index, tried, dry=True) == {"dry-run": 1, "unchanged": 1, "error": 1}
     assert lib.check(index, tried) == {"updated": 1, "unchanged": 1, "error": 1}
-    assert {r["id"]: r["last_known"] for r in lib.table("tracked").collect()} == {1: 1, 2: 0, 3: 0}
+    assert {r["id"]: (r["last_known"], r["failed"]) for r in lib.table("tracked").collect()} == {1: (1, [2, 3, 4]), 2: (0, []), 3: (0, [])}
+    assert "starting at chapter 2" in lib.table("tracked").filter("id = 1").first()["last_error"]
     assert {r["id"]: r["outcome"] for r in lib.mail(1).collect()} == {1: "send", 2: "nothing-new", 3: "nothing-new"}
     lib.mailed([1])
     assert lib.mail(1).filter("outcome = 'send'").count() == 0 and lib.remove([3]) and not lib.remove([3])
-    book = lib.scrape("harbour", "<h1>Tide</h1><p>2 chapters</p>", frame([(n, body) for n in (1, 2, 3)], "n int, html string")).first()
-    (tmp_path / "b.epub").write_bytes(book["content"])
+    book, said_of = lib.scrape("harbour", "<h1>Tide</h1><p>2 chapters</p>", frame([(n, body) for n in (1, 2, 3)], "n int, html string"))
+    (tmp_path / "b.epub").write_bytes(book.first()["content"])
     assert [n for n in zipfile.ZipFile(tmp_path / "b.epub").namelist() if n.startswith("chap_")] == ["chap_0001.xhtml", "chap_0002.xhtml"]
+    assert said_of == {"chapters": 2, "cached": 0, "failed": [], "stopped_at": None}
+    gone = frame([(9, None)], "n int, html string")
+    assert lib.scrape("harbour", "<h1>Tide</h1><p>6 chapters</p>", gone, breaker=3)[1] == {"chapters": 2, "cached": 2, "failed": [3, 4, 5], "stopped_at": 3}
+    assert lib.expire() > 0 and lib.table("tracked").count() == 2
     assert lib.search("harbour", '<li class="hit"><a href="/novel/q.html">Q</a></li>')[0]["title"] == "Q" and "crawl" in said and "check" in said
 
 
