@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, release
+from .nearest import core_distance  # noqa: F401  part of this module's interface
 
 
 def train_uncertainty(training: DataFrame):
@@ -33,94 +33,6 @@ def hashed_vectors(texts: DataFrame, dims: int = 256) -> DataFrame:
     return out.select("id", vector_to_array("v").alias("vector"))
 
 
-#: Reference points of the ball bounds, whatever the number of vectors.
-PIVOTS = 64
-
-
-def core_distance(vectors: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
-    """(id, core): distance to the k-th nearest other vector, exact.
-
-    Vectors lie in balls around ``PIVOTS`` fixed vectors, and balls in blocks of about ``block``.
-    The k best of its own block bound each vector's distance; then it visits only the balls
-    whose edge is nearer than that. A task holds one block and at most about ``block`` visitors."""
-    spark = vectors.sparkSession
-    rows = vectors.select("id", F.col("features").cast("array<double>").alias("v"))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()  # bounded
-    if not picked:
-        return rows.select("id", F.lit(None).cast("double").alias("core"))
-    pivots = np.array([r["v"] for r in picked])
-
-    def nearest(frames):
-        for f in frames:
-            x = np.stack(f["v"])
-            dist = _distances(x, pivots)
-            yield f.assign(ball=dist.argmin(1).astype("int32"), off=dist.min(1))
-
-    balls = materialize(rows.mapInPandas(nearest, "id long, v array<double>, ball int, off double"), "balls")
-    sizes = {r["ball"]: (r["count"], r["radius"]) for r in balls.groupBy("ball").agg(F.count(F.lit(1)).alias("count"), F.max("off").alias("radius")).collect()}
-    parts = {b: -(-n // block) for b, (n, _) in sizes.items()}
-    known = sorted(sizes)
-    centre, radius = pivots[known], np.array([sizes[b][1] for b in known])
-    of = F.create_map(*[F.lit(x) for b in known for x in (b, parts[b])])
-    homes = materialize(balls.withColumn("part", F.pmod(F.xxhash64("id", "v"), of[F.col("ball")]).cast("int")).drop("off"), "homes")
-
-    def own(f):
-        x, ids = np.stack(f["v"]), f["id"].to_numpy()
-        reach, best = np.empty(len(x)), []
-        for at in range(0, len(x), block):
-            near = _best(x[at : at + block], ids[at : at + block], x, ids, k)
-            best += near
-            reach[at : at + block] = [b[-1] if len(b) == k else np.inf for b in near]
-        return f[["id", "v", "ball", "part"]].assign(reach=reach, best=best)
-
-    started = materialize(homes.groupBy("ball", "part").applyInPandas(own, "id long, v array<double>, ball int, part int, reach double, best array<double>"), "own")
-    release(balls)
-
-    def visits(frames):
-        import pandas as pd
-
-        for f in frames:
-            x = np.stack(f["v"])
-            close = _distances(x, centre) - radius[None, :] <= f["reach"].to_numpy()[:, None] + 1e-9
-            who, where = np.nonzero(close)
-            for at in range(0, len(who), 20_000):
-                i, j = who[at : at + 20_000], where[at : at + 20_000]
-                yield pd.DataFrame({"id": f["id"].to_numpy()[i], "v": f["v"].to_numpy()[i], "ball": f["ball"].to_numpy()[i], "part": f["part"].to_numpy()[i], "to": np.array(known, "int32")[j]})
-
-    trips = started.select("id", "v", "ball", "part", "reach").mapInPandas(visits, "id long, v array<double>, ball int, part int, to int")
-    trips = trips.withColumn("door", F.explode(F.sequence(F.lit(0), of[F.col("to")] - 1))).filter(~((F.col("to") == F.col("ball")) & (F.col("door") == F.col("part"))))
-    trips = materialize(trips.select("id", "v", "to", "door"), "trips")
-    crowds = trips.groupBy("to", "door").agg(F.ceil(F.count(F.lit(1)) / (4 * block)).cast("int").alias("crowds"))
-    guests = trips.join(crowds, ["to", "door"]).select("id", "v", F.col("to").alias("ball"), F.col("door").alias("part"), F.pmod(F.xxhash64("id", "v"), F.col("crowds")).cast("int").alias("crowd"), F.lit(True).alias("guest"))
-    hosts = homes.join(crowds.select(F.col("to").alias("ball"), F.col("door").alias("part"), "crowds"), ["ball", "part"])
-    hosts = hosts.select("id", "v", "ball", "part", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"), F.lit(False).alias("guest"))
-
-    def meet(f):
-        import pandas as pd
-
-        q, r = f[f.guest], f[~f.guest]
-        if not len(q) or not len(r):
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "best": []})
-        return pd.DataFrame({"id": q["id"].to_numpy(), "best": _best(np.stack(q["v"]), q["id"].to_numpy(), np.stack(r["v"]), r["id"].to_numpy(), k)})
-
-    met = guests.unionByName(hosts).groupBy("ball", "part", "crowd").applyInPandas(meet, "id long, best array<double>")
-    all_ = started.select("id", "best").unionByName(met)
-    return all_.groupBy("id").agg(F.get(F.array_sort(F.flatten(F.collect_list("best"))), F.lit(k - 1)).alias("core"))
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T))
-
-
-def _best(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int) -> list[list[float]]:
-    """The k least distances of each row of ``a`` to rows of ``b`` with other ids."""
-    dist = _distances(a, b)
-    dist[a_ids[:, None] == b_ids[None, :]] = np.inf
-    if dist.shape[1] > k:
-        dist = np.partition(dist, k - 1, axis=1)[:, :k]
-    return [x[np.isfinite(x)].tolist() for x in np.sort(dist, axis=1)]
-
-
 def reduced(vectors: DataFrame, dims: int) -> DataFrame:
     """(id, features) on the first principal components, at most one less than the rows and dimensions."""
     n = vectors.limit(dims + 2).count()

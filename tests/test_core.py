@@ -160,14 +160,22 @@ def test_second_pass_finds_small_groups_and_keeps_large_ones_out():
     assert (learning.recluster(x[:12], ids[:12], 5, 0.3) == ids[:12]).all()
 
 
-def test_core_distance_prunes_and_stays_exact(spark, monkeypatch):
-    monkeypatch.setattr(learning, "PIVOTS", 6)
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_core_distance_prunes_and_stays_exact(spark, monkeypatch, offset):
+    from loomspark.operators import nearest
+
     rng = np.random.default_rng(6)
-    x = np.concatenate([rng.normal(m, 0.3, (n, 4)) for m, n in ((0, 120), (8, 40), (-8, 7))] + [np.zeros((9, 4))])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    x = np.concatenate([rng.normal(m, 0.3, (n, 4)) for m, n in ((0, 120), (8, 40), (-8, 7))] + [np.zeros((9, 4)), np.ones((2, 4))]) + offset
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (999, None)], "id long, features array<double>")
+    met = []
+    real = nearest._meetings
+    monkeypatch.setattr(nearest, "_meetings", lambda *a: met.extend(real(*a)) or real(*a))
     got = {r["id"]: r["core"] for r in learning.core_distance(df, 3, block=16).collect()}
     want = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) + np.diag(np.full(len(x), np.inf)), axis=1)[:, 2]
-    assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-6)
+    assert len(got) == len(x) and max(abs(got[i] - want[i]) for i in range(len(x))) < 1e-9
+    units = {u for u, _, _ in met}
+    everything = len(units) * (len(units) - 1)  # each unit to each other one
+    assert 0 < len(met) < 0.8 * everything and max(sum(u == w for w, _, _ in met) for u in units) < len(units)
     assert learning.core_distance(df.limit(0)).count() == 0
     assert learning.core_distance(df.limit(2), 5).first()["core"] is None
 
