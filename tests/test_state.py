@@ -221,3 +221,64 @@ def test_checks_count_what_was_got(spark):
     assert checked(spark, 0, 5, [], 4, [1, 2, 3])[5].startswith("switched off after 5 checks")
     assert checked(spark, 5, 5, [], 3, []) == ("unchanged", 0, 5, [], 3, None) and checked(spark, 5, None, [2], 3, []) == ("error", 0, 5, [2], 3, "could not determine chapter count")
     assert checked(spark, 5, 9, [2], 3, [6], dry=True) == ("dry-run", 0, 5, [2], 3, None)
+
+
+def titles_of_forty(n, seed=1):
+    rng = random.Random(seed)
+    parts = [a + b for a in "bdklmnrstv" for b in "aeiou"]
+    words = ["".join(rng.choices(parts, k=rng.randint(2, 4))) for _ in range(3000)]
+    out = []
+    while len(out) < n:
+        t = " ".join(rng.choices(words, k=9))[:40].strip()
+        out.append(t)
+    return out, rng
+
+
+def test_best_two_without_near_all_pairs(spark, monkeypatch):
+    from loomspark.operators import resolve
+
+    names, rng = titles_of_forty(3000)
+    probes = rng.sample(names, 300)
+    for i in range(100):  # some with slips, some that nothing is like
+        probes[i] = "".join(rng.choice("xyz") if rng.random() < 0.06 else c for c in probes[i])
+    probes += ["Qqq wxyzz jjjj", "b" * 70, "12 34 56 78", ""]
+    looked = []
+    real = resolve._searched
+
+    def counted(a, b, floors):
+        out = real(a, b, floors).cache()
+        looked.append({r["title"]: r["n"] for r in out.groupBy("title").agg(F.sum("compared").alias("n")).collect()})
+        return out
+
+    monkeypatch.setattr(resolve, "_searched", counted)
+    monkeypatch.setattr(resolve, "NAMES", 1000)
+    monkeypatch.setattr(resolve, "TITLES", 100)
+    a = spark.createDataFrame(list(enumerate(probes)), "id long, title string")
+    got = {r["id"]: (r["decision"], r["best"], r["best_score"]) for r in resolve.resolve(a, spark.createDataFrame(list(enumerate(names)), "cid long, name string")).collect()}
+    assert sum(looked[0].get(p, 0) for p in probes[100:300]) < 0.01 * 200 * len(names)
+    assert sum(looked[0].values()) < 0.2 * len(probes) * len(names)  # slips leave more that could be second
+    split = [sorted(set(n.split())) for n in names]
+    for i, p in enumerate(probes):
+        if i % 7 and i < 300:
+            continue
+        x = sorted(set(p.split()))
+        top = sorted(((-resolve.similarity(x, y), c) for c, y in enumerate(split)))[:2]
+        score, second = -top[0][0], -top[1][0]
+        want = ("no_candidates", None, None) if score < 60 else ("auto" if score >= 90 and (second < 60 or score - second >= 15) else "ambiguous", top[0][1], round(score, 6))
+        assert got[i] == want, p
+
+
+def test_similarity_is_the_columns(spark):
+    from loomspark.operators import resolve
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcé ", k=rng.randint(0, 5)))
+    pairs = [(" ".join(word() for _ in range(rng.randint(0, 6))), " ".join(word() for _ in range(rng.randint(0, 6)))) for _ in range(400)]
+    pairs += [("long " * 30 + "x" * 90, "long tail " + "x" * 80 + "y"), ("", "a"), ("a b", "b a")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", resolve.token_set_ratio(F.col("a"), F.col("b")).alias("s"))
+    for r in df.collect():
+        x, y = (sorted(set(t.split())) for t in (r["a"], r["b"]))
+        assert resolve.similarity(x, y) == r["s"]
+        held = resolve.Names([y], [[5]]) if y else None
+        if x and y and not set(x) & set(y):
+            assert held.best(x, 0.0) == [(r["s"], 5)]
