@@ -30,8 +30,9 @@ SCHEMAS = {
     "vectors": "id long, vector array<double>",
     "tracked": "id long, site_key string, url string, title string, last_known long, last_mailed long, enabled boolean, failed array<bigint>, idle long, last_error string",
     "cache": "id string, n long, html string",
+    "pacing": "site string, interval double",
 }
-KEYS = {"listings": ["url"], "frontier": ["site"], "frontier_pages": ["site", "page"], "bad_pages": ["site", "page", "attempt"], "chapters": ["id", "n"], "cache": ["id", "n"]}
+KEYS = {"listings": ["url"], "frontier": ["site"], "frontier_pages": ["site", "page"], "bad_pages": ["site", "page", "attempt"], "chapters": ["id", "n"], "cache": ["id", "n"], "pacing": ["site"]}
 CARD = "title:string,url:string,chapter_id:string,chapters:int,status:string,updated_text:string"
 DETAILS = "alt_title:string,author:string,rating:string,status:string,genres:array<string>,synopsis:string"
 LISTING = "hits:array<struct<title:string,url:string>>,has_next:boolean"
@@ -70,6 +71,20 @@ class Library:
     def _site(self, key: str) -> Site:
         return site_for(self.sites, "", key)
 
+    # pacing
+
+    def throttled(self, requests: DataFrame, default: float = 2.5) -> DataFrame:
+        """Learns from requests (site, n, ok, asked: the pause that was asked for) and returns the intervals (site, interval)."""
+        new = runs.learned(self.table("pacing").join(requests.select("site").distinct(), "site", "left_semi"), requests, default)
+        self._put("pacing", new)
+        return self.table("pacing")
+
+    def gaps(self, requests: DataFrame, seed: int, default: float = 2.5) -> DataFrame:
+        """(site, n, gap): the pause before each request (site, n), around what the site has taught or ``default`` if that is more."""
+        known = requests.select("site", "n").join(self.table("pacing"), "site", "left")
+        mean = F.greatest(F.coalesce("interval", F.lit(0.0)), F.lit(default))
+        return known.select("site", "n", S.gap(mean, F.lit(seed), F.col("site"), F.col("n")).alias("gap"))
+
     # catalog
 
     def _paged(self, site: str, pages: DataFrame, parser, schema: str, many: bool, kind, has_next, first: int, start: int | None, most: int | None):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,6 +146,40 @@ def like_ascii(c: Column, needle: str) -> Column:
     return ascii_fold(c).like(f"%{needle.translate(str.maketrans(ASCII_UPPER, ASCII_LOWER))}%")
 
 
+#: Shape of the gaps' distribution, and tries of a draw (one in fifty is rejected).
+GAP_SHAPE, DRAWS = 2.5, 24
+
+
+def uniform(*parts: Column) -> Column:
+    """A number between 0 and 1, both left out, that the parts alone decide: 52 bits of their digest as text."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    bits = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / float(1 << 52)
+
+
+def gamma(shape: float, seed: Column, key: Column, n: Column) -> Column:
+    """A gamma draw of the shape (1 or more) and scale 1 for draw ``n`` of ``key``: the same wherever and how often it
+    is made. By squeezing cubes of normals (Marsaglia and Tsang), each try from its own counter."""
+    d = shape - 1.0 / 3.0
+    c = 1.0 / (9.0 * d) ** 0.5
+
+    def one(t):
+        u = [uniform(seed, key, n, t, F.lit(i)) for i in range(3)]
+        z = F.sqrt(-2.0 * F.log(u[0])) * F.cos(2.0 * math.pi * u[1])
+        v = F.pow(1.0 + c * z, F.lit(3.0))
+        fine = (v > 0) & (F.log(u[2]) < 0.5 * z * z + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300))))
+        return F.when(fine, d * v)
+
+    tries = F.aggregate(F.sequence(F.lit(0), F.lit(DRAWS - 1)), F.lit(None).cast("double"), lambda got, t: F.when(got.isNotNull(), got).otherwise(one(t)))
+    return F.coalesce(tries, F.lit(d))
+
+
+def gap(mean: Column, seed: Column, key: Column, n: Column) -> Column:
+    """The pause before request ``n`` of a site: a gamma draw around ``mean``, clamped; none where the mean is not positive."""
+    drawn = gamma(GAP_SHAPE, seed, key, n) * mean / GAP_SHAPE
+    return F.when(mean > 0, clamp_gap(drawn, mean)).otherwise(0.0)
+
+
 def clamp_gap(draw: Column, mean: Column) -> Column:
     return F.when(mean <= 0, F.lit(0.0)).otherwise(F.least(F.greatest(draw, mean * 0.2), mean * 3.0))
 

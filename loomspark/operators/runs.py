@@ -83,15 +83,46 @@ def pacing(df: DataFrame, start: float = 2.5, cap: float = 120.0, key: str = "ke
 
     Steps are x -> min(max(a, 2^d x), cap), and so is a chain of them: each range of a key gives its
     (a, d), and a key's interval is the greatest of what its ranges ask for after all later doublings."""
+    steps = throttles(df, key, n, ok, asked, rows)
+    return steps.select(key, F.least(F.greatest(F.col("__a"), F.lit(start) * _power(F.col("__d"))), F.lit(cap)).alias("interval"))
+
+
+def _power(d):
+    return F.pow(F.lit(2.0), F.least(d, F.lit(1000)))  # far beyond any cap
+
+
+def throttles(df: DataFrame, key: str = "key", n: str = "n", ok: str = "ok", asked: str = "asked", rows: int = 1_000_000) -> DataFrame:
+    """(key, __a, __d) of all rows of a key: they lead from an interval x to max(__a, 2^__d x)."""
     double = (~F.col(ok) & F.col(asked).isNull()).cast("int")
-    power = lambda d: F.pow(F.lit(2.0), F.least(d, F.lit(1000)))  # noqa: E731  far beyond any cap
     w = Window.partitionBy("__range", key).orderBy(n)
     dealt = in_ranges(df.select(key, n, ok, asked), [key, n], rows).withColumn("__so_far", F.sum(double).over(w))
     each = dealt.withColumn("__all", F.sum(double).over(Window.partitionBy("__range", key)))
-    each = each.groupBy(key, "__range").agg(F.max("__all").alias("__d"), F.max(F.when(~F.col(ok), F.col(asked) * power(F.col("__all") - F.col("__so_far")))).alias("__a"))
+    each = each.groupBy(key, "__range").agg(F.max("__all").alias("__d"), F.max(F.when(~F.col(ok), F.col(asked) * _power(F.col("__all") - F.col("__so_far")))).alias("__a"))
     later = F.coalesce(F.sum("__d").over(Window.partitionBy(key).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    top = each.withColumn("__a", F.col("__a") * power(later)).groupBy(key).agg(F.max("__a").alias("__a"), F.sum("__d").alias("__d"))
-    return top.select(key, F.least(F.greatest(F.col("__a"), F.lit(start) * power(F.col("__d"))), F.lit(cap)).alias("interval"))
+    return each.withColumn("__a", F.col("__a") * _power(later)).groupBy(key).agg(F.max("__a").alias("__a"), F.sum("__d").alias("__d"))
+
+
+def learned(known: DataFrame, requests: DataFrame, default: float = 2.5, cap: float = 120.0) -> DataFrame:
+    """(site, interval) after ``requests`` (site, n, ok, asked) from those ``known`` before.
+
+    A site starts at what it has learned, or at ``default`` where that is more; only sites that were throttled
+    are written, never below what they had and up to ``cap``."""
+    steps = throttles(requests.withColumnRenamed("site", "key")).withColumnRenamed("key", "site")
+    now = F.greatest(F.coalesce("interval", F.lit(0.0)), F.lit(default))
+    pushed = (F.col("__d") > 0) | F.col("__a").isNotNull()
+    wide = F.least(F.greatest(F.col("__a"), now * _power(F.col("__d")), now), F.lit(cap))
+    return known.join(steps, "site", "full_outer").select("site", F.when(F.coalesce(pushed, F.lit(False)), wide).otherwise(F.col("interval")).alias("interval")).filter("interval is not null")
+
+
+def load_intervals(spark, path: str) -> DataFrame:
+    """(site, interval) of a JSON object; a file that is missing, broken or not all numbers has learned nothing."""
+    none = spark.createDataFrame([], "site string, interval double")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        return none
+    pairs = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
+    rows = spark.read.text(path, wholetext=True).select(F.explode(pairs).alias("site", "said")).select("site", F.col("said").try_cast("double").alias("interval"))
+    return none if rows.filter("interval is null").limit(1).count() else rows
 
 
 def numbered(df: DataFrame, order: list, name: str = "pos", start: int = 1, rows: int = 1_000_000) -> DataFrame:

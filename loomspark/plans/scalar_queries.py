@@ -90,6 +90,20 @@ def pacing_clamp(spark, d):
     return read(spark, d, "events").select("event_id", S.clamp_gap(F.col("value"), F.lit(5.0)).alias("gap"))
 
 
+_U = "((('0x' || substr(sha256('7|' || user_id || '|' || event_id || '|' || t || '|{i}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+
+
+@query("pacing_gap", f"""WITH m AS (SELECT event_id, user_id, CASE WHEN user_id % 10 = 0 THEN 0.0 ELSE 2.5 + user_id % 4 END::DOUBLE AS mean FROM events),
+u AS (SELECT event_id, mean, t, {_U.format(i=0)} AS a, {_U.format(i=1)} AS b, {_U.format(i=2)} AS c FROM m, range(8) r(t)),
+z AS (SELECT *, sqrt(-2.0 * ln(a)) * cos(2.0 * pi() * b) AS z FROM u), v AS (SELECT *, pow(1.0 + z / sqrt(9.0 * (2.5 - 1.0 / 3.0)), 3.0) AS v, 2.5::DOUBLE - 1.0::DOUBLE / 3.0 AS d FROM z),
+f AS (SELECT event_id, mean, arg_min(d * v, t) FILTER (v > 0 AND ln(c) < 0.5 * z * z + d - d * v + d * ln(greatest(v, 1e-300))) AS g FROM v GROUP BY event_id, mean)
+SELECT event_id, round(CASE WHEN mean > 0 THEN least(greatest(g * mean / 2.5, mean * 0.2), mean * 3.0) ELSE 0.0 END, 6) AS gap FROM f""")
+def pacing_gap(spark, d, seed: int = 7):
+    """The pause before each event of a user: drawn around the user's interval, and the same on every run."""
+    mean = F.when(F.col("user_id") % 10 == 0, 0.0).otherwise(2.5 + F.col("user_id") % 4)
+    return read(spark, d, "events").select("event_id", F.round(S.gap(mean, F.lit(seed), F.col("user_id"), F.col("event_id")), 6).alias("gap"))
+
+
 @query("vector_stats", "SELECT vec_id, len(embedding)::INTEGER AS dims, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
 def vector_stats(spark, d):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

@@ -282,3 +282,25 @@ def test_similarity_is_the_columns(spark):
         held = resolve.Names([y], [[5]]) if y else None
         if x and y and not set(x) & set(y):
             assert held.best(x, 0.0) == [(r["s"], 5)]
+
+
+def test_gaps_have_the_moments_and_come_again(spark):
+    from loomspark.functions import scalars as S
+
+    df = spark.range(20_000).select(S.gamma(2.5, F.lit(3), F.lit("s"), F.col("id")).alias("g"), S.gap(F.lit(4.0), F.lit(3), F.lit("s"), F.col("id")).alias("gap"), S.gap(F.lit(0.0), F.lit(3), F.lit("s"), F.col("id")).alias("none"))
+    m = df.agg(F.avg("g"), F.variance("g"), F.skewness("g"), F.min("gap"), F.max("gap"), F.avg("gap"), F.max("none")).first()
+    assert abs(m[0] - 2.5) < 0.05 and abs(m[1] - 2.5) < 0.12 and abs(m[2] - 2 / 2.5**0.5) < 0.1
+    assert m[3] == 0.8 and m[4] == 12.0 and abs(m[5] - 4.0) < 0.1 and m[6] == 0.0
+    assert abs(df.agg(F.sum("g")).first()[0] - df.repartition(7).agg(F.sum("g")).first()[0]) < 1e-6
+    assert df.limit(50).collect() == df.limit(50).collect()
+
+
+def test_intervals_are_learned_and_kept(spark, tmp_path):
+    known = spark.createDataFrame([("a", 1.0), ("b", 40.0), ("quiet", 9.0), ("top", 500.0)], "site string, interval double")
+    rows = [("a", 1, False, None), ("a", 2, True, None), ("b", 1, False, None), ("b", 2, False, None), ("new", 1, False, 30.0), ("new", 2, False, 3.0), ("fine", 1, True, None), ("quiet", 1, True, None), ("top", 1, True, None)]
+    got = {r["site"]: r["interval"] for r in runs.learned(known, spark.createDataFrame(rows, "site string, n long, ok boolean, asked double")).collect()}
+    assert got == {"a": 5.0, "b": 120.0, "quiet": 9.0, "top": 500.0, "new": 30.0}
+    for text, want in (('{"a": 3, "b": "5.5"}', {"a": 3.0, "b": 5.5}), ('{"a": 3, "b": "x"}', {}), ('{"a": ', {}), ("[1, 2]", {}), ("", {})):
+        (tmp_path / "p.json").write_text(text)
+        assert {r["site"]: r["interval"] for r in runs.load_intervals(spark, str(tmp_path / "p.json")).collect()} == want
+    assert runs.load_intervals(spark, str(tmp_path / "none.json")).count() == 0
