@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import frontier, graph, keyed, learning, resolve, runs, tables
+from .operators import frontier, graph, keyed, learning, resolve, runs, search, tables
 from .operators import scrape as scraping
 from .scratch import materialize
 from .sources import epub, html
@@ -285,9 +285,18 @@ class Library:
     def find(self, needle: str, limit: int = 15) -> DataFrame:
         return self.table("catalog").filter(S.like_ascii(F.col("title"), needle)).orderBy("title", "id").limit(limit)
 
-    def grep(self, needle: str, context: int = 60) -> DataFrame:
-        hits = self.table("chapters").select("id", "n", F.explode(S.snippets(S.plain_text(F.col("body_html")), needle, context)).alias("h"))
-        return hits.select("id", "n", "h.k", "h.snippet")
+    def grep(self, needle: str, context: int = 60, ignore_case: bool = True) -> DataFrame:
+        """Places of the needle in the stored chapters: (id, n, title, k, snippet)."""
+        hits = self.table("chapters").select("id", "n", "title", F.explode(S.snippets(S.plain_text(F.col("body_html")), needle, context, ignore_case)).alias("h"))
+        return hits.select("id", "n", "title", "h.k", "h.snippet")
+
+    def add_books(self, files: DataFrame) -> dict:
+        """Indexes EPUB files (path, content) for :meth:`grep_books`; those that are there already are left alone."""
+        return self._done("add_books", added=search.add(self.spark, f"{self.path}/books", files))
+
+    def grep_books(self, needle: str, context: int = 60, ignore_case: bool = True) -> DataFrame:
+        """Places of the needle in the chapters of indexed files: (path, name, title, k, snippet)."""
+        return search.grep(self.spark, f"{self.path}/books", needle, context, ignore_case)
 
     def check(self, indexes: DataFrame, attempts: DataFrame, dry: bool = False, only: list[int] | None = None, breaker: int = 3) -> dict:
         """Compares tracked titles with captured index pages (id, html) and the outcomes of fetching

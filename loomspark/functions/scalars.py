@@ -106,9 +106,9 @@ def vector_of_bytes(blob: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<float>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.array(word(i)), value)[0]))
 
 
-def literal_pattern(needle: str) -> str:
-    """A pattern that finds the needle itself; case is ignored, also beyond ASCII."""
-    return "(?iu)" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in needle)
+def literal_pattern(needle: str, ignore_case: bool = True) -> str:
+    """A pattern that finds the needle itself; where case is ignored, also beyond ASCII."""
+    return ("(?iu)" if ignore_case else "") + "".join("\\" + c if not c.isalnum() and c != " " else c for c in needle)
 
 
 def xhtml_escape(c: Column) -> Column:
@@ -208,12 +208,12 @@ def safe_link(rel: Column, style: Column, hidden: Column, aria_hidden: Column) -
     return ~(nofollow | unseen | F.coalesce(hidden, F.lit(False)) | (F.lower(F.trim(F.coalesce(aria_hidden, F.lit("")))) == "true"))
 
 
-def snippets(text: Column, needle: str, context: int) -> Column:
-    """Non-overlapping literal matches as array<struct<k, snippet>>; case is ignored.
+def snippets(text: Column, needle: str, context: int, ignore_case: bool = True) -> Column:
+    """Non-overlapping literal matches as array<struct<k, snippet>>.
 
     A match is at least as long as the needle, so a few pieces around it hold all its context;
     the work is linear in the number of matches."""
-    pattern = literal_pattern(needle)
+    pattern = literal_pattern(needle, ignore_case)
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     reach = -(-context // max(1, len(needle)))
     heads = F.zip_with(F.array_prepend(hits, ""), parts, lambda h, p: F.concat(h, p))

@@ -91,6 +91,12 @@ def load(spark: SparkSession, path: str, schema, at: Version | None = None) -> D
     return _read(spark, path, at or version(spark, path), schema)
 
 
+def lookup(spark: SparkSession, path: str, keys: list[str], schema, wanted: DataFrame, at: Version | None = None) -> DataFrame:
+    """All rows of the buckets that the keys of ``wanted`` fall into; a number per bucket reaches the driver."""
+    at = at or version(spark, path)
+    return _read(spark, path, at, schema, {r[0] for r in wanted.select(bucket_of(keys, at.buckets)).distinct().collect()})
+
+
 def write(rows: DataFrame, path: str, keys: list[str], touched: set[int], at: Version, buckets: int) -> Version:
     """The next version: buckets in ``touched`` hold ``rows``, the others what they held at ``at``."""
     spark, name = rows.sparkSession, f"data/{at.number + 1:012}-{uuid.uuid4().hex}"

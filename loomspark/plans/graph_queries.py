@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import graph, learning
+from ..operators import graph, learning, search
+from ..scratch import scratch_root
 from ..sources import epub, html
 from ..sources.site import ChapterRules, IndexRules, SearchRules, Site
 from .base import chapters, items, query, read
@@ -255,3 +258,15 @@ def epub_scan(spark, d):
     return epub.scan(epub.books(chapters(spark, d))).select("path", "name", "title")
 
 
+
+
+@query("grep_books", """SELECT 'book-' || conv_id || '.epub' AS path, 'chap_' || lpad((turn + 1)::VARCHAR, 4, '0') || '.xhtml' AS name, role AS title,
+  len(regexp_extract_all(role || ' ' || text, '(?i)and the')) AS hits FROM conversations WHERE hits > 0 AND NOT (conv_id % 9 = 0 AND turn = 0)""")
+def grep_books(spark, d, needle: str = "and the"):
+    """Chapters of indexed books that hold a needle, and how often: the index proposes, the text decides."""
+    folder = f"{scratch_root(spark)}/grep-{uuid.uuid4().hex}"
+    files = epub.books(chapters(spark, d))
+    # two runs: the second adds what the first has left out
+    search.add(spark, folder, files.filter("path like '%0.epub'"))
+    search.add(spark, folder, files)
+    return search.grep(spark, folder, needle).groupBy("path", "name", "title").agg(F.max("k").cast("bigint").alias("hits"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark.functions import scalars as S
 from loomspark.operators import frontier, keyed, runs, scrape, tables
 from loomspark.streaming import incremental
 
@@ -285,7 +286,6 @@ def test_similarity_is_the_columns(spark):
 
 
 def test_gaps_have_the_moments_and_come_again(spark):
-    from loomspark.functions import scalars as S
 
     df = spark.range(20_000).select(S.gamma(2.5, F.lit(3), F.lit("s"), F.col("id")).alias("g"), S.gap(F.lit(4.0), F.lit(3), F.lit("s"), F.col("id")).alias("gap"), S.gap(F.lit(0.0), F.lit(3), F.lit("s"), F.col("id")).alias("none"))
     m = df.agg(F.avg("g"), F.variance("g"), F.skewness("g"), F.min("gap"), F.max("gap"), F.avg("gap"), F.max("none")).first()
@@ -304,3 +304,34 @@ def test_intervals_are_learned_and_kept(spark, tmp_path):
         (tmp_path / "p.json").write_text(text)
         assert {r["site"]: r["interval"] for r in runs.load_intervals(spark, str(tmp_path / "p.json")).collect()} == want
     assert runs.load_intervals(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_grep_in_books_reads_few_chapters_and_finds_all(spark, tmp_path):
+    import re
+
+    from loomspark.commands import Library
+    from loomspark.operators import search
+    from loomspark.sources import epub
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randint(3, 8))) for _ in range(400)]
+    rows = [(b, n, f"Ch {n} of {b}", " ".join(rng.choices(words, k=60))) for b in range(12) for n in range(1, 9)]
+    rows[5] = (0, 6, "Unique Title", "the Dragon roared, a DRAGON. ΟΔΥΣΣΕΥΣ and ὈΔΥΣΣΕΎΣ; Straße İstanbul dragon" + "x" * 50)
+    rows[17] = (2, 2, "Ch 2", "x" * 100 + "NEEDLE" + "y" * 100 + " needle needle")
+    files = epub.books(spark.createDataFrame(rows, "item_id long, n int, title string, body string")).cache()
+    lib = Library(spark, str(tmp_path / "lib"), [])
+    assert lib.add_books(files.filter("path < 'book-2'")) == {"added": files.filter("path < 'book-2'").count()}
+    assert lib.add_books(files) == {"added": files.filter("path >= 'book-2'").count()} and lib.add_books(files) == {"added": 0}
+    folder = f"{lib.path}/books"
+    chapters = epub.scan(files).collect()
+    assert len(chapters) == 96
+    for needle, ignore in (("dragon", True), ("Dragon", False), ("dragon", False), ("needle", True), ("οδυσσευς", True), ("οδυσσευ", True), ("istanbul", True), ("unique title", True), ("zz-none", True), ("to", True), (words[3], True), ("(", True), ("strasse", True)):
+        got = sorted((r["path"], r["name"], r["title"], r["k"], r["snippet"]) for r in lib.grep_books(needle, 10, ignore).collect())
+        scan = spark.createDataFrame(chapters).select("path", "name", "title", F.explode(S.snippets(F.col("text"), needle, 10, ignore)).alias("h")).select("path", "name", "title", "h.k", "h.snippet")
+        assert got == sorted(map(tuple, scan.collect())), needle
+        if needle in ("Dragon", "needle"):
+            flags = re.I if ignore else 0
+            assert len(got) == sum(len(re.findall(needle, c["text"], flags)) for c in chapters) > 0
+    assert [r["snippet"] for r in lib.grep_books("NEEDLE", 10, False).collect()] == ["x" * 10 + "NEEDLE" + "y" * 10]
+    some = search.candidates(spark, folder, words[3] + " ")
+    assert 0 < some.count() < 0.6 * len(chapters) and search.candidates(spark, folder, "dragon").count() == 1
