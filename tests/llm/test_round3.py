@@ -245,3 +245,22 @@ def test_langid_fit_is_the_likelihoods_gradient(monkeypatch):
                 g_t[a, b] += weight / n
     assert np.allclose(model["trans"], -0.5 * g_t / np.sqrt(1.0 + g_t * g_t))
     assert np.allclose(model["weights"], -0.5 * g_w * 1e2 / np.sqrt(1e-3 + g_w * g_w * 1e4), atol=1e-3)
+
+
+def test_bpe_of_words_of_every_length():
+    """Words far beyond the rounds of one recursion go the same way and give the library's ids."""
+    import public_tokenizers
+    import tiktoken
+
+    from loomspark.llm import bpe
+
+    path = bpe.default_ranks()
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = random.Random(3)
+    words = ["x" * 20_000, "thequickbrown" * 1540, "é" * 333, "abab" * 500, "aaa", "the", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1500)), "".join(rng.choices("ABab01", k=700))]
+    words += ["".join(rng.choices("aehtrsin", k=rng.randint(1, 40))) for _ in range(400)]
+    encoder = bpe.Encoder(path)
+    assert encoder.encode(words) == [whole._core_bpe.encode_single_piece(w.encode()) for w in words]
+    ids = encoder.encode(["the river", "", "née"])
+    flat, doc = np.array([t for x in ids for t in x]), np.array([i for i, x in enumerate(ids) for _ in x])
+    assert encoder.decoded(doc, flat, 4) == [hashlib.sha256(t.encode()).hexdigest() for t in ("the river", "", "née", "")]
