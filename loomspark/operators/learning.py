@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+from .density import density_clusters, density_labels
 from .nearest import core_distance  # noqa: F401  part of this module's interface
 
 
@@ -48,7 +50,7 @@ def cluster_map(vectors: DataFrame, dims: int = 8, min_size: int = 30, second: i
     """(id, cluster_id, x, y): density clusters over the reduced vectors, and a place on a plane for each.
 
     An empty table gives no rows; a single row lies at its first two values (0 where it has none)."""
-    clusters = density_clusters(reduced(vectors, dims), min_size, second, most)
+    clusters = density_clusters(materialize(reduced(vectors, dims), "reduced"), min_size, second, most)
     value = lambda i: F.coalesce(F.get("features", F.lit(i)), F.lit(0.0))
     return clusters.join(reduced(vectors, 2).select("id", value(0).alias("x"), value(1).alias("y")), "id")
 
@@ -68,112 +70,6 @@ def encode(texts: DataFrame, stored: DataFrame, encoder: str = "hashing", limit:
     return ENCODERS[encoder](left.orderBy("id").limit(limit) if limit is not None else left)
 
 
-def density_labels(x: np.ndarray, min_size: int) -> np.ndarray:
-    """Cluster numbers (-1: outlier) by mutual-reachability single linkage and condensed-tree stability."""
-    n = len(x)
-    if n < max(2, min_size):
-        return np.full(n, -1)
-    k = min(min_size, n - 1)
-
-    def distances(i):
-        """From row i to all; one row at a time keeps memory linear."""
-        return np.sqrt(((x - x[i]) ** 2).sum(1))
-
-    core = np.array([np.partition(distances(i), k)[k] for i in range(n)])
-    seen, best, link, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
-    at = 0
-    for _ in range(n - 1):
-        seen[at] = True
-        reach = np.maximum(distances(at), np.maximum(core, core[at]))
-        closer = reach < best
-        best[closer], link[closer] = reach[closer], at
-        at = int(np.where(seen, np.inf, best).argmin())
-        edges.append((best[at], link[at], at))
-    parent, tree, size = list(range(2 * n - 1)), {}, [1] * n + [0] * (n - 1)
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for k, (w, a, b) in enumerate(sorted(edges)):
-        a, b = find(a), find(b)
-        parent[a] = parent[b] = n + k
-        tree[n + k] = (w, a, b)
-        size[n + k] = size[a] + size[b]
-
-    def leaves(i):
-        stack, out = [i], []
-        while stack:
-            j = stack.pop()
-            if j < n:
-                out.append(j)
-            else:
-                stack += tree[j][1:]
-        return out
-
-    def stretch(i, born):
-        """Stability of the cluster that starts at tree node i, the two it splits in, and their birth."""
-        gain, j = 0.0, i
-        while j >= n:
-            w, a, b = tree[j]
-            lam = 1.0 / max(w, 1e-12)
-            big = [c for c in (a, b) if size[c] >= min_size]
-            if len(big) == 2:
-                return gain + (lam - born) * size[j], big, lam
-            gain += (lam - born) * (size[j] - (size[big[0]] if big else 0))
-            if not big:
-                break
-            j = big[0]
-        return gain, [], 0.0
-
-    top, order, own, parts = 2 * n - 2, [], {}, {}
-    todo = [(top, 0.0)]
-    while todo:
-        i, born = todo.pop()
-        own[i], parts[i], lam = stretch(i, born)
-        order.append(i)
-        todo += [(c, lam) for c in parts[i]]
-    chosen: dict = {}
-    for i in reversed(order):  # parts come before what they are parts of
-        below = [chosen.pop(c) for c in parts[i]]
-        total = sum(g for g, _ in below)
-        chosen[i] = (own[i], [i]) if not below or own[i] >= total and i != top else (total, [c for _, found in below for c in found])
-
-    usual = 4 * np.median([e[0] for e in edges]) + 1e-12
-    out = np.full(n, -1)
-    for c, node in enumerate(chosen[top][1]):
-        if node != top or size[node] == n:
-            members, j = leaves(node), node
-            while j >= n and node == top:  # the whole tree as one cluster: shed lone points
-                w, a, b = tree[j]
-                if min(size[a], size[b]) >= min_size:
-                    break
-                j = a if size[a] >= size[b] else b
-                if size[j] < min_size:
-                    break
-                members = leaves(j) if w > usual else members
-            out[members] = c
-    return out
-
-
-def density_clusters(vectors: DataFrame, min_size: int = 30, second: int = 15, most: float = 0.05) -> DataFrame:
-    """(id, cluster_id): density clusters, then a second pass over the outliers.
-
-    Meant for embedding samples that fit one task (memory is linear, time quadratic)."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("id")
-        x = np.stack(pdf["features"]).astype(float)
-        ids = density_labels(x, min_size)
-        return pd.DataFrame({"id": pdf["id"], "cluster_id": recluster(x, ids, second, most)})
-
-    return vectors.groupBy(F.lit(1).alias("g")).applyInPandas(lambda p: run(p), "id long, cluster_id long")
-
-
 def recluster(x: np.ndarray, ids: np.ndarray, min_size: int, most: float) -> np.ndarray:
     """New clusters among outliers, numbered after the old ones; too large ones stay outliers."""
     out, lone = ids.copy(), np.flatnonzero(ids == -1)
