@@ -11,7 +11,10 @@ from ..scratch import materialize
 
 SAMPLE = 4096
 MOST_GROUPS = 256
-ROWS_AT_ONCE = 512
+#: Distances at once; and vectors of a unit, and units that they make, from where on units grow with the table up to that.
+AT_ONCE, MOST_BLOCK, UNITS = 1 << 21, 32768, 32
+#: Partitions of units and of their pairs at most; they are few bytes and much work, so they are not drawn together.
+PARTS = 1024
 
 
 def matrix(column) -> np.ndarray:
@@ -66,16 +69,18 @@ class Layout:
         return out
 
 
-def closest(a: np.ndarray, b: np.ndarray, many: np.ndarray, k: int, centre: np.ndarray, same: bool, reach: np.ndarray) -> list[list[dict]]:
-    """For each row of ``a`` the distances, up to ``reach``, to the ``k`` rows of ``b`` next to it, with how many each stands for.
+def closest(a: np.ndarray, b: np.ndarray, many: np.ndarray, k: int, centre: np.ndarray, same: bool, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``a`` the distances, up to ``reach``, to the ``k`` rows of ``b`` next to it, with how many each stands for:
+    (where the row's begin, and the end; distances; counts).
 
     Products of centred rows say which rows can be among them, with a margin for their rounding; the distances
     themselves are of differences, so an offset that all vectors share costs no digits."""
     x, y = a - centre, b - centre
     nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    out: list = []
-    for at in range(0, len(a), ROWS_AT_ONCE):
-        rows = slice(at, at + ROWS_AT_ONCE)
+    ends, fars, counts = [np.zeros(1, int)], [], []
+    step = max(1, AT_ONCE // max(len(b), 1))
+    for at in range(0, len(a), step):
+        rows = slice(at, at + step)
         d = nx[rows, None] + ny - 2 * x[rows] @ y.T
         if same:
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
@@ -86,12 +91,19 @@ def closest(a: np.ndarray, b: np.ndarray, many: np.ndarray, k: int, centre: np.n
         far = np.sqrt(np.einsum("ij,ij->i", gap, gap))
         order = np.lexsort((far, r))
         r, c, far = r[order], c[order], far[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = place < k
-        cuts = np.searchsorted(r[keep], np.arange(len(d) + 1)).tolist()
-        found = [{"far": f, "many": m} for f, m in zip(far[keep].tolist(), many[c[keep]].tolist(), strict=True)]
-        out += [found[cuts[i] : cuts[i + 1]] for i in range(len(d))]
-    return out
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        ends.append(ends[-1][-1] + np.searchsorted(r[keep], np.arange(len(d)), side="right"))
+        fars.append(far[keep])
+        counts.append(many[c[keep]])
+    return np.concatenate(ends), np.concatenate([*fars, np.zeros(0)]), np.concatenate([*counts, np.zeros(0, np.int64)])
+
+
+def lists(found: list[tuple]) -> pa.Array:
+    """What :func:`closest` finds, as lists of structs."""
+    far, many = (pa.array(np.concatenate([f[i] for f in found])) for i in (1, 2))
+    starts = np.cumsum([0, *(f[0][-1] for f in found)])
+    ends = np.concatenate([np.zeros(1, int), *(f[0][1:] + s for f, s in zip(found, starts, strict=False))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([far, many], ["far", "many"])).cast(_NEAR)
 
 
 _NEAR = pa.list_(pa.struct([("far", pa.float64()), ("many", pa.int64())]))
@@ -103,14 +115,16 @@ def core_distance(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFram
     Equal vectors are looked up once, each for all its rows (rows that repeat an id too count once). The others lie in groups by
     median cuts along principal axes, and groups in units of about ``block``. A unit meets itself first; what its vectors
     have found so far says which other groups' boxes are near enough. Units that must meet do so as pairs, so a
-    vector goes to at most as many tasks as there are units, the square root of the tasks, and a task holds two units."""
+    vector goes to at most as many tasks as there are units, the square root of the tasks, and a task holds two units.
+    Units grow with the table up to ``MOST_BLOCK`` vectors, so until then what is shuffled grows with it alone."""
     spark = vectors.sparkSession
-    rows = vectors.select("id", F.col("features").cast("array<double>").alias("v")).filter("v is not null")
+    kind = "array<float>" if dict(vectors.dtypes)["features"] == "array<float>" else "array<double>"
+    rows = vectors.select("id", F.col("features").cast(kind).alias("v")).filter("v is not null")
     distinct = materialize(rows.groupBy("v").agg(F.count_distinct("id").alias("many")).withColumn("row", F.monotonically_increasing_id()), "core-rows")
     n = distinct.count()
     if not n:
         return rows.select("id", F.lit(None).cast("double").alias("core"))
-    part = max(1, n // SAMPLE)
+    block, part = max(block, min(MOST_BLOCK, n // UNITS)), max(1, n // SAMPLE)
     layout = Layout(matrix(distinct.filter(F.pmod(F.xxhash64("v"), F.lit(part)) == 0).limit(4 * SAMPLE).select("v").toArrow()["v"]) if n > block else np.zeros((1, 1)), min(MOST_GROUPS, -(-n // block)))
     if layout.groups == 1:
         units, placed = -(-n // block), distinct.withColumn("g", F.lit(0))
@@ -122,7 +136,7 @@ def core_distance(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFram
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(layout.group(layout.turned(matrix(b.column("v")))), pa.int32())], names=["v", "many", "row", "g"])
 
-        placed = materialize(distinct.mapInArrow(place, "v array<double>, many long, row long, g int"), "core-groups")
+        placed = materialize(distinct.mapInArrow(place, f"v {kind}, many long, row long, g int"), "core-groups")
         sizes = {r["g"]: r["count"] for r in placed.groupBy("g").count().collect()}  # a row per group
     first, units = {}, 0
     for g in sorted(sizes):
@@ -135,11 +149,10 @@ def core_distance(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFram
     def own(table):
         x, many, r = matrix(table["v"]), table["many"].to_numpy(), table["row"]
         near = closest(x, x, many, k, x.mean(axis=0) if centre is None else centre, True, np.full(len(x), np.inf))
-        so_far = [_kth(f, m, k) for f, m in zip(near, many.tolist(), strict=True)]
-        return pa.table({"row": r, "v": table["v"], "many": table["many"], "g": table["g"], "unit": table["unit"], "reach": pa.array([np.inf if s is None else s for s in so_far]), "near": pa.array(near, _NEAR)})
+        return pa.table({"row": r, "v": table["v"], "many": table["many"], "g": table["g"], "unit": table["unit"], "reach": pa.array(_kth(near, many, k)), "near": lists([near])})
 
-    ddl = "row long, v array<double>, many long, g int, unit int, reach double, near array<struct<far:double,many:long>>"
-    alone = homes.select("row", "v", "many", "g", "unit").groupBy("unit").applyInArrow(own, ddl)
+    ddl = f"row long, v {kind}, many long, g int, unit int, reach double, near array<struct<far:double,many:long>>"
+    alone = homes.select("row", "v", "many", "g", "unit").repartition(min(units, PARTS), "unit").groupBy("unit").applyInArrow(own, ddl)
     near = alone.select("row", "many", "near")
     if units > 1:
         alone = materialize(alone, "core-own")
@@ -152,24 +165,25 @@ def core_distance(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFram
             x, many, reach, r = matrix(table["v"]), table["many"].to_numpy(), table["reach"].to_numpy(), table["row"].to_numpy()
             mid = x.mean(axis=0) if centre is None else centre
             found = [(r[s], many[s], closest(x[s], x[~s], many[~s], k, mid, False, reach[s])) for s in (side, ~side)]
-            return pa.table({"row": np.concatenate([f[0] for f in found]), "many": np.concatenate([f[1] for f in found]), "near": pa.array(found[0][2] + found[1][2], _NEAR)})
+            return pa.table({"row": np.concatenate([f[0] for f in found]), "many": np.concatenate([f[1] for f in found]), "near": lists([f[2] for f in found])})
 
-        met = guests.groupBy("cell").applyInArrow(meet, "row long, many long, near array<struct<far:double,many:long>>")
+        met = guests.repartition(min(units * (units + 1) // 2, PARTS), "cell").groupBy("cell").applyInArrow(meet, "row long, many long, near array<struct<far:double,many:long>>")
         near = near.unionAll(met).groupBy("row", "many").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     counted = F.aggregate("near", F.struct((F.col("many") - 1).alias("n"), F.when(F.col("many") > k, 0.0).alias("core")), lambda s, x: F.struct((s["n"] + x["many"]).alias("n"), F.when(s["core"].isNull() & (s["n"] + x["many"] >= k), x["far"]).otherwise(s["core"]).alias("core")))
     cores = near.select("row", counted["core"].alias("core")).join(distinct.select("row", "v"), "row").select("v", "core")
     return rows.distinct().join(cores, "v").select("id", "core")
 
 
-def _kth(near: list[dict], many: int, k: int) -> float | None:
-    have = many - 1
-    if have >= k:
-        return 0.0
-    for f in near:
-        have += f["many"]
-        if have >= k:
-            return f["far"]
-    return None
+def _kth(found: tuple, many: np.ndarray, k: int) -> np.ndarray:
+    """Distances to the k-th other vector, of the vectors found; infinite where they are fewer."""
+    ends, far, counts = found
+    row = np.repeat(np.arange(len(many)), np.diff(ends))
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+    there = np.flatnonzero(total[1:] - total[ends[row]] + many[row] - 1 >= k)
+    out = np.full(len(many), np.inf)
+    out[row[there[::-1]]] = far[there[::-1]]  # the last to be set is the nearest
+    out[many > k] = 0.0
+    return out
 
 
 def _meetings(alone: DataFrame, layout: Layout, sizes: dict, first: dict, block: int) -> list[tuple]:
