@@ -21,3 +21,14 @@ def test_selectors_look_only_at_elements_of_their_tag(monkeypatch):
     assert doc.first(".y").text == "b" and doc.first("#q").attrs["href"] == "1" and doc.select("div")[2].first("a") is None
     with pytest.raises(ValueError):
         doc.first("a > b")
+
+
+def test_a_run_of_the_frontier_sorts_its_attempts_once(spark):
+    from loomspark.operators import frontier
+
+    tries = spark.createDataFrame([(s, p, 1, "good", True) for s in "ab" for p in (1, 2)], "site string, page long, attempt int, kind string, has_next boolean")
+    none = [spark.createDataFrame([], s) for s in (frontier.STATE, frontier.PAGES)]
+    new, ahead = frontier.advance(*none, tries, first=1)
+    assert {(r["site"], r["next_page"], r["reason"]) for r in new.collect()} == {("a", 3, "open"), ("b", 3, "open")} and ahead.count() == 0
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "aggregate(" not in plan
