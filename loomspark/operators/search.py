@@ -7,12 +7,15 @@ buckets of the needle's triples alone, keeps the chapters that hold them all, an
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import scalars as S
 from ..scratch import materialize
 from ..sources import epub
+from ..sources.html import spread
 from . import keyed, tables
 
 FILES, CHAPTERS, POSTINGS = "path string", "path string, name string, title string, text string", "gram string, path string, names array<string>"
@@ -26,10 +29,12 @@ def folded(text: Column) -> Column:
 
 def triples(text: Column) -> Column:
     """The distinct runs of three signs of a folded text."""
-    signs = F.filter(F.split(text, ""), lambda c: c != "")
-    three = lambda a: F.transform(F.slice(a, 1, F.greatest(F.size(a) - 2, F.lit(0))), lambda c, i: F.concat(c, F.get(a, i + 1), F.get(a, i + 2)))
-    # bound as a lambda variable, the signs are split once
-    return F.array_distinct(F.flatten(F.transform(F.array(signs), three)))
+    return _triples(text)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _triples(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))))
 
 
 def add(spark: SparkSession, folder: str, books: DataFrame) -> int:
@@ -39,8 +44,8 @@ def add(spark: SparkSession, folder: str, books: DataFrame) -> int:
     n = new.count()
     if not n:
         return 0
-    scanned = materialize(epub.scan(new), "chapters")
-    grams = scanned.select("path", "name", F.explode(triples(folded(F.col("text")))).alias("gram"))
+    scanned = materialize(epub.scan(spread(new)), "chapters")
+    grams = spread(scanned.select("path", "name", "text")).select("path", "name", F.explode(triples(folded(F.col("text")))).alias("gram"))
     posted = materialize(grams.groupBy("gram", "path").agg(F.array_sort(F.collect_list("name")).alias("names")), "postings")  # the names of one file
     # a run that stops before the last line adds the same files again: what it has written of them is replaced
     paths = new.select("path")

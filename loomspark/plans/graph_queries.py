@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import graph, learning, search
-from ..scratch import scratch_root
+from ..scratch import materialize, scratch_root
 from ..sources import epub, html
 from ..sources.site import ChapterRules, IndexRules, SearchRules, Site
 from .base import chapters, items, query, read
@@ -266,7 +266,7 @@ def epub_scan(spark, d):
 def grep_books(spark, d, needle: str = "and the"):
     """Chapters of indexed books that hold a needle, and how often: the index proposes, the text decides."""
     folder = f"{scratch_root(spark)}/grep-{uuid.uuid4().hex}"
-    files = epub.books(chapters(spark, d))
+    files = materialize(epub.books(chapters(spark, d)), "epubs")  # both runs read them
     # two runs: the second adds what the first has left out
     search.add(spark, folder, files.filter("path like '%0.epub'"))
     search.add(spark, folder, files)

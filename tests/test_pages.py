@@ -32,3 +32,15 @@ def test_a_run_of_the_frontier_sorts_its_attempts_once(spark):
     assert {(r["site"], r["next_page"], r["reason"]) for r in new.collect()} == {("a", 3, "open"), ("b", 3, "open")} and ahead.count() == 0
     plan = new._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "aggregate(" not in plan
+
+
+def test_books_are_written_once_for_both_runs_of_the_index(spark, monkeypatch):
+    from loomspark.operators import search
+
+    given, real = [], search.add
+    monkeypatch.setattr(search, "add", lambda s, folder, books: given.append(books) or real(s, folder, books))
+    graph_queries.grep_books(spark, "/root/testdata/sf0.001")
+    assert len(given) == 2 and not any("FlatMapGroups" in b._jdf.queryExecution().optimizedPlan().toString() for b in given)
+    texts = ["ab", "", "abcabcd", "x😀yz", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(search.triples(F.col("t"))).collect()]
+    assert got == [[], [], ["abc", "bca", "cab", "bcd"], ["x😀y", "😀yz"], None]
