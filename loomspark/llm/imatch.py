@@ -11,14 +11,15 @@ on the finest level that has enough filled cells.
 Document frequencies are counted per term over all documents by a group-by. A document has T
 distinct terms on average, so at most T * e**upper terms can reach the document frequency of
 the upper edge, however large the corpus: that is the bound of the lexicon, which the driver
-collects and the plan holds as a hash table.
+collects. As a hash table it is one row of the shared folder that plans read as a scalar subquery:
+as literals it would stand in the text of each plan, which Spark's driver keeps for many queries.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, free_shuffles, materialize, release, table
@@ -28,6 +29,7 @@ IDF_BAND = (2.0, 7.0)
 LEVELS = [(192, 4096), (96, 1024), (64, 256), (32, 64), (8, 8)]
 ENOUGH = 14
 RANGE_ROWS = 500_000
+SLOT_ROWS = 4096
 _KEY = ["nul", "key", "d1", "d2"]
 
 
@@ -64,22 +66,35 @@ def _slots(kept: list[int]) -> tuple[list[int], list[int], int]:
         bits += 1
 
 
-def _terms(text: Column, slots: tuple[list[int], list[int], int]) -> Column:
-    """Sorted lexicon terms of a text; all its terms where none is in the lexicon, so that such texts
-    are told apart too."""
-    one, two, bits = slots
-    place = lambda t: F.split(F.lit(",".join(map(str, t))), ",").cast("array<long>")  # noqa: E731  folded to a constant
+def _table(spark: SparkSession, kept: list[int]) -> tuple[DataFrame, int]:
+    """The lexicon as a hash table: one row (one, two: array<long>) in the shared folder, and the bits of a place."""
+    one, two, bits = _slots(kept)
+    halves = spark.createDataFrame([(side, at, t[at : at + SLOT_ROWS]) for side, t in enumerate((one, two)) for at in range(0, len(t), SLOT_ROWS)], "side int, at int, t array<long>")
+    whole = lambda side: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", "t")))), lambda x: x["t"]))
+    return materialize(halves.agg(whole(0).alias("one"), whole(1).alias("two")), "lexicon"), bits
+
+
+def _placed(df: DataFrame, lexicon_table: DataFrame) -> DataFrame:
+    """Adds places (struct of one, two). A subquery may not be written inside a lambda's call, but the optimizer
+    moves it to its one use there, so no row carries it."""
+    return df.withColumn("places", lexicon_table.select(F.struct("one", "two")).scalar())
+
+
+def _terms(text: Column, bits: int) -> Column:
+    """Sorted lexicon terms of a text, by the column places; all its terms where none is in the lexicon,
+    so that such texts are told apart too."""
     mask = F.lit((1 << bits) - 1).cast("long")
-    a, b = place(one), place(two)
 
-    def known(h):
-        return (F.get(a, h.bitwiseAND(mask).cast("int")) == h) | (F.get(b, F.shiftright(h, bits).bitwiseAND(mask).cast("int")) == h)
+    def pick(x):
+        one, two, all_ = x["places"]["one"], x["places"]["two"], x["all"]
+
+        def known(h):
+            return (F.get(one, h.bitwiseAND(mask).cast("int")) == h) | (F.get(two, F.shiftright(h, bits).bitwiseAND(mask).cast("int")) == h)
 
-    def pick(all_):
         mine = F.filter(all_, known)
         return F.sort_array(F.when(F.size(mine) > 0, mine).otherwise(all_))
 
-    return F.transform(F.array(_hashes(text)), pick)[0]
+    return F.transform(F.array(F.struct("places", _hashes(text).alias("all"))), pick)[0]
 
 
 def _subset_hashes(t: Column, cells: int, split: int) -> Column:
@@ -106,10 +121,10 @@ def _subset_hashes(t: Column, cells: int, split: int) -> Column:
     return F.transform(F.array(mine), of)[0]
 
 
-def fingerprint(text: Column, slots: tuple[list[int], list[int], int]) -> Column:
-    """struct(all: long, cells: array<short>, levels in LEVELS order) of a text."""
+def fingerprint(text: Column, bits: int) -> Column:
+    """struct(all: long, cells: array<short>, levels in LEVELS order) of a text, by the column places."""
     prints = lambda t: F.struct(F.xxhash64(t).alias("all"), F.concat(*[_subset_hashes(t, *level) for level in LEVELS]).alias("cells"))
-    return F.transform(F.array(_terms(text, slots)), prints)[0]
+    return F.transform(F.array(_terms(text, bits)), prints)[0]
 
 
 def _text_of(fp: Column) -> Column:
@@ -160,13 +175,13 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     Other columns are not read.
     """
     spark = docs.sparkSession
-    slots = _slots(lexicon(docs, text_col, band))
+    lexicon_table, bits = _table(spark, lexicon(docs, text_col, band))
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     sha = F.sha2(text.cast("binary"), 256)
-    bits = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("long")
+    part = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("long")
     base = docs.select(key.alias("doc_id"), key.isNull().alias("nul"), F.coalesce(key, F.lit(0).cast("long")).alias("key"), sha.alias("sha"), text.alias("text"))
-    base = base.withColumns({"d1": bits(1), "d2": bits(17)}).drop("sha")
-    prints = base.select("doc_id", *_KEY, F.length("text").cast("long").alias("n"), fingerprint(F.col("text"), slots).alias("fp"))
+    base = base.withColumns({"d1": part(1), "d2": part(17)}).drop("sha")
+    prints = _placed(base, lexicon_table).select("doc_id", *_KEY, F.length("text").cast("long").alias("n"), fingerprint(F.col("text"), bits).alias("fp"))
     prints = materialize(prints, "prints")  # one row per row of docs; the texts stay behind
     once = prints.groupBy(*_KEY).agg(F.first("n").alias("n"), F.first("fp").alias("fp"))
     keys = materialize(once.select(*_KEY, "n"), "distinct")
@@ -180,8 +195,9 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     n_key = [f"n_{c}" for c in _KEY]
     heads = following.join(as_next(texts), n_key).select(*_KEY, F.substring(F.col("n_text"), F.lit(1), F.col("third")).alias("head"), "third")
     edited = texts.join(heads, _KEY).select(*_KEY, F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("third")), F.col("head")).alias("edited"))
-    edited = edited.select(*_KEY, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("edited"), slots).alias("efp"))
+    edited = _placed(edited.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), lexicon_table).select(*_KEY, "edited_sha256", fingerprint(F.col("edited"), bits).alias("efp"))
     edited = materialize(edited, "edited")
+    release(lexicon_table)
     free_shuffles(spark)
     next_fp = following.join(as_next(once.select(*_KEY, "fp")), n_key).select(*_KEY, F.col("n_fp").alias("next_fp"))
     return prints.join(edited, _KEY).join(next_fp, _KEY).select(

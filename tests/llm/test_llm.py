@@ -378,6 +378,18 @@ def test_both_edges_of_the_band_drop_terms(spark):
     assert imatch.lexicon(df, "text") == [signed(xxhash.xxh64_intdigest(b"some", 42))]
 
 
+def test_lexicon_is_not_in_the_text_of_plans(spark):
+    terms = [i * 2654435761 + 1 for i in range(20_000)]
+    table_, bits = imatch._table(spark, terms)
+    row = table_.first()
+    assert {h for side in ("one", "two") for h in row[side] if h} == set(terms) and [len(row["one"]), len(row["two"])] == [1 << bits] * 2
+    df = spark.createDataFrame([("some words",), ("",)], "text string")
+    plan = imatch._placed(df, table_).select(imatch.fingerprint(F.col("text"), bits).alias("fp"))._jdf.queryExecution()
+    assert len(plan.toString()) < 200_000
+    optimized = plan.optimizedPlan().toString()
+    assert "scalar-subquery" in optimized and " AS places" not in optimized.split("Subquery")[0]  # no row carries the table
+
+
 def test_next_over_ranges_is_the_global_order(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
     rng = random.Random(2)
