@@ -303,3 +303,27 @@ def test_licences_and_denials_in_no_list(spark):
     want = ([f for f, _ in GRANTED] + [""] * len(DENIED)) * 2
     wrong = [(w, g, t) for w, g, t in zip(want, got, both, strict=True) if w != g]
     assert sum(bool(w) for w, _, _ in wrong) <= 0.1 * 2 * len(GRANTED) and sum(not w for w, _, _ in wrong) <= 0.25 * 2 * len(DENIED)  # forms that no part of the training has
+
+
+def test_gate_is_fitted_on_all_passages(spark):
+    from collections import Counter
+
+    from loomspark.llm import licenses
+
+    w, step = licenses.WINDOW, licenses.STRIDE
+    texts = [None, "", "MIT License", "plain talk " * 40 + "released under the MIT License " + "more talk " * 37, "under the GNU General Public License " * 9, "nothing " * 17]
+    rows = spark.createDataFrame([(w_, y, n, k, i) for i, (w_, y, n, k) in enumerate(licenses._known())], "own array<string>, label int, named int, kept boolean, i int")
+    vocabulary = licenses._vocabulary(rows)
+    vectors, passages, rare = licenses._gate_vectors(spark.createDataFrame([(t,) for t in texts], "text string"), "text", vocabulary)
+    ids = {v["pair"]: v["id"] for v in vocabulary if v["pair"] and v["id"] in rare}
+    pairs, want, n = set(ids.values()), Counter(), 0
+    for t in texts:
+        words = licenses.plain_words(t or "")
+        for at in range(0, max(0, len(words) - 1 - (w - step)) + 1, step) if words else ():
+            run, n = words[at : at + w], n + 1
+            want[tuple(sorted(ids[p] for p in (f"{a} {b}" for a, b in zip(run, run[1:], strict=False)) if p in ids))] += 1
+    got = Counter()
+    for r in vectors.collect():
+        got[tuple(i for i in r["ids"] if i in pairs)] += r["n"]
+    got[()] += passages - got.total()
+    assert passages == n and got == want and len(want) > 4
