@@ -142,7 +142,8 @@ def _lookup(spark: SparkSession, values: dict[int, float]) -> tuple[DataFrame, i
 
 
 def _with_lookup(df: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Adds places; the optimizer moves the subquery to its one use, so no row carries it."""
+    """Adds places. A plan that uses it and the words once each, in one expression, has the subquery in that; any other
+    copies the whole table into each row."""
     return df.withColumn("places", lookup.select(F.struct("one", "two", "v", "w")).scalar())
 
 
@@ -153,36 +154,63 @@ def _valued(t: Column, h: Column, bits: int) -> Column:
     return F.when(F.get(t["one"], i) == h, F.get(t["v"], i)).when(F.get(t["two"], j) == h, F.get(t["w"], j)).otherwise(F.lit(0.0).cast("float"))
 
 
-def _by_word(words: Column, bits: int, made) -> Column:
-    """made(value of a word, value of its pair with the next one) of each word, by the column places."""
+def _by_word(words: Column, bits: int, begin: list[str], made, then) -> Column:
+    """then(words, values), once for a text; of each word made(its number, its value, the value of its pair with the next one)
+    by the column places, null where the word is none of those that labelled grams begin with."""
 
     def each(x):
-        value = lambda h: _valued(x["places"], h, bits)
-        after = F.slice(x["words"], F.lit(2), F.greatest(F.size(x["words"]), F.lit(0)))
-        return F.zip_with(x["words"], after, lambda a, b: made(value(F.xxhash64(a)), F.when(b.isNull(), F.lit(0.0).cast("float")).otherwise(value(F.xxhash64(a, b)))))
+        value, w = lambda h: _valued(x["places"], h, bits), x["words"]
+
+        def one(a, i):
+            b = F.get(w, i + 1)
+            return F.when(a.isin(begin), made(i, value(F.xxhash64(a)), F.when(b.isNull(), F.lit(0.0).cast("float")).otherwise(value(F.xxhash64(a, b)))))
+
+        return then(w, F.transform(w, one))
 
     return F.transform(F.array(F.struct("places", words.alias("words"))), each)[0]
 
 
 def _vocabulary(rows: DataFrame) -> list[dict]:
-    """Words and pairs of labelled sentences (own), fixed in number: h, pair, id from 1, mark (inside a name)."""
+    """Words and pairs of labelled sentences (own), fixed in number: h, begin (the word, or the pair's first), pair, id from 1, mark (inside a name)."""
     names = [plain_words(n) for of in NAMES.values() for n in of]
     spark, marks = rows.sparkSession, sorted({p for n in names for p in zip(n, n[1:], strict=False)})
-    grams = rows.select(F.explode(F.concat(F.transform("own", lambda w: F.struct(F.xxhash64(w).alias("h"), F.lit("").alias("pair"))), _hashed_pairs("own"))).alias("g")).select("g.*").distinct()
+    grams = rows.select(F.explode(F.concat(F.transform("own", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("begin"), F.lit("").alias("pair"))), _hashed_pairs("own"))).alias("g")).select("g.*").distinct()
     marked = spark.createDataFrame(marks, "a string, b string").select(F.xxhash64("a", "b").alias("h"), F.lit(True).alias("mark"))
     found = grams.join(F.broadcast(marked), "h", "left").orderBy("h").collect()  # some thousand, whatever the corpus
-    return [{"h": r["h"], "pair": r["pair"], "id": i + 1, "mark": bool(r["mark"])} for i, r in enumerate(found)]
+    return [{"h": r["h"], "begin": r["begin"], "pair": r["pair"], "id": i + 1, "mark": bool(r["mark"])} for i, r in enumerate(found)]
 
 
 def _hashed_pairs(words: str) -> Column:
-    return F.transform(F.expr(f"filter(transform({words}, (w, i) -> slice({words}, i + 1, 2)), x -> size(x) = 2)"), lambda x: F.struct(F.xxhash64(x[0], x[1]).alias("h"), F.concat_ws(" ", x).alias("pair")))
+    return F.transform(F.expr(f"filter(transform({words}, (w, i) -> slice({words}, i + 1, 2)), x -> size(x) = 2)"), lambda x: F.struct(F.xxhash64(x[0], x[1]).alias("h"), x[0].alias("begin"), F.concat_ws(" ", x).alias("pair")))
+
+
+def _begin(vocabulary: list[dict]) -> list[str]:
+    """The words that grams of the vocabulary begin with: some hundred at most."""
+    return sorted({v["begin"] for v in vocabulary})
+
+
+def _grams(words: Column, bits: int, vocabulary: list[dict]) -> Column:
+    """Of a text n_words and grams: the ids of the vocabulary that it has, each with the number of its word (from 0)."""
+    made = lambda i, a, p: F.array(F.struct(i.alias("at"), a.cast("int").alias("id")), F.struct(i.alias("at"), p.cast("int").alias("id")))
+    then = lambda w, found: F.struct(F.size(w).alias("n_words"), F.filter(F.flatten(F.filter(found, lambda x: x.isNotNull())), lambda x: x["id"] > 0).alias("grams"))
+    return _by_word(words, bits, _begin(vocabulary), made, then)
+
+
+def _told(docs: DataFrame, text_col: str, vocabulary: list[dict], lookup: DataFrame, bits: int) -> DataFrame:
+    """row, n_words and grams of each text."""
+    words = docs.select(words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    return _with_lookup(words, lookup).select(_grams(F.col("words"), bits, vocabulary).alias("g")).select("g.*", F.monotonically_increasing_id().alias("row"))
 
 
-def _grams(words: Column, bits: int) -> Column:
-    """Of a text the ids of the vocabulary that it has, each with the number of its word (from 0)."""
-    both = _by_word(words, bits, lambda a, p: F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")))
-    kept = F.filter(F.transform(both, lambda x, i: F.struct(i.alias("at"), x["a"].alias("a"), x["p"].alias("p"))), lambda x: (x["a"] > 0) | (x["p"] > 0))
-    return F.filter(F.flatten(F.transform(kept, lambda x: F.array(F.struct(x["at"].alias("at"), x["a"].alias("id")), F.struct(x["at"].alias("at"), x["p"].alias("id"))))), lambda x: x["id"] > 0)
+def _away(told: DataFrame, vocabulary: list[dict]) -> DataFrame:
+    """How often (n) each id is there at least a window's length from every name."""
+    marks = _flags({v["id"] for v in vocabulary if v["mark"]}, len(vocabulary))
+    marked = lambda g: F.get(marks, g["id"]) == 1
+    grams = told.select("row", F.exists("grams", marked).alias("near"), F.explode("grams").alias("g"))
+    # few texts have a name; of these the grams are looked at in order, so long texts with many names take no square of them
+    window = Window.partitionBy("row").orderBy("g.at").rangeBetween(1 - WINDOW, WINDOW - 1)
+    others = grams.filter("near").withColumn("near", F.max(marked(F.col("g"))).over(window))
+    return grams.filter("not near").union(others.filter("not near")).groupBy(F.col("g.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _gate_vectors(docs: DataFrame, text_col: str, vocabulary: list[dict]) -> tuple[DataFrame, int, set[int]]:
@@ -190,13 +218,9 @@ def _gate_vectors(docs: DataFrame, text_col: str, vocabulary: list[dict]) -> tup
     the ids that are features. The passages with none are not in the table."""
     spark = docs.sparkSession
     lookup, bits = _lookup(spark, {v["h"]: float(v["id"]) for v in vocabulary})
-    words = docs.select(words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    told = materialize(_with_lookup(words, lookup).select(F.size("words").alias("n_words"), _grams(F.col("words"), bits).alias("grams")).withColumn("row", F.monotonically_increasing_id()), "licence-grams")
+    told = materialize(_told(docs, text_col, vocabulary, lookup, bits), "licence-grams")
     passages = told.agg(F.sum(F.when(F.col("n_words") > 0, F.size(_windows(F.col("n_words")))))).first()[0] or 0
-    marks = F.array(*[F.lit(v["id"]) for v in vocabulary if v["mark"]])
-    marked = F.transform(F.filter("grams", lambda g: F.array_contains(marks, g["id"])), lambda g: g["at"])
-    away = told.withColumn("marked", marked).select(F.explode(F.filter("grams", lambda g: ~F.exists("marked", lambda m: F.abs(m - g["at"]) < WINDOW))).alias("g"))
-    counts = {r["id"]: r["n"] for r in away.groupBy(F.col("g.id").alias("id")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each id of the vocabulary at most
+    counts = {r["id"]: r["n"] for r in _away(told, vocabulary).collect()}  # a row for each id of the vocabulary at most
     rare = {v["id"] for v in vocabulary if counts.get(v["id"], 0) <= max(COMMON * passages, 1)}
     features = _flags(rare, len(vocabulary))
     mine = told.select("row", "n_words", F.explode(F.filter("grams", lambda g: F.get(features, g["id"]) == 1)).alias("g")).select("row", "n_words", "g.id", "g.at")
@@ -232,7 +256,7 @@ def _fit_gate(docs: DataFrame, text_col: str, rows: DataFrame) -> dict:
     left = other.agg(F.sum("n")).first()[0] or 0
     none = passages - filled
     lookup, bits = _lookup(spark, {v["h"]: float(v["id"]) for v in vocabulary if v["id"] in rare})
-    known = materialize(_with_lookup(rows, lookup).select(F.array_sort(F.transform(_grams(F.col("own"), bits), lambda g: g["id"])).alias("ids"), "named", "kept"), "licence-known")
+    known = materialize(_with_lookup(rows, lookup).select(F.array_sort(F.transform(_grams(F.col("own"), bits, vocabulary)["grams"], lambda g: g["id"])).alias("ids"), "named", "kept"), "licence-known")
     share = F.lit(CORPUS_WEIGHT / max(1, none + left))
     corpus = other.filter("not held").select("ids", F.lit(0.0).alias("label"), (F.col("n") * share).alias("weight"))
     empty = spark.createDataFrame([([], 0.0, CORPUS_WEIGHT * none * 0.9 / max(1, none + left))], "ids array<int>, label double, weight double").filter("weight > 0")
@@ -242,31 +266,41 @@ def _fit_gate(docs: DataFrame, text_col: str, rows: DataFrame) -> dict:
     gate = LogisticRegression(maxIter=40, regParam=1e-3, elasticNetParam=0.8, standardization=False, weightCol="weight").fit(gate_rows)
     gate_rows.unpersist()
     by_id, bias = gate.coefficients.toArray().tolist(), float(gate.intercept)
-    weights = {v["h"]: by_id[v["id"]] for v in vocabulary if by_id[v["id"]]}
+    weighted = [v for v in vocabulary if by_id[v["id"]]]
     weight = F.split(F.lit(",".join(f"{w:.6g}" if w else "0" for w in by_id)), ",").cast("array<double>")
     score = F.aggregate("ids", F.lit(bias), lambda a, i: a + F.get(weight, i))
     held = other.filter("held").select("ids", "n").union(spark.createDataFrame([([], none // 10)], "ids array<int>, n long").filter("n > 0"))
     calm = held.agg(F.percentile(score, F.lit(1 - GATE_ALARMS), F.col("n"))).first()[0]
     least_known = known.filter("named = 1").agg(F.percentile_approx(score, 0.005, 10_000)).first()[0]
     release(vectors, other, known, lookup)
-    return {"calm_share": none / max(1, none + left), "weights": weights, "bias": bias, "open_at": min(max(0.0, calm if calm is not None else 0.0), max(0.0, least_known))}
+    return {"calm_share": none / max(1, none + left), "weights": {v["h"]: by_id[v["id"]] for v in weighted}, "begin": _begin(weighted), "bias": bias, "open_at": min(max(0.0, calm if calm is not None else 0.0), max(0.0, least_known))}
 
 
-def _passages(docs: DataFrame, id_col: str, text_col: str, gate: dict, least: float) -> DataFrame:
-    """doc_id, row, n_words and hits (at, score, words: the passages whose score is ``least`` at least) of each document, written."""
-    lookup, bits = _lookup(docs.sparkSession, gate["weights"])
+def _scored(docs: DataFrame, id_col: str, text_col: str, gate: dict, least: float, lookup: DataFrame, bits: int) -> DataFrame:
+    """doc_id, row, n_words and hits (at, score, words: the passages whose score is ``least`` at least) of each document."""
     added = F.lit(gate["bias"])
 
     def hits(x):
-        w = x["words"]
-        scored = F.transform(_windows(F.size(w)), lambda at: F.struct(at.alias("at"), F.aggregate(F.slice(x["scores"], at + 1, F.lit(WINDOW)), added, lambda a, s: a + s).alias("score")))
+        w, heard = x["words"], F.exists(x["scores"], lambda s: s != 0)
+        # a text that no weight speaks for has the same score all over
+        starts = _windows(F.size(w)) if gate["bias"] >= least else F.when(heard, _windows(F.size(w))).otherwise(F.array().cast("array<int>"))
+        scored = F.transform(starts, lambda at: F.struct(at.alias("at"), F.aggregate(F.slice(x["scores"], at + 1, F.lit(WINDOW)), added, lambda a, s: a + s).alias("score")))
         kept = F.transform(F.filter(scored, lambda p: p["score"] >= least), lambda p: F.struct(p["at"].alias("at"), p["score"].alias("score"), F.slice(w, p["at"] + 1, F.lit(WINDOW)).alias("words")))
         return F.struct(F.size(w).cast("long").alias("n_words"), kept.alias("hits"))
 
+    def then(w, found):
+        scores = F.transform(found, lambda s: F.coalesce(s, F.lit(0.0).cast("float")))
+        return F.transform(F.array(F.struct(w.alias("words"), scores.alias("scores"))), hits)[0]
+
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    row = F.transform(F.array(F.struct("words", _by_word(F.col("words"), bits, lambda a, p: a + p).alias("scores"))), hits)[0]
-    # one pass over the texts; what goes on is passages over the threshold, which are few
-    keyed = materialize(_with_lookup(texts, lookup).select("doc_id", "row", row.alias("r")).select("doc_id", "row", "r.*"), "licence-passages")
+    row = _by_word(F.col("words"), bits, gate["begin"], lambda i, a, p: a + p, then)
+    return _with_lookup(texts, lookup).select("doc_id", "row", row.alias("r")).select("doc_id", "row", "r.*")
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, gate: dict, least: float) -> DataFrame:
+    """The same, written: one pass over the texts; what goes on is passages over the threshold, which are few."""
+    lookup, bits = _lookup(docs.sparkSession, gate["weights"])
+    keyed = materialize(_scored(docs, id_col, text_col, gate, least, lookup, bits), "licence-passages")
     release(lookup)
     return keyed
 

@@ -327,3 +327,48 @@ def test_gate_is_fitted_on_all_passages(spark):
         got[tuple(i for i in r["ids"] if i in pairs)] += r["n"]
     got[()] += passages - got.total()
     assert passages == n and got == want and len(want) > 4
+
+
+def test_no_text_carries_the_table_of_weights(spark):
+    """Plans of both passes over the texts cut each text into words once, and no row has a copy of the table of weights."""
+    from collections import Counter
+
+    from loomspark.llm import licenses
+
+    name = "released under the MIT License, not the GNU General Public License "
+    texts = [None, "", "the", name, "of the terms " * 40 + name + "you may not copy it " * 30, name * 150, "it is not the end of it " * 90, ("the code is here " * 12 + name) * 4]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = spark.createDataFrame([(w_, y, n, k, i) for i, (w_, y, n, k) in enumerate(licenses._known())], "own array<string>, label int, named int, kept boolean, i int")
+    vocabulary = licenses._vocabulary(rows)
+    lookup, bits = licenses._lookup(spark, {v["h"]: float(v["id"]) for v in vocabulary})
+    told = licenses._told(docs, "text", vocabulary, lookup, bits)
+    # weights of binary fractions, so their order in a sum does not matter
+    weights = {v["h"]: (v["id"] % 7 - 3) / 8 for v in vocabulary if v["pair"] and v["id"] % 7 != 3}
+    gate = {"weights": weights, "bias": -0.25, "begin": licenses._begin([v for v in vocabulary if v["h"] in weights])}
+    heard, its_bits = licenses._lookup(spark, weights)
+    for plan in (told, licenses._scored(docs, "doc_id", "text", gate, 0.0, heard, its_bits)):
+        said = plan._jdf.queryExecution().executedPlan().toString()
+        assert said.count("licenc,") == 1 and "places#" not in said
+
+    ids = {v["pair"] or v["begin"]: v["id"] for v in vocabulary}
+    marks, want = {v["id"] for v in vocabulary if v["mark"]}, Counter()
+    found = {r["n_words"]: [tuple(g) for g in r["grams"]] for r in told.collect()}
+    for t in texts:
+        words = licenses.plain_words(t or "")
+        grams = [(at, ids[g]) for at, w in enumerate(words) for g in (w, " ".join(words[at : at + 2])) if g in ids and (g == w or at + 1 < len(words))]
+        assert sorted(found[len(words)]) == sorted(set(grams))
+        at_names = [at for at, i in grams if i in marks]
+        want.update(i for at, i in set(grams) if not any(abs(m - at) < licenses.WINDOW for m in at_names))
+    assert {r["id"]: r["n"] for r in licenses._away(told, vocabulary).collect()} == want and want
+
+    value = {v["pair"]: (v["id"] % 7 - 3) / 8 for v in vocabulary if v["pair"]}
+    for bias, least in ((-0.25, 0.0), (0.25, 0.25)):  # where the bias reaches the threshold, passages without weights do too
+        got = {r["doc_id"]: r for r in licenses._passages(docs, "doc_id", "text", gate | {"bias": bias}, least).collect()}
+        assert sorted(got) == [*range(len(texts))]
+        for k, t in enumerate(texts):
+            words = licenses.plain_words(t or "")
+            at_word = [value.get(" ".join(words[i : i + 2]), 0.0) for i in range(len(words))]
+            # windows of no words have the bias for a score
+            score = {at: bias + sum(at_word[at : at + licenses.WINDOW]) for at in range(0, max(0, len(words) - 1 - (licenses.WINDOW - licenses.STRIDE)) + 1, licenses.STRIDE)}
+            assert got[k]["n_words"] == len(words) and {h["at"]: h["score"] for h in got[k]["hits"]} == {at: s for at, s in score.items() if s >= least}
+            assert all(h["words"] == words[h["at"] : h["at"] + licenses.WINDOW] for h in got[k]["hits"])
