@@ -25,6 +25,39 @@ def matrix(column) -> np.ndarray:
     return np.concatenate(flat).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+class Squares:
+    """Lower bounds of the squared distances of rows of ``x`` to rows of ``y``, in one product, in a unit of its own.
+
+    Rows are centred; their squared lengths are cut by what rounding can add. Floats serve where that is little beside
+    the square of ``usual``, a distance that is looked for; doubles otherwise."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, usual: float, mid: np.ndarray | None = None):
+        mid = x.mean(axis=0) if mid is None else mid
+        p, q = x - mid, y - mid
+        nx, ny = np.einsum("ij,ij->i", p, p), np.einsum("ij,ij->i", q, q)
+        most = max(nx.max(initial=0.0), ny.max(initial=0.0))
+        self.scale = 1 / np.sqrt(most) if most > 0 and np.isfinite(1 / np.sqrt(most)) else 1.0
+        slack = lambda kind: 2 * (x.shape[1] + 8) * np.finfo(kind).eps
+        fine = np.isfinite(usual) and slack(np.float32) * (np.median(nx) + np.median(ny)) <= 0.02 * usual * usual if len(x) and len(y) else True
+        self.kind = np.float32 if fine else np.float64
+        self.slack = self.kind(slack(self.kind))
+        less = (1 - slack(self.kind)) * self.scale**2
+        self.p = np.column_stack([p * (-2 * self.scale), nx * less, np.ones(len(p))]).astype(self.kind)
+        self.q = np.column_stack([q * self.scale, np.ones(len(q)), ny * less]).astype(self.kind).T.copy()
+
+    def low(self, rows: slice, cols: slice) -> np.ndarray:
+        return self.p[rows] @ self.q[:, cols]
+
+    def rise(self, d: np.ndarray, edge: np.ndarray, rows: slice) -> np.ndarray:
+        """What a row's bounds ``d`` can be of distances that are not above those whose bounds are not above ``edge``."""
+        most = np.where(d <= edge[:, None], self.q[-1], 0).max(axis=1, initial=0)
+        return edge + 4 * self.slack * (self.p[rows, -2] + most) + self.kind(1e-30)
+
+    def wall(self, far: np.ndarray) -> np.ndarray:
+        """The squares of distances in the unit of the bounds, rounded up."""
+        return ((far * self.scale) ** 2 * (1 + 4 * np.finfo(self.kind).eps) + 1e-30).astype(self.kind)
+
+
 class Layout:
     """Principal axes of a sample and a tree of median cuts along them, which deals vectors into groups."""
 
@@ -75,20 +108,26 @@ def closest(a: np.ndarray, b: np.ndarray, many: np.ndarray, k: int, centre: np.n
 
     Products of centred rows say which rows can be among them, with a margin for their rounding; the distances
     themselves are of differences, so an offset that all vectors share costs no digits."""
-    x, y = a - centre, b - centre
-    nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
     ends, fars, counts = [np.zeros(1, int)], [], []
     step = max(1, AT_ONCE // max(len(b), 1))
+    squares = Squares(a, b, np.median(reach), centre)
+    walls = squares.wall(reach)
     for at in range(0, len(a), step):
         rows = slice(at, at + step)
-        d = nx[rows, None] + ny - 2 * x[rows] @ y.T
+        d = squares.low(rows, slice(None))
         if same:
             d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
-        slack = 1e-12 * a.shape[1] * (nx[rows] + ny.max(initial=0.0))
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
-        r, c = np.nonzero(np.isfinite(d) & (d <= np.minimum(edge, reach[rows] ** 2)[:, None] + 2 * slack[:, None]))
+        near = d <= walls[rows, None]
+        if np.count_nonzero(near) > 2 * k * len(d) and d.shape[1] > k:  # else the exact distances decide at once
+            edge = np.partition(d, k - 1, axis=1)[:, k - 1]  # k bounds are not above it, so k distances are not above it by more than rounding
+            near &= d <= squares.rise(d, edge, rows)[:, None]
+        if same:
+            near[np.arange(len(d)), np.arange(at, at + len(d))] = False
+        r, c = np.divmod(np.flatnonzero(near), max(1, d.shape[1]))
         gap = a[rows][r] - b[c]
         far = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        within = far <= reach[rows][r]
+        r, c, far = r[within], c[within], far[within]
         order = np.lexsort((far, r))
         r, c, far = r[order], c[order], far[order]
         keep = np.arange(len(r)) - np.searchsorted(r, r) < k
@@ -117,13 +156,18 @@ def core_distance(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFram
     have found so far says which other groups' boxes are near enough. Units that must meet do so as pairs, so a
     vector goes to at most as many tasks as there are units, the square root of the tasks, and a task holds two units.
     Units grow with the table up to ``MOST_BLOCK`` vectors, so until then what is shuffled grows with it alone."""
+    return cores(vectors, k, block)[0]
+
+
+def cores(vectors: DataFrame, k: int, block: int = 4096) -> tuple[DataFrame, list[DataFrame]]:
+    """The same, and the tables in the shared folder that it reads."""
     spark = vectors.sparkSession
     kind = "array<float>" if dict(vectors.dtypes)["features"] == "array<float>" else "array<double>"
     rows = vectors.select("id", F.col("features").cast(kind).alias("v")).filter("v is not null")
     distinct = materialize(rows.groupBy("v").agg(F.count_distinct("id").alias("many")).withColumn("row", F.monotonically_increasing_id()), "core-rows")
     n = distinct.count()
     if not n:
-        return rows.select("id", F.lit(None).cast("double").alias("core"))
+        return rows.select("id", F.lit(None).cast("double").alias("core")), [distinct]
     block, part = max(block, min(MOST_BLOCK, n // UNITS)), max(1, n // SAMPLE)
     layout = Layout(matrix(distinct.filter(F.pmod(F.xxhash64("v"), F.lit(part)) == 0).limit(4 * SAMPLE).select("v").toArrow()["v"]) if n > block else np.zeros((1, 1)), min(MOST_GROUPS, -(-n // block)))
     if layout.groups == 1:
@@ -153,9 +197,10 @@ def core_distance(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFram
 
     ddl = f"row long, v {kind}, many long, g int, unit int, reach double, near array<struct<far:double,many:long>>"
     alone = homes.select("row", "v", "many", "g", "unit").repartition(min(units, PARTS), "unit").groupBy("unit").applyInArrow(own, ddl)
-    near = alone.select("row", "many", "near")
+    near, tables = alone.select("row", "many", "near"), [distinct, placed]
     if units > 1:
         alone = materialize(alone, "core-own")
+        tables.append(alone)
         near = alone.select("row", "many", "near")
         meets = spark.createDataFrame(_meetings(alone, layout, sizes, first, block), "unit int, cell string, left boolean")
         guests = alone.select("row", "v", "many", "unit", "reach").join(F.broadcast(meets), "unit")  # a row per pair of units, of which groups and blocks bound the number
@@ -170,8 +215,8 @@ def core_distance(vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFram
         met = guests.repartition(min(units * (units + 1) // 2, PARTS), "cell").groupBy("cell").applyInArrow(meet, "row long, many long, near array<struct<far:double,many:long>>")
         near = near.unionAll(met).groupBy("row", "many").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     counted = F.aggregate("near", F.struct((F.col("many") - 1).alias("n"), F.when(F.col("many") > k, 0.0).alias("core")), lambda s, x: F.struct((s["n"] + x["many"]).alias("n"), F.when(s["core"].isNull() & (s["n"] + x["many"] >= k), x["far"]).otherwise(s["core"]).alias("core")))
-    cores = near.select("row", counted["core"].alias("core")).join(distinct.select("row", "v"), "row").select("v", "core")
-    return rows.distinct().join(cores, "v").select("id", "core")
+    found = near.select("row", counted["core"].alias("core")).join(distinct.select("row", "v"), "row").select("v", "core")
+    return rows.distinct().join(found, "v").select("id", "core"), tables
 
 
 def _kth(found: tuple, many: np.ndarray, k: int) -> np.ndarray:

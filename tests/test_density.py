@@ -54,3 +54,37 @@ def test_units_grow_with_the_table_so_shuffled_rows_do_not(spark, monkeypatch):
     got = {r["id"]: r["core"] for r in nearest.core_distance(df, 3, block=8).collect()}
     d = np.sort(np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(-1)), axis=1)[:, 3]
     assert max(abs(got[i] - d[i]) for i in got) < 1e-12 and len({u for u, _, _ in met}) <= 6
+
+
+@pytest.mark.parametrize("cut", [0, 700])
+def test_clusters_far_apart_keep_few_links_in_memory(monkeypatch, cut):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (700, 8)), rng.normal(300, 1, (700, 8))])
+    rng.shuffle(x)
+    core, held = np.zeros(len(x)), []
+    real = density.forest
+    monkeypatch.setattr(density, "forest", lambda *a: held.append(len(a[0])) or real(*a))
+    monkeypatch.setattr(density, "LOOKED_UP", 1 << 10)
+    if cut:
+        (w, a, b), (v, c, d) = (density.unit_tree(x[s], core[s]) for s in (slice(0, cut), slice(cut, None)))
+        tree = density.Tree(len(x), np.concatenate([w, v, density.distances(x[:1], x[cut])]), np.concatenate([a, c + cut, [0]]), np.concatenate([b, d + cut, [cut]]))
+        density.improve(tree, x, core, cut)
+        w, a, b = tree.links
+    else:
+        w, a, b = density.unit_tree(x, core)
+    assert max(held) < 4 * len(x) + (1 << 10)  # of over 200,000 links that are shorter than the way from one cluster to the other
+    assert len(w) == len(x) - 1 and np.isclose(w.sum(), sum(e[0] for e in density.reach_tree(x, core)), rtol=1e-12)
+    assert np.allclose(density.distances(x[a], x[b]), w)
+
+
+def test_bounds_are_not_above_squared_distances_with_an_offset_and_an_outlier():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16)) + 1e4
+    x[7] += 1e7
+    d = ((x[:, None] - x) ** 2).sum(-1)
+    for usual in (5.0, np.inf, 1e-9):
+        squares = nearest.Squares(x, x, usual)
+        low = squares.low(slice(None), slice(None))
+        assert (low <= squares.wall(np.sqrt(d))).all()
+    k = nearest.closest(x, x, np.ones(300, int), 4, x.mean(axis=0), True, np.full(300, np.inf))
+    assert np.allclose(k[1].reshape(300, 4), np.sort(np.sqrt(d), axis=1)[:, 1:5], rtol=1e-9)
