@@ -100,7 +100,7 @@ class Tree:
     def _order(self) -> None:
         w, a, b = self.links
         n, by = self.n, np.argsort(self.links[0], kind="stable")
-        up, size, tail, heavy, after = list(range(n)), [1] * n, list(range(n)), list(range(n)), [-1] * n
+        up, size, tail, after = list(range(n)), [1] * n, list(range(n)), [-1] * n
         gap, first = np.zeros(n), 0
         met: list = [0.0] * n
         for x, i, j in zip(w[by].tolist(), a[by].tolist(), b[by].tolist(), strict=True):

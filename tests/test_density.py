@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from loomspark.operators import density, learning, nearest
+from loomspark.scratch import scratch_root
 
 
 def blobs():
@@ -88,3 +91,24 @@ def test_bounds_are_not_above_squared_distances_with_an_offset_and_an_outlier():
         assert (low <= squares.wall(np.sqrt(d))).all()
     k = nearest.closest(x, x, np.ones(300, int), 4, x.mean(axis=0), True, np.full(300, np.inf))
     assert np.allclose(k[1].reshape(300, 4), np.sort(np.sqrt(d), axis=1)[:, 1:5], rtol=1e-9)
+
+
+def test_equal_vectors_are_one_node_and_units_grow_with_the_table(spark, monkeypatch):
+    x = np.repeat(np.concatenate([np.random.default_rng(8).normal(m, 0.3, (12, 3)) for m in (0, 9)]), 5, axis=0)
+    np.random.default_rng(9).shuffle(x)
+    seen, real = [], density.spanning_links
+    monkeypatch.setattr(density, "spanning_links", lambda rows, n, block: seen.append(n) or real(rows, n, block))
+    df = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    before = scratch_tables(spark)
+    found, n = density.clustered(df, 20, block=5)
+    got = {r["id"]: r["cluster_id"] for r in found.collect()}
+    want = learning.density_labels(x, 20)
+    assert seen == [24] and n == 120 and len(set(want)) == 2 and [got[i] for i in range(120)] == want.tolist()
+    left = {t.rsplit("-", 1)[0] for t in scratch_tables(spark) - before}
+    assert left <= {"loom-density-labels", "loom-numbered"}, left
+    for n in (10_000, 100_000, 600_000):
+        assert -(-n // density.unit_size(n)) <= density.UNITS  # guests of a node
+
+
+def scratch_tables(spark):
+    return set(os.listdir(scratch_root(spark).removeprefix("file://")))
